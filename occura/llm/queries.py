@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occura.llm import langid, oracle, pieces, quality, repetition
+from occura.llm import castore, decontaminate, jaccard, langid, lattice, oracle, pieces, quality, repetition, sharding, warc
 from occura.llm.common import crc_mod, table
 
 QUALITY_THRESHOLD = 0.3
@@ -18,6 +18,10 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rule(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("intact")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(labelled(docs, table(spark, sf_dir, "labels")))
@@ -34,18 +38,42 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    return lattice.lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), held_out)
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out")
     return langid.predict(docs, langid.fit(docs.filter(~held_out)), "doc_id", "text", held_out)
 
 
+def op8_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.minimax_shards(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_castore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = castore.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return castore.read_digests(spark, path).drop("verified")
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op3_quality, op7_language, op10_pieces)}
+    return {f.__name__: f for f in (op1_repetition, op2_warc, op3_quality, op4_lattice, op5_jaccard, op6_decontaminate, op7_language, op8_minimax, op9_castore, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
