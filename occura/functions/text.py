@@ -97,6 +97,11 @@ def _values(pairs: Column, key: str, kind: str) -> Column:
     return first
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def query_part(url: Column) -> Column:
     """Text after the first ? of an address, without a fragment; empty if there is none."""
     return F.regexp_extract(url, r"\?([^#]*)", 1)
@@ -104,12 +109,11 @@ def query_part(url: Column) -> Column:
 
 def canonical_query(query: Column) -> Column:
     """Known keys with typed values, in fixed order."""
-    pairs = _pairs(query)
-    return F.concat_ws("&", *[F.concat(F.lit(f"{k}="), _values(pairs, k, kind)) for k, kind in schema.QUERY_KEYS.items()])
+    text = lambda pairs: F.concat_ws("&", *[F.concat(F.lit(f"{k}="), _values(pairs, k, kind)) for k, kind in schema.QUERY_KEYS.items()])
+    return _once(_pairs(query), text)
 
 
 def criteria_lines(query: Column) -> Column:
     """Lines ``name: value`` of the keys that people are shown."""
-    pairs = _pairs(query)
-    lines = [F.concat(F.lit(f"{name}: "), F.replace(_values(pairs, k, schema.QUERY_KEYS[k]), F.lit(","), F.lit(", ")) if schema.QUERY_KEYS[k] in ("texts", "ints") else _values(pairs, k, schema.QUERY_KEYS[k])) for k, name in schema.CRITERIA.items()]
-    return F.filter(F.array(*lines), lambda x: x.isNotNull())
+    lines = lambda pairs: [F.concat(F.lit(f"{name}: "), F.replace(_values(pairs, k, schema.QUERY_KEYS[k]), F.lit(","), F.lit(", ")) if schema.QUERY_KEYS[k] in ("texts", "ints") else _values(pairs, k, schema.QUERY_KEYS[k])) for k, name in schema.CRITERIA.items()]
+    return F.filter(_once(_pairs(query), lambda pairs: F.array(*lines(pairs))), lambda x: x.isNotNull())
