@@ -79,22 +79,30 @@ def _pairs(query: Column) -> Column:
     return F.filter(items, lambda p: (p["value"] != "") & (p["value"] != "any"))
 
 
-def _values(pairs: Column, key: str, kind: str) -> Column:
-    """The key's canonical value text, or null."""
-    own = F.transform(F.filter(pairs, lambda p: p["key"] == key), lambda p: p["value"])
+def _typed(own: Column, kind: Column) -> Column:
+    """Canonical text of a key's values by its kind, or null."""
+    whole = r"^[+-]?[0-9]+$"
     first = F.try_element_at(own, F.lit(1))
-    if kind == "texts":
-        return F.when(F.size(own) > 0, F.array_join(own, ","))
-    if kind == "ints":
-        ints = F.filter(F.transform(own, lambda v: F.when(v.rlike(r"^[+-]?[0-9]+$"), v.try_cast("int"))), lambda v: v.isNotNull())
-        return F.when(F.size(ints) > 0, F.array_join(ints.cast("array<string>"), ","))
-    if kind == "int":
-        return F.when(first.rlike(r"^[+-]?[0-9]+$"), first.try_cast("int")).cast("string")
-    if kind == "double":
-        return F.regexp_replace(number(first).cast("string"), r"\.0$", "")
-    if kind == "boolean":
-        return F.when(first.isin("true", "1"), "true").when(first.isin("false", "0"), "false")
-    return first
+    ints = F.filter(F.transform(own, lambda v: F.when(v.rlike(whole), v.try_cast("int"))), lambda v: v.isNotNull())
+    return (
+        F.when(kind == "texts", F.nullif(F.array_join(own, ","), F.lit("")))
+        .when(kind == "ints", F.nullif(F.array_join(ints.cast("array<string>"), ","), F.lit("")))
+        .when(kind == "int", F.when(first.rlike(whole), first.try_cast("int")).cast("string"))
+        .when(kind == "double", F.regexp_replace(number(first).cast("string"), r"\.0$", ""))
+        .when(kind == "boolean", F.when(first.isin("true", "1"), "true").when(first.isin("false", "0"), "false"))
+        .otherwise(first)
+    )
+
+
+def _known(query: Column, keys: dict[str, str]) -> Column:
+    """Array of (key, name, kind, value) of the keys that the query has a fit value for, in the order of ``keys`` (key → name)."""
+    known = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(name).alias("name"), F.lit(schema.QUERY_KEYS[k]).alias("kind")) for k, name in keys.items()])
+
+    def of(pairs: Column) -> Column:
+        own = lambda k: F.transform(F.filter(pairs, lambda p: p["key"] == k["key"]), lambda p: p["value"])
+        return F.transform(known, lambda k: F.struct(k["key"].alias("key"), k["name"].alias("name"), k["kind"].alias("kind"), _once(own(k), lambda v: _typed(v, k["kind"])).alias("value")))
+
+    return F.filter(_once(_pairs(query), of), lambda x: x["value"].isNotNull())
 
 
 def _once(value: Column, use) -> Column:
@@ -109,11 +117,10 @@ def query_part(url: Column) -> Column:
 
 def canonical_query(query: Column) -> Column:
     """Known keys with typed values, in fixed order."""
-    text = lambda pairs: F.concat_ws("&", *[F.concat(F.lit(f"{k}="), _values(pairs, k, kind)) for k, kind in schema.QUERY_KEYS.items()])
-    return _once(_pairs(query), text)
+    return F.array_join(F.transform(_known(query, {k: k for k in schema.QUERY_KEYS}), lambda x: F.concat(x["key"], F.lit("="), x["value"])), "&")
 
 
 def criteria_lines(query: Column) -> Column:
     """Lines ``name: value`` of the keys that people are shown."""
-    lines = lambda pairs: [F.concat(F.lit(f"{name}: "), F.replace(_values(pairs, k, schema.QUERY_KEYS[k]), F.lit(","), F.lit(", ")) if schema.QUERY_KEYS[k] in ("texts", "ints") else _values(pairs, k, schema.QUERY_KEYS[k])) for k, name in schema.CRITERIA.items()]
-    return F.filter(_once(_pairs(query), lambda pairs: F.array(*lines(pairs))), lambda x: x.isNotNull())
+    shown = lambda x: F.when(x["kind"].isin("texts", "ints"), F.replace(x["value"], F.lit(","), F.lit(", "))).otherwise(x["value"])
+    return F.transform(_known(query, schema.CRITERIA), lambda x: F.concat(x["name"], F.lit(": "), shown(x)))
