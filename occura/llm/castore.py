@@ -32,6 +32,9 @@ KEY_BYTES = 16
 #: Distinct words a task keeps.
 KNOWN_WORDS = 400_000
 
+#: What an empty store has no file to tell.
+CHUNKS = "key binary, n bigint, payload binary, kind string"
+
 _GEAR = np.random.default_rng(9).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
@@ -168,7 +171,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array([seg] * len(n), pa.int32()), pa.array(range(row, row + len(n)), pa.int64()), batch.column("id"), batch.column("payload"), batch.column("n"), pa.array(start), batch.column("key")], ["seg", "row", "id", "keys", "n_tokens", "before", "root"])
             row, before = row + len(n), before + int(n.sum())
 
-    stored = spark.read.schema(f"{schema}").parquet(f"{path}/store")
+    stored = spark.read.schema(f"id {kind}, {CHUNKS}").parquet(f"{path}/store")
     recipes = stored.filter("kind = 'recipe'").select("id", "key", "n", "payload").repartitionByRange("id").sortWithinPartitions("id", "key")
     recipes.mapInArrow(number, f"seg int, row bigint, id {kind}, keys binary, n_tokens bigint, before bigint, root binary").write.parquet(f"{path}/recipes")
 
@@ -249,7 +252,7 @@ def read_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> Data
             n, crc, good = zip(*out, strict=True) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())], [id_col, "start", "n_tokens", "ids_crc32", "verified"])
 
-    chunks = spark.read.parquet(f"{path}/store").filter("kind = 'chunk'").select("key", "n", "payload").mapInArrow(check, "key binary, n bigint, crc bigint, good boolean")
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/store").filter("kind = 'chunk'").select("key", "n", "payload").mapInArrow(check, "key binary, n bigint, crc bigint, good boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
     starts = spark.read.parquet(f"{path}/manifest").select("seg", F.coalesce(F.sum("tokens").over(Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     recipes = recipes.join(F.broadcast(starts), "seg").withColumn("start", F.col("base") + F.col("before"))  # one row per file of recipes
@@ -271,6 +274,6 @@ def reconstruct(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     recipes = spark.read.parquet(f"{path}/recipes")
     position = F.explode(F.sequence(F.lit(0), (F.octet_length("keys") / KEY_BYTES).cast("int") - 1))
     refs = recipes.select("seg", "row", "id", "keys", position.alias("at")).select("seg", "row", "id", "at", F.substring(F.col("keys"), F.col("at") * KEY_BYTES + 1, F.lit(KEY_BYTES)).alias("key"))
-    chunks = spark.read.parquet(f"{path}/store").filter("kind = 'chunk'").select("key", "n", "payload")
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/store").filter("kind = 'chunk'").select("key", "n", "payload")
     parts = refs.join(chunks, "key").groupBy("seg", "row", "id").agg(F.array_sort(F.collect_list(F.struct("at", "n", "payload"))).alias("parts"))
     return parts.select("id", "parts").mapInArrow(expand, f"{id_col} {recipes.schema['id'].dataType.simpleString()}, ids array<bigint>")

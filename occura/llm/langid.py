@@ -34,7 +34,7 @@ def letters_only(text: str) -> str:
 
 
 class SuffixAutomaton:
-    """All substrings of a sequence of small integers, built online; state 0 is the root."""
+    """All substrings of a sequence of small integers, built online; state 0 is the root, and the last one has no way on."""
 
     def __init__(self, codes: np.ndarray, width: int):
         size = 2 * len(codes) + 2
@@ -65,7 +65,7 @@ class SuffixAutomaton:
                         p = suffix[p]
                     suffix[q] = suffix[new] = twin
             last = new
-        self.next = step[:used].copy()
+        self.next = step[: used + 1].copy()
 
 
 @dataclass
@@ -81,7 +81,8 @@ class LanguageModel:
         out = np.empty((len(self.languages), blocks.shape[0]), np.int64)
         for k, table in enumerate(self.automata):
             width = table.shape[1]
-            flat, root = table.ravel(), np.maximum(table[0], 0)
+            flat = table.ravel()
+            root = np.where(table[0] < 0, len(table) - 1, table[0])  # a character of no sample is a phrase by itself
             state = np.zeros(blocks.shape[0], np.int64)
             phrases = np.zeros(blocks.shape[0], np.int64)
             for at, codes in enumerate(columns):
