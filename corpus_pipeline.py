@@ -10,30 +10,57 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occura.llm import langid, pieces, quality
-from occura.llm.common import crc_mod, materialize, table
+from occura.llm import decontaminate, jaccard, langid, pieces, quality
+from occura.llm.common import broadcast_if_small, materialize, table
 from occura.llm.queries import QUALITY_THRESHOLD, labelled
 
 
+def _others(docs: DataFrame) -> list:
+    return [F.col(c).alias(f"_{c}") for c in docs.columns if c != "doc_id"]
+
+
+def _restored(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[F.col(c if c == "doc_id" else f"_{c}").alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (null, or no letter)."""
-    found = langid.predict(docs, langid.fit(docs), "doc_id", "text", *(F.col(c) for c in docs.columns if c != "doc_id"))
-    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
+    """Language ID: drop documents without a language (null, or no letter)."""
+    found = langid.predict(docs, langid.fit(docs), "doc_id", "text", *_others(docs))
+    return _restored(found.filter(F.col("lang_pred") != langid.UNDETERMINED), docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents scored below the threshold."""
+    """Quality classifier: drop documents scored below the threshold."""
     model = quality.fit(labelled(docs, table(spark, sf_dir, "labels")))
-    found = quality.score(docs, model, "doc_id", "text", *(F.col(c) for c in docs.columns if c != "doc_id"))
-    return found.filter(F.col("score") >= QUALITY_THRESHOLD).select(docs.columns)
+    found = quality.score(docs, model, "doc_id", "text", *_others(docs))
+    return _restored(found.filter(F.col("score") >= QUALITY_THRESHOLD), docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join on five words at 0.8: of each group the document with the smallest id stays; documents without a word or an id stay."""
+    found = materialize(jaccard.jaccard_components(docs, size=5, percent=80), "near_copies")
+    dropped = broadcast_if_small(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    repeated = broadcast_if_small(materialize(repeated, "repeated"))
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: drop documents that hold a passage of the benchmark."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    hit = materialize(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(broadcast_if_small(hit), "doc_id", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, with the end id, their digest and that of the decoded text."""
+    """SentencePiece: piece ids of each document with the end id, their digest and that of the decoded text."""
     return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True).drop("decoded")
 
 
-STAGES = [("language", language), ("quality", quality_stage), ("encode", encode)]
+STAGES = [("language", language), ("quality", quality_stage), ("near_copies", near_copies), ("decontamination", decontamination), ("encode", encode)]
 
 ORACLE_SQL = None
 
