@@ -12,11 +12,14 @@ keys, n_tokens, before, root) and ``manifest`` (seg, root, documents, tokens).
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,72 +32,99 @@ from occura.llm.common import id_type, new_path, slices, texts_of
 LEAST, MOST, CUT_BITS = 64, 2048, 8
 ROLLING = 8
 KEY_BYTES = 16
-#: Distinct words a task keeps.
-KNOWN_WORDS = 400_000
+#: Distinct words, and word parts, that a Python worker keeps, and distinct chunks of a task.
+KNOWN_WORDS, KNOWN_CHUNKS = 800_000, 2_000_000
 
 #: What an empty store has no file to tell.
-CHUNKS = "key binary, n bigint, payload binary, kind string"
+CHUNKS = "key binary, n bigint, payload binary, sizes binary, kind string"
 
 _GEAR = np.random.default_rng(9).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
-class WordIds:
-    """Distinct word → its ids as 32-bit bytes.  Words are what lies between ASCII white space, which no token crosses."""
+class WordIds(dict):
+    """Distinct word → its ids as little-endian bytes.  Words are what lies between ASCII white space, which no token crosses.
+
+    Words of visible characters up to U+00FF pass the file's clean-up unchanged but for case; they are cut by the file's own
+    pattern, and each distinct part is segmented once by the library's model.  All other words, and all words of files
+    with another clean-up or pattern, go through the library's whole encoding.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        plain, other = [], []
-        for w in new:
-            text = w.decode()
-            # Up to U+00FF every character keeps its place through the tokenizer's clean-up.
-            (plain if text.isascii() or max(text) < "Ā" else other).append((w, text))
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            starts = np.cumsum([0] + [len(t) + 1 for _, t in part])
-            found = self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            cut = np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts)
-            for (w, _), a, b in zip(part, cut, cut[1:], strict=False):
-                self.known[w] = ids[a:b].tobytes()
-        for (w, _), found in zip(other, self.tokenizer.encode_batch([t for _, t in other], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(found.ids, "<u4").tobytes()
+        about = json.loads(self.tokenizer.to_str())
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.marks = [t["content"] for t in about["added_tokens"]]
+        self.parts: dict[str, bytes] = {}
+        cleaned = [n.get("type") for n in (about.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        steps = (about.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        usual = [t.get("type") for t in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if cleaned and usual and about["model"]["type"] == "BPE" and not about["post_processor"] else None
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.byte_signs = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}  # how byte-level vocabularies write bytes
+        self.plain = regex.compile("[!-~¡-ÿ]+")
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            signs = part if part.isascii() else "".join([self.byte_signs[b] for b in part.encode()])
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(signs)], self.kind).tobytes()
+            if len(self.parts) < KNOWN_WORDS:
+                self.parts[part] = ids
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.pattern is None or not self.plain.fullmatch(text) or any(m in text for m in self.marks):
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        else:
+            ids = b"".join([self._part(p) for p in self.pattern.findall(text.lower())])
+        if len(self) < KNOWN_WORDS:
+            self[word] = ids
+        return ids
 
     def encode(self, bodies: list[bytes | None]) -> list[bytes]:
-        cut = [(b or b"").split() for b in bodies]
-        self.learn({w for words in cut for w in words})
-        look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in cut]
-
-
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return np.array([n] if n else [], np.int64)
-    g = _GEAR[ids & 0xFFFF]
-    h = g.copy()
+        look = self.__getitem__
+        return [b"".join(map(look, (b or b"").split())) for b in bodies]
+
+
+_WORDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's table for a file: a Python worker serves many tasks, and words that it knows stay known."""
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path]
+
+
+def cut_points(ids: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of id streams that lie one behind the other, each list from its stream's start on."""
+    h = _GEAR[ids & 0xFFFF]
     for k in range(1, ROLLING):
-        h[k:] += g[:-k] << np.uint64(k)
-    candidates = (np.flatnonzero((h >> np.uint64(20)) & np.uint64((1 << CUT_BITS) - 1) == 0) + 1).tolist()
-    ends, last = [], 0
-    for c in candidates:
-        while c - last > MOST:
-            last += MOST
-            ends.append(last)
-        if c - last >= LEAST:
-            ends.append(last := c)
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    if last < n:
-        ends.append(n)
-    return np.array(ends, np.int64)
+        h[k:] += _GEAR[ids[:-k] & 0xFFFF] << np.uint64(k)
+    candidates = np.flatnonzero((h >> np.uint64(20)) & np.uint64((1 << CUT_BITS) - 1) == 0) + 1
+    starts = np.cumsum(lengths) - lengths
+    first = np.searchsorted(candidates, starts + LEAST)
+    last = np.searchsorted(candidates, starts + lengths)
+    out = []
+    for start, n, a, b in zip(starts.tolist(), lengths.tolist(), first.tolist(), last.tolist(), strict=True):
+        ends, at = [], 0
+        for c in (candidates[a:b] - start).tolist():
+            while c - at > MOST:
+                at += MOST
+                ends.append(at)
+            if c - at >= LEAST:
+                at = c
+                ends.append(c)
+        while n - at > MOST:
+            at += MOST
+            ends.append(at)
+        if at < n:
+            ends.append(n)
+        out.append(ends)
+    return out
 
 
 def digest(data: bytes) -> bytes:
@@ -124,41 +154,44 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "
     kind = id_type(docs, id_col)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, met, tail = WordIds(tokenizer_path), set(), np.array([end_id], "<u4").tobytes()
+        words, met = word_ids(tokenizer_path), set()
+        tail, width = np.array([end_id], words.kind).tobytes(), int(words.kind[2])
         for batch, bodies in slices(batches, limit=2 << 20):
-            keys, sizes, payloads, recipes, totals, roots = [], [], [], [], [], []
-            for raw in words.encode(bodies):
-                ids = np.frombuffer(raw + tail, "<u4")
+            raw = [x + tail for x in words.encode(bodies)]
+            lengths = np.array([len(x) // width for x in raw], np.int64)
+            keys, sizes, payloads, recipes, counts, roots = [], [], [], [], [], []
+            for data, ends in zip(raw, cut_points(np.frombuffer(b"".join(raw), words.kind), lengths), strict=True):
                 own, start = [], 0
-                for end in cut_points(ids).tolist():
-                    part = ids[start:end]
-                    key = digest(part.tobytes())
+                for end in ends:
+                    payload = data[start * width : end * width]
+                    key = digest(payload)
                     own.append(key)
                     if key not in met:
-                        if len(met) > 2_000_000:
+                        if len(met) > KNOWN_CHUNKS:
                             met.clear()
                         met.add(key)
                         keys.append(key)
                         sizes.append(end - start)
-                        payloads.append(part.astype("<u2").tobytes() if int(part.max()) < 1 << 16 else part.tobytes())
+                        payloads.append(payload)
                     start = end
                 recipes.append(b"".join(own))
-                totals.append(len(ids))
+                counts.append(np.diff(np.array([0, *ends])).astype("<u4").tobytes())
                 roots.append(merkle_root(own))
             a, b = len(bodies), len(keys)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["recipe"] * a + ["chunk"] * b), pa.concat_arrays([batch.column("id"), pa.nulls(b, batch.column("id").type)]), pa.array(roots + keys, pa.binary()), pa.array(totals + sizes, pa.int64()), pa.array(recipes + payloads, pa.binary())],
-                ["kind", "id", "key", "n", "payload"],
+                [pa.array(["recipe"] * a + ["chunk"] * b), pa.concat_arrays([batch.column("id"), pa.nulls(b, batch.column("id").type)]), pa.array(roots + keys, pa.binary()), pa.array(lengths.tolist() + sizes, pa.int64()), pa.array(recipes + payloads, pa.binary()),
+                 pa.array(counts + [None] * b, pa.binary())],
+                ["kind", "id", "key", "n", "payload", "sizes"],
             )
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
         for batch in batches:
-            kinds, keys = batch.column("kind").to_pylist(), batch.column("key").to_pylist()
-            keep = [k == "recipe" or (key not in met and not met.add(key)) for k, key in zip(kinds, keys, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            chunk = pc.equal(batch.column("kind"), "chunk")
+            keys = pc.if_else(chunk, batch.column("key"), None).to_pylist()
+            yield batch.filter(pa.array([k is None or (k not in met and not met.add(k)) for k in keys], pa.bool_()))
 
-    schema = f"kind string, id {kind}, key binary, n bigint, payload binary"
+    schema = f"kind string, id {kind}, key binary, n bigint, payload binary, sizes binary"
     where = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64(F.col("id").cast("string")))
     rows = texts_of(docs, id_col, text_col).mapInArrow(encode, schema)
     rows.repartition(where).mapInArrow(once, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/store")
@@ -168,12 +201,12 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "
         for batch in batches:
             n = batch.column("n").to_numpy()
             start = before + np.cumsum(n) - n
-            yield pa.RecordBatch.from_arrays([pa.array([seg] * len(n), pa.int32()), pa.array(range(row, row + len(n)), pa.int64()), batch.column("id"), batch.column("payload"), batch.column("n"), pa.array(start), batch.column("key")], ["seg", "row", "id", "keys", "n_tokens", "before", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array([seg] * len(n), pa.int32()), pa.array(range(row, row + len(n)), pa.int64()), batch.column("id"), batch.column("payload"), batch.column("sizes"), batch.column("n"), pa.array(start), batch.column("key")], ["seg", "row", "id", "keys", "sizes", "n_tokens", "before", "root"])
             row, before = row + len(n), before + int(n.sum())
 
     stored = spark.read.schema(f"id {kind}, {CHUNKS}").parquet(f"{path}/store")
-    recipes = stored.filter("kind = 'recipe'").select("id", "key", "n", "payload").repartitionByRange("id").sortWithinPartitions("id", "key")
-    recipes.mapInArrow(number, f"seg int, row bigint, id {kind}, keys binary, n_tokens bigint, before bigint, root binary").write.parquet(f"{path}/recipes")
+    recipes = stored.filter("kind = 'recipe'").select("id", "key", "n", "payload", "sizes").repartitionByRange("id").sortWithinPartitions("id", "key")
+    recipes.mapInArrow(number, f"seg int, row bigint, id {kind}, keys binary, sizes binary, n_tokens bigint, before bigint, root binary").write.parquet(f"{path}/recipes")
 
     def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
@@ -190,77 +223,97 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "
     return path
 
 
-def _shift_columns(n: int) -> list[int]:
-    """What n zero bytes make of each bit of a crc32."""
+def _zero_bytes_table() -> np.ndarray:
+    """[k, j, v]: what 2^k zero bytes make of a crc32 whose byte j is v."""
+
+    def apply(columns: list[int], value: int) -> int:
+        out = 0
+        for k in range(32):
+            if value >> k & 1:
+                out ^= columns[k]
+        return out
+
     step = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
-    apply = lambda m, v: _apply(m, v)
-    out, bits = [1 << k for k in range(32)], 8 * n
-    while bits:
-        if bits & 1:
-            out = [apply(step, v) for v in out]
-        step, bits = [apply(step, v) for v in step], bits >> 1
-    return out
+    for _ in range(3):
+        step = [apply(step, v) for v in step]
+    table = np.zeros((LENGTH_BITS, 4, 256), np.uint32)
+    for k in range(LENGTH_BITS):
+        for j in range(4):
+            for bit in range(8):
+                has = (np.arange(256) >> bit & 1).astype(bool)
+                table[k, j, has] ^= np.uint32(step[8 * j + bit])
+        step = [apply(step, v) for v in step]
+    return table
 
 
-def _apply(matrix: list[int], value: int) -> int:
-    out, k = 0, 0
-    while value:
-        if value & 1:
-            out ^= matrix[k]
-        value, k = value >> 1, k + 1
-    return out
+#: Bits of the bytes that may follow a chunk in its document.
+LENGTH_BITS = 40
 
 
-class CrcJoin:
-    """crc32 of two strings in a row from those of each; the second's length in bytes."""
+class CrcShift:
+    """crc32 values as they count in a string that goes on for so many bytes: the string's crc32 is their XOR."""
 
     def __init__(self) -> None:
-        self.by_length: dict[int, list[int]] = {}
+        self.table = _zero_bytes_table()
 
-    def __call__(self, first: int, second: int, length: int) -> int:
-        if length not in self.by_length:
-            self.by_length[length] = _shift_columns(length)
-        return _apply(self.by_length[length], first) ^ second
+    def __call__(self, crc: np.ndarray, following: np.ndarray) -> np.ndarray:
+        out = crc.astype(np.uint32)
+        for k in range(int(following.max(initial=0)).bit_length()):
+            at = np.flatnonzero(following >> k & 1)
+            x, t = out[at], self.table[k]
+            out[at] = t[0][x & 255] ^ t[1][x >> 8 & 255] ^ t[2][x >> 16 & 255] ^ t[3][x >> 24]
+        return out
 
 
 def read_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """One row per stored document, from the files: id, start (ids of all documents before it), n_tokens, ids_crc32, verified.
 
-    Chunks are read where they lie and checked against their digests; only counts and checksums are joined to the recipes and
-    put together in order.  ``verified`` is whether every chunk matched its digest, and the recipe its Merkle root and length.
+    Chunks are read where they lie and checked against their digests.  Only counts and checksums are joined to the recipes:
+    a document's checksum is the XOR of its chunks', each moved on by the bytes that follow it.  ``verified`` is whether every
+    chunk was found, matched its digest and size, and the recipe its Merkle root and length.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crc, good = [], []
             for key, n, payload in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "payload")), strict=True):
-                whole = np.frombuffer(payload, "<u2" if len(payload) == 2 * n else "<u4").astype("<u4").tobytes()
-                crc.append(zlib.crc32(whole))
-                good.append(digest(whole) == key)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(crc, pa.int64()), pa.array(good)], ["key", "n", "crc", "good"])
+                crc.append(zlib.crc32(_ids(payload, n, "<u4")))
+                good.append(digest(payload) == key)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())], ["key", "n", "crc", "good"])
 
-    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = CrcJoin()
+    def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, batch.num_rows, 2000):
+                rows = batch.slice(part, 2000)
+                keys = [_split(k) for k in rows.column("keys").to_pylist()]
+                sizes = [np.frombuffer(x, "<u4").astype(np.int64) for x in rows.column("sizes").to_pylist()]
+                sound = [merkle_root(k) == root and x.sum() == n for k, x, root, n in zip(keys, sizes, rows.column("root").to_pylist(), rows.column("n_tokens").to_pylist(), strict=True)]
+                counts = np.array([len(k) for k in keys], np.int64)
+                following = np.concatenate([np.empty(0, np.int64), *(4 * (x.sum() - np.cumsum(x)) for x in sizes)])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.repeat(rows.column(c).to_numpy(), counts)) for c in ("seg", "row")), pa.array([k for own in keys for k in own], pa.binary()), pa.array(np.concatenate([np.empty(0, np.int64), *sizes])), pa.array(following), pa.array(np.repeat(np.array(sound, bool), counts))],
+                    ["seg", "row", "key", "size", "following", "sound"],
+                )
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = CrcShift()
         for batch in batches:
-            out = []
-            for keys, root, total, parts in zip(*(batch.column(c).to_pylist() for c in ("keys", "root", "n_tokens", "parts")), strict=True):
-                crc = n = 0
-                for p in parts:
-                    crc, n = join(crc, p["crc"], 4 * p["n"]), n + p["n"]
-                leaves = _split(keys)
-                out.append((n, crc, all(p["good"] for p in parts) and len(parts) == len(leaves) and n == total and merkle_root(leaves) == root))
-            n, crc, good = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())], [id_col, "start", "n_tokens", "ids_crc32", "verified"])
-
-    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/store").filter("kind = 'chunk'").select("key", "n", "payload").mapInArrow(check, "key binary, n bigint, crc bigint, good boolean")
+            moved = shift(batch.column("crc").to_numpy(), batch.column("following").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("seg"), batch.column("row"), batch.column("n"), pa.array(moved.astype(np.int64)), batch.column("good")], ["seg", "row", "n", "crc", "good"])
+
+    stored = spark.read.schema(CHUNKS).parquet(f"{path}/store").filter("kind = 'chunk'").select("key", "n", "payload")
+    chunks = stored.mapInArrow(check, "key binary, n bigint, crc bigint, good boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
     starts = spark.read.parquet(f"{path}/manifest").select("seg", F.coalesce(F.sum("tokens").over(Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    recipes = recipes.join(F.broadcast(starts), "seg").withColumn("start", F.col("base") + F.col("before"))  # one row per file of recipes
-    position = F.explode(F.sequence(F.lit(0), (F.octet_length("keys") / KEY_BYTES).cast("int") - 1))
-    refs = recipes.select("seg", "row", "keys", position.alias("at")).select("seg", "row", "at", F.substring(F.col("keys"), F.col("at") * KEY_BYTES + 1, F.lit(KEY_BYTES)).alias("key"))
-    parts = refs.join(chunks, "key").groupBy("seg", "row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "crc", "good"))).alias("parts"))
-    whole = recipes.select("seg", "row", "id", "start", "keys", "root", "n_tokens").join(parts, ["seg", "row"], "left").select("id", "start", "keys", "root", "n_tokens", F.coalesce("parts", F.array()).alias("parts"))
-    return whole.mapInArrow(join_up, f"{id_col} {recipes.schema['id'].dataType.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint, verified boolean")
+    refs = recipes.select("seg", "row", "keys", "sizes", "root", "n_tokens").mapInArrow(refer, "seg int, row bigint, key binary, size bigint, following bigint, sound boolean")
+    parts = refs.join(chunks, "key").select("seg", "row", "n", "crc", "following", (F.col("good") & F.col("sound") & (F.col("size") == F.col("n"))).alias("good"))
+    whole = parts.mapInArrow(move, "seg int, row bigint, n bigint, crc bigint, good boolean").groupBy("seg", "row").agg(F.sum("n").alias("found"), F.bit_xor("crc").alias("crc"), F.bool_and("good").alias("good"))
+    numbered = recipes.select("seg", "row", "id", "before", "n_tokens").join(F.broadcast(starts), "seg")  # a row per file of recipes
+    return numbered.join(whole, ["seg", "row"], "left").select(F.col("id").alias(id_col), (F.col("base") + F.col("before")).alias("start"), F.coalesce("found", F.lit(0)).alias("n_tokens"), F.col("crc").alias("ids_crc32"), (F.coalesce("good", F.lit(False)) & F.coalesce(F.col("found") == F.col("n_tokens"), F.lit(False))).alias("verified"))
+
+
+def _ids(payload: bytes, n: int, kind: str) -> np.ndarray:
+    return np.frombuffer(payload, "<u2" if len(payload) == 2 * n else "<u4").astype(kind)
 
 
 def reconstruct(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -268,7 +321,7 @@ def reconstruct(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.concatenate([np.frombuffer(p["payload"], "<u2" if len(p["payload"]) == 2 * p["n"] else "<u4").astype(np.int64) for p in parts]) for parts in batch.column("parts").to_pylist()]
+            ids = [np.concatenate([_ids(p["payload"], p["n"], np.int64) for p in parts]) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int64()))], [id_col, "ids"])
 
     recipes = spark.read.parquet(f"{path}/recipes")

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 No piece of the vocabulary has a whitespace marker after another character, so no merge crosses from one marked word
-into the next: the ids of a text are those of its marked words in order.  Each task keeps a table of the
+into the next: the ids of a text are those of its marked words in order.  Each Python worker keeps a table of the
 distinct marked words it has met, has the library segment and decode each of them once, and joins the results
 back by position.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import ChainMap
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame
 from occura.llm.common import id_type, slices, texts_of
 
 MARK = "▁"
-#: Distinct chunks a task keeps; beyond, it starts a new table.
-TABLE_CHUNKS = 300_000
+#: Distinct chunks that a Python worker keeps; half as many if their ids are kept too.
+TABLE_CHUNKS = 800_000
 _CHUNK = re.compile(" *[^ ]+")
 
 
@@ -40,36 +41,53 @@ def chunks_of(text: str) -> list[str] | None:
 
 
 class ChunkTable:
-    """Distinct chunk → (ids, their decimal text, decoded text inside a text)."""
+    """Distinct chunk → (number of ids, ids as decimal text, decoded text inside a text, ids)."""
 
-    def __init__(self, model_path: str, end_id: int):
+    def __init__(self, model_path: str, with_ids: bool):
+        self.with_ids, self.most = with_ids, TABLE_CHUNKS // (1 + with_ids)
         self.processor = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.whole = pieces_stay_in_chunks(self.processor)
         self.lead = self.processor.encode("a")
         self.lead_size = len(self.processor.decode(self.lead))
-        self.end_id = end_id
-        self.known: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.known: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > TABLE_CHUNKS:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
+    def learn(self, chunks: set[str]) -> dict[str, tuple[int, str, str, tuple[int, ...]]]:
+        """A table that holds the chunks; those beyond TABLE_CHUNKS are not kept for later ones."""
+        new = list(chunks.difference(self.known))
+        if not new:
+            return self.known
         ids = self.processor.encode(new, num_threads=1)
-        plain = self.processor.decode([self.lead + x for x in ids], num_threads=1) if new else []
-        for chunk, own, text in zip(new, ids, plain, strict=True):
-            self.known[chunk] = (tuple(own), " ".join(map(str, own)), text[self.lead_size :])
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str, list]]:
-        """For each text: number of ids with the end id, ids as decimal text, decoded text, ids by chunk."""
+        plain = self.processor.decode([self.lead + x for x in ids], num_threads=1)
+        found = {chunk: (len(own), str(own)[1:-1].replace(",", ""), text[self.lead_size :], tuple(own) if self.with_ids else ()) for chunk, own, text in zip(new, ids, plain, strict=True)}
+        if len(self.known) + len(found) <= self.most:
+            self.known.update(found)
+            return self.known
+        return ChainMap(found, self.known)
+
+    def encode(self, texts: list[str], end_id: int) -> Iterator[tuple[int, str, str, list]]:
+        """For each text: number of ids with the end id, ids as decimal text, decoded text, ids by part."""
         cut = [chunks_of(t) if self.whole else None for t in texts]
-        self.learn({c for chunks in cut if chunks for c in chunks})
+        look = self.learn(set().union(*[c for c in cut if c])).__getitem__
+        end = f" {end_id}"
         for text, chunks in zip(texts, cut, strict=True):
             if chunks is None:
-                ids = self.processor.encode(text) + [self.end_id]
+                ids = self.processor.encode(text) + [end_id]
                 yield len(ids), " ".join(map(str, ids)), self.processor.decode(ids), [ids]
                 continue
-            found = [self.known[c] for c in chunks]
-            yield sum([len(f[0]) for f in found]) + 1, " ".join([f[1] for f in found]) + f" {self.end_id}", self.processor.decode(list(found[0][0])) + "".join([f[2] for f in found[1:]]), [f[0] for f in found]
+            counts, numbers, plain, ids = zip(*map(look, chunks), strict=True)
+            first = self.processor.decode(self.processor.encode(chunks[0])) if chunks[0][0] == " " else plain[0][1:]  # the marker that stands for no space
+            yield sum(counts) + 1, " ".join(numbers) + end, first + "".join(plain[1:]), [*ids, (end_id,)]
+
+
+_TABLES: dict[tuple[str, bool], ChunkTable] = {}
+
+
+def chunk_table(model_path: str, with_ids: bool = False) -> ChunkTable:
+    """The worker's table for a model: a Python worker serves many tasks, and chunks that it knows stay known."""
+    key = (model_path, with_ids)
+    if key not in _TABLES:
+        _TABLES[key] = ChunkTable(*key)
+    return _TABLES[key]
 
 
 def encode_decode(docs: DataFrame, model_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -81,9 +99,9 @@ def encode_decode(docs: DataFrame, model_path: str, end_id: int = 2, id_col: str
     schema = f"`{id_col}` {id_type(docs, id_col)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model_path, end_id)
+        table = chunk_table(model_path, with_ids)
         for batch, bodies in slices(batches, limit=2 << 20):
-            rows = [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), *(([k for part in parts for k in part] + ([end_id] if parts[-1][-1:] != [end_id] else []), text) if with_ids else ())) for n, ids, text, parts in table.encode([(x or b"").decode() for x in bodies])]
+            rows = [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), *(([k for part in parts for k in part], text) if with_ids else ())) for n, ids, text, parts in table.encode([(x or b"").decode() for x in bodies], end_id)]
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
             columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
