@@ -109,7 +109,7 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
 
 
 def _prefix_table(docs: DataFrame, id_col: str, text_col: str, frequent: DataFrame, size: int, percent: int, orders: int) -> DataFrame:
-    """One row per set that is new to its task: (id, key, n, own, p0, p1, …)."""
+    """One row per text with a set: (id, key, n, own, p0, p1, …)."""
     rows = frequent.toArrow()
     tokens = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -118,12 +118,12 @@ def _prefix_table(docs: DataFrame, id_col: str, text_col: str, frequent: DataFra
     shared = docs.sparkSession.sparkContext.broadcast((tokens, times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, met = WordHashes(), set()
+        known = WordHashes()
         tokens, times = shared.value
         for batch, texts in slices(batches):
             sets = shingle_sets(texts, known, size)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            kept = [k for k, s in enumerate(sets) if len(s) and keys[k] not in met and not met.add(keys[k])]
+            kept = [k for k, s in enumerate(sets) if len(s)]
             found = [prefixes(sets[k], tokens, times, percent, orders) for k in kept]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(kept, pa.int64())), pa.array([keys[k] for k in kept], pa.binary()), pa.array([len(sets[k]) for k in kept], pa.int64()), pa.array([own for _, own in found], pa.int64()),
@@ -151,8 +151,9 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size
     return found.dropDuplicates(["id"])
 
 
-def _can_match(x: Column, y: Column, percent: int) -> Column:
-    return (100 * F.least(x, y)) >= percent * F.greatest(x, y)
+def _can_match(n: Column, at: Column, m: Column, where: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens that first meet at these positions of an order can be similar: by size, and by what is left of both."""
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - at, m - where) >= percent * (n + m))
 
 
 def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, orders: int) -> DataFrame:
@@ -187,22 +188,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = survey.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT_TOKENS)
     classes = materialize(rows.filter("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("rep")), "classes")
     prefix = _prefix_table(docs, id_col, text_col, frequent, size, percent, orders)
-    # A set's first text in a task stands for it there; only the class's smallest id is kept, which is the first of its task or follows it.
-    prefix = materialize(prefix.select("key", "n", "own", *(f"p{k}" for k in range(orders))).dropDuplicates(["key"]).join(classes, "key").withColumnRenamed("rep", "id"), "prefixes")
+    prefix = materialize(prefix.join(classes.select(F.col("rep").alias("id"), "key"), ["id", "key"]), "prefixes")  # a class is its smallest id
 
-    postings = prefix.select(F.explode("p0").alias("token"), "id", "n", "own")
-    heads = postings.groupBy("token").agg(F.min(F.struct("own", "id", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1").select("token", "head")
+    postings = prefix.select("id", "n", "own", F.posexplode("p0").alias("at", "token"))
+    heads = postings.groupBy("token").agg(F.min(F.struct("own", "id", "n", "at")).alias("head"), F.count("*").alias("size")).filter("size > 1").select("token", "head")
     live = materialize(postings.join(heads, "token"), "live")
-    starred = live.filter(F.col("id") != F.col("head.id")).filter(_can_match(F.col("n"), F.col("head.n"), percent)).groupBy(F.col("id").alias("b")).agg(F.min(F.struct("head.own", "head.id")).alias("h")).select(F.col("h.id").alias("a"), "b")
+    starred = live.filter(F.col("id") != F.col("head.id")).filter(_can_match(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"), percent)).groupBy(F.col("id").alias("b")).agg(F.min(F.struct("head.own", "head.id")).alias("h")).select(F.col("h.id").alias("a"), "b")
+    starred = materialize(starred, "starred")
     test = lambda pairs: _verified(pairs, prefix, docs, id_col, text_col, size, percent, orders)
     edges = materialize(test(starred), "links")
     labels = components(edges)
 
-    placed = live.select("token", "id", "n").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    placed = live.select("token", "id", "n", "at").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     placed = materialize(placed.join(mixed, "token", "left_semi"), "placed")
-    other = placed.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
-    rest = placed.withColumnRenamed("id", "a").join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b"))).filter(_can_match(F.col("n"), F.col("m"), percent)).select("a", "b").distinct()
+    other = placed.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("where"), F.col("label").alias("label_b"))
+    rest = placed.withColumnRenamed("id", "a").join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b"))).filter(_can_match(F.col("n"), F.col("at"), F.col("m"), F.col("where"), percent)).select("a", "b").distinct()
     rest = materialize(rest.join(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         labels = components(edges.union(test(rest)))
