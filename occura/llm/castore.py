@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ LEAST, MOST, CUT_BITS = 64, 2048, 8
 ROLLING = 8
 KEY_BYTES = 16
 #: Distinct words, and word parts, that a Python worker keeps, and distinct chunks of a task.
-KNOWN_WORDS, KNOWN_CHUNKS = 800_000, 2_000_000
+KNOWN_WORDS, KNOWN_PARTS, KNOWN_CHUNKS = 800_000, 1_200_000, 2_000_000
 
 #: What an empty store has no file to tell.
 CHUNKS = "key binary, n bigint, payload binary, sizes binary, kind string"
@@ -53,8 +55,9 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         about = json.loads(self.tokenizer.to_str())
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.marks = [t["content"] for t in about["added_tokens"]]
+        self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.marks = regex.compile("|".join([regex.escape(t["content"]) for t in about["added_tokens"]]) or r"(?!)")
+        self.tokenize = self.tokenizer.model.tokenize
         self.parts: dict[str, bytes] = {}
         cleaned = [n.get("type") for n in (about.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         steps = (about.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -65,21 +68,25 @@ class WordIds(dict):
         self.byte_signs = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}  # how byte-level vocabularies write bytes
         self.plain = regex.compile("[!-~¡-ÿ]+")
 
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
+
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
             signs = part if part.isascii() else "".join([self.byte_signs[b] for b in part.encode()])
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(signs)], self.kind).tobytes()
-            if len(self.parts) < KNOWN_WORDS:
+            ids = self.pack([t.id for t in self.tokenize(signs)])
+            if len(self.parts) < KNOWN_PARTS:
                 self.parts[part] = ids
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.pattern is None or not self.plain.fullmatch(text) or any(m in text for m in self.marks):
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if self.pattern is None or not self.plain.fullmatch(text) or self.marks.search(text):
+            ids = self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         else:
-            ids = b"".join([self._part(p) for p in self.pattern.findall(text.lower())])
+            parts = self.pattern.findall(text.lower())
+            ids = self._part(parts[0]) if len(parts) == 1 else b"".join([self._part(p) for p in parts])
         if len(self) < KNOWN_WORDS:
             self[word] = ids
         return ids

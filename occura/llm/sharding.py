@@ -2,7 +2,8 @@
 
 Equal texts are one group and stay together.  Groups are ordered by their digest; a shard is a contiguous run.
 The smallest capacity with which greedy filling needs no more than the given number of shards is found by
-binary search.  Greedy filling only asks for the largest prefix sum up to some value, so the driver works on a
+binary search.  Under that capacity each cut is then made as near to an even share of what is left as the rest allows, so
+that one large group doesn't leave shards empty.  All of this only asks for the largest prefix sum up to some value, or the smallest from one on, so the driver works on a
 bounded summary, the first and last prefix sum in each of many equal ranges; wherever that leaves the answer open, just
 those ranges are summarised more finely, until the capacity and the cuts are exact.
 """
@@ -40,6 +41,17 @@ class Summary:
         low, high = self.ranges[k]
         return (high, high, None) if x >= high else (low, low, None) if x == low else (low, x, (low, high))
 
+    def above(self, x: int) -> tuple[int, tuple[int, int] | None]:
+        """An upper bound of the smallest prefix sum of at least x (0 counts as one), and the range that leaves it open, if any."""
+        if x <= 0:
+            return 0, None
+        k = bisect.bisect_right(self.lows, x) - 1
+        if k >= 0 and self.ranges[k][0] == x:
+            return x, None
+        if k >= 0 and x <= self.ranges[k][1]:
+            return self.ranges[k][1], None if x == self.ranges[k][1] else self.ranges[k]
+        return self.ranges[k + 1][0], None
+
 
 def _fill(summary: Summary, capacity: int, total: int, shards: int, side: int) -> tuple[bool, list[int], set]:
     """Greedy filling with the low (0) or high (1) bounds: whether it fits, the cuts, and the open ranges it met."""
@@ -66,6 +78,34 @@ def _least(summary: Summary, total: int, shards: int, side: int) -> int:
     return low
 
 
+def _even(summary: Summary, capacity: int, total: int, shards: int) -> tuple[list[int], set]:
+    """Cuts near to even shares, none beyond the capacity, and the open ranges met."""
+    open_ranges = set()
+
+    def reach(x: int) -> int:
+        found = summary.reach(x)
+        open_ranges.add(found[2])
+        return found[0]
+
+    def above(x: int) -> int:
+        found = summary.above(x)
+        open_ranges.add(found[1])
+        return found[0]
+
+    earliest = [total]  # by shards left: the first prefix sum from which they suffice
+    for _ in range(shards - 1):
+        earliest.append(above(earliest[-1] - capacity))
+    at, cuts = 0, []
+    for left in range(shards - 1, 0, -1):
+        ideal = at + (total - at) // (left + 1)
+        low = reach(ideal)
+        high = low if ideal >= total else above(ideal + 1)
+        cut = high if low <= at or high - ideal < ideal - low else low
+        at = max(at, min(max(cut, earliest[left]), reach(at + capacity)))
+        cuts.append(at)
+    return [*cuts, total], open_ranges - {None}
+
+
 def minimax_cuts(sums: DataFrame, total: int, shards: int) -> tuple[int, list[int]]:
     """Smallest feasible capacity and the shards' last prefix sums, for the ascending column ``p`` of group ends.
 
@@ -75,22 +115,28 @@ def minimax_cuts(sums: DataFrame, total: int, shards: int) -> tuple[int, list[in
     if total == 0:
         return 0, []
     width = max(1, -(-total // RANGES))
-    bucket = lambda w: (F.col("p") / F.lit(w)).cast("bigint") if w > 1 else F.col("p")
-    ends = lambda df, w: [(r["a"], r["b"]) for r in df.groupBy(bucket(w).alias("k")).agg(F.min("p").alias("a"), F.max("p").alias("b")).collect()]
-    summary = Summary(ends(sums, width))
+
+    def summarised(df: DataFrame, w: int) -> list[tuple[int, int]]:
+        bucket = (F.col("p") / F.lit(w)).cast("bigint") if w > 1 else F.col("p")
+        return [(r["a"], r["b"]) for r in df.groupBy(bucket.alias("k")).agg(F.min("p").alias("a"), F.max("p").alias("b")).collect()]
+
+    summary = Summary(summarised(sums, width))
     while True:
         sure, maybe = _least(summary, total, shards, 0), _least(summary, total, shards, 1)
-        _, cuts, open_ranges = _fill(summary, sure, total, shards, 0)
-        if sure == maybe and not open_ranges:
-            return sure, cuts
+        open_ranges = _fill(summary, sure, total, shards, 0)[2]
         for capacity in range(maybe, sure + 1, max(1, (sure - maybe) // 64)):
             for side in (0, 1):
                 open_ranges |= _fill(summary, capacity, total, shards, side)[2]
-        width = max(1, -(-width // FINER))
+        if sure == maybe:
+            cuts, met = _even(summary, sure, total, shards)
+            if not met:
+                return sure, cuts
+            open_ranges |= met
+        width = max(1, -(-min(width, max(b - a for a, b in open_ranges)) // FINER))
         inside = F.lit(False)
         for low, high in sorted(open_ranges):
             inside = inside | F.col("p").between(low, high)
-        summary = Summary([r for r in summary.ranges if r not in open_ranges] + ends(sums.filter(inside), width))
+        summary = Summary([r for r in summary.ranges if r not in open_ranges] + summarised(sums.filter(inside), width))
 
 
 def minimax_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = SHARDS, overhead: int = OVERHEAD) -> DataFrame:
