@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from occura.functions.scalars import visible
 
 
+def _media() -> list[Column]:
+    count = lambda c: F.coalesce(F.sum(F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("bigint")), F.lit(0))
+    return [count(F.col("photos")).alias("photos"), count(visible(F.col("sounds"))).alias("sounds")]
+
+
 def media_counts(obs: DataFrame) -> DataFrame:
     """One row: photos, and sounds that are not hidden."""
-    count = lambda c: F.coalesce(F.sum(F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("bigint")), F.lit(0))
-    return obs.agg(count(F.col("photos")).alias("photos"), count(visible(F.col("sounds"))).alias("sounds"))
+    return obs.agg(*_media())
 
 
 def media_estimate(batches: DataFrame, total: int, key: str = "download", order: str = "batch") -> DataFrame:
@@ -25,7 +29,7 @@ def media_estimate(batches: DataFrame, total: int, key: str = "download", order:
 
 def page_estimate(obs: DataFrame, total: int) -> DataFrame:
     """Estimate from one page: its density of photos for all observations, less a tenth."""
-    return media_counts(obs).crossJoin(obs.agg(F.count("*").alias("n"))).select(F.round(F.col("photos") / F.col("n") * total * 0.9).cast("bigint").alias("estimate"))
+    return obs.agg(*_media(), F.count("*").alias("n")).select(F.round(F.col("photos") / F.col("n") * total * 0.9).cast("bigint").alias("estimate"))
 
 
 def size_estimate(obs: DataFrame, observations: int, *, multimedia: bool = True, identifications: bool = True, comments: bool = True, photos: bool = True, sounds: bool = True, sample: int = 200, seed: int = 7) -> DataFrame:
@@ -34,7 +38,7 @@ def size_estimate(obs: DataFrame, observations: int, *, multimedia: bool = True,
     record, media, idents, comment, margin, photo, sound = 79, 16, 146, 40, 1.2, 1_800_000, 1_000_000
     chosen = obs.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
     each = record + media * multimedia + idents * identifications + comment * comments
-    counts = media_counts(chosen).crossJoin(chosen.agg(F.count("*").alias("n")))
+    counts = chosen.agg(*_media(), F.count("*").alias("n"))
     per = lambda c: F.col(c) / F.greatest(F.col("n"), F.lit(1))
     return counts.select(F.round(F.lit(observations) * (F.lit(each * margin) + per("photos") * photo * int(photos) + per("sounds") * sound * int(sounds))).cast("bigint").alias("bytes"))
 

@@ -129,9 +129,8 @@ def overlap_join(tiles: DataFrame, regions: DataFrame, bucket_zoom: int = 4) ->
     pairs = coarse(boxed, "t_west", "t_south", "t_east", "t_north").join(coarse(bounded, "west", "south", "east", "north"), ["_x", "_y"])
     pairs = pairs.filter("t_west <= east and t_east >= west and t_south <= north and t_north >= south and z <= max_zoom").select("z", "x", "y", "region").distinct()
     rest = tiles.select("z", "x", "y").distinct().join(pairs, ["z", "x", "y"], "left_anti")
-    world = regions.filter("west is null").select("region", "max_zoom")
-    level = rest.select("z").distinct().join(world, F.col("z") <= F.col("max_zoom")).select("z", "region")  # zooms are few
-    return pairs.union(rest.join(F.broadcast(level), "z").select("z", "x", "y", "region"))
+    world = regions.filter("west is null").select("region", F.explode(F.sequence(F.lit(0), F.col("max_zoom"))).alias("z"))
+    return pairs.union(rest.join(world, "z").select("z", "x", "y", "region"))
 
 
 def box_table(spark: SparkSession, *boxes: tuple[str, float, float, float, float]) -> DataFrame:

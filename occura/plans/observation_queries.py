@@ -119,7 +119,7 @@ _LINEAGE = "customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_r
 
 def _customers(spark, sf_dir):
     ids = F.array((F.col("n_regionkey") + 1000).cast("int"), (F.col("c_nationkey") + 1).cast("int"), F.lit(-5))
-    return table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("key"), ids.alias("lineage_ids"))
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("key"), ids.alias("lineage_ids"))
 
 
 @query("lineage_pivot", f"SELECT c_custkey AS key, r_name AS genus, 'Genus ' || lower(n_name) AS species, CAST(NULL AS VARCHAR) AS family FROM {_LINEAGE}")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from occura import schema
 from occura.functions.text import pub_date, tag_text
-from occura.sources.manifest import local_name
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
@@ -81,5 +80,3 @@ def meta_fields(docs: DataFrame, key: str = "archive", text: str = "content") ->
 def tag_table(docs: DataFrame, key: str, text: str, tag: str) -> DataFrame:
     return docs.select(key, tag_text(F.col(text), tag).alias(tag))
 
-
-__all__ = ["catalogue", "catalogue_of", "eml_table", "local_name", "meta_fields", "read_observations", "read_taxa", "tag_table"]
