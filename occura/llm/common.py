@@ -47,11 +47,6 @@ def texts_of(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFr
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("body"), *more)
 
 
-def fold(seed: str, column: Column) -> Column:
-    """crc32 of a value's text; null for null."""
-    return F.crc32(F.concat(F.lit(seed), column.cast("string")).cast("binary"))
-
-
 def crc_mod(column: Column, n: int) -> Column:
     """crc32(value as text) mod n; a null counts as an empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n

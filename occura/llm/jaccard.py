@@ -213,5 +213,3 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNull(), None).otherwise(F.col("label"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
-
-__all__ = ["jaccard_components", "materialize", "prefixes", "shingle_sets"]
