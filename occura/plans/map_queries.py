@@ -69,7 +69,8 @@ def grid_sample(spark, sf_dir):
 t AS (SELECT z, {_col("lng", "z")} AS x, {_row("lat", "z")} AS y, CASE WHEN z <= 2 THEN floor(lat / 1e0) WHEN z <= 5 THEN floor(lat / 1e-1) ELSE floor(lat / 1e-2) END AS r, CASE WHEN z <= 2 THEN floor(lng / 1e0) WHEN z <= 5 THEN floor(lng / 1e-1) ELSE floor(lng / 1e-2) END AS c, id FROM p, (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS z))
 SELECT z, x, y, count(*) AS features FROM (SELECT DISTINCT z, x, y, CASE WHEN z < 9 THEN r END AS r, CASE WHEN z < 9 THEN c END AS c, CASE WHEN z >= 9 THEN id END AS id FROM t) GROUP BY z, x, y""")
 def tile_pyramid_counts(spark, sf_dir):
-    return maps.tile_pyramid(occ(spark, sf_dir), range(10)).select("z", "x", "y", F.size("features").cast("bigint").alias("features"))
+    """Features of each tile, counted without gathering them."""
+    return maps.tile_features(occ(spark, sf_dir), range(10)).groupBy("z", "x", "y").agg(F.count("*").alias("features"))
 
 
 # Boxes: the quarter around the mean of each type's points, kept within the map.
