@@ -21,7 +21,7 @@ from occura.llm.common import id_type, materialize, slices
 
 WINDOW = 10
 #: Bytes of text in a segment of the index, and bytes of test items that are searched for in one pass.
-SEGMENT_BYTES, BLOCK_BYTES = 8 << 20, 32 << 20
+SEGMENT_BYTES, BLOCK_BYTES = 8 << 20, 2 << 20
 
 #: Lower case for A-Z; space for the ASCII characters that are neither letter nor digit.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -126,7 +126,7 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, lambda a, s: F.struct(F.greatest(a["to"], s["end"]).alias("to"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["to"], s["start"]))).alias("n")), lambda a: a["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", *, window: int = WINDOW, slop: int = 0) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", *, window: int = WINDOW, slop: int = 0, block_bytes: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, n_items, items (ids as sorted strings), spans, contaminated.
 
     Words are runs of characters other than ASCII non-alphanumerics, A-Z lower-cased.  Every ``window`` consecutive words of
@@ -134,13 +134,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     any match of a window is hit.  Null texts have no words; null item ids hit but are not listed.  Repeated rows
     give a row each; other columns are not read.
 
-    Test items are taken in blocks of about BLOCK_BYTES, whose terms and windows are what is broadcast; each further
-    block is one more pass over the texts.  A text lies in one segment, and a segment's memory is bounded by
+    Test items are taken in blocks of about ``block_bytes`` (BLOCK_BYTES), whose terms and windows are what is broadcast (some
+    hundred bytes for each word); each further block is one more pass over the texts.  A text lies in one segment, and a segment's memory is bounded by
     SEGMENT_BYTES or one longer text.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").cast("binary").alias("body"))
     total = items.agg(F.sum(F.octet_length("body") + 64).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
+    blocks = max(1, -(-total // (block_bytes or BLOCK_BYTES)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("body"))
     if blocks > 1:  # texts need a key of their own to bring the blocks together
         texts = materialize(texts.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col("id").alias("own")).alias("id"), "body"), "numbered")
