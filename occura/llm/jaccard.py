@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,10 @@ ORDERS = 3
 FREQUENT_TOKENS = 100_000
 #: Different texts of one slice that must hold a token for it to be counted as frequent there.
 FREQUENT_IN_SLICE = 3
+#: Rounds in which texts are compared with the cleanest of their bucket, as shifts of the size classes.
+STAR_ROUNDS = (0.0, 0.5)
+#: Bits (as a power of two) of the bitmap of prefix tokens that several sets have.
+BITMAP_BITS = 27
 #: Words whose hash a task remembers.
 KNOWN_WORDS = 400_000
 
@@ -135,6 +140,34 @@ def _prefix_table(docs: DataFrame, id_col: str, text_col: str, frequent: DataFra
     return texts_of(docs, id_col, text_col).mapInArrow(run, f"id {id_type(docs, id_col)}, key binary, n bigint, own bigint{columns}")
 
 
+def _postings(prefix: DataFrame) -> DataFrame:
+    """(token, id, n, own, at) of the first order's prefix tokens that more than one set has, and few others.
+
+    Most tokens are in one prefix only.  Which are in several is first counted on the tokens alone and noted in a bitmap of
+    fixed size, by the tokens' last bits; postings without a note stay in their task.
+    """
+    bit = F.col("token").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    several = prefix.select(F.explode("p0").alias("token")).groupBy("token").count().filter("count > 1")
+    noted = several.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    words[noted.column("word").to_numpy()] = noted.column("bits").to_numpy()
+    shared = prefix.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            lists = batch.column("p0")
+            tokens, sizes = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+            low = tokens.astype(np.int64) & ((1 << BITMAP_BITS) - 1)
+            keep = np.flatnonzero(words[low >> 6] >> (low & 63) & 1)
+            row = np.repeat(np.arange(len(sizes)), sizes)[keep]
+            at = keep - (np.cumsum(sizes) - sizes)[row]
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), batch.column("id").take(of), batch.column("n").take(of), batch.column("own").take(of), pa.array(at)], ["token", "id", "n", "own", "at"])
+
+    return prefix.select("id", "n", "own", "p0").mapInArrow(run, f"token int, id {id_type(prefix, 'id')}, n bigint, own bigint, at bigint")
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Whole token sets of the texts whose id is among ``nodes``."""
 
@@ -156,6 +189,26 @@ def _can_match(n: Column, at: Column, m: Column, where: Column, percent: int) ->
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - at, m - where) >= percent * (n + m))
 
 
+def _stars(placed: DataFrame, shift: float, percent: int) -> DataFrame:
+    """For each text one pair at most, with the cleanest text of one of its buckets: that with which it shares most tokens.
+
+    A bucket is a token and a class of sizes, shifted by a part of a class from round to round; the cleanest text has the
+    fewest tokens that are not frequent, as an original has of its edited copies.  Only texts of another component are paired.
+    """
+    rows = placed.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + shift))
+    heads = rows.groupBy("token", "class").agg(F.min(F.struct("own", "id", "n", "at", "label")).alias("head"), F.max("label").alias("high"), F.min("label").alias("low")).filter("high <> low").select("token", "class", "head")
+    pairs = rows.join(heads, ["token", "class"]).filter(F.col("label") != F.col("head.label")).filter(_can_match(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"), percent))
+    shared = pairs.groupBy("id", F.col("head.id").alias("h"), F.col("head.own").alias("own")).agg(F.count("*").alias("times"))
+    return shared.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("times", -F.col("own"), "h")).alias("best")).select(F.col("best.h").alias("a"), "b")
+
+
+def _mixed(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings of tokens whose texts are still in several components, with the texts' labels."""
+    rows = placed.drop("label").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
+    return rows.join(several, "token", "left_semi").select("token", "id", "n", "own", "at", "label")
+
+
 def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, orders: int) -> DataFrame:
     """Those of the (a, b) pairs that pass the filters of all orders and then the exact test."""
     own = [f"p{k}" for k in range(1, orders)]
@@ -190,21 +243,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefix = _prefix_table(docs, id_col, text_col, frequent, size, percent, orders)
     prefix = materialize(prefix.join(classes.select(F.col("rep").alias("id"), "key"), ["id", "key"]), "prefixes")  # a class is its smallest id
 
-    postings = prefix.select("id", "n", "own", F.posexplode("p0").alias("at", "token"))
-    heads = postings.groupBy("token").agg(F.min(F.struct("own", "id", "n", "at")).alias("head"), F.count("*").alias("size")).filter("size > 1").select("token", "head")
-    live = materialize(postings.join(heads, "token"), "live")
-    starred = live.filter(F.col("id") != F.col("head.id")).filter(_can_match(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"), percent)).groupBy(F.col("id").alias("b")).agg(F.min(F.struct("head.own", "head.id")).alias("h")).select(F.col("h.id").alias("a"), "b")
-    starred = materialize(starred, "starred")
     test = lambda pairs: _verified(pairs, prefix, docs, id_col, text_col, size, percent, orders)
-    edges = materialize(test(starred), "links")
-    labels = components(edges)
-
-    placed = live.select("token", "id", "n", "at").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    placed = materialize(placed.join(mixed, "token", "left_semi"), "placed")
+    placed = materialize(_postings(prefix).withColumn("label", F.col("id")), "postings")
+    edges = labels = None
+    for shift in STAR_ROUNDS:
+        found = test(materialize(_stars(placed, shift, percent), "stars"))
+        edges = materialize(found if edges is None else edges.union(found), "links")
+        labels = components(edges)
+        placed = materialize(_mixed(placed, labels), "placed")
     other = placed.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("where"), F.col("label").alias("label_b"))
     rest = placed.withColumnRenamed("id", "a").join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b"))).filter(_can_match(F.col("n"), F.col("at"), F.col("m"), F.col("where"), percent)).select("a", "b").distinct()
-    rest = materialize(rest.join(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    rest = materialize(rest, "rest")
     if not rest.isEmpty():
         labels = components(edges.union(test(rest)))
 
