@@ -31,8 +31,8 @@ ORDERS = 3
 FREQUENT_TOKENS = 100_000
 #: Different texts of one slice that must hold a token for it to be counted as frequent there.
 FREQUENT_IN_SLICE = 3
-#: Rounds in which texts are compared with the cleanest of their bucket, as shifts of the size classes.
-STAR_ROUNDS = (0.0, 0.5)
+#: Columns of a set's parities, 64 of them each: token counts by a hash of the token, modulo 2.
+PARITIES = ("s0", "s1", "s2", "s3")
 #: Bits (as a power of two) of the bitmap of prefix tokens that several sets have.
 BITMAP_BITS = 27
 #: Words whose hash a task remembers.
@@ -92,6 +92,16 @@ def prefixes(tokens: np.ndarray, frequent: np.ndarray, times: np.ndarray, percen
     return found, int((weight == 0).sum())
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each of 64 classes a parity column, the number of the set's tokens in the class modulo 2."""
+    classes = ((tokens ^ (tokens >> np.uint64(33))) * _ODD[12] >> np.uint64(32)) % np.uint64(64 * len(PARITIES))
+    odd = np.bincount(classes.astype(np.int64), minlength=64 * len(PARITIES)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_BITS = "".join(f", {c} bigint" for c in PARITIES)
+
+
 def _survey(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Rows (id, n, key) for every document, and rows (token, times) for tokens frequent within a slice."""
 
@@ -114,7 +124,7 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
 
 
 def _prefix_table(docs: DataFrame, id_col: str, text_col: str, frequent: DataFrame, size: int, percent: int, orders: int) -> DataFrame:
-    """One row per text with a set: (id, key, n, own, p0, p1, …)."""
+    """One row per text with a set: (id, key, n, own, parities, p0, p1, …)."""
     rows = frequent.toArrow()
     tokens = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -130,18 +140,19 @@ def _prefix_table(docs: DataFrame, id_col: str, text_col: str, frequent: DataFra
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             kept = [k for k, s in enumerate(sets) if len(s)]
             found = [prefixes(sets[k], tokens, times, percent, orders) for k in kept]
+            bits = np.array([parities(sets[k]) for k in kept], np.int64).reshape(len(kept), len(PARITIES))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(kept, pa.int64())), pa.array([keys[k] for k in kept], pa.binary()), pa.array([len(sets[k]) for k in kept], pa.int64()), pa.array([own for _, own in found], pa.int64()),
-                 *(pa.array([p[k] for p, _ in found], pa.list_(pa.int32())) for k in range(orders))],
-                ["id", "key", "n", "own", *(f"p{k}" for k in range(orders))],
+                 *map(pa.array, np.ascontiguousarray(bits.T)), *(pa.array([p[k] for p, _ in found], pa.list_(pa.int32())) for k in range(orders))],
+                ["id", "key", "n", "own", *PARITIES, *(f"p{k}" for k in range(orders))],
             )
 
     columns = "".join(f", p{k} array<int>" for k in range(orders))
-    return texts_of(docs, id_col, text_col).mapInArrow(run, f"id {id_type(docs, id_col)}, key binary, n bigint, own bigint{columns}")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, f"id {id_type(docs, id_col)}, key binary, n bigint, own bigint{_BITS}{columns}")
 
 
 def _postings(prefix: DataFrame) -> DataFrame:
-    """(token, id, n, own, at) of the first order's prefix tokens that more than one set has, and few others.
+    """(token, id, n, own, parities, at) of the first order's prefix tokens that more than one set has, and few others.
 
     Most tokens are in one prefix only.  Which are in several is first counted on the tokens alone and noted in a bitmap of
     fixed size, by the tokens' last bits; postings without a note stay in their task.
@@ -163,9 +174,9 @@ def _postings(prefix: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(len(sizes)), sizes)[keep]
             at = keep - (np.cumsum(sizes) - sizes)[row]
             of = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), batch.column("id").take(of), batch.column("n").take(of), batch.column("own").take(of), pa.array(at)], ["token", "id", "n", "own", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), batch.column("id").take(of), batch.column("n").take(of), batch.column("own").take(of), *(batch.column(c).take(of) for c in PARITIES), pa.array(at)], ["token", "id", "n", "own", *PARITIES, "at"])
 
-    return prefix.select("id", "n", "own", "p0").mapInArrow(run, f"token int, id {id_type(prefix, 'id')}, n bigint, own bigint, at bigint")
+    return prefix.select("id", "n", "own", *PARITIES, "p0").mapInArrow(run, f"token int, id {id_type(prefix, 'id')}, n bigint, own bigint{_BITS}, at bigint")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -184,29 +195,35 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size
     return found.dropDuplicates(["id"])
 
 
-def _can_match(n: Column, at: Column, m: Column, where: Column, percent: int) -> Column:
-    """Whether sets of n and m tokens that first meet at these positions of an order can be similar: by size, and by what is left of both."""
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - at, m - where) >= percent * (n + m))
+def _can_match(x: str, y: str, percent: int) -> Column:
+    """Whether two sets that first meet at these positions of an order can be similar; ``x`` and ``y`` are how their columns' names begin.
+
+    By size, by what is left of both behind the positions, and by their parities: each token that only one set has turns one
+    bit, so differing bits are no more than differing tokens.
+    """
+    n, m, at, where = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}at"), F.col(f"{y}at")
+    differing = sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in PARITIES[1:]), F.bit_count(F.col(f"{x}{PARITIES[0]}").bitwiseXOR(F.col(f"{y}{PARITIES[0]}"))))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - at, m - where) >= percent * (n + m)) & ((100 + percent) * differing <= (100 - percent) * (n + m))
 
 
-def _stars(placed: DataFrame, shift: float, percent: int) -> DataFrame:
+def _stars(placed: DataFrame, percent: int) -> DataFrame:
     """For each text one pair at most, with the cleanest text of one of its buckets: that with which it shares most tokens.
 
-    A bucket is a token and a class of sizes, shifted by a part of a class from round to round; the cleanest text has the
-    fewest tokens that are not frequent, as an original has of its edited copies.  Only texts of another component are paired.
+    A bucket is a token and a class of sizes; the cleanest text has the fewest tokens that are not frequent, as an original
+    has of its edited copies.
     """
-    rows = placed.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + shift))
-    heads = rows.groupBy("token", "class").agg(F.min(F.struct("own", "id", "n", "at", "label")).alias("head"), F.max("label").alias("high"), F.min("label").alias("low")).filter("high <> low").select("token", "class", "head")
-    pairs = rows.join(heads, ["token", "class"]).filter(F.col("label") != F.col("head.label")).filter(_can_match(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"), percent))
+    rows = placed.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))))
+    heads = rows.groupBy("token", "class").agg(F.min(F.struct("own", "id", "n", "at", *PARITIES)).alias("head"), F.count("*").alias("times")).filter("times > 1").select("token", "class", "head")
+    pairs = rows.join(heads, ["token", "class"]).filter(F.col("id") != F.col("head.id")).filter(_can_match("", "head.", percent))
     shared = pairs.groupBy("id", F.col("head.id").alias("h"), F.col("head.own").alias("own")).agg(F.count("*").alias("times"))
     return shared.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("times", -F.col("own"), "h")).alias("best")).select(F.col("best.h").alias("a"), "b")
 
 
 def _mixed(placed: DataFrame, labels: DataFrame) -> DataFrame:
     """The postings of tokens whose texts are still in several components, with the texts' labels."""
-    rows = placed.drop("label").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rows = placed.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    return rows.join(several, "token", "left_semi").select("token", "id", "n", "own", "at", "label")
+    return rows.join(several, "token", "left_semi").select("token", "id", "n", *PARITIES, "at", "label")
 
 
 def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, orders: int) -> DataFrame:
@@ -244,16 +261,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefix = materialize(prefix.join(classes.select(F.col("rep").alias("id"), "key"), ["id", "key"]), "prefixes")  # a class is its smallest id
 
     test = lambda pairs: _verified(pairs, prefix, docs, id_col, text_col, size, percent, orders)
-    placed = materialize(_postings(prefix).withColumn("label", F.col("id")), "postings")
-    edges = labels = None
-    for shift in STAR_ROUNDS:
-        found = test(materialize(_stars(placed, shift, percent), "stars"))
-        edges = materialize(found if edges is None else edges.union(found), "links")
-        labels = components(edges)
-        placed = materialize(_mixed(placed, labels), "placed")
-    other = placed.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("where"), F.col("label").alias("label_b"))
-    rest = placed.withColumnRenamed("id", "a").join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b"))).filter(_can_match(F.col("n"), F.col("at"), F.col("m"), F.col("where"), percent)).select("a", "b").distinct()
-    rest = materialize(rest, "rest")
+    postings = materialize(_postings(prefix), "postings")
+    stars = materialize(_stars(postings, percent), "stars")
+    edges = materialize(test(stars), "links")
+    labels = components(edges)
+    placed = materialize(_mixed(postings, labels), "placed")
+    other = placed.select("token", *[F.col(c).alias(f"other_{c}") for c in placed.columns if c != "token"])
+    rest = placed.join(other, "token").filter((F.col("id") < F.col("other_id")) & (F.col("label") != F.col("other_label")) & _can_match("", "other_", percent)).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
+    rest = materialize(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         labels = components(edges.union(test(rest)))
 
