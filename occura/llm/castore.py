@@ -63,6 +63,7 @@ class WordIds(dict):
         steps = (about.get("pre_tokenizer") or {}).get("pretokenizers", [])
         usual = [t.get("type") for t in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if cleaned and usual and about["model"]["type"] == "BPE" and not about["post_processor"] else None
+        self.runs = self.pattern is not None and self.pattern.findall("abcxyz.") == ["abcxyz", "."]  # a run of ASCII letters is one part
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.byte_signs = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}  # how byte-level vocabularies write bytes
@@ -82,7 +83,11 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.pattern is None or not self.plain.fullmatch(text) or self.marks.search(text):
+        if self.runs and word.isalpha():
+            ids = self._part(text.lower())
+        elif self.runs and word[:-1].isalpha() and text[-1] in ".,":
+            ids = self._part(text[:-1].lower()) + self._part(text[-1])
+        elif self.pattern is None or not self.plain.fullmatch(text) or self.marks.search(text):
             ids = self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         else:
             parts = self.pattern.findall(text.lower())
