@@ -31,6 +31,8 @@ ORDERS = 3
 FREQUENT_TOKENS = 100_000
 #: Different texts of one slice that must hold a token for it to be counted as frequent there.
 FREQUENT_IN_SLICE = 3
+#: Tokens (an integer each) that are broadcast at most; with more, postings are shuffled to them.
+SEVERAL_TOKENS = 1_000_000
 #: Columns of a set's parities, 64 of them each: token counts by a hash of the token, modulo 2.
 PARITIES = ("s0", "s1", "s2", "s3")
 #: Bits (as a power of two) of the bitmap of prefix tokens that several sets have.
@@ -180,7 +182,7 @@ def _postings(prefix: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Whole token sets of the texts whose id is among ``nodes``."""
+    """Whole token sets of the texts whose id is among ``nodes``; repeated rows give a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -191,39 +193,42 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size
 
     wanted = nodes.select(F.col("id").alias("id_of"), F.col("key").alias("key_of"))
     chosen = texts_of(docs, id_col, text_col).join(broadcast_if_small(wanted), F.col("id") == F.col("id_of")).select("id", "body", "key_of")
-    found = chosen.mapInArrow(run, f"id {id_type(docs, id_col)}, tokens array<bigint>")
-    return found.dropDuplicates(["id"])
+    return chosen.mapInArrow(run, f"id {id_type(docs, id_col)}, tokens array<bigint>")
 
 
 def _can_match(x: str, y: str, percent: int) -> Column:
-    """Whether two sets that first meet at these positions of an order can be similar; ``x`` and ``y`` are how their columns' names begin.
-
-    By size, by what is left of both behind the positions, and by their parities: each token that only one set has turns one
-    bit, so differing bits are no more than differing tokens.
-    """
+    """Whether two sets that first meet at these positions of an order can be similar, by size and by what is left of both; ``x`` and ``y`` are how their columns' names begin."""
     n, m, at, where = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}at"), F.col(f"{y}at")
-    differing = sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in PARITIES[1:]), F.bit_count(F.col(f"{x}{PARITIES[0]}").bitwiseXOR(F.col(f"{y}{PARITIES[0]}"))))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - at, m - where) >= percent * (n + m)) & ((100 + percent) * differing <= (100 - percent) * (n + m))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - at, m - where) >= percent * (n + m))
+
+
+def _can_differ(x: str, y: str, percent: int) -> Column:
+    """Whether two sets can be similar by their parities: each token that only one set has turns one bit, so differing bits are no more than differing tokens."""
+    bits = [F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in PARITIES]
+    return (100 + percent) * sum(bits[1:], bits[0]) <= (100 - percent) * (F.col(f"{x}n") + F.col(f"{y}n"))
 
 
-def _stars(placed: DataFrame, percent: int) -> DataFrame:
+def _stars(postings: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     """For each text one pair at most, with the cleanest text of one of its buckets: that with which it shares most tokens.
 
     A bucket is a token and a class of sizes; the cleanest text has the fewest tokens that are not frequent, as an original
     has of its edited copies.
     """
-    rows = placed.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))))
-    heads = rows.groupBy("token", "class").agg(F.min(F.struct("own", "id", "n", "at", *PARITIES)).alias("head"), F.count("*").alias("times")).filter("times > 1").select("token", "class", "head")
+    rows = postings.select("token", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int").alias("class"), "id", "n", "own", "at")
+    heads = rows.groupBy("token", "class").agg(F.min(F.struct("own", "id", "n", "at")).alias("head"), F.count("*").alias("times")).filter("times > 1").select("token", "class", "head")
     pairs = rows.join(heads, ["token", "class"]).filter(F.col("id") != F.col("head.id")).filter(_can_match("", "head.", percent))
     shared = pairs.groupBy("id", F.col("head.id").alias("h"), F.col("head.own").alias("own")).agg(F.count("*").alias("times"))
-    return shared.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("times", -F.col("own"), "h")).alias("best")).select(F.col("best.h").alias("a"), "b")
+    side = lambda s, key: table.select(F.col("id").alias(key), *[F.col(c).alias(f"{s}{c}") for c in ("n", *PARITIES)])
+    fit = shared.join(side("x_", "id"), "id").join(side("y_", "h"), "h").filter(_can_differ("x_", "y_", percent))
+    return fit.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("times", -F.col("own"), "h")).alias("best")).select(F.col("best.h").alias("a"), "b")
 
 
-def _mixed(placed: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """The postings of tokens whose texts are still in several components, with the texts' labels."""
-    rows = placed.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    return rows.join(several, "token", "left_semi").select("token", "id", "n", *PARITIES, "at", "label")
+    labels = broadcast_if_small(labels.select(F.col("node").alias("id"), "label"))
+    rows = postings.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = materialize(rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token"), "several")
+    return rows.join(broadcast_if_small(several, SEVERAL_TOKENS), "token", "left_semi").select("token", "id", "n", *PARITIES, "at", "label")
 
 
 def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, orders: int) -> DataFrame:
@@ -262,12 +267,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     test = lambda pairs: _verified(pairs, prefix, docs, id_col, text_col, size, percent, orders)
     postings = materialize(_postings(prefix), "postings")
-    stars = materialize(_stars(postings, percent), "stars")
+    stars = materialize(_stars(postings, prefix, percent), "stars")
     edges = materialize(test(stars), "links")
     labels = components(edges)
     placed = materialize(_mixed(postings, labels), "placed")
     other = placed.select("token", *[F.col(c).alias(f"other_{c}") for c in placed.columns if c != "token"])
-    rest = placed.join(other, "token").filter((F.col("id") < F.col("other_id")) & (F.col("label") != F.col("other_label")) & _can_match("", "other_", percent)).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
+    rest = placed.join(other, "token").filter((F.col("id") < F.col("other_id")) & (F.col("label") != F.col("other_label")) & _can_match("", "other_", percent) & _can_differ("", "other_", percent)).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
     rest = materialize(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         labels = components(edges.union(test(rest)))
