@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from occura.operators import estimate, groups, merge, nest
 from occura.operators.nest import Ext, OccDataset
-from occura.plans.base import WITH_OCC, WITH_SHOP, observations, occ, occ_rows, query, scratch, shop, table, text
+from occura.plans.base import WITH_OCC, WITH_SHOP, also_whole, observations, occ, occ_rows, query, scratch, shop, table, text
 from occura.sinks import exports
 from occura.sources import delimited, documents
 from occura.sources.manifest import Dialect, Manifest, Table
@@ -14,8 +14,9 @@ from occura.sources.manifest import Dialect, Manifest, Table
 # --- nesting and groups
 
 
+@also_whole("nested_extension_counts")
 @query("nested_extension_counts", f"""{WITH_SHOP} SELECT "occurrenceID", CAST((SELECT count(*) FROM media m WHERE m."occurrenceID" = core."occurrenceID") AS INTEGER) AS n_media, CAST((SELECT count(*) FROM sound s WHERE s."occurrenceID" = core."occurrenceID") AS INTEGER) AS n_sound FROM core""")
-def nested_extension_counts(spark, sf_dir):
+def nested_extension_counts(spark, sf_dir, shop=shop):
     ds = shop(spark, sf_dir)
     return nest.with_extensions(ds.core, ds, one_page=False).select("occurrenceID", F.size("multimedia").alias("n_media"), F.size("audiovisual").alias("n_sound"))
 
@@ -29,15 +30,17 @@ def nested_extension_json(spark, sf_dir):
     return nest.with_extensions(page, OccDataset(ds.core, ds.core_id, {"multimedia": ds.extensions["multimedia"]}), as_json=True).select("occurrenceID", "multimedia")
 
 
+@also_whole("point_lookup")
 @query("point_lookup", f"""{WITH_SHOP} SELECT "occurrenceID", o_orderpriority, (SELECT count(*) FROM media m WHERE m."occurrenceID" = core."occurrenceID") AS n_media FROM core WHERE "occurrenceID" = (SELECT min("occurrenceID") FROM core)""")
-def point_lookup(spark, sf_dir):
+def point_lookup(spark, sf_dir, shop=shop):
     ds = shop(spark, sf_dir)
     first = ds.core.agg(F.min("occurrenceID")).first()[0]
     return nest.get(ds, first).select("occurrenceID", "o_orderpriority", F.size("multimedia").cast("bigint").alias("n_media"))
 
 
+@also_whole("semi_filtered_extension")
 @query("semi_filtered_extension", f"""{WITH_SHOP} SELECT * FROM media WHERE "occurrenceID" IN (SELECT "occurrenceID" FROM core WHERE o_orderstatus = 'F')""")
-def semi_filtered_extension(spark, sf_dir):
+def semi_filtered_extension(spark, sf_dir, shop=shop):
     ds = shop(spark, sf_dir)
     return nest.semi(ds.extensions["multimedia"].df, ds.core.filter("o_orderstatus = 'F'"), "occurrenceID", "occurrenceID")
 
@@ -47,9 +50,10 @@ def group_counts(spark, sf_dir):
     return groups.group_counts(occ(spark, sf_dir), "coordinateUncertaintyInMeters")
 
 
+@also_whole("group_with_photo")
 @query("group_with_photo", f"""{WITH_SHOP}, g AS (SELECT o_orderpriority AS value, count(*) AS count, min("occurrenceID") AS id FROM core GROUP BY 1)
 SELECT value, count, coalesce((SELECT min(identifier) FROM media WHERE "occurrenceID" = id), (SELECT min("accessURI") FROM sound WHERE "occurrenceID" = id)) AS photo_url FROM g ORDER BY count DESC, value LIMIT 1000""")
-def group_with_photo(spark, sf_dir):
+def group_with_photo(spark, sf_dir, shop=shop):
     ds = shop(spark, sf_dir)
     return groups.aggregate_by_field(ds, "o_orderpriority", limit=1000, terms=ds.core.columns)
 
@@ -64,8 +68,9 @@ def top_groups(spark, sf_dir):
     return groups.top(groups.group_counts(occ(spark, sf_dir), "recordedBy").select("value", "count"), 20)
 
 
+@also_whole("media_paths")
 @query("media_paths", f"{WITH_SHOP} SELECT DISTINCT identifier AS path FROM media UNION SELECT DISTINCT \"accessURI\" FROM sound")
-def media_paths(spark, sf_dir):
+def media_paths(spark, sf_dir, shop=shop):
     return delimited.media_paths(shop(spark, sf_dir))
 
 
@@ -227,8 +232,9 @@ def dialect_tsv(spark, sf_dir):
     return delimited.read_files(spark, [f"{folder}/c.tsv"], Dialect.from_attributes({"fieldsTerminatedBy": "\\t"}))
 
 
+@also_whole("scan_extension")
 @query("scan_extension", f"{WITH_SHOP} SELECT * FROM media")
-def scan_extension(spark, sf_dir):
+def scan_extension(spark, sf_dir, shop=shop):
     folder = scratch(spark, "archive")
     media = shop(spark, sf_dir).extensions["multimedia"].df.withColumnRenamed("identifier", "photo_url")
     _csv(media, f"{folder}/multimedia.csv")
