@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from occura.functions.tiles import tile_bbox, tile_pixel, tile_xy
 from occura.operators import maps
-from occura.plans.base import WITH_OCC, occ, occ_rows, query
+from occura.plans.base import SQL, WITH_OCC, occ, occ_rows, query
 
 _COL = 'CAST(greatest(0, least(floor(({lng} + 180e0) / 360e0 * pow(2e0, {z})), pow(2e0, {z}) - 1)) AS INTEGER)'
 _ROW = 'CAST(greatest(0, least(floor((1 - asinh(tan(radians({lat}))) / pi()) / 2 * pow(2e0, {z})), pow(2e0, {z}) - 1)) AS INTEGER)'
@@ -73,6 +73,21 @@ def tile_pyramid_counts(spark, sf_dir):
     return maps.tile_features(occ(spark, sf_dir), range(10)).groupBy("z", "x", "y").agg(F.count("*").alias("features"))
 
 
+@query("tile_pyramid_counts_whole", SQL["tile_pyramid_counts"].replace("range(0, 10)", "range(0, 15)"))
+def tile_pyramid_counts_whole(spark, sf_dir):
+    """Features of each tile of the whole pyramid, zooms 0 to 14."""
+    return maps.tile_features(occ(spark, sf_dir), range(15)).groupBy("z", "x", "y").agg(F.count("*").alias("features"))
+
+
+@query("tile_features", f"""{WITH_OCC}, p AS (SELECT "occurrenceID" AS core_id, "decimalLatitude" AS lat, "decimalLongitude" AS lng, "scientificName" FROM occ WHERE abs("decimalLatitude") <= 85.0511287798066),
+t AS (SELECT *, {_col("lng", "z")} AS x, {_row("lat", "z")} AS y, CASE WHEN z <= 2 THEN 1e0 WHEN z <= 5 THEN 1e-1 WHEN z <= 8 THEN 1e-2 END AS size FROM p, (SELECT CAST(unnest(range(0, 15)) AS INTEGER) AS z)),
+f AS (SELECT * FROM t QUALIFY z >= 9 OR core_id = min(core_id) OVER (PARTITION BY z, x, y, floor(lat / size), floor(lng / size)))
+SELECT z, x, y, {_PX.format(lng="lng", z="z", x="x")} AS px, {_PY.format(lat="lat", z="z", y="y")} AS py, core_id, "scientificName" FROM f""")
+def tile_features(spark, sf_dir):
+    """The features of every tile of zooms 0 to 14, a row each."""
+    return maps.tile_features(occ(spark, sf_dir), range(15))
+
+
 # Boxes: the quarter around the mean of each type's points, kept within the map.
 _BOXES = """boxes AS (SELECT "scientificName" AS region, floor(avg("decimalLongitude")) - 40e0 AS west, floor(avg("decimalLatitude")) - 20e0 AS south, floor(avg("decimalLongitude")) + 40e0 AS east, floor(avg("decimalLatitude")) + 20e0 AS north FROM occ GROUP BY 1)"""
 

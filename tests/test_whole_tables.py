@@ -1,7 +1,9 @@
 """Registered queries that cover their whole tables; their results are compared with their SQL in test_queries."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from occura.operators.maps import LIMIT
 from occura.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -29,3 +31,13 @@ def test_whole_lookups(spark, lines):
     row = run(spark, "point_lookup_whole").first()
     assert row.n_media == lines.filter(lines.l_orderkey == int(row.occurrenceID)).count()
     assert run(spark, "group_with_photo_whole").count() == run(spark, "group_with_photo").count()
+
+
+def test_pyramid_has_every_zoom(spark):
+    points = spark.read.parquet(f"{SF_DIR}/events.parquet").select(((F.col("event_id") * 7919 % 170000) / 1000.0 - 85.0).alias("lat")).filter(F.abs("lat") <= LIMIT).count()
+    rows = run(spark, "tile_features")
+    assert set("z x y px py core_id".split()) <= set(rows.columns)
+    by_zoom = {r.z: r["count"] for r in rows.groupBy("z").count().collect()}
+    assert sorted(by_zoom) == list(range(15)) and all(by_zoom[z] == points for z in range(9, 15))
+    counts = {r.z: r.n for r in run(spark, "tile_pyramid_counts_whole").groupBy("z").agg(F.sum("features").alias("n")).collect()}
+    assert counts == by_zoom
