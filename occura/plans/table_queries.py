@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from occura.operators import estimate, groups, merge, nest
 from occura.operators.nest import Ext, OccDataset
-from occura.plans.base import WITH_OCC, WITH_SHOP, also_whole, observations, occ, occ_rows, query, scratch, shop, table, text
+from occura.plans.base import WITH_OCC, WITH_SHOP, WITH_WHOLE_SHOP, also_whole, observations, occ, occ_rows, query, scratch, shop, table, text, whole_shop
 from occura.sinks import exports
 from occura.sources import delimited, documents
 from occura.sources.manifest import Dialect, Manifest, Table
@@ -30,6 +30,14 @@ def nested_extension_json(spark, sf_dir):
     return nest.with_extensions(page, OccDataset(ds.core, ds.core_id, {"multimedia": ds.extensions["multimedia"]}), as_json=True).select("occurrenceID", "multimedia")
 
 
+@query("nested_extension_json_whole", f"""{WITH_WHOLE_SHOP}, m AS (SELECT "occurrenceID", string_agg('{{"occurrenceID":"' || "occurrenceID" || '","title":"' || title || '","identifier":"' || identifier || '"}}', ',' ORDER BY title, identifier) AS rows FROM media GROUP BY 1),
+s AS (SELECT "occurrenceID", string_agg('{{"occurrenceID":"' || "occurrenceID" || '","accessURI":"' || "accessURI" || '"}}', ',' ORDER BY "accessURI") AS rows FROM sound GROUP BY 1)
+SELECT core."occurrenceID", '[' || coalesce(m.rows, '') || ']' AS multimedia, '[' || coalesce(s.rows, '') || ']' AS audiovisual FROM core LEFT JOIN m ON m."occurrenceID" = core."occurrenceID" LEFT JOIN s ON s."occurrenceID" = core."occurrenceID" """)
+def nested_extension_json_whole(spark, sf_dir):
+    ds = whole_shop(spark, sf_dir)
+    return nest.with_extensions(ds.core, ds, as_json=True, one_page=False).select("occurrenceID", "multimedia", "audiovisual")
+
+
 @also_whole("point_lookup")
 @query("point_lookup", f"""{WITH_SHOP} SELECT "occurrenceID", o_orderpriority, (SELECT count(*) FROM media m WHERE m."occurrenceID" = core."occurrenceID") AS n_media FROM core WHERE "occurrenceID" = (SELECT min("occurrenceID") FROM core)""")
 def point_lookup(spark, sf_dir, shop=shop):

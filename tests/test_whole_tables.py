@@ -1,5 +1,7 @@
 """Registered queries that cover their whole tables; their results are compared with their SQL in test_queries."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,3 +43,10 @@ def test_pyramid_has_every_zoom(spark):
     assert sorted(by_zoom) == list(range(15)) and all(by_zoom[z] == points for z in range(9, 15))
     counts = {r.z: r.n for r in run(spark, "tile_pyramid_counts_whole").groupBy("z").agg(F.sum("features").alias("n")).collect()}
     assert counts == by_zoom
+
+
+def test_every_order_is_rendered_with_both_extensions(spark, lines):
+    rows = run(spark, "nested_extension_json_whole").collect()
+    assert len(rows) == spark.read.parquet(f"{SF_DIR}/orders.parquet").count()
+    assert sum(len(json.loads(r.multimedia)) for r in rows) == lines.count()
+    assert sum(len(json.loads(r.audiovisual)) for r in rows) == lines.filter("l_returnflag = 'R'").count()
