@@ -24,8 +24,11 @@ def _restored(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: drop documents without a language (null, or no letter)."""
-    found = langid.predict(docs, langid.fit(docs), "doc_id", "text", *_others(docs))
+    """Language ID: drop documents without a language (null, or no letter); those with a letter stay where no language could be learned."""
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = langid.predict(docs, model, "doc_id", "text", *_others(docs))
     return _restored(found.filter(F.col("lang_pred") != langid.UNDETERMINED), docs)
 
 

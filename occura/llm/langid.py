@@ -14,14 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from occura.llm.common import id_type, slices
+from occura.llm.common import broadcast_if_small, id_type, materialize, slices
 
 UNDETERMINED = "und"
-#: Labelled documents and characters of sample kept for each language, the longest one taken, and the languages at most.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TEXT, MAX_LANGUAGES = 200, 24_000, 20_000, 256
+#: Labelled documents and characters of sample kept for each language, characters taken of a longer text, and the languages up to which each has the whole sample.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TEXT, FULL_LANGUAGES = 200, 24_000, 20_000, 256
 #: Characters after which a phrase ends in any case, so that long texts are parsed in parallel.
 BLOCK = 256
 MAX_ALPHABET = 250
@@ -95,22 +95,26 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> LanguageModel:
-    """Fit on a bounded sample: about SAMPLE_DOCS labelled documents of each language, chosen by a hash of the id, up to SAMPLE_CHARS characters.
+    """Fit on a bounded sample: the first SAMPLE_DOCS labelled documents of each language by a hash of id and text, up to SAMPLE_CHARS characters.
 
-    Only rows with a label and a text that holds a letter count; texts over SAMPLE_TEXT characters stay out of the sample.
+    Only rows with a label and a text that holds a letter count, and repeated rows count once.  Of a text over
+    SAMPLE_TEXT characters so many are taken from its first letter on, and only after the shorter texts of its
+    language.  Every language is learned; beyond FULL_LANGUAGES they share the documents and characters of that many.
     """
-    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"), F.xxhash64(F.col(id_col)).alias("h")).filter("lang is not null and body is not null").filter((F.length("body") <= SAMPLE_TEXT) & F.col("body").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1.0, SAMPLE_DOCS / n)
-        chosen = chosen | ((F.col("lang") == lang) & (F.shiftrightunsigned("h", 11) < int(share * (1 << 53)) + (share == 1)))
-    rows = sorted((r["lang"], r["h"], r["body"]) for r in known.filter(chosen).collect()) if counts else []
+    texts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), (F.length(text_col) > SAMPLE_TEXT).alias("long"))
+    known = texts.filter("lang is not null and body is not null").filter(F.col("body").rlike(r"\p{L}"))
+    ranked = known.select("lang", "long", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h")))
+    chosen = materialize(ranked.filter(F.col("place") <= SAMPLE_DOCS), "language_sample")
+    share = FULL_LANGUAGES / max(FULL_LANGUAGES, chosen.filter("place = 1").count())
+    most = max(BLOCK, int(SAMPLE_CHARS * share))
+    chosen = broadcast_if_small(chosen.filter(F.col("place") <= max(1, int(SAMPLE_DOCS * share))))
+    part = F.when(F.col("long"), F.substring(F.regexp_replace("body", r"^\P{L}++", ""), 1, SAMPLE_TEXT)).otherwise(F.col("body"))
+    rows = known.join(chosen, ["lang", "long", "h"]).groupBy("lang", "place").agg(F.min(part).alias("body")).collect()
     samples: dict[str, str] = {}
-    for lang, _, body in rows:
+    for lang, _, body in sorted((r["lang"], r["place"], r["body"]) for r in rows):
         have = samples.get(lang, "")
-        if len(have) < SAMPLE_CHARS:
-            samples[lang] = f"{have} {letters_only(body)}"[:SAMPLE_CHARS]
+        if len(have) < most:
+            samples[lang] = f"{have} {letters_only(body)}"[:most]
     seen: dict[str, int] = {}
     for text in samples.values():
         for c in text.replace(" ", ""):
@@ -168,7 +172,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     The whole text is parsed, in blocks of BLOCK characters.  A null text, or one without a letter, gives ``und``
     and 0; ties go to the first language in order.  An empty training set makes every text ``und``.
-    Repeated rows give a row each.  No shuffle; the model (at most MAX_LANGUAGES small automata) is broadcast.
+    Repeated rows give a row each.  No shuffle; the model (an automaton for each language) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("body"), *more)
