@@ -14,6 +14,9 @@ from occura.llm import decontaminate, jaccard, langid, pieces, quality
 from occura.llm.common import broadcast_if_small, materialize, table
 from occura.llm.queries import QUALITY_THRESHOLD, labelled
 
+#: Column of the stages' own row keys.
+ROW = "_row"
+
 
 def _others(docs: DataFrame) -> list:
     return [F.col(c).alias(f"_{c}") for c in docs.columns if c != "doc_id"]
@@ -39,23 +42,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _restored(found.filter(F.col("score") >= QUALITY_THRESHOLD), docs)
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a key of their own, written once so that it stays the same; ids may repeat or be null."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join on five words at 0.8: of each group the document with the smallest id stays; documents without a word or an id stay."""
-    found = materialize(jaccard.jaccard_components(docs, size=5, percent=80), "near_copies")
-    dropped = broadcast_if_small(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    repeated = broadcast_if_small(materialize(repeated, "repeated"))
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    """N-gram Jaccard join on five words at 0.8: of each group the row with the smallest id stays, and one without an id only where the group has none; rows without a word stay."""
+    rows = _numbered(docs, "near_copies_input")
+    found = materialize(jaccard.jaccard_components(rows, ROW, size=5, percent=80), "near_copies")
+    groups = found.join(broadcast_if_small(found.filter(F.col("component_id") != F.col(ROW)).select("component_id").distinct()), "component_id", "left_semi").select(ROW, "component_id")
+    groups = materialize(groups, "near_copies_groups")
+    placed = rows.select(ROW, "doc_id").join(broadcast_if_small(groups), ROW).select("component_id", F.struct(F.col("doc_id").isNull(), "doc_id", ROW).alias("place"))
+    first = placed.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col(f"place.{ROW}").alias(ROW))
+    dropped = materialize(groups.select(ROW).join(broadcast_if_small(materialize(first, "near_copies_first")), ROW, "left_anti"), "near_copies_dropped")
+    return rows.join(broadcast_if_small(dropped), ROW, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: drop documents that hold a passage of the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = materialize(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(broadcast_if_small(hit), "doc_id", "left_anti").select(docs.columns)
+    """Benchmark decontamination: drop the rows that hold a passage of the benchmark."""
+    rows = _numbered(docs, "decontamination_input")
+    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), ROW)
+    hit = materialize(found.filter("contaminated").select(ROW), "contaminated")
+    return rows.join(broadcast_if_small(hit), ROW, "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
