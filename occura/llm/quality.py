@@ -21,7 +21,7 @@ from occura.llm.common import id_type, slices
 BUCKET_BITS = 16
 DIMENSION = 8
 CHAR_NGRAMS = (3, 4)
-#: Labelled rows to learn from at most (chosen by a hash of the id), and the characters of the longest one taken.
+#: Labelled rows to learn from at most (chosen by a hash of the row), and the characters of the longest one taken.
 SAMPLE_ROWS, SAMPLE_TEXT = 4000, 30_000
 EPOCHS, RATE, SEED = 8, 1.0, 7
 
@@ -91,19 +91,18 @@ class QualityModel:
 
 
 def _sampled(rows: DataFrame, limit: int) -> DataFrame:
-    """About ``limit`` rows at most, chosen by the column ``h``; all where there are no more."""
-    n = rows.count()
-    share = min(1.0, limit / n) if n else 1.0
-    return rows.filter(F.shiftrightunsigned("h", 11) < int(share * (1 << 53)) + (share == 1))
+    """The rows with the ``limit`` smallest values of ``h``; all where there are no more."""
+    last = rows.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    return rows.filter(F.col("h") <= F.lit(last))
 
 
 def fit(labelled: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id") -> QualityModel:
-    """Learn from a sample of SAMPLE_ROWS rows with a label and a text of up to SAMPLE_TEXT characters.
+    """Learn from a sample of SAMPLE_ROWS rows with a label and a text of up to SAMPLE_TEXT characters; repeated rows count once.
 
     Executors count the hashed features; the driver gets those counts only, and their size is bounded by the two
     parameters.  Without any labelled row the model has one answer: even odds.
     """
-    rows = labelled.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").cast("binary").alias("body"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).filter(F.col("label").isNotNull() & F.col("body").isNotNull() & (F.octet_length("body") <= SAMPLE_TEXT))
+    rows = labelled.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").cast("binary").alias("body"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.col(label_col)).alias("h")).filter(F.col("label").isNotNull() & F.col("body").isNotNull() & (F.octet_length("body") <= SAMPLE_TEXT))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
@@ -113,7 +112,7 @@ def fit(labelled: DataFrame, label_col: str = "quality", text_col: str = "text",
             pairs = [(joint[a:b] & 0xFFFFFFFF, times[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), pa.array([x.astype("<u2" if BUCKET_BITS <= 16 else "<u4").tobytes() for x, _ in pairs], pa.binary()), pa.array([np.minimum(y, 65535).astype("<u2").tobytes() for _, y in pairs], pa.binary())], ["h", "label", "buckets", "times"])
 
-    found = _sampled(rows, SAMPLE_ROWS).mapInArrow(count, "h bigint, label int, buckets binary, times binary").collect()
+    found = _sampled(rows, SAMPLE_ROWS).mapInArrow(count, "h bigint, label int, buckets binary, times binary").dropDuplicates(["h"]).collect()
     found.sort(key=lambda r: (r["h"], bytes(r["buckets"])))
     classes = sorted({r["label"] for r in found} | {0, 1})
     kind = "<u2" if BUCKET_BITS <= 16 else "<u4"

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from occura.llm import langid
+from occura.llm import langid, quality, queries
 
 
 @pytest.fixture
@@ -45,3 +45,17 @@ def test_no_language_is_left_out(spark, make, monkeypatch):
 def test_language_stage_keeps_letters_without_labels(spark, make):
     docs = make(["tala", None, "12 !?", "é"]).withColumn("lang", F.lit(None).cast("string"))
     assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [0, 3]
+
+
+def test_quality_sample_is_bounded(spark, make, collected, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 50)
+    docs = make([f"amber basin {k}" for k in range(600)])
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    quality.fit(queries.labelled(docs, labels))
+    assert 40 <= max(collected) <= 50
+    collected.clear()
+    quality.fit(docs.select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(1).alias("quality")))
+    assert max(collected) == 50
+    collected.clear()
+    quality.fit(docs.limit(30).withColumn("quality", F.lit(1)))
+    assert max(collected) == 30
