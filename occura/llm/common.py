@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python task works on at a time.
 SLICE_BYTES = 4 << 20
@@ -19,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; a new local one where that is unset and the master is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -55,16 +60,41 @@ def crc_mod(column: Column, n: int) -> Column:
 def slices(batches: Iterator[pa.RecordBatch], body: str = "body", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Record batches cut so that each holds about ``limit`` bytes of text, or one longer text, with the texts as a list."""
     for batch in batches:
-        texts = batch.column(body).to_pylist()
-        start = size = 0
-        for k, text in enumerate(texts):
-            n = len(text or b"")
-            if k > start and size + n > limit:
-                yield batch.slice(start, k - start), texts[start:k]
-                start, size = k, 0
-            size += n
-        if texts:
-            yield batch.slice(start), texts[start:]
+        for part in cut(batch, pc.binary_length(batch.column(body)), limit):
+            yield part, part.column(body).to_pylist()
+
+
+def cut(batch: pa.RecordBatch, sizes: pa.Array, limit: int) -> Iterator[pa.RecordBatch]:
+    start = total = 0
+    for k, n in enumerate(pc.fill_null(sizes, 0).to_pylist()):
+        if k > start and total + n > limit:
+            yield batch.slice(start, k - start)
+            start, total = k, 0
+        total += n
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
+def keep_rows(df: DataFrame, text_col: str, decide: Callable[[list[bytes | None]], np.ndarray], limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows for whose texts ``decide`` says so, with all their columns as they are; each row passes through Python once."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in cut(batch, pc.binary_length(batch.column(at)), limit):
+                yield part.filter(pa.array(decide(part.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def carried(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """The id (as ``id``), the bytes of the text (as ``body``), and all other columns as one struct ``more``, so that no name clashes."""
+    return texts_of(df, id_col, text_col, F.struct(F.lit(0).alias("_"), *more).alias("more"))
+
+
+def schema_of(df: DataFrame, names: list[str], more: str) -> StructType:
+    """Columns of df, as they are, followed by others."""
+    return StructType([df.schema[n] for n in names] + StructType.fromDDL(more).fields)
 
 
 def is_at_most(df: DataFrame, rows: int) -> bool:

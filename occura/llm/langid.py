@@ -1,13 +1,18 @@
 """Language identification by cross-parsing.
 
-For every language a suffix automaton of a bounded sample of labelled text knows all substrings of that
-sample.  A text is parsed greedily into the longest phrases the automaton contains; the fewer phrases, the
-closer the text is to the language.  Counts are normalised by the log of the sample's length, so that
-languages with less labelled text compare fairly; the lowest rate wins.
+For every language a suffix automaton of a bounded sample of labelled text knows all substrings of that sample.  A text is
+parsed greedily into the longest phrases that the automaton contains; the fewer phrases, the closer the text is to the
+language.  Counts are normalised by the log of the sample's length, so that languages with less labelled text compare
+fairly; the lowest rate wins.
+
+Many texts are parsed at a time, in blocks that are first parsed as if a phrase began with each of them.  A block is then
+parsed again from the state in which the one before it really ends, up to the first phrase that begins where one began in
+the first parse; from there on both are the same.  So a phrase may cross any number of blocks.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,15 +22,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from occura.llm.common import broadcast_if_small, id_type, materialize, slices
+from occura.llm.common import broadcast_if_small, carried, materialize, schema_of, slices
 
 UNDETERMINED = "und"
-#: Labelled documents and characters of sample kept for each language, characters taken of a longer text, and the languages up to which each has the whole sample.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TEXT, FULL_LANGUAGES = 200, 24_000, 20_000, 256
-#: Characters after which a phrase ends in any case, so that long texts are parsed in parallel.
+#: Sample of a language: labelled documents, and characters; characters taken of a longer text; languages up to which each has that much.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TEXT, FULL_LANGUAGES = 200, 24_000, 20_000, 32  # states are 16-bit numbers: no more than 32,000 characters
+#: Characters that are parsed one after the other; it changes the cost only.
 BLOCK = 256
-MAX_ALPHABET = 250
-GAP, OTHER = 0, 1
+#: Letters of a language, the most frequent ones, that have a column in its automaton's table; the others' steps are looked up.
+COLUMNS = 64
+#: Bytes of text parsed at a time.
+SLICE = 2 << 20
+
+GAP, OTHER, FIRST_LETTER = 0, 1, 2
+NONE = np.uint16(0xFFFF)
 
 
 def letters_only(text: str) -> str:
@@ -33,65 +43,144 @@ def letters_only(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-class SuffixAutomaton:
-    """All substrings of a sequence of small integers, built online; state 0 is the root, and the last one has no way on."""
-
-    def __init__(self, codes: np.ndarray, width: int):
-        size = 2 * len(codes) + 2
-        self.next = np.full((size, width), -1, np.int32)
-        suffix, longest = [-1] * size, [0] * size
-        used, last = 1, 0
-        step = self.next
-        for c in codes.tolist():
-            new, used = used, used + 1
-            longest[new] = longest[last] + 1
-            p = last
-            while p >= 0 and step[p, c] < 0:
-                step[p, c] = new
-                p = suffix[p]
-            if p < 0:
-                suffix[new] = 0
+def suffix_automaton(letters: str) -> list[dict[str, int]]:
+    """The steps from each state of the automaton of all substrings, built online; state 0 is the root."""
+    steps: list[dict[str, int]] = [{}]
+    suffix, longest, last = [-1], [0], 0
+    for c in letters:
+        new = len(steps)
+        steps.append({})
+        suffix.append(0)
+        longest.append(longest[last] + 1)
+        p = last
+        while p >= 0 and c not in steps[p]:
+            steps[p][c] = new
+            p = suffix[p]
+        if p >= 0:
+            q = steps[p][c]
+            if longest[q] != longest[p] + 1:
+                twin = len(steps)
+                steps.append(dict(steps[q]))
+                suffix.append(suffix[q])
+                longest.append(longest[p] + 1)
+                while p >= 0 and steps[p].get(c) == q:
+                    steps[p][c] = twin
+                    p = suffix[p]
+                suffix[q] = q = twin
+            suffix[new] = q
+        last = new
+    return steps
+
+
+class Parser:
+    """A language's automaton as arrays: a table for its most frequent letters, sorted pairs of state and letter for the others."""
+
+    def __init__(self, sample: str, alphabet: dict[str, int]):
+        """``alphabet`` numbers the letters of all languages; a letter that this sample does not have is a phrase by itself."""
+        steps = suffix_automaton(sample)
+        times: dict[str, int] = {}
+        for c in sample:
+            times[c] = times.get(c, 0) + 1
+        own = {c: k for k, c in enumerate(sorted(times, key=lambda c: (-times[c], c)))}
+        self.length, self.dead = len(sample), len(steps)
+        self.common = min(len(own), COLUMNS)
+        self.width = self.common + 2  # and one for letters without a column, one for what fills blocks up
+        number = lambda c: GAP if c == " " else alphabet[c]
+        self.column = np.full(FIRST_LETTER + len(alphabet) + 1, self.common, np.uint8)
+        self.column[-1] = self.common + 1
+        self.rare = np.full(len(self.column), -1, np.int32)
+        for c, k in own.items():
+            if k < self.common:
+                self.column[number(c)] = k
             else:
-                q = int(step[p, c])
-                if longest[q] == longest[p] + 1:
-                    suffix[new] = q
+                self.rare[number(c)] = k - self.common
+        self.rares = max(1, len(own) - self.common)
+        table = np.full((len(steps) + 1, self.width), NONE, np.uint16)
+        table[:, self.common + 1] = 0
+        pairs = []
+        for state, ways in enumerate(steps):
+            for c, to in ways.items():
+                if own[c] < self.common:
+                    table[state, own[c]] = to
                 else:
-                    twin, used = used, used + 1
-                    longest[twin] = longest[p] + 1
-                    step[twin] = step[q]
-                    suffix[twin] = suffix[q]
-                    while p >= 0 and step[p, c] == q:
-                        step[p, c] = twin
-                        p = suffix[p]
-                    suffix[q] = suffix[new] = twin
-            last = new
-        self.next = step[: used + 1].copy()
+                    pairs.append((state * self.rares + own[c] - self.common, to))
+        pairs.sort()
+        self.table = table.ravel()
+        self.keys, self.targets = np.array([k for k, _ in pairs], np.int64), np.array([t for _, t in pairs], np.uint16)
+
+    def step(self, state: np.ndarray, column: np.ndarray, rare: np.ndarray | None) -> np.ndarray:
+        """Next states; NONE where the automaton has no way on."""
+        after = self.table[state * self.width + column]
+        if rare is not None and len(self.keys):
+            at = np.flatnonzero(rare >= 0)
+            key = state[at] * self.rares + rare[at]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            after[at] = np.where(self.keys[k] == key, self.targets[k], NONE)
+        return after
+
+    def begin(self, after: np.ndarray, new: np.ndarray, column: np.ndarray, rare: np.ndarray | None) -> np.ndarray:
+        """The states with a new phrase begun where ``new`` says so."""
+        if not new.any():
+            return after.astype(np.int64)
+        root = self.step(np.zeros(len(column), np.int64), column, rare)
+        return np.where(new, np.where(root == NONE, self.dead, root), after).astype(np.int64)
+
+    def phrases(self, blocks: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each block (row); ``follows`` says which blocks go on with the text of the one before."""
+        by_place = np.ascontiguousarray(blocks.T)
+        columns, rare = self.column[by_place], self.rare[by_place] if len(self.keys) else None
+        rare = rare if rare is not None and (rare >= 0).any() else None
+        n = blocks.shape[0]
+        begins = np.zeros(columns.shape, bool)
+        state, after = np.zeros(n, np.int64), np.full(n, NONE)
+        for t, column in enumerate(columns):
+            odd = None if rare is None else rare[t]
+            if t:
+                after = self.step(state, column, odd)
+            begins[t] = after == NONE
+            state = self.begin(after, begins[t], column, odd)
+        from_here = np.cumsum(begins[::-1], axis=0, dtype=np.int32)[::-1]
+        found, first_end, end = from_here[0].astype(np.int64), state, state.copy()
+        again = np.flatnonzero(follows)
+        while len(again):
+            rows, state, count = again, end[again - 1], np.zeros(len(again), np.int64)
+            ends_as = np.empty(len(again), np.int64)
+            open_rows = np.arange(len(again))
+            for t, column in enumerate(columns):
+                own, odd = column[rows], None if rare is None else rare[t][rows]
+                after = self.step(state, own, odd)
+                new = after == NONE
+                same = new & begins[t][rows]
+                state = self.begin(after, new, own, odd)
+                count += new & ~same
+                if same.any():
+                    done = open_rows[same]
+                    found[again[done]], ends_as[done] = count[same] + from_here[t][rows[same]], first_end[rows[same]]
+                    keep = ~same
+                    rows, state, count, open_rows = rows[keep], state[keep], count[keep], open_rows[keep]
+                    if not len(rows):
+                        break
+            found[rows], ends_as[open_rows] = count, state
+            changed = again[ends_as != end[again]]
+            end[again] = ends_as
+            again = changed[changed + 1 < n] + 1
+            again = again[follows[again]]
+        return found
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
     alphabet: dict[str, int]
-    automata: list[np.ndarray]
-    lengths: list[int]
-
-    def rates(self, blocks: np.ndarray, pad: int) -> np.ndarray:
-        """Phrases of each block (row) under each language; ``pad`` fills rows up and counts for nothing."""
-        columns = np.ascontiguousarray(blocks.T)
-        out = np.empty((len(self.languages), blocks.shape[0]), np.int64)
-        for k, table in enumerate(self.automata):
-            width = table.shape[1]
-            flat = table.ravel()
-            root = np.where(table[0] < 0, len(table) - 1, table[0])  # a character of no sample is a phrase by itself
-            state = np.zeros(blocks.shape[0], np.int64)
-            phrases = np.zeros(blocks.shape[0], np.int64)
-            for at, codes in enumerate(columns):
-                follow = np.full(len(codes), -1, np.int32) if at == 0 else flat[state * width + codes]
-                ends = follow < 0
-                phrases += ends & (codes != pad)
-                state = np.where(ends, root[codes], follow).astype(np.int64)
-            out[k] = phrases
-        return out
+    parsers: list[Parser]
+
+
+def build(samples: dict[str, str]) -> LanguageModel:
+    """A parser for each language's sample; every letter of any sample has a number."""
+    letters = sorted({c for text in samples.values() for c in text} - {" "})
+    alphabet = {c: FIRST_LETTER + k for k, c in enumerate(letters)}
+    languages = sorted(samples)
+    return LanguageModel(languages, alphabet, [Parser(samples[x], alphabet) for x in languages])
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> LanguageModel:
@@ -101,103 +190,88 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     SAMPLE_TEXT characters so many are taken from its first letter on, and only after the shorter texts of its
     language.  Every language is learned; beyond FULL_LANGUAGES they share the documents and characters of that many.
     """
-    texts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), (F.length(text_col) > SAMPLE_TEXT).alias("long"))
+    texts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.least(F.length(text_col), F.lit(SAMPLE_TEXT + 1)).alias("size"))
     known = texts.filter("lang is not null and body is not null").filter(F.col("body").rlike(r"\p{L}"))
-    ranked = known.select("lang", "long", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h")))
-    chosen = materialize(ranked.filter(F.col("place") <= SAMPLE_DOCS), "language_sample")
+    order = Window.partitionBy("lang").orderBy(F.col("size") > SAMPLE_TEXT, "h")
+    ranked = known.select("lang", "size", "h").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCS)
+    chosen = materialize(ranked.withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "language_sample")
     share = FULL_LANGUAGES / max(FULL_LANGUAGES, chosen.filter("place = 1").count())
     most = max(BLOCK, int(SAMPLE_CHARS * share))
-    chosen = broadcast_if_small(chosen.filter(F.col("place") <= max(1, int(SAMPLE_DOCS * share))))
-    part = F.when(F.col("long"), F.substring(F.regexp_replace("body", r"^\P{L}++", ""), 1, SAMPLE_TEXT)).otherwise(F.col("body"))
-    rows = known.join(chosen, ["lang", "long", "h"]).groupBy("lang", "place").agg(F.min(part).alias("body")).collect()
+    chosen = chosen.filter((F.col("place") == 1) | (F.col("place") <= int(SAMPLE_DOCS * share)) & (F.col("before") < most)).select("lang", "size", "h", "place")
+    part = F.substring(F.regexp_replace("body", r"^\P{L}++", ""), 1, min(SAMPLE_TEXT, most))
+    rows = known.join(broadcast_if_small(chosen), ["lang", "size", "h"]).groupBy("lang", "place").agg(F.min(part).alias("body")).collect()
     samples: dict[str, str] = {}
     for lang, _, body in sorted((r["lang"], r["place"], r["body"]) for r in rows):
-        have = samples.get(lang, "")
-        if len(have) < most:
-            samples[lang] = f"{have} {letters_only(body)}"[:most]
-    seen: dict[str, int] = {}
-    for text in samples.values():
-        for c in text.replace(" ", ""):
-            seen[c] = seen.get(c, 0) + 1
-    alphabet = {c: k + 2 for k, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c))[:MAX_ALPHABET])}
-    width = len(alphabet) + 3
-    languages, automata, lengths = sorted(samples), [], []
-    for lang in languages:
-        codes = np.array([GAP if c == " " else alphabet.get(c, OTHER) for c in samples[lang]], np.int64)
-        table = SuffixAutomaton(codes, width).next
-        table[:, width - 1] = 0  # padding leads to the root
-        automata.append(table)
-        lengths.append(len(codes))
-    return LanguageModel(languages, alphabet, automata, lengths)
-
-
-def _codes_by_point(alphabet: dict[str, int]) -> np.ndarray:
-    table = np.fromiter((chr(p).isalpha() for p in range(0x110000)), np.uint8, 0x110000)
-    for c, code in alphabet.items():
-        table[ord(c)] = code
+        samples[lang] = f"{samples.get(lang, '')} {letters_only(body)}".strip()[:most]
+    return build(samples)
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    return np.fromiter((OTHER if chr(p).isalpha() else GAP for p in range(0x110000)), np.uint8, 0x110000)
+
+
+def codes_by_point(alphabet: dict[str, int]) -> np.ndarray:
+    """Code point → GAP, the number of a letter, or OTHER for letters that no sample has."""
+    table = _letters().astype(np.int32)
+    table[[ord(c) for c in alphabet]] = list(alphabet.values())
     return table
 
 
-def _classify(texts: list[bytes | None], model: LanguageModel, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the language with the fewest normalised phrases (-1: undetermined) and its score."""
+def in_blocks(texts: list[bytes | None], table: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all texts, with single gaps between words, as numbers in rows of BLOCK; and the text of each row."""
     lowered = [(x or b"").decode("utf-8", "replace").lower() for x in texts]
     sizes = np.array([len(x) + 1 for x in lowered], np.int64)
-    points = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = table[np.minimum(points, 0x10FFFF)]
-    text = np.repeat(np.arange(len(texts)), sizes)
-    first = np.r_[True, text[1:] != text[:-1]]
-    keep = (codes != GAP) | (np.r_[GAP, codes[:-1]] != GAP) & ~first
+    codes = table[np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)]
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    keep = np.flatnonzero((codes != GAP) | (np.r_[GAP, codes[:-1]] != GAP))  # a gap after a letter: every text ends with one
     codes, text = codes[keep], text[keep]
-    letters = np.bincount(text[codes != GAP], minlength=len(texts))
+    last = np.r_[text[1:] != text[:-1], True][: len(text)] & (codes == GAP)
+    codes, text = codes[~last], text[~last]
     lengths = np.bincount(text, minlength=len(texts))
-    pad = len(model.alphabet) + 2
-    per_text = -(-lengths // BLOCK)
-    offset = np.cumsum(per_text) - per_text
+    rows = -(-lengths // BLOCK)
     within = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    blocks = np.full((max(1, int(per_text.sum())), BLOCK), pad, np.int64)
-    blocks[offset[text] + within // BLOCK, within % BLOCK] = codes
-    phrases = model.rates(blocks, pad)
-    owner = np.repeat(np.arange(len(texts)), per_text)
-    totals = np.stack([np.bincount(owner, weights=p[: len(owner)], minlength=len(texts)) for p in phrases]) if len(model.languages) else np.zeros((1, len(texts)))
-    normal = totals * np.array([[math.log2(n + 2)] for n in model.lengths] or [[1.0]])
-    best = normal.argmin(axis=0)
-    closeness = 1 / np.maximum(normal, 1e-9)
+    blocks = np.full((int(rows.sum()), BLOCK), pad, np.int32)
+    blocks[np.repeat(np.cumsum(rows) - rows, lengths) + within // BLOCK, within % BLOCK] = codes
+    return blocks, np.repeat(np.arange(len(texts)), rows)
+
+
+def classify(texts: list[bytes | None], model: LanguageModel, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the language with the fewest normalised phrases (-1: undetermined) and its score, the share of closeness."""
+    blocks, owner = in_blocks(texts, table, FIRST_LETTER + len(model.alphabet))
+    unknown = np.bincount(owner, minlength=len(texts)) == 0
+    if not model.languages or not len(blocks):
+        return np.full(len(texts), -1), np.zeros(len(texts))
+    follows = np.r_[False, owner[1:] == owner[:-1]]
+    rates = np.stack([math.log2(p.length + 2) * np.bincount(owner, weights=p.phrases(blocks, follows), minlength=len(texts)) for p in model.parsers])
+    best = rates.argmin(axis=0)
+    closeness = 1 / np.maximum(rates, 1e-9)
     score = closeness[best, np.arange(len(texts))] / closeness.sum(axis=0)
-    unknown = (letters == 0) | (not model.languages)
     return np.where(unknown, -1, best), np.where(unknown, 0.0, np.clip(score, 0, 1))
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
-    """One row per row of ``docs``: id, lang_pred, score (the winner's share of closeness), and the columns named in ``more``.
+    """One row per row of ``docs``: id, the columns given in ``more``, lang_pred, score (the winner's share of closeness).
 
-    The whole text is parsed, in blocks of BLOCK characters.  A null text, or one without a letter, gives ``und``
-    and 0; ties go to the first language in order.  An empty training set makes every text ``und``.
-    Repeated rows give a row each.  No shuffle; the model (an automaton for each language) is broadcast.
+    The whole text is parsed.  A null text, or one without a letter, gives ``und`` and 0; ties go to the first language in
+    order.  An empty training set makes every text ``und``.  Repeated rows and null ids give a row each.  Columns in ``more``
+    may have any name but those of the result.  No shuffle; the model (an automaton for each language) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("body"), *more)
-    extra = [f for f in kept.schema.fields if f.name not in ("id", "body")]
-    schema = ", ".join([f"`{id_col}` {id_type(docs, id_col)}", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), "lang_pred string", "score double"])
+    kept = carried(docs, id_col, text_col, *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        table, names = _codes_by_point(model.alphabet), np.array([*model.languages, UNDETERMINED], object)
-        for batch, texts in slices(batches):
-            best, score = _classify(texts, model, table)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(f.name) for f in extra), pa.array(names[best], pa.string()), pa.array(score)], [id_col, *(f.name for f in extra), "lang_pred", "score"])
-
-    return kept.mapInArrow(run, schema)
-
-
-def reference_parse(text: str, sample: str) -> int:
-    """Phrases of one text against one sample by plain substring search; for tests."""
-    text, phrases = letters_only(text), 0
-    for start in range(0, len(text), BLOCK):
-        block, at = text[start : start + BLOCK], 0
-        while at < len(block):
-            n = 1
-            while at + n < len(block) and block[at : at + n + 1] in sample:
-                n += 1
-            at, phrases = at + n, phrases + 1
-    return phrases
+        table, names = codes_by_point(model.alphabet), np.array([*model.languages, UNDETERMINED], object)
+        for batch, texts in slices(batches, limit=SLICE):
+            best, score = classify(texts, model, table)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("more"), pa.array(names[best], pa.string()), pa.array(score)], ["id", "more", "lang_pred", "score"])
+
+    found = kept.mapInArrow(run, schema_of(kept, ["id", "more"], "lang_pred string, score double"))
+    return found.select(F.col("id").alias(id_col), *[F.col("more")[x].alias(x) for x in kept.schema["more"].dataType.names[1:]], "lang_pred", "score")
 
+
+def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text"):
+    """For ``common.keep_rows``: which texts have a language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return lambda texts: classify(texts, shared.value, codes_by_point(shared.value.alphabet))[0] >= 0

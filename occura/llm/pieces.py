@@ -1,110 +1,195 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 No piece of the vocabulary has a whitespace marker after another character, so no merge crosses from one marked word
-into the next: the ids of a text are those of its marked words in order.  Each Python worker keeps a table of the
-distinct marked words it has met, has the library segment and decode each of them once, and joins the results
-back by position.
+into the next: the ids of a text are those of its marked words in order.  Three steps:
+
+- The corpus is written as segments: the distinct chunks of some texts, dealt to buckets by their hash, and the texts as
+  packed numbers of chunks.
+- The segments' chunks are brought together by bucket.  All occurrences of a chunk meet there, and the library segments and
+  decodes each distinct chunk once.
+- The answers go back to their segments, where the texts are joined together by the positions of their chunks.
+
+A chunk is a word with the spaces before it but one.  A text that can't be cut so (it is empty, ends in a space, or holds
+the marker itself) is a chunk of its own, as are leading spaces with the word behind them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import ChainMap
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from occura.llm.common import id_type, slices, texts_of
+from occura.llm.common import id_type, materialize, schema_of, slices, texts_of
 
 MARK = "▁"
-#: Distinct chunks that a Python worker keeps; half as many if their ids are kept too.
-TABLE_CHUNKS = 800_000
+#: Bytes of text in a segment; bytes of all texts for each bucket of chunks.
+SEGMENT_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
+#: How a chunk stands in a text: behind a space or at the start, or by itself.
+INSIDE, ALONE = b"-", b"="
 _CHUNK = re.compile(" *[^ ]+")
+#: Ends a chunk in a packed list; chunks are written with the byte that UTF-8 never has.
+_END = b"\xff"
 
 
 def pieces_stay_in_chunks(processor: sentencepiece.SentencePieceProcessor) -> bool:
     return not any(MARK in processor.id_to_piece(k).lstrip(MARK) for k in range(processor.get_piece_size()))
 
 
-def chunks_of(text: str) -> list[str] | None:
-    """The marked words of a text as the library would be given them one by one; None if the text can't be cut so."""
-    if not text or text[-1] == " " or MARK in text:
-        return None
-    parts = text.split(" ")
-    if "" not in parts:
-        return parts
-    found = _CHUNK.findall(text)
-    return [found[0], *(x[1:] for x in found[1:])]
+def chunks_of(text: bytes) -> list[bytes]:
+    """The chunks of a text, each with the byte for how it stands."""
+    if not text or text[-1:] == b" " or MARK.encode() in text:
+        return [ALONE + text]
+    parts = text.split(b" ")
+    if b"" in parts:
+        found = _CHUNK.findall(text.decode())
+        parts = [x.encode() for x in (found[0], *(x[1:] for x in found[1:]))]
+    if parts[0][:1] == b" ":  # the marker before the first word stands for no space
+        return [ALONE + parts[0], *(INSIDE + x for x in parts[1:])]
+    return [INSIDE + x for x in parts]
 
 
-class ChunkTable:
-    """Distinct chunk → (number of ids, ids as decimal text, decoded text inside a text, ids)."""
+def segments(texts: DataFrame, buckets: int, whole: bool, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """(id, body) → per segment one row with its texts, as numbers of chunks, and one for each bucket with its chunks in the order of their numbers."""
 
-    def __init__(self, model_path: str, with_ids: bool):
-        self.with_ids, self.most = with_ids, TABLE_CHUNKS // (1 + with_ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+        for batch, bodies in slices(batches, limit=segment_bytes):
+            number: dict[bytes, int] = {}
+            lengths, found = np.zeros(len(bodies), np.int64), []
+            for k, body in enumerate(bodies):
+                chunks = chunks_of(body or b"") if whole else [ALONE + (body or b"")]
+                for c in chunks:
+                    if c not in number:
+                        number[c] = len(number)
+                lengths[k] = len(chunks)
+                found.append(np.fromiter(map(number.__getitem__, chunks), np.uint32, len(chunks)))
+            distinct = list(number)
+            bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            tokens = place[np.concatenate(found)] if found else np.empty(0, np.uint32)
+            planes = np.stack([(tokens >> np.uint32(8 * k)).astype(np.uint8) for k in range(4)])
+            used, counts = np.unique(bucket[order], return_counts=True)
+            ends = np.cumsum(counts)
+            packed = [pack.compress(_END.join([distinct[k] for k in order[e - n : e].tolist()])) for e, n in zip(ends, counts, strict=True)]
+            rows = 1 + len(used)
+            column = lambda first, others, kind: pa.array([first, *others], kind)  # noqa: E731  one row for the texts, then one for each bucket
+            yield pa.RecordBatch.from_arrays(
+                [column(part << 33 | row, [part << 33 | row] * len(used), pa.int64()), column(pack.compress(planes.tobytes()), [None] * len(used), pa.binary()), column(lengths, [None] * len(used), pa.list_(pa.int64())),
+                 pa.ListArray.from_arrays(column(0, [len(bodies)] * rows, pa.int32()), batch.column("id")), column(None, used.tolist(), pa.int64()), column(None, counts.tolist(), pa.int64()), column(None, packed, pa.binary())],
+                ["segment", "tokens", "lengths", "ids", "bucket", "n", "chunks"],
+            )
+            row += 1
+
+    return texts.mapInArrow(run, f"segment bigint, tokens binary, lengths array<bigint>, ids array<{id_type(texts, 'id')}>, bucket bigint, n bigint, chunks binary")
+
+
+class Library:
+    """The library's answers for distinct chunks: their ids, and the text they decode to behind other text, or else behind a space."""
+
+    def __init__(self, model_path: str):
         self.processor = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        self.whole = pieces_stay_in_chunks(self.processor)
         self.lead = self.processor.encode("a")
         self.lead_size = len(self.processor.decode(self.lead))
-        self.known: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
-
-    def learn(self, chunks: set[str]) -> dict[str, tuple[int, str, str, tuple[int, ...]]]:
-        """A table that holds the chunks; those beyond TABLE_CHUNKS are not kept for later ones."""
-        new = list(chunks.difference(self.known))
-        if not new:
-            return self.known
-        ids = self.processor.encode(new, num_threads=1)
-        plain = self.processor.decode([self.lead + x for x in ids], num_threads=1)
-        found = {chunk: (len(own), str(own)[1:-1].replace(",", ""), text[self.lead_size :], tuple(own) if self.with_ids else ()) for chunk, own, text in zip(new, ids, plain, strict=True)}
-        if len(self.known) + len(found) <= self.most:
-            self.known.update(found)
-            return self.known
-        return ChainMap(found, self.known)
-
-    def encode(self, texts: list[str], end_id: int) -> Iterator[tuple[int, str, str, list]]:
-        """For each text: number of ids with the end id, ids as decimal text, decoded text, ids by part."""
-        cut = [chunks_of(t) if self.whole else None for t in texts]
-        look = self.learn(set().union(*[c for c in cut if c])).__getitem__
-        end = f" {end_id}"
-        for text, chunks in zip(texts, cut, strict=True):
-            if chunks is None:
-                ids = self.processor.encode(text) + [end_id]
-                yield len(ids), " ".join(map(str, ids)), self.processor.decode(ids), [ids]
-                continue
-            counts, numbers, plain, ids = zip(*map(look, chunks), strict=True)
-            first = self.processor.decode(self.processor.encode(chunks[0])) if chunks[0][0] == " " else plain[0][1:]  # the marker that stands for no space
-            yield sum(counts) + 1, " ".join(numbers) + end, first + "".join(plain[1:]), [*ids, (end_id,)]
-
-
-_TABLES: dict[tuple[str, bool], ChunkTable] = {}
-
-
-def chunk_table(model_path: str, with_ids: bool = False) -> ChunkTable:
-    """The worker's table for a model: a Python worker serves many tasks, and chunks that it knows stay known."""
-    key = (model_path, with_ids)
-    if key not in _TABLES:
-        _TABLES[key] = ChunkTable(*key)
-    return _TABLES[key]
+
+    def answers(self, chunks: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
+        ids = self.processor.encode([c[1:].decode() for c in chunks], num_threads=1)
+        inside = [c[:1] == INSIDE for c in chunks]
+        plain = self.processor.decode([self.lead + x if own else x for x, own in zip(ids, inside, strict=True)], num_threads=1)
+        return ids, [(text[self.lead_size :] if own else f" {text}").encode("utf-8", "surrogatepass") for text, own in zip(plain, inside, strict=True)]
+
+
+def answered(requests: DataFrame, model_path: str) -> DataFrame:
+    """(segment, bucket, n, packed chunks) → (segment, bucket, n, packed ids and decoded texts), each distinct chunk of a bucket segmented once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        library, unpack, pack = Library(model_path), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        number: dict[bytes, int] = {}
+        lists = []
+        for packed in table.column("chunks").to_pylist():
+            chunks = unpack.decompress(packed).split(_END)
+            for c in chunks:
+                if c not in number:
+                    number[c] = len(number)
+            lists.append(np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks)))
+        distinct, ids, plain = list(number), [], []
+        for at in range(0, len(distinct), 20_000):
+            own, text = library.answers(distinct[at : at + 20_000])
+            ids += [np.array(x, "<u4").tobytes() for x in own]
+            plain += text
+        out = []
+        for numbers in lists:
+            own = numbers.tolist()
+            data = b"".join([ids[k] for k in own])
+            counts = np.array([len(ids[k]) // 4 for k in own], "<u4")
+            planes = np.frombuffer(data, np.uint8).reshape(-1, 4).T.tobytes() + counts.view(np.uint8).reshape(-1, 4).T.tobytes()
+            out.append([pack.compress(planes), pack.compress(_END.join([plain[k] for k in own]))])
+        return pa.table([table.column("segment"), table.column("bucket"), table.column("n"), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["segment", "bucket", "n", "ids", "plain"])
+
+    return requests.groupBy("bucket").applyInArrow(run, "segment bigint, bucket bigint, n bigint, ids binary, plain binary")
 
 
 def encode_decode(docs: DataFrame, model_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens (with the end id), ids_sha256, decoded_sha256, and with ``with_ids`` the ids and the decoded text.
 
-    A null text is taken as empty: one id, the end.  Texts that end in a space, or that hold the marker itself, are given
-    to the library whole, since they have no cut into chunks.  Repeated rows give a row each; other columns are not read.
-    """
-    schema = f"`{id_col}` {id_type(docs, id_col)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    A null text is taken as empty: one id, the end.  Repeated rows and null ids give a row each; other columns are not read.
+    Where pieces can cross whitespace markers, every whole text is a chunk, so that equal texts are segmented once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = chunk_table(model_path, with_ids)
-        for batch, bodies in slices(batches, limit=2 << 20):
-            rows = [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), *(([k for part in parts for k in part], text) if with_ids else ())) for n, ids, text, parts in table.encode([(x or b"").decode() for x in bodies], end_id)]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names[: len(columns) + 1])
-
-    return texts_of(docs, id_col, text_col).mapInArrow(run, schema)
+    A segment's memory is bounded by SEGMENT_BYTES or one longer text, a bucket's by the number of buckets, which follows the
+    bytes of all texts.
+    """
+    texts = texts_of(docs, id_col, text_col)
+    total = texts.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
+    whole = pieces_stay_in_chunks(sentencepiece.SentencePieceProcessor(model_file=model_path))
+    buckets = 1 + total // BUCKET_BYTES
+    store = materialize(segments(texts, buckets, whole), "segments")
+    replies = answered(store.filter("bucket is not null").select("segment", "bucket", "n", "chunks"), model_path)
+    of_text = store.filter("tokens is not null").select(F.col("segment").alias("of"), "tokens", "lengths", "ids")
+
+    def join(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        listed: list[str] = []
+        plain: list[bytes] = []
+        sizes, flat = [], []
+        for k in np.argsort(right.column("bucket").to_numpy()).tolist():
+            n = right.column("n")[k].as_py()
+            data = np.frombuffer(unpack.decompress(right.column("ids")[k].as_py()), np.uint8)
+            flat.append(np.ascontiguousarray(data[: -4 * n].reshape(4, -1).T).view("<u4").ravel())
+            sizes.append(np.ascontiguousarray(data[-4 * n :].reshape(4, -1).T).view("<u4").ravel().astype(np.int64))
+            plain += unpack.decompress(right.column("plain")[k].as_py()).split(_END)
+            decimal, ends = list(map(str, flat[-1].tolist())), np.cumsum(sizes[-1]).tolist()
+            listed += [" ".join(decimal[e - m : e]) for e, m in zip(ends, sizes[-1].tolist(), strict=True)]
+        per, ids = np.concatenate(sizes), np.concatenate(flat).astype(np.int32)
+        starts, some_empty = np.cumsum(per) - per, bool((per == 0).any())
+        planes = np.frombuffer(unpack.decompress(left.column("tokens")[0].as_py()), np.uint8).reshape(4, -1).astype(np.int64)
+        tokens = planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
+        at, counts, digests, of_plain, streams, decoded = 0, [], [], [], [], []
+        for n in left.column("lengths").combine_chunks().values.to_pylist():
+            own = tokens[at : at + n]
+            at += n
+            strings = list(map(listed.__getitem__, own.tolist()))
+            text = b"".join(map(plain.__getitem__, own.tolist()))[1:]
+            counts.append(int(per[own].sum()) + 1)
+            digests.append(hashlib.sha256(" ".join([*filter(None, strings), str(end_id)] if some_empty else [*strings, str(end_id)]).encode()).hexdigest())
+            of_plain.append(hashlib.sha256(text).hexdigest())
+            if with_ids:
+                before = np.cumsum(per[own]) - per[own]
+                streams.append(np.r_[ids[np.repeat(starts[own] - before, per[own]) + np.arange(counts[-1] - 1)], np.int32(end_id)])
+                decoded.append(text)
+        columns = [left.column("ids").combine_chunks().values, pa.array(counts, pa.int64()), pa.array(digests), pa.array(of_plain)]
+        if with_ids:
+            columns += [pa.array(streams, pa.list_(pa.int32())), pa.array(decoded, pa.binary()).cast(pa.string())]
+        return pa.table(columns, names=kinds.names)
+
+    kinds = schema_of(docs, [id_col], "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))
+    return of_text.groupBy("of").cogroup(replies.groupBy("segment")).applyInArrow(join, kinds)

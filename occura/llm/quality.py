@@ -8,6 +8,7 @@ scoring folds the output layer into the table: one number per row and class.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occura.llm.common import id_type, slices
+from occura.llm.common import carried, materialize, schema_of, slices
 
 BUCKET_BITS = 16
 DIMENSION = 8
 CHAR_NGRAMS = (3, 4)
-#: Labelled rows to learn from at most (chosen by a hash of the row), and the characters of the longest one taken.
-SAMPLE_ROWS, SAMPLE_TEXT = 4000, 30_000
+#: Labelled rows to learn from at most, in the order of a hash of the row, and bytes of their texts after which no further row is taken.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 128 << 20
 EPOCHS, RATE, SEED = 8, 1.0, 7
 
 _SPACES = (9, 10, 11, 12, 13, 32)
@@ -89,42 +90,58 @@ class QualityModel:
         e = np.exp(logits)
         return e / e.sum(axis=1, keepdims=True)
 
+    def probability_of_one(self, texts: list[bytes | None]) -> np.ndarray:
+        return self.probabilities(texts)[:, self.classes.index(1)]
 
-def _sampled(rows: DataFrame, limit: int) -> DataFrame:
-    """The rows with the ``limit`` smallest values of ``h``; all where there are no more."""
-    last = rows.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+
+def _sampled(rows: DataFrame) -> DataFrame:
+    """The rows with the smallest values of ``h``: SAMPLE_ROWS of them at most, and no more after SAMPLE_BYTES of text."""
+    first = rows.select("h", F.octet_length("body").alias("size")).distinct().orderBy("h").limit(SAMPLE_ROWS).collect()
+    last, total = None, 0
+    for r in first:
+        if total >= SAMPLE_BYTES:
+            break
+        last, total = r["h"], total + r["size"]
     return rows.filter(F.col("h") <= F.lit(last))
 
 
 def fit(labelled: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id") -> QualityModel:
-    """Learn from a sample of SAMPLE_ROWS rows with a label and a text of up to SAMPLE_TEXT characters; repeated rows count once.
+    """Learn from the whole texts of a sample of SAMPLE_ROWS rows with a label and a text; repeated rows count once.
 
-    Executors count the hashed features; the driver gets those counts only, and their size is bounded by the two
-    parameters.  Without any labelled row the model has one answer: even odds.
+    Executors count the hashed features.  One task, bounded by the sample, learns from the counts; the driver gets the model
+    only, which has a fixed size.  Without any labelled row the model has one answer: even odds.
     """
-    rows = labelled.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").cast("binary").alias("body"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.col(label_col)).alias("h")).filter(F.col("label").isNotNull() & F.col("body").isNotNull() & (F.octet_length("body") <= SAMPLE_TEXT))
+    rows = labelled.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").cast("binary").alias("body"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.col(label_col)).alias("h")).filter(F.col("label").isNotNull() & F.col("body").isNotNull())
+    kind = "<u2" if BUCKET_BITS <= 16 else "<u4"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, limit=1 << 20):
             owners, buckets = (np.concatenate(x) for x in zip(*features(texts), strict=True))
             joint, times = np.unique(owners.astype(np.int64) << 32 | buckets.astype(np.int64), return_counts=True)
             cut = np.searchsorted(joint >> 32, np.arange(len(texts) + 1))
             pairs = [(joint[a:b] & 0xFFFFFFFF, times[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), pa.array([x.astype("<u2" if BUCKET_BITS <= 16 else "<u4").tobytes() for x, _ in pairs], pa.binary()), pa.array([np.minimum(y, 65535).astype("<u2").tobytes() for _, y in pairs], pa.binary())], ["h", "label", "buckets", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), pa.array([x.astype(kind).tobytes() for x, _ in pairs], pa.binary()), pa.array([y.astype("<u4").tobytes() for _, y in pairs], pa.binary())], ["h", "label", "buckets", "times"])
 
-    found = _sampled(rows, SAMPLE_ROWS).mapInArrow(count, "h bigint, label int, buckets binary, times binary").dropDuplicates(["h"]).collect()
-    found.sort(key=lambda r: (r["h"], bytes(r["buckets"])))
-    classes = sorted({r["label"] for r in found} | {0, 1})
-    kind = "<u2" if BUCKET_BITS <= 16 else "<u4"
-    data = [(classes.index(r["label"]), np.frombuffer(bytes(r["buckets"]), kind).astype(np.int64), np.frombuffer(bytes(r["times"]), "<u2").astype(float)) for r in found if r["buckets"]]
-    return train(data, classes)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {}
+        for batch in batches:
+            for h, label, buckets, times in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if buckets:
+                    found[h, label] = label, np.frombuffer(buckets, kind), np.frombuffer(times, "<u4")
+        model = train([found[k] for k in sorted(found)])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
+    sample = materialize(_sampled(rows).mapInArrow(count, "h bigint, label int, buckets binary, times binary"), "quality_sample")
+    return pickle.loads(sample.coalesce(1).mapInArrow(learn, "model binary").first()["model"])
 
-def train(data: list[tuple[int, np.ndarray, np.ndarray]], classes: list[int]) -> QualityModel:
-    """Stochastic gradient descent with a falling rate; rows weigh in so that each class counts the same to one half."""
+
+def train(data: list[tuple[int, np.ndarray, np.ndarray]]) -> QualityModel:
+    """Stochastic gradient descent over (label, buckets, times) with a falling rate; rows weigh in so that each class counts the same to one half."""
+    classes = sorted({label for label, _, _ in data} | {0, 1})
     random = np.random.default_rng(SEED)
     vectors = random.uniform(-1, 1, (1 << BUCKET_BITS, DIMENSION)) / DIMENSION
     weights, bias = random.normal(0, 0.1, (DIMENSION, len(classes))), np.zeros(len(classes))
+    data = [(classes.index(y), b, t) for y, b, t in data]
     seen = np.bincount([y for y, _, _ in data], minlength=len(classes)) if data else np.zeros(len(classes))
     weigh = np.sqrt(len(data) / np.maximum(seen, 1) / len(classes))
     steps, done = max(1, EPOCHS * len(data)), 0
@@ -151,17 +168,22 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     """One row per row of ``docs``: id, ``score`` (probability of class 1) and the columns named in ``more``.
 
     Whole texts.  A null or empty text has the score of no features, the bias alone.  Repeated rows and null ids give
-    a row each; other columns are not read.  No shuffle; the model is a fixed-size table, broadcast.
+    a row each; other columns are not read.  Columns in ``more`` may have any name but those of the result.  No shuffle; the
+    model is a fixed-size table, broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("body"), *more)
-    extra = [f for f in kept.schema.fields if f.name not in ("id", "body")]
-    schema = ", ".join([f"`{id_col}` {id_type(docs, id_col)}", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), "score double"])
+    kept = carried(docs, id_col, text_col, *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        one = model.classes.index(1)
         for batch, texts in slices(batches, limit=1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(f.name) for f in extra), pa.array(model.probabilities(texts)[:, one])], [id_col, *(f.name for f in extra), "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("more"), pa.array(model.probability_of_one(texts))], ["id", "more", "score"])
+
+    found = kept.mapInArrow(run, schema_of(kept, ["id", "more"], "score double"))
+    return found.select(F.col("id").alias(id_col), *[F.col("more")[x].alias(x) for x in kept.schema["more"].dataType.names[1:]], "score")
 
-    return kept.mapInArrow(run, schema)
+
+def at_least(docs: DataFrame, model: QualityModel, threshold: float):
+    """For ``common.keep_rows``: which texts score ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return lambda texts: shared.value.probability_of_one(texts) >= threshold

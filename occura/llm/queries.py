@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occura.llm import castore, decontaminate, jaccard, langid, lattice, oracle, pieces, quality, repetition, sharding, warc
-from occura.llm.common import crc_mod, table
+from occura.llm.common import broadcast_if_small, crc_mod, table
 
 QUALITY_THRESHOLD = 0.3
 
@@ -30,12 +30,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Texts with labels to learn from, without the held-out fold; only a bounded sample of ids is joined."""
-    known = labels.select("doc_id", label).filter(F.col(label).isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0)).withColumn("pick", F.xxhash64(F.col("doc_id").cast("string")))
+    """Texts with labels to learn from, without the held-out fold; of many labels, those with the smallest hashes of their ids are joined."""
+    known = labels.select("doc_id", label).filter(F.col(label).isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0)).distinct()
+    pick = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 11)
     n = known.count()
-    share = min(1.0, 2 * quality.SAMPLE_ROWS / n) if n else 1.0
-    known = known.filter(F.shiftrightunsigned("pick", 11) < int(share * (1 << 53)) + (share == 1)).drop("pick")
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    if n > 2 * quality.SAMPLE_ROWS:
+        known = known.filter(pick < int(2 * quality.SAMPLE_ROWS / n * (1 << 53)))
+    return docs.select("doc_id", "text").join(broadcast_if_small(known), "doc_id")
 
 
 def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

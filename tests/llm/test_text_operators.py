@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import re
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 from occura.llm import langid, lattice, pieces, quality, repetition
@@ -85,14 +87,43 @@ def test_quality_learns_and_scores_everything(spark, make, odd_texts):
     assert rows[2].score == rows[3].score
 
 
-def test_quality_score_is_that_of_the_plain_mean(make):
+def brute_features(text):
+    """Buckets of words, neighbouring words, and character n-grams that hold no space inside, each hashed by itself."""
+    whole = (1 << 64) - 1
+    odd = [int(x) for x in np.random.default_rng(20).integers(1, 1 << 63, 72, dtype=np.uint64) | np.uint64(1)]
+    place, gram, mix, pair = odd[:64], odd[64:70], odd[70], odd[71]
+    code = {c: (lambda x: x ^ (x >> 29))((ord(" " if c in "\t\n\x0b\x0c\r " else c) + 1) * pair & whole) for c in text + "\n"}
+    bucket = lambda h: ((h ^ (h >> 31)) * mix & whole) >> (64 - quality.BUCKET_BITS)
+    out, words = [], [sum(code[c] * place[k % 64] for k, c in enumerate(w)) & whole for w in re.split("[\t\n\x0b\x0c\r ]+", text) if w]
+    out += [bucket((w + pair) & whole) for w in words]
+    out += [bucket(((v ^ w) * place[1] + place[0]) & whole) for v, w in zip(words, words[1:])]
+    bordered = f"\n{text}\n"
+    for n, g in zip(quality.CHAR_NGRAMS, gram):
+        for at in range(len(bordered) - n + 1):
+            part = bordered[at : at + n]
+            if not re.search("[\t\n\x0b\x0c\r ]", part[1:-1]):
+                out.append(bucket((sum(code[c] * place[k + 8 * n % 40] for k, c in enumerate(part)) + g) & whole))
+    return out
+
+
+def test_quality_score_is_that_of_the_plain_mean(make, odd_texts):
     model = quality.fit(labelled(make))
-    text = "amber basin AMBER!!! x"
-    owner, buckets = (np.concatenate(x) for x in zip(*quality.features([text.encode()]), strict=True))
-    logits = model.vectors[buckets].mean(axis=0) @ model.weights + model.bias
-    p = np.exp(logits) / np.exp(logits).sum()
-    assert model.probabilities([text.encode()])[0] == pytest.approx(p, abs=1e-5)
-    assert len(owner) == len(buckets)
+    texts = ["amber basin AMBER!!! x", "a", "basin  amber\nx", *[t for t in odd_texts if t is not None and len(t) < 400]]
+    together = model.probabilities([t.encode() for t in texts])
+    for text, found in zip(texts, together, strict=True):
+        buckets = brute_features(text)
+        mean = model.vectors[buckets].mean(axis=0) if buckets else np.zeros(quality.DIMENSION)
+        logits = mean @ model.weights + model.bias
+        assert found == pytest.approx(np.exp(logits) / np.exp(logits).sum(), abs=1e-5)
+
+
+def test_long_texts_teach_and_clashing_columns_stay(spark, make, monkeypatch):
+    docs = make([(k, ("amber " if k % 2 else "BASIN!!! ") * 8000) for k in range(12)]).withColumn("quality", (F.col("doc_id") % 2).cast("int"))
+    model = quality.fit(docs)
+    rows = quality.score(make(["amber amber", "BASIN!!! BASIN!!!"]), model, "doc_id", "text", F.col("id"), F.col("body"), F.lit(3).alias("more")).orderBy("doc_id").collect()
+    assert rows[0].score > 0.5 > rows[1].score and [(r.id, r.body, r.more) for r in rows] == [("x", "x", 3)] * 2
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1)
+    assert quality.fit(docs).classes == [0, 1]
 
 
 def test_quality_without_labels(spark, make):
@@ -122,23 +153,6 @@ def test_language(spark, make, odd_texts):
     assert len(rows) == 5 + len(odd_texts) and all(0 <= r.score <= 1 for r in rows.values())
 
 
-def test_phrases_match_plain_search(make):
-    model = langid.fit(language_docs(make))
-    code = {v: k for k, v in model.alphabet.items()} | {0: " "}
-    table, pad = langid._codes_by_point(model.alphabet), len(model.alphabet) + 2
-    sample = langid.letters_only(" ".join(LANGS["aa"].split() * 3))
-    codes = np.array([0 if c == " " else model.alphabet.get(c, 1) for c in sample])
-    own = langid.LanguageModel(["aa"], model.alphabet, [langid.SuffixAutomaton(codes, pad + 1).next], [len(codes)])
-    own.automata[0][:, pad] = 0
-    for text in ("tala rana", "strix tala zzz rana mana kilo" * 20, "k"):
-        clean = langid.letters_only(text)
-        blocks = np.full((-(-len(clean) // langid.BLOCK), langid.BLOCK), pad)
-        for k, c in enumerate(clean):
-            blocks[k // langid.BLOCK, k % langid.BLOCK] = table[ord(c)]
-        assert own.rates(blocks, pad)[0].sum() == langid.reference_parse(text, sample)
-    assert code[0] == " "
-
-
 def test_language_without_labels(spark, make):
     docs = make(["tala", None]).withColumn("lang", F.lit(None).cast("string"))
     assert [r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()] == ["und", "und"]
@@ -161,8 +175,30 @@ def test_pieces_match_the_library(spark, make, odd_texts):
         assert r.decoded_sha256 == hashlib.sha256(processor.decode(ids).encode()).hexdigest()
 
 
+def test_each_distinct_chunk_is_segmented_once(spark, make, odd_texts, monkeypatch):
+    """Over many segments and buckets: every distinct chunk is answered in one bucket only, whatever segments hold it."""
+    monkeypatch.setattr(pieces, "BUCKET_BYTES", 5000)
+    texts = odd_texts + [f"same words {k} in all  of them" for k in range(60)]
+    docs = make(texts).repartition(5)
+    store = pieces.segments(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("body")), 7, True, 2000)
+    unpack = zstandard.ZstdDecompressor()
+    where = {}
+    for r in store.filter("bucket is not null").collect():
+        chunks = unpack.decompress(bytes(r.chunks)).split(b"\xff")
+        assert len(chunks) == r.n == len(set(chunks))
+        for c in chunks:
+            where.setdefault(c, set()).add(r.bucket)
+    assert all(len(x) == 1 for x in where.values()) and {x for y in where.values() for x in y} == set(range(7))
+    assert set(where) == {c for t in texts for c in pieces.chunks_of((t or "").encode())}
+    processor = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = {r.doc_id: r for r in pieces.encode_decode(docs, MODEL, with_ids=True).collect()}
+    assert all(rows[k].ids == processor.encode(t or "") + [2] and rows[k].decoded == processor.decode(rows[k].ids) for k, t in enumerate(texts))
+
+
 def test_pieces_of_nothing(spark, make):
     assert pieces.encode_decode(make([]), MODEL).count() == 0
+    rows = pieces.encode_decode(make([(None, None), (1, "a"), (1, "a"), (None, "")]), MODEL).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 1), (0, 1), (1, 2), (1, 2)]
 
 
 # --- lattice
