@@ -11,35 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occura.llm import decontaminate, jaccard, langid, pieces, quality
-from occura.llm.common import broadcast_if_small, materialize, table
+from occura.llm.common import broadcast_if_small, keep_rows, materialize, table
 from occura.llm.queries import QUALITY_THRESHOLD, labelled
 
 #: Column of the stages' own row keys.
 ROW = "_row"
 
 
-def _others(docs: DataFrame) -> list:
-    return [F.col(c).alias(f"_{c}") for c in docs.columns if c != "doc_id"]
-
-
-def _restored(found: DataFrame, docs: DataFrame) -> DataFrame:
-    return found.select(*[F.col(c if c == "doc_id" else f"_{c}").alias(c) for c in docs.columns])
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: drop documents without a language (null, or no letter); those with a letter stay where no language could be learned."""
+    """Language ID: drop documents without a language (null, or no letter); those with a letter stay where no language could be learned.
+
+    The decision is on the row: ids may be null or repeated.  An empty table stays empty.
+    """
     model = langid.fit(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = langid.predict(docs, model, "doc_id", "text", *_others(docs))
-    return _restored(found.filter(F.col("lang_pred") != langid.UNDETERMINED), docs)
+    return keep_rows(docs, "text", langid.with_language(docs, model), langid.SLICE)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: drop documents scored below the threshold."""
+    """Quality classifier: drop documents scored below the threshold.
+
+    The decision is on the row's text: ids may be null or repeated, and a null text has the score of an empty one.  Without
+    labels every score is one half, and all stay.
+    """
     model = quality.fit(labelled(docs, table(spark, sf_dir, "labels")))
-    found = quality.score(docs, model, "doc_id", "text", *_others(docs))
-    return _restored(found.filter(F.col("score") >= QUALITY_THRESHOLD), docs)
+    return keep_rows(docs, "text", quality.at_least(docs, model, QUALITY_THRESHOLD), 1 << 20)
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
