@@ -2,11 +2,12 @@
 
 Documents are encoded, their id streams cut where a rolling hash of the last ids says so, and every distinct chunk is
 stored once under its digest.  A document is a recipe, the digests of its chunks in order with their Merkle
-root; recipes lie in ascending order of the document's id, and each file of recipes has a manifest with the
-Merkle root over its documents.  Reading back recomputes digests, counts and checksums from the stored bytes.
+root; recipes lie in ascending order of the document's id.  The manifest has, for each file of recipes, the Merkle root over its
+documents, and the store has a root over the manifest.  Reading back recomputes digests, roots, counts and checksums
+from the stored bytes and compares them.
 
-Layout below one folder: ``chunks`` (key, n, payload: ids as little-endian 16 or 32 bits), ``recipes`` (seg, row, id,
-keys, n_tokens, before, root) and ``manifest`` (seg, root, documents, tokens).
+Layout below one folder: ``store`` (chunks: key, n, payload, which are ids as little-endian 16 or 32 bits), ``recipes`` (seg,
+row, id, keys, sizes, n_tokens, before, root), ``manifest`` (seg, root, documents, tokens) and ``root`` (one row).
 """
 
 from __future__ import annotations
@@ -158,8 +159,9 @@ def _split(keys: bytes) -> list[bytes]:
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> str:
     """Encode every row's whole text, append the end id, and store; returns the folder.
 
-    A null text is taken as empty.  Repeated rows are a recipe each and share their chunks.  Texts and chunks move through
-    one shuffle, by digest; equal chunks are dropped in each task before it, so no digest has more rows than there are tasks.
+    A null text is taken as empty.  Repeated rows are a recipe each and share their chunks.  Chunks and recipes move through
+    one shuffle, by digest.  Equal chunks are dropped in each task before it, but for those that a task has forgotten since
+    (it remembers KNOWN_CHUNKS), and all others behind it, where they are neighbours in sorted order.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "castore")
@@ -197,16 +199,16 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "
             )
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[bytes] = set()
+        last = None  # equal digests are neighbours
         for batch in batches:
-            chunk = pc.equal(batch.column("kind"), "chunk")
-            keys = pc.if_else(chunk, batch.column("key"), None).to_pylist()
-            yield batch.filter(pa.array([k is None or (k not in met and not met.add(k)) for k in keys], pa.bool_()))
+            keys = pc.if_else(pc.equal(batch.column("kind"), "chunk"), batch.column("key"), None).to_pylist()
+            before, last = [last, *keys[:-1]], keys[-1] if keys else last
+            yield batch.filter(pa.array([k is None or k != b for k, b in zip(keys, before, strict=True)], pa.bool_()))
 
     schema = f"kind string, id {kind}, key binary, n bigint, payload binary, sizes binary"
     where = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64(F.col("id").cast("string")))
     rows = texts_of(docs, id_col, text_col).mapInArrow(encode, schema)
-    rows.repartition(where).mapInArrow(once, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/store")
+    rows.repartition(where).sortWithinPartitions("kind", "key").mapInArrow(once, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/store")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg, row, before = TaskContext.get().partitionId(), 0, 0
@@ -220,6 +222,15 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "
     recipes = stored.filter("kind = 'recipe'").select("id", "key", "n", "payload", "sizes").repartitionByRange("id").sortWithinPartitions("id", "key")
     recipes.mapInArrow(number, f"seg int, row bigint, id {kind}, keys binary, sizes binary, n_tokens bigint, before bigint, root binary").write.parquet(f"{path}/recipes")
 
+    sealed = _sealed(spark.read.parquet(f"{path}/recipes"))
+    sealed.coalesce(1).write.parquet(f"{path}/manifest")  # a row per file of recipes
+    _summary(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/root")
+    return path
+
+
+def _sealed(recipes: DataFrame) -> DataFrame:
+    """For each file of recipes the Merkle root over its documents in order, and how many documents and tokens it has."""
+
     def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
         for batch in batches:
@@ -230,9 +241,29 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "
         for seg, (roots, n) in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([merkle_root([r for _, r in sorted(roots)])], pa.binary()), pa.array([len(roots)], pa.int64()), pa.array([n], pa.int64())], ["seg", "root", "documents", "tokens"])
 
-    sealed = spark.read.parquet(f"{path}/recipes").select("seg", "row", "root", "n_tokens").repartition("seg").mapInArrow(seal, "seg int, root binary, documents bigint, tokens bigint")
-    sealed.write.parquet(f"{path}/manifest")
-    return path
+    return recipes.select("seg", "row", "root", "n_tokens").repartition("seg").mapInArrow(seal, "seg int, root binary, documents bigint, tokens bigint")
+
+
+def _summary(manifest: DataFrame) -> DataFrame:
+    """One row over the manifest: files, documents, tokens, and the digest of the files' roots in order."""
+    roots = F.transform(F.array_sort(F.collect_list(F.struct("seg", "root"))), lambda x: F.hex(x["root"]))
+    return manifest.agg(F.count("*").alias("files"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.sha2(F.array_join(roots, ","), 256).alias("root"))
+
+
+class StoreDamaged(ValueError):
+    """A store whose files are not those that were written."""
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raise StoreDamaged unless the manifest is the one whose root was written, and each of its files of recipes is there, whole."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    written, now = spark.read.parquet(f"{path}/root").first(), _summary(manifest).first()
+    if written != now:
+        raise StoreDamaged(f"the manifest has changed: {written} was written, {now} is there")
+    found = _sealed(spark.read.parquet(f"{path}/recipes"))
+    odd = manifest.exceptAll(found).union(found.exceptAll(manifest)).select("seg").distinct().limit(20).collect()
+    if odd:
+        raise StoreDamaged(f"files of recipes differ from the manifest: {sorted(r['seg'] for r in odd)}")
 
 
 def _zero_bytes_table() -> np.ndarray:
@@ -282,7 +313,8 @@ def read_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> Data
 
     Chunks are read where they lie and checked against their digests.  Only counts and checksums are joined to the recipes:
     a document's checksum is the XOR of its chunks', each moved on by the bytes that follow it.  ``verified`` is whether every
-    chunk was found, matched its digest and size, and the recipe its Merkle root and length.
+    chunk was found, matched its digest and size, the recipe its Merkle root and length, and its file of recipes the manifest.
+    A lost document can't have a row; ``check_manifest`` raises for it.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,12 +348,14 @@ def read_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> Data
     stored = spark.read.schema(CHUNKS).parquet(f"{path}/store").filter("kind = 'chunk'").select("key", "n", "payload")
     chunks = stored.mapInArrow(check, "key binary, n bigint, crc bigint, good boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
-    starts = spark.read.parquet(f"{path}/manifest").select("seg", F.coalesce(F.sum("tokens").over(Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    manifest = spark.read.parquet(f"{path}/manifest")
+    whole_files = manifest.join(_sealed(recipes), manifest.columns, "left_semi").select("seg", F.lit(True).alias("sealed"))
+    starts = manifest.select("seg", F.coalesce(F.sum("tokens").over(Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")).join(whole_files, "seg", "left")
     refs = recipes.select("seg", "row", "keys", "sizes", "root", "n_tokens").mapInArrow(refer, "seg int, row bigint, key binary, size bigint, following bigint, sound boolean")
     parts = refs.join(chunks, "key").select("seg", "row", "n", "crc", "following", (F.col("good") & F.col("sound") & (F.col("size") == F.col("n"))).alias("good"))
     whole = parts.mapInArrow(move, "seg int, row bigint, n bigint, crc bigint, good boolean").groupBy("seg", "row").agg(F.sum("n").alias("found"), F.bit_xor("crc").alias("crc"), F.bool_and("good").alias("good"))
     numbered = recipes.select("seg", "row", "id", "before", "n_tokens").join(F.broadcast(starts), "seg")  # a row per file of recipes
-    return numbered.join(whole, ["seg", "row"], "left").select(F.col("id").alias(id_col), (F.col("base") + F.col("before")).alias("start"), F.coalesce("found", F.lit(0)).alias("n_tokens"), F.col("crc").alias("ids_crc32"), (F.coalesce("good", F.lit(False)) & F.coalesce(F.col("found") == F.col("n_tokens"), F.lit(False))).alias("verified"))
+    return numbered.join(whole, ["seg", "row"], "left").select(F.col("id").alias(id_col), (F.col("base") + F.col("before")).alias("start"), F.coalesce("found", F.lit(0)).alias("n_tokens"), F.col("crc").alias("ids_crc32"), (F.coalesce("sealed", F.lit(False)) & F.coalesce("good", F.lit(False)) & F.coalesce(F.col("found") == F.col("n_tokens"), F.lit(False))).alias("verified"))
 
 
 def _ids(payload: bytes, n: int, kind: str) -> np.ndarray:

@@ -105,3 +105,20 @@ def is_at_most(df: DataFrame, rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A broadcast hint for a table proven to have at most ``rows`` narrow rows; else df as it is, for a shuffled join."""
     return F.broadcast(df) if is_at_most(df, rows) else df
+
+
+#: Tasks over which the rows of one key are spread in a lookup.
+SALTS = 64
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: list[str], by: str, how: str = "inner", small: int = 10_000) -> DataFrame:
+    """rows with the columns that ``table`` (one row a key) has for their key, however many rows a key has.
+
+    A small table is broadcast.  Else rows get a salt from the column ``by``; each key and salt that occurs is asked for once, so
+    that a key has no more questions than there are salts, and its rows meet the answers in as many tasks.
+    """
+    if is_at_most(table, small):
+        return rows.join(F.broadcast(table), key, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    answers = salted.select(*key, "_salt").distinct().join(table, key)
+    return salted.join(answers, [*key, "_salt"], how).drop("_salt")

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occura.llm.common import materialize
+from occura.llm.common import lookup, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges → one row (node, label) per node that has an edge, label being the smallest node it can reach.
 
     Every round takes the smallest label among the neighbours, then follows the label's own label; the state is
-    written to the shared folder each time, and only the number of changed rows comes to the driver.
+    written to the shared folder each time, and only the number of changed rows comes to the driver.  The edges of one node,
+    and the nodes of one label, are spread over many tasks.  Repeated edges and loops change nothing.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        heard = lookup(both, labels.withColumnRenamed("node", "b"), ["b"], "a").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        lower = materialize(labels.join(heard, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")), "lower")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = materialize(lower.join(jump, "label", "left").select("node", "old", F.coalesce(F.least("label", "further"), "label").alias("label")), "labels")
+        after = materialize(lookup(lower, jump, ["label"], "node", "left").select("node", "old", F.coalesce(F.least("label", "further"), "label").alias("label")), "labels")
         changed = after.filter("label <> old").count()
         labels = after.select("node", "label")
         if not changed:

@@ -16,12 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occura.llm.common import broadcast_if_small, id_type, materialize, slices, texts_of
+from occura.llm.common import broadcast_if_small, id_type, lookup, materialize, slices, texts_of
 from occura.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -31,12 +30,8 @@ ORDERS = 3
 FREQUENT_TOKENS = 100_000
 #: Different texts of one slice that must hold a token for it to be counted as frequent there.
 FREQUENT_IN_SLICE = 3
-#: Tokens (an integer each) that are broadcast at most; with more, postings are shuffled to them.
-SEVERAL_TOKENS = 1_000_000
 #: Columns of a set's parities, 64 of them each: token counts by a hash of the token, modulo 2.
 PARITIES = ("s0", "s1", "s2", "s3")
-#: Bits (as a power of two) of the bitmap of prefix tokens that several sets have.
-BITMAP_BITS = 27
 #: Words whose hash a task remembers.
 KNOWN_WORDS = 400_000
 
@@ -154,31 +149,10 @@ def _prefix_table(docs: DataFrame, id_col: str, text_col: str, frequent: DataFra
 
 
 def _postings(prefix: DataFrame) -> DataFrame:
-    """(token, id, n, own, parities, at) of the first order's prefix tokens that more than one set has, and few others.
-
-    Most tokens are in one prefix only.  Which are in several is first counted on the tokens alone and noted in a bitmap of
-    fixed size, by the tokens' last bits; postings without a note stay in their task.
-    """
-    bit = F.col("token").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    several = prefix.select(F.explode("p0").alias("token")).groupBy("token").count().filter("count > 1")
-    noted = several.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("bits")).toArrow()
-    words = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    words[noted.column("word").to_numpy()] = noted.column("bits").to_numpy()
-    shared = prefix.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        for batch in batches:
-            lists = batch.column("p0")
-            tokens, sizes = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
-            low = tokens.astype(np.int64) & ((1 << BITMAP_BITS) - 1)
-            keep = np.flatnonzero(words[low >> 6] >> (low & 63) & 1)
-            row = np.repeat(np.arange(len(sizes)), sizes)[keep]
-            at = keep - (np.cumsum(sizes) - sizes)[row]
-            of = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), batch.column("id").take(of), batch.column("n").take(of), batch.column("own").take(of), *(batch.column(c).take(of) for c in PARITIES), pa.array(at)], ["token", "id", "n", "own", *PARITIES, "at"])
-
-    return prefix.select("id", "n", "own", *PARITIES, "p0").mapInArrow(run, f"token int, id {id_type(prefix, 'id')}, n bigint, own bigint{_BITS}, at bigint")
+    """(token, id, n, own, at) of the first order's prefix tokens that more than one set has.  Most tokens are in one prefix only."""
+    rows = prefix.select(F.posexplode("p0").alias("at", "token"), "id", "n", "own").select("token", "id", F.col("n").cast("int").alias("n"), F.col("own").cast("int").alias("own"), "at")
+    several = rows.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token")
+    return rows.join(several, "token", "left_semi")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -192,7 +166,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(kept, pa.int64())), pa.array([sets[k].view(np.int64) for k in kept], pa.list_(pa.int64()))], ["id", "tokens"])
 
     wanted = nodes.select(F.col("id").alias("id_of"), F.col("key").alias("key_of"))
-    chosen = texts_of(docs, id_col, text_col).join(broadcast_if_small(wanted), F.col("id") == F.col("id_of")).select("id", "body", "key_of")
+    chosen = texts_of(docs, id_col, text_col).join(broadcast_if_small(wanted, 10_000), F.col("id") == F.col("id_of")).select("id", "body", "key_of")
     return chosen.mapInArrow(run, f"id {id_type(docs, id_col)}, tokens array<bigint>")
 
 
@@ -216,19 +190,19 @@ def _stars(postings: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     """
     rows = postings.select("token", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int").alias("class"), "id", "n", "own", "at")
     heads = rows.groupBy("token", "class").agg(F.min(F.struct("own", "id", "n", "at")).alias("head"), F.count("*").alias("times")).filter("times > 1").select("token", "class", "head")
-    pairs = rows.join(heads, ["token", "class"]).filter(F.col("id") != F.col("head.id")).filter(_can_match("", "head.", percent))
+    pairs = lookup(rows, heads, ["token", "class"], "id").filter(F.col("id") != F.col("head.id")).filter(_can_match("", "head.", percent))
     shared = pairs.groupBy("id", F.col("head.id").alias("h"), F.col("head.own").alias("own")).agg(F.count("*").alias("times"))
     side = lambda s, key: table.select(F.col("id").alias(key), *[F.col(c).alias(f"{s}{c}") for c in ("n", *PARITIES)])
     fit = shared.join(side("x_", "id"), "id").join(side("y_", "h"), "h").filter(_can_differ("x_", "y_", percent))
     return fit.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("times", -F.col("own"), "h")).alias("best")).select(F.col("best.h").alias("a"), "b")
 
 
-def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """The postings of tokens whose texts are still in several components, with the texts' labels."""
-    labels = broadcast_if_small(labels.select(F.col("node").alias("id"), "label"))
-    rows = postings.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    several = materialize(rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token"), "several")
-    return rows.join(broadcast_if_small(several, SEVERAL_TOKENS), "token", "left_semi").select("token", "id", "n", *PARITIES, "at", "label")
+def _mixed(postings: DataFrame, labels: DataFrame, table: DataFrame) -> DataFrame:
+    """The postings of tokens whose texts are still in several components, with the texts' labels and parities."""
+    labels = labels.select(F.col("node").alias("id"), "label")
+    rows = materialize(postings.join(labels, "id", "left").select("token", "id", "n", "at", F.coalesce("label", "id").alias("label")), "labelled")
+    several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
+    return rows.join(several, "token", "left_semi").join(table.select("id", *PARITIES), "id")
 
 
 def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, orders: int) -> DataFrame:
@@ -255,7 +229,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with a null id link with nothing and get a null component.  Repeated rows give a row each.  Other columns are not read.
 
     Tokens are 64-bit hashes and sets have 128-bit keys.  Nothing but the FREQUENT_TOKENS most frequent tokens (a
-    bounded hint for the orders) comes to the driver.
+    bounded hint for the orders) comes to the driver.  Tables of up to 10,000 rows are broadcast; beyond that joins shuffle, and
+    lookups spread the rows of one key.  Pairs of a bucket are made by a shuffled join that adaptive execution can split.
     """
     spark = docs.sparkSession
     survey = materialize(_survey(docs, id_col, text_col, size), "survey")
@@ -270,15 +245,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = materialize(_stars(postings, prefix, percent), "stars")
     edges = materialize(test(stars), "links")
     labels = components(edges)
-    placed = materialize(_mixed(postings, labels), "placed")
+    placed = materialize(_mixed(postings, labels, prefix), "placed")
     other = placed.select("token", *[F.col(c).alias(f"other_{c}") for c in placed.columns if c != "token"])
     rest = placed.join(other, "token").filter((F.col("id") < F.col("other_id")) & (F.col("label") != F.col("other_label")) & _can_match("", "other_", percent) & _can_differ("", "other_", percent)).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
     rest = materialize(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         labels = components(edges.union(test(rest)))
 
-    of_class = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", F.coalesce("label", "rep").alias("label"))
-    found = rows.join(of_class, "key", "left")
+    of_class = materialize(classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", F.coalesce("label", "rep").alias("label")), "labels_of_classes")
+    found = lookup(rows, of_class, ["key"], "id", "left")
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNull(), None).otherwise(F.col("label"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 

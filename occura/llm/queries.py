@@ -66,7 +66,8 @@ def op8_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_castore(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = castore.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return castore.read_digests(spark, path).drop("verified")
+    castore.check_manifest(spark, path)
+    return castore.read_digests(spark, path)
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,12 +175,61 @@ def test_decontamination_matches_brute_force(spark, make, odd_texts, monkeypatch
         assert rows == expected
 
 
+def test_one_index_serves_several_benchmarks(spark, make, odd_texts, tmp_path):
+    rng = np.random.default_rng(9)
+    vocabulary = ["an", "be", "co", "do", "el"]
+    texts = list(enumerate([*odd_texts, *(" ".join(rng.choice(vocabulary, 60)) for _ in range(20))]))
+    decontaminate.build_index(make(texts), path=f"file://{tmp_path}/index", segment_bytes=900)
+    index = decontaminate.open_index(spark, f"file://{tmp_path}/index")
+    assert index.segments.count() > 5
+    for items in ([(1, " ".join(rng.choice(vocabulary, 12))), (2, "an be an"), (2, "an be an")], [(7, "quick brown fox"), (8, texts[25][1]), (None, "el do")]):
+        benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+        expected = brute_hits(texts, items)
+        if items[-1][0] is None:
+            expected = {k: (n, hit, [x for x in found if x != "None"]) for k, (n, hit, found) in expected.items()}
+        for limit in (None, 60):
+            assert {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.search(index, benchmark, block_bytes=limit).collect()} == expected
+
+
+def test_texts_without_ids_and_repeated_rows(spark, make):
+    benchmark = spark.createDataFrame([(1, "one two")], "item_id bigint, text string")
+    rows = decontaminate.contamination(make([(None, "one two"), (3, "one two"), (3, "x"), (3, "one two"), (None, None)]), benchmark).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.contaminated) for r in rows) == [(0, 0, False), (0, 2, True), (3, 1, False), (3, 2, True), (3, 2, True)]
+
+
+def placed(words, window, start, slop):
+    """Whether each word of the window has a place of its own among the words, by trying all."""
+
+    def go(at, used):
+        return at == len(window) or any(go(at + 1, used | {p}) for p in range(max(0, start + at - slop), min(len(words), start + at + slop + 1)) if p not in used and words[p] == window[at])
+
+    return go(0, frozenset())
+
+
+@pytest.mark.parametrize("slop", [1, 2])
+def test_proximity_matches_brute_force(spark, make, slop):
+    rng = np.random.default_rng(slop)
+    texts = list(enumerate([" ".join(rng.choice(["an", "be", "co"], int(n))) for n in rng.integers(0, 14, 40)]))
+    items = [(1, "an be co an"), (2, "be be"), (3, "co an an be co")]
+    rows = {r.doc_id: r for r in decontaminate.contamination(make(texts), spark.createDataFrame(items, "item_id bigint, text string"), window=4, slop=slop).collect()}
+    for k, text in texts:
+        words, hit, found = text.split(), set(), set()
+        for item, body in items:
+            w = body.split()
+            for v in [w[a : a + 4] for a in range(max(1, len(w) - 3))]:
+                for s in range(-slop, len(words) + slop):
+                    if placed(words, v, s, slop):
+                        hit |= set(range(max(s, 0), min(s + len(v), len(words))))
+                        found.add(str(item))
+        assert (rows[k].n_hit, list(rows[k]["items"])) == (len(hit), sorted(found)), text
+
+
 def test_proximity(spark, make):
     benchmark = spark.createDataFrame([(1, "one two three four")], "item_id bigint, text string")
-    docs = make(["one two three four", "one so two three four", "four three x y z two one", "one two"])
+    docs = make(["one two three four", "one so two three four", "four three x y z two one", "one two", "one two three x", "four"])
     exact = [r.contaminated for r in decontaminate.contamination(docs, benchmark).orderBy("doc_id").collect()]
     near = [r.contaminated for r in decontaminate.contamination(docs, benchmark, slop=1).orderBy("doc_id").collect()]
-    assert exact == [True, False, False, False] and near == [True, True, False, False]
+    assert exact == [True, False, False, False, False, False] and near == [True, True, False, False, False, False]
     assert decontaminate.contamination(docs.limit(0), benchmark).count() == 0
     assert not decontaminate.contamination(docs, benchmark.limit(0)).first().contaminated
 
@@ -254,6 +303,43 @@ def test_store_of_nothing_and_repeated_ids(spark, make):
     assert sorted(r.start for r in rows) == [0, 2, 5] and all(r.verified for r in rows)
 
 
+def rewritten(spark, path, part, change):
+    """A copy of a store with one of its tables changed."""
+    out = f"{path}-{part}"
+    for name in ("store", "recipes", "manifest", "root"):
+        df = spark.read.parquet(f"{path}/{name}")
+        df = change(df) if name == part else df
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy("kind") if name == "store" else writer).parquet(f"{out}/{name}")
+    return out
+
+
+def test_damaged_stores_are_noticed(spark, make):
+    rng = np.random.default_rng(11)
+    path = castore.write(make([" ".join(rng.choice(["one", "two", "three", "four"], 300)) for _ in range(12)]), WORDS)
+    castore.check_manifest(spark, path)
+
+    def verified(where):
+        return {r.doc_id: r.verified for r in castore.read_digests(spark, where).collect()}
+
+    assert all(verified(path).values())
+    lost = rewritten(spark, path, "recipes", lambda df: df.filter("id <> 5"))
+    seg = {r.id: r.seg for r in spark.read.parquet(f"{path}/recipes").collect()}
+    assert {k for k, v in verified(lost).items() if not v} == {k for k in seg if seg[k] == seg[5] and k != 5}
+    with pytest.raises(castore.StoreDamaged):
+        castore.check_manifest(spark, lost)
+    swapped = rewritten(spark, path, "recipes", lambda df: df.withColumn("keys", F.expr("case when octet_length(keys) > 32 then concat(substring(keys, 17, 16), substring(keys, 1, 16), substring(keys, 33)) else keys end")))
+    long = {r.id for r in spark.read.parquet(f"{path}/recipes").filter("octet_length(keys) > 32").collect()}
+    assert long and not any(v for k, v in verified(swapped).items() if k in long)
+    altered = rewritten(spark, path, "store", lambda df: df.withColumn("payload", F.when(F.col("kind") == "chunk", F.expr("concat(unhex('0100'), substring(payload, 3))")).otherwise(F.col("payload"))))
+    assert not all(verified(altered).values())
+    gone = rewritten(spark, path, "store", lambda df: df.filter("kind = 'recipe' or pmod(xxhash64(key), 2) = 0"))
+    assert not all(verified(gone).values())
+    shorter = rewritten(spark, path, "manifest", lambda df: df.withColumn("documents", F.col("documents") - 1))
+    with pytest.raises(castore.StoreDamaged):
+        castore.check_manifest(spark, shorter)
+
+
 def test_cut_points_follow_content():
     rng = np.random.default_rng(6)
     ids = rng.integers(0, 49_000, 20_000).astype(np.uint32)
