@@ -33,10 +33,10 @@ def page_estimate(obs: DataFrame, total: int) -> DataFrame:
 
 
 def size_estimate(obs: DataFrame, observations: int, *, multimedia: bool = True, identifications: bool = True, comments: bool = True, photos: bool = True, sounds: bool = True, sample: int = 200, seed: int = 7) -> DataFrame:
-    """Bytes of an export, from the density of media in a sample: rows ordered by a seeded hash of their id."""
+    """Bytes of an export, from the density of media in a sample: rows ordered by a seeded checksum of their id."""
     # Bytes of a record and its extensions, margin, bytes of a photo and of a sound.
     record, media, idents, comment, margin, photo, sound = 79, 16, 146, 40, 1.2, 1_800_000, 1_000_000
-    chosen = obs.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
+    chosen = obs.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"))), "id").limit(sample)
     each = record + media * multimedia + idents * identifications + comment * comments
     counts = chosen.agg(*_media(), F.count("*").alias("n"))
     per = lambda c: F.col(c) / F.greatest(F.col("n"), F.lit(1))
@@ -47,7 +47,7 @@ def retention_plan(files: DataFrame, limit_bytes: int, bucket: str = "bucket", s
     """Files (path, size, mtime and a bucket) with ``evict``: the oldest of each bucket until it is within the limit.
 
     A file goes if what goes before it frees less than the excess.  Sums run within ranges of the modification time, on
-    top of the sums of the ranges before, so no bucket has to be sorted in one task.
+    top of the sums of the ranges before, so no bucket has to be sorted in one task unless its files have one time.
     """
     bounds = files.groupBy(bucket).agg(F.min("mtime").alias("_low"), F.max("mtime").alias("_high"), F.sum("size").alias("_total"))
     place = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("mtime") - F.col("_low")) / (F.col("_high") - F.col("_low")) * slices), F.lit(slices - 1))).otherwise(0)

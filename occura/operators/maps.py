@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occura.functions.tiles import grid_size, tile_bbox, tile_pixel, tile_xy
-from occura.operators.nest import OccDataset
+from occura.operators.nest import OccDataset, small_side
 from occura.operators.search import SearchSpec, box_filter, matching
 
 #: Highest latitude of the map.
@@ -130,7 +130,7 @@ def overlap_join(tiles: DataFrame, regions: DataFrame, bucket_zoom: int = 4) ->
     pairs = pairs.filter("t_west <= east and t_east >= west and t_south <= north and t_north >= south and z <= max_zoom").select("z", "x", "y", "region").distinct()
     rest = tiles.select("z", "x", "y").distinct().join(pairs, ["z", "x", "y"], "left_anti")
     world = regions.filter("west is null").select("region", F.explode(F.sequence(F.lit(0), F.col("max_zoom"))).alias("z"))
-    return pairs.union(rest.join(world, "z").select("z", "x", "y", "region"))
+    return pairs.union(rest.join(small_side(world), "z").select("z", "x", "y", "region"))
 
 
 def box_table(spark: SparkSession, *boxes: tuple[str, float, float, float, float]) -> DataFrame:

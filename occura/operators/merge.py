@@ -52,11 +52,17 @@ def dedup_media(df: DataFrame) -> DataFrame:
     return df.groupBy("kind", "id").agg(F.min(F.struct(*rest)).alias("_m")).select("kind", "id", *[F.col(f"_m.{c}").alias(c) for c in rest])
 
 
-def update_archive(ds: OccDataset, updates: OccDataset, *order: str) -> OccDataset:
-    """Core rows upserted, extension groups replaced; extensions that only one side has are taken over."""
+def update_archive(ds: OccDataset, updates: OccDataset, *order: str, today: str | None = None) -> OccDataset:
+    """Core rows upserted, extension groups replaced; extensions that only one side has are taken over.
+
+    Media that the updates have by name give way to theirs.  The abstract and the saved query stay, the date of publication is
+    ``today``'s (that of the session if it is not given).
+    """
+    media = ds.media if updates.media is None else updates.media if ds.media is None else merge_media(ds.media, updates.media)
+    today = today or str(ds.core.sparkSession.range(1).select(F.current_date()).first()[0])
     extensions = dict(ds.extensions)
     for name, ext in updates.extensions.items():
         mine = ds.extensions.get(name)
         extensions[name] = Ext(replace_groups(mine.df, ext.df.withColumnRenamed(ext.core_id, mine.core_id), mine.core_id), mine.core_id) if mine else ext
-    return OccDataset(upsert(ds.core, updates.core, ds.core_id, *order), ds.core_id, extensions, ds.name)
+    return OccDataset(upsert(ds.core, updates.core, ds.core_id, *order), ds.core_id, extensions, ds.name, media, ds.abstract, today, ds.query)
 

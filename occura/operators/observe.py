@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from occura import schema
 from occura.functions import scalars as S
+from occura.operators.nest import small_side
 
 
 def taxon_ids(obs: DataFrame) -> DataFrame:
@@ -18,11 +19,17 @@ def taxon_ids(obs: DataFrame) -> DataFrame:
 
 def lineage(df: DataFrame, taxa: DataFrame, ids: str = "lineage_ids", key: str = "key") -> DataFrame:
     """(key, rank columns, infraspecies, higher_classification): names of the lineage's taxa; of one rank the later counts; unknown ids are left out."""
+    rows = df.select(key, F.col(ids).alias("_ids"))
+    return rows.join(small_side(lineages(rows, taxa)), "_ids").drop("_ids")
+
+
+def lineages(rows: DataFrame, taxa: DataFrame, ids: str = "_ids") -> DataFrame:
+    """The columns of ``lineage`` for each distinct list of taxon ids; lists without a known taxon are left out."""
     names = taxa.select(F.col("id").alias("taxon_id"), "name", "rank", "rank_level")
-    placed = df.select(key, F.posexplode(ids).alias("at", "taxon_id")).join(names, "taxon_id")
+    placed = rows.select(ids).distinct().select(ids, F.posexplode(ids).alias("at", "taxon_id")).join(names, "taxon_id")
     last = lambda test: F.max(F.when(test & F.col("name").isNotNull(), F.struct("at", "name")))["name"]
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), " | ")
-    return placed.groupBy(key).agg(*[last(F.col("rank") == r).alias(r) for r in schema.RANKS], last(F.col("rank") == "section").alias("section"), last(F.col("rank_level") == 5.0).alias("infraspecies"), F.nullif(text, F.lit("")).alias("higher_classification"))
+    return placed.groupBy(ids).agg(*[last(F.col("rank") == r).alias(r) for r in schema.RANKS], last(F.col("rank") == "section").alias("section"), last(F.col("rank_level") == 5.0).alias("infraspecies"), F.nullif(text, F.lit("")).alias("higher_classification"))
 
 
 def media_identifier(mapped: Column, url: Column) -> Column:
@@ -49,8 +56,8 @@ def _occurrence_id() -> Column:
 def to_occurrences(obs: DataFrame, taxa: DataFrame) -> DataFrame:
     """One occurrence row per observation: the written fields, then those that are computed but not written."""
     ids = F.coalesce(F.col("taxon.ancestor_ids"), F.array().cast("array<int>"))
-    names = lineage(obs.select(F.col("id").alias("key"), ids.alias("lineage_ids")), taxa)
-    rows = obs.join(names, obs["id"] == names["key"], "left")
+    rows = obs.withColumn("_ids", ids)
+    rows = rows.join(small_side(lineages(rows, taxa)), "_ids", "left")
     lat, lng = S.point(F.col("geojson"), F.col("private_geojson"))
     year, month, day = S.date_parts(F.col("observed_on"))
     written = _columns(
@@ -102,10 +109,10 @@ def to_audiovisual(obs: DataFrame, mapping: DataFrame | None = None) -> DataFram
 
 
 def to_identifications(obs: DataFrame, taxa: DataFrame) -> DataFrame:
-    rows = obs.select("id", F.posexplode("identifications").alias("at", "i")).withColumn("key", F.struct("id", "at"))
-    ids = F.concat(F.array("i.taxon.id"), F.coalesce(F.col("i.taxon.ancestor_ids"), F.array().cast("array<int>")))
-    names = lineage(rows.filter("i.taxon is not null").select("key", ids.alias("lineage_ids")), taxa)
-    rows = rows.join(names, "key", "left")
+    rows = obs.select("id", F.explode("identifications").alias("i"))
+    ids = F.when(F.col("i.taxon").isNotNull(), F.concat(F.array("i.taxon.id"), F.coalesce(F.col("i.taxon.ancestor_ids"), F.array().cast("array<int>"))))
+    rows = rows.withColumn("_ids", ids)
+    rows = rows.join(small_side(lineages(rows, taxa)), "_ids", "left")
     user = F.col("i.user")
     who = F.when(user.isNotNull(), S.join_nonempty(user["login"], user["name"]))
     whose = F.when(user.isNotNull(), S.join_nonempty(user["orcid"], S.uri("user", user["id"])))

@@ -55,7 +55,8 @@ class SearchSpec:
 
 
 def known(name: str, terms: Iterable[str] | None) -> bool:
-    return name in terms if terms is not None else schema.is_term(name)
+    """Whether a search may name the field: one of ``terms``, or of the fields of occurrence tables."""
+    return name in (schema.SEARCH_FIELDS if terms is None else terms)
 
 
 def ignored_keys(spec: SearchSpec, terms: Iterable[str] | None = None) -> list[str]:

@@ -30,9 +30,11 @@ def query(key: str, sql: str | None = None):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the place that all executors share: spark.checkpoint.dir, or one of its own where that is unset."""
+    """A new folder in the place that all executors share: spark.checkpoint.dir, or a local one where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

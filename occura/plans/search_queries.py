@@ -33,6 +33,13 @@ _where("filter_bbox", _BOX, _IN_BOX)
 _where("filter_combined", {**_BOX, "captive": "false", "scientificName": "i", "no such key": "x", "recordedBy": "1"}, f"""{_IN_BOX} AND NOT captive AND "scientificName" ILIKE '%i%' AND "recordedBy" ILIKE '%1%'""")
 
 
+@query("search_unknown_keys", f"""{WITH_OCC} {ID_PAGE} WHERE captive ORDER BY "occurrenceID" LIMIT 300""")
+def search_unknown_keys(spark, sf_dir):
+    """Keys and a sort field that are no fields of occurrences have no effect."""
+    spec = SearchSpec.from_dict({"captive": "true", "foo": "x", "page": "3", "foo_min": "1", "sort_by": "foo", "sort_direction": "DESC"})
+    return O.page(occ_rows(spark, sf_dir), spec, "occurrenceID", 300, fields=[*FIELDS, "foo"])
+
+
 @query("filter_date_prefix", "SELECT event_id, event_type FROM events WHERE strftime(ts, '%Y-%m-%d') LIKE '2024-01%'")
 def filter_date_prefix(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))

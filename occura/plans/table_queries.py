@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from occura.operators import estimate, groups, merge, nest
 from occura.operators.nest import Ext, OccDataset
+from occura.operators.search import SearchSpec
 from occura.plans.base import WITH_OCC, WITH_SHOP, WITH_WHOLE_SHOP, also_whole, observations, occ, occ_rows, query, scratch, shop, table, text, whole_shop
 from occura.sinks import exports
 from occura.sources import delimited, documents
@@ -132,6 +133,20 @@ def update_archive(spark, sf_dir):
     return core.union(ds.extensions["multimedia"].df.groupBy(F.lit("media"), "event_type").agg(F.count("*"), F.sum("version")))
 
 
+@query("update_archive_media", """SELECT 'media/' || event_id AS name, value AS size, '2030-01-02' AS pub_date, 'taxon_id=1' AS query, 'old abstract' AS abstract FROM events WHERE event_id % 10 < 5
+ UNION ALL SELECT 'media/' || event_id, value + 1, '2030-01-02', 'taxon_id=1', 'old abstract' FROM events WHERE event_id % 10 >= 5""")
+def update_archive_media(spark, sf_dir):
+    """Media of an updated archive by name, with what its documents then say."""
+
+    def archive(new):
+        core = _events(spark, sf_dir, new)
+        media = core.select(F.concat(F.lit("media/"), text("event_id")).alias("name"), F.col("value").alias("size"))
+        return OccDataset(core, "event_id", {}, media=media, abstract=("new abstract",) if new else ("old abstract",), pub_date="2001-01-01", query="updated_since=x" if new else "taxon_id=1")
+
+    ds = merge.update_archive(archive(False), archive(True), today="2030-01-02")
+    return ds.media.select("name", "size", F.lit(ds.pub_date).alias("pub_date"), F.lit(ds.query).alias("query"), F.lit(" ".join(ds.abstract)).alias("abstract"))
+
+
 @query("high_water_mark", "SELECT strftime(CAST(max(strftime(ts, '%Y-%m-%d')) AS DATE) - INTERVAL 1 DAY, '%Y-%m-%d') AS updated_since FROM events")
 def high_water_mark(spark, sf_dir):
     return merge.updated_since(table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at")))
@@ -166,7 +181,9 @@ def media_estimate_running(spark, sf_dir):
     return estimate.media_estimate(batches, 100_000)
 
 
-@query("size_estimate")
+@query("size_estimate", f"""WITH s AS (SELECT o_orderkey AS k FROM orders ORDER BY md5('7:' || CAST(CAST(o_orderkey AS INTEGER) AS VARCHAR)), o_orderkey LIMIT 200),
+m AS (SELECT count(*) FILTER (l_linenumber % 2 = 1) AS photos, count(*) FILTER (l_linenumber % 2 = 0 AND l_linestatus <> 'F') AS sounds FROM lineitem JOIN s ON l_orderkey = k)
+SELECT CAST(round((SELECT count(*) FROM orders) * (281 * 1.2e0 + CAST(photos AS DOUBLE) / greatest((SELECT count(*) FROM s), 1) * 1800000 + CAST(sounds AS DOUBLE) / greatest((SELECT count(*) FROM s), 1) * 1000000)) AS BIGINT) AS bytes FROM m""")
 def size_estimate(spark, sf_dir):
     obs = observations(spark, sf_dir)
     return estimate.size_estimate(obs, obs.count())
@@ -277,3 +294,16 @@ def catalogue_inventory(spark, sf_dir):
     content = F.when(d % 4 == 0, F.concat(F.lit("<eml><pubDate> 2024-01-"), F.lpad((d % 28 + 1).cast("string"), 2, "0"), F.lit(" </pubDate></eml>")))
     files = table(spark, sf_dir, "documents").select(F.col("source").alias("archive"), name.alias("name"), F.col("n_chars").alias("size"), content.alias("content"))
     return documents.catalogue_of(files).select("archive", "files", "bytes", "has_media", "has_multimedia", "has_comments", "pub_date")
+
+
+@query("catalogue_written", """SELECT o_orderstatus AS archive, 6 AS files, true AS has_multimedia, true AS has_audiovisual, false AS has_comments, false AS has_media, '2024-05-0' || CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS pub_date,
+ 'status=' || o_orderstatus AS query, count(*) AS core_rows FROM orders GROUP BY o_orderstatus""")
+def catalogue_written(spark, sf_dir):
+    """One archive written for each order status, then listed by the catalogue, with the rows of its core as read back."""
+    root, ds, counts = scratch(spark, "archives"), shop(spark, sf_dir), []
+    for k, status in enumerate("FOP", 1):
+        core = ds.core.filter(F.col("o_orderstatus") == status)
+        exports.write_archive(exports.filtered_archive(OccDataset(core, ds.core_id, ds.extensions, status), SearchSpec()), f"{root}/{status}", pub_date=f"2024-05-0{k}", query=f"status={status}")
+        counts.append(spark.read.option("header", True).csv(f"{root}/{status}/occurrence.csv").agg(F.lit(status).alias("archive"), F.count("*").alias("core_rows")).filter("core_rows > 0"))
+    found = documents.catalogue(spark, root).select("archive", "files", "has_multimedia", "has_audiovisual", "has_comments", "has_media", "pub_date", "query")
+    return found.join(counts[0].union(counts[1]).union(counts[2]), "archive")

@@ -99,8 +99,12 @@ def _document(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
 
-def write_archive(ds: OccDataset, path: str, extensions: list[str] | None = None, *, title: str = "", abstract: list[str] | None = None, pub_date: str = "", query: str = "") -> None:
-    """An unpacked archive: a directory of parts per table, ``meta.xml``, ``eml.xml`` and the saved query; enabled extensions without rows have a header."""
+def write_archive(ds: OccDataset, path: str, extensions: list[str] | None = None, *, title: str = "", abstract: list[str] | None = None, pub_date: str | None = None, query: str | None = None) -> None:
+    """An unpacked archive: a directory of parts per table, ``meta.xml``, ``eml.xml`` and the saved query; enabled extensions without rows have a header.
+
+    Abstract, date and query are those of the dataset where they are not given.
+    """
+    abstract, pub_date, query = ds.abstract if abstract is None else abstract, ds.pub_date if pub_date is None else pub_date, ds.query if query is None else query
     spark, names = ds.core.sparkSession, extensions if extensions is not None else list(ds.extensions)
     written_fields(ds.core.withColumnRenamed(ds.core_id, "occurrenceID"), schema.OCCURRENCE_FIELDS).write.options(**CSV).csv(f"{path}/occurrence.csv")
     for name in names:
@@ -109,7 +113,7 @@ def write_archive(ds: OccDataset, path: str, extensions: list[str] | None = None
         rows = written_fields(ext.df.withColumnRenamed(ext.core_id, "occurrenceID"), fields)
         (rows if name in ds.extensions else rows.coalesce(1)).write.options(**CSV).csv(f"{path}/{name}.csv")
     _document(spark, meta_xml(names), f"{path}/meta.xml")
-    _document(spark, eml_xml(title, abstract or [], pub_date), f"{path}/eml.xml")
+    _document(spark, eml_xml(title, list(abstract), pub_date), f"{path}/eml.xml")
     _document(spark, json.dumps({"query": query}), f"{path}/query.json")
 
 

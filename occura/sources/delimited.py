@@ -24,11 +24,21 @@ def first_line(spark: SparkSession, path: str, dialect: Dialect) -> list[str]:
     return [("" if v is None else v).lstrip("﻿") for v in head[0]] if head else []
 
 
-def read_files(spark: SparkSession, paths: list[str], dialect: Dialect, multi_line: bool = True) -> DataFrame:
+def breaks_in_quotes(spark: SparkSession, path: str, dialect: Dialect) -> bool:
+    """Whether a line of the file has an odd number of quotes, so that a value goes on in the next one; the lines are read in parallel."""
+    quote = dialect.options(multi_line=False).get("quote")
+    if not quote:
+        return False
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_files(spark: SparkSession, paths: list[str], dialect: Dialect, multi_line: bool | None = None) -> DataFrame:
     """All files as one table of text columns, named by the first file's header.
 
     Later files may have the header, a reordered one (then matched by name), or none (matched by position).
-    ``multi_line`` allows line breaks inside quotes, but such files are not split: leave it off for large files without them.
+    Files with line breaks inside quotes are read whole, by one task each, all others are split.  Which they are is looked up
+    by a pass over the lines, unless ``multi_line`` says so.
     """
     names = first_line(spark, paths[0], dialect)
     if len({n.lower() for n in names}) < len(names):
@@ -38,7 +48,8 @@ def read_files(spark: SparkSession, paths: list[str], dialect: Dialect, multi_li
         head = names if k == 0 else first_line(spark, path, dialect)
         has_header = k == 0 or set(head) == set(names)
         own = head if has_header else names
-        df = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in own])).options(**dialect.options(multi_line)).csv(path, header=has_header)
+        whole = breaks_in_quotes(spark, path, dialect) if multi_line is None else multi_line
+        df = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in own])).options(**dialect.options(whole)).csv(path, header=has_header)
         parts.append(df.select(*[F.col(f"`{n}`") for n in names]))
     return functools.reduce(DataFrame.union, parts)
 
@@ -78,7 +89,7 @@ def drop_empty(df: DataFrame, keep: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if counts[c] or c == keep])
 
 
-def scan_core(spark: SparkSession, manifest: Manifest, *, strict: bool = False, prune: bool = True, rename: bool = False, multi_line: bool = True) -> DataFrame:
+def scan_core(spark: SparkSession, manifest: Manifest, *, strict: bool = False, prune: bool = True, rename: bool = False, multi_line: bool | None = None) -> DataFrame:
     table = manifest.core
     df = read_files(spark, [f"{manifest.folder}/{x}" for x in table.locations], table.dialect, multi_line)
     if rename:
@@ -93,7 +104,7 @@ def core_id_of(df: DataFrame, table: Table) -> str:
     return table.id_column if table.id_column in df.columns else df.columns[table.id_index or 0]
 
 
-def scan_extensions(spark: SparkSession, manifest: Manifest, multi_line: bool = True) -> dict[str, Ext]:
+def scan_extensions(spark: SparkSession, manifest: Manifest, multi_line: bool | None = None) -> dict[str, Ext]:
     """The extension tables whose files are there, renamed by position to the declared terms."""
     found = {}
     for name, table in manifest.extensions.items():
@@ -107,9 +118,9 @@ def scan_extensions(spark: SparkSession, manifest: Manifest, multi_line: bool =
     return found
 
 
-def open_archive(spark: SparkSession, manifest: Manifest, **options) -> OccDataset:
-    core = scan_core(spark, manifest, **options)
-    return OccDataset(core, core_id_of(core, manifest.core), scan_extensions(spark, manifest), manifest.folder.rstrip("/").rsplit("/", 1)[-1])
+def open_archive(spark: SparkSession, manifest: Manifest, multi_line: bool | None = None, **options) -> OccDataset:
+    core = scan_core(spark, manifest, multi_line=multi_line, **options)
+    return OccDataset(core, core_id_of(core, manifest.core), scan_extensions(spark, manifest, multi_line), manifest.folder.rstrip("/").rsplit("/", 1)[-1])
 
 
 def persist(df: DataFrame, path: str, mode: str = "ignore") -> None:

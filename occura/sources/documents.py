@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +34,20 @@ def catalogue_of(files: DataFrame) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, root: str) -> DataFrame:
-    """Catalogue of the unpacked archives below ``root``: names and sizes of all files, contents of the small documents only."""
-    path = F.regexp_extract("path", r"([^/]+)/((?:media/.*|[^/]+))$", 2)
-    archive = F.regexp_extract("path", r"([^/]+)/(?:media/.*|[^/]+)$", 1)
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    listed = every.load(root).select(archive.alias("archive"), path.alias("name"), F.col("length").alias("size"))  # content is not read
-    small = every.option("pathGlobFilter", "{eml.xml,query.json}").load(root).select(archive.alias("archive"), path.alias("name"), F.col("content").cast("string").alias("content"))
-    return catalogue_of(listed.join(small, ["archive", "name"], "left"))
+    """Catalogue of the unpacked archives below ``root``: names and sizes of all files, contents of the small documents only.
+
+    An archive is a folder of the root.  Its tables and documents are files, or folders of parts as ``write_archive`` writes them.
+    """
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    below = F.substring(F.regexp_replace("path", scheme, ""), F.lit(len(re.sub(scheme, "", root).rstrip("/")) + 2), F.length("path"))
+    parts = F.split(below, "/")
+    name = F.when(parts[1] == "media", F.array_join(F.slice(parts, 2, 1000), "/")).otherwise(parts[1])
+    every = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    listed = every().load(root).select(parts[0].alias("archive"), name.alias("name"), F.col("length").alias("size"))  # content is not read
+    sizes = listed.filter("name is not null").groupBy("archive", "name").agg(F.sum("size").alias("size"))
+    small = every().option("pathGlobFilter", "{eml.xml,query.json,source.json,part-*.txt}").load(root).select(parts[0].alias("archive"), name.alias("name"), F.col("content").cast("string").alias("content"))
+    texts = small.filter(F.col("name").isin("eml.xml", "query.json", "source.json")).groupBy("archive", "name").agg(F.max("content").alias("content"))
+    return catalogue_of(sizes.join(texts, ["archive", "name"], "left"))
 
 
 PERSON = "struct<individualName: struct<givenName: string, surName: string>, organizationName: string, electronicMailAddress: string>"

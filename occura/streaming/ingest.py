@@ -24,34 +24,63 @@ def ingest_stream(pages: DataFrame, taxa: DataFrame, out: str, checkpoint: str)
 
     def each(obs: DataFrame, batch: int) -> None:
         obs = obs.persist()
+        try:
+            write(obs, batch)
+        finally:
+            obs.unpersist()
+
+    def write(obs: DataFrame, batch: int) -> None:
         tables = {"occurrences": observe.to_occurrences(obs, taxa), "multimedia": observe.to_multimedia(obs), "audiovisual": observe.to_audiovisual(obs), "identifications": observe.to_identifications(obs, taxa), "comments": observe.to_comments(obs)}
         for name, df in tables.items():
             _write_batch(df, f"{out}/{name}", batch)
-        obs.unpersist()
 
     return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_stream(updates: DataFrame, key: str, order: str, out: str, checkpoint: str) -> StreamingQuery:
-    """The latest version of each key within and over batches.
+def upsert_stream(updates: DataFrame, key: str, order: str, out: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """The latest version of each key within and over batches; late versions lose to newer ones by ``order``.
 
-    Batch n reads version n - 1 and writes version n: a repeated batch writes the same version again.  Late versions lose to
-    newer ones by ``order``.
+    Keys lie in buckets by their hash.  A batch reads and rewrites those buckets only that its keys fall in, in folders of its
+    own, and then commits a list of every bucket's folder.  A repeated batch starts from the list before it.
     """
 
     def each(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        fresh = merge.last_wins(rows, key, order)
-        if batch:
-            fresh = merge.last_wins(spark.read.parquet(f"{out}/version={batch - 1}").select(fresh.columns).unionByName(fresh), key, order)
-        fresh.write.mode("overwrite").parquet(f"{out}/version={batch}")
+        fresh = merge.last_wins(rows, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())  # no more than there are buckets
+            state = _committed(spark, out, batch - 1)
+            own = rows.columns
+            old = [f"{out}/data/{state[b]}" for b in touched if b in state]
+            merged = fresh.select(*own)
+            if old:
+                merged = merge.last_wins(spark.read.schema(merged.schema).parquet(*old).select(*own).unionByName(merged), key, order)
+            placed = merged.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+            placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/data/batch={batch}")
+            state |= {b: f"batch={batch}/bucket={b}" for b in touched}
+            listed = spark.createDataFrame(sorted(state.items()), "bucket int, folder string")
+            listed.coalesce(1).write.mode("overwrite").parquet(f"{out}/state/batch={batch}")
+        finally:
+            fresh.unpersist()
 
     return updates.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _committed(spark: SparkSession, out: str, batch: int | None = None) -> dict[int, str]:
+    """Folder of each bucket after a batch, or after the last one that was committed: a list is committed when its write has ended."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{out}/state")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if batch is None:
+        ended = [int(f.getPath().getName().removeprefix("batch=")) for f in files.listStatus(folder) if files.exists(hadoop.Path(f.getPath(), "_SUCCESS"))]
+        batch = max(ended, default=-1)
+    return {r["bucket"]: r["folder"] for r in spark.read.parquet(f"{out}/state/batch={batch}").collect()} if batch >= 0 else {}
+
+
 def latest_version(spark: SparkSession, out: str) -> DataFrame:
-    newest = spark.read.parquet(out).agg(F.max("version").alias("v")).first()["v"]
-    return spark.read.parquet(f"{out}/version={newest}")
+    """The table after the last committed batch."""
+    folders = sorted(_committed(spark, out).values())
+    return spark.read.parquet(*[f"{out}/data/{f}" for f in folders])
 
 
 def dedup_media_stream(media: DataFrame, time: str = "ts", keys: tuple[str, ...] = ("kind", "id"), delay: str = "1 day") -> DataFrame:

@@ -16,9 +16,9 @@ def test_numeric_prefix(lat_prefix, term, n):
     assert O.matching(lat_prefix, SearchSpec({"decimalLatitude": term})).count() == n
 
 
-@pytest.mark.parametrize(("params", "n"), [({"u_min": "100"}, 2), ({"u_max": "10"}, 2), ({"u_min": "10", "u_max": "100"}, 2), ({"u_min": "100", "u_include_blank": "true"}, 3), ({"u_include_blank": "true"}, 5), ({"u_min": "1d"}, 5)])
+@pytest.mark.parametrize(("params", "n"), [({"individualCount_min": "100"}, 2), ({"individualCount_max": "10"}, 2), ({"individualCount_min": "10", "individualCount_max": "100"}, 2), ({"individualCount_min": "100", "individualCount_include_blank": "true"}, 3), ({"individualCount_include_blank": "true"}, 5), ({"individualCount_min": "1d"}, 5)])
 def test_range(spark, params, n):
-    df = spark.createDataFrame([("1", "5"), ("2", "10"), ("3", "100"), ("4", "1000"), ("5", None)], "occurrenceID string, u string")
+    df = spark.createDataFrame([("1", "5"), ("2", "10"), ("3", "100"), ("4", "1000"), ("5", None)], "occurrenceID string, individualCount string")
     assert O.matching(df, SearchSpec.from_dict(params)).count() == n
 
 
@@ -33,15 +33,17 @@ def test_order_nulls_last_and_unknown_columns(spark):
 
 
 def test_reserved_names_and_backslash(spark):
-    df = spark.createDataFrame([("1", "Pinales", "Pinopsida", "a\\b"), ("2", "Pinales", "Pinopsida", "50%"), ("3", "Fagales", "Magnoliopsida", None)], "occurrenceID string, `order` string, `class` string, note string")
+    df = spark.createDataFrame([("1", "Pinales", "Pinopsida", "a\\b"), ("2", "Pinales", "Pinopsida", "50%"), ("3", "Fagales", "Magnoliopsida", None)], "occurrenceID string, `order` string, `class` string, occurrenceRemarks string")
     count = lambda **f: O.matching(df, SearchSpec(f)).count()
-    assert (count(order="pin"), count(**{"class": "Pinopsida"}), count(note="\\"), count(note=""), count(nothing_here="x")) == (2, 2, 1, 2, 3)
+    assert (count(order="pin"), count(**{"class": "Pinopsida"}), count(occurrenceRemarks="\\"), count(occurrenceRemarks=""), count(nothing_here="x")) == (2, 2, 1, 2, 3)
     assert [r.value for r in O.suggest(df, "order", "Pin").collect()] == ["Pinales"]
     with pytest.raises(ColumnNotAvailable):
         O.suggest(df, "family", "x")
     with pytest.raises(ColumnNotAvailable):
         O.matching(df, SearchSpec({"family": "x"}))
-    assert O.ignored_keys(SearchSpec({"order": "x", "No Such": "y"})) == ["No Such"]
+    assert O.ignored_keys(SearchSpec({"order": "x", "No Such": "y", "foo": "z", "foo_min": "1", "depth_min": "2"})) == ["No Such", "foo", "foo_min"]
+    spec = SearchSpec({"order": "pin", "foo": "z", "foo_max": "3"}, sort_by="foo")
+    assert [r.occurrenceID for r in O.page(df, spec, "occurrenceID", 9, fields=["occurrenceID", "foo"]).collect()] == ["1", "2"]
 
 
 def test_spec_from_query_last_wins():

@@ -1,7 +1,10 @@
+from xml.etree import ElementTree
+
 import pytest
+from pyspark.sql import functions as F
 
 from occura import schema
-from occura.operators import merge, observe
+from occura.operators import estimate, merge, observe
 from occura.operators.nest import Ext, OccDataset
 from occura.operators.search import SearchSpec
 from occura.plans.base import scratch
@@ -65,7 +68,7 @@ def test_types_rename_and_empty_columns(spark):
 
 @pytest.fixture
 def archive(spark):
-    core = spark.createDataFrame([("1", "Quercus <agrifolia>", 37.7749, -122.4194), ("2", 'Sequoia "s", x', 37.235, -122.0578), ("3", None, None, 1.0)], "occurrenceID string, scientificName string, decimalLatitude double, decimalLongitude double")
+    core = spark.createDataFrame([("1", "Alga <viridis>", 12.5, -45.25), ("2", 'Alga "s", x', -3.75, 100.5), ("3", None, None, 1.0)], "occurrenceID string, scientificName string, decimalLatitude double, decimalLongitude double")
     media = spark.createDataFrame([("1", "a\\b.jpg"), ("2", "https://x/y"), ("2", " ")], "occurrenceID string, identifier string")
     return OccDataset(core, "occurrenceID", {"multimedia": Ext(media, "occurrenceID")}, "t")
 
@@ -81,12 +84,12 @@ def test_store_is_kept(spark, archive):
 
 def test_kml(archive):
     rows = {r.core_id: r.value for r in exports.placemarks(archive).collect()}
-    assert set(rows) == {"1", "2"} and "<name>Quercus &lt;agrifolia&gt;</name>" in rows["1"] and "<coordinates>-122.4194,37.7749,0</coordinates>" in rows["1"] and "&quot;s&quot;" in rows["2"]
+    assert set(rows) == {"1", "2"} and "<name>Alga &lt;viridis&gt;</name>" in rows["1"] and "<coordinates>-45.25,12.5,0</coordinates>" in rows["1"] and "&quot;s&quot;" in rows["2"]
 
 
 def test_archive_round_trip(spark, archive):
     path = scratch(spark, "archive")
-    exports.export_archive(archive, SearchSpec({"scientificName": "q"}), path)
+    exports.export_archive(archive, SearchSpec({"scientificName": "alg"}), path)
     text = "\n".join(r[0] for r in spark.read.text(f"{path}/meta.xml").collect())
     m = parse_manifest(text, path)
     ds = delimited.open_archive(spark, m)
@@ -111,12 +114,44 @@ def test_metadata_documents(spark):
 def test_catalogue_of_folders(spark, archive):
     root = scratch(spark, "root")
     exports.write_archive(archive, f"{root}/one", pub_date="2024-05-06", query="taxon_id=1")
-    # Files lie one level deeper here, as parts; the catalogue of plain files is tested on rows.
+    exports.write_archive(OccDataset(archive.core, "occurrenceID", {}, query="a=2"), f"{root}/two", ["comments"])
+    written = {r.archive: r for r in documents.catalogue(spark, root).collect()}
+    assert set(written) == {"one", "two"} and (written["one"].files, written["one"].pub_date, written["one"].query, written["one"].has_multimedia, written["one"].has_comments) == (5, "2024-05-06", "taxon_id=1", True, False)
+    assert (written["two"].query, written["two"].has_multimedia, written["two"].has_comments, written["two"].has_media) == ("a=2", False, True, False)
     files = spark.createDataFrame([("one", "eml.xml", 10, "<pubDate>2024-05-06</pubDate>"), ("one", "media/1.jpg", 5, None), ("one", "multimedia.csv", 1, None), ("two", "query.json", 3, '{"query": "a=1"}')], "archive string, name string, size bigint, content string")
     rows = {r.archive: r for r in documents.catalogue_of(files).collect()}
     assert rows["one"].pub_date == "2024-05-06" and rows["one"].has_media and rows["one"].has_multimedia and not rows["one"].has_comments and rows["one"].bytes == 16
     assert rows["two"].query == "a=1" and rows["two"].pub_date is None
-    assert documents.catalogue(spark, root).count() >= 1
+
+
+def test_line_breaks_decide_how_files_are_read(spark):
+    plain, broken = put(spark, ["id,note", '1,"a ""b"""', "2,c"]), put(spark, ["id,note", '1,"a', 'b"'])
+    assert not delimited.breaks_in_quotes(spark, plain, Dialect()) and delimited.breaks_in_quotes(spark, broken, Dialect())
+    assert [tuple(r) for r in delimited.read_files(spark, [broken], Dialect()).collect()] == [("1", "a\nb")]
+
+
+def test_group_and_kml_files(spark, archive):
+    path = scratch(spark, "exports")
+    exports.export_groups_csv(archive, "scientificName", None, f"{path}/groups")
+    rows = spark.read.options(**exports.CSV).csv(f"{path}/groups").collect()
+    assert sorted((r.scientificName or "", r.occurrence_count) for r in rows) == [("", "1"), ("Alga \"s\", x", "1"), ("Alga <viridis>", "1")]
+    exports.export_kml(archive, SearchSpec({"scientificName": "viridis"}), f"{path}/kml")
+    text = "".join(r.value for part in ("0-head", "1-placemarks", "2-foot") for r in spark.read.text(f"{path}/kml/{part}").collect())
+    assert ElementTree.fromstring(text.split("?>", 1)[1].encode()).tag.endswith("kml") and text.count("<Placemark>") == 1 and "-45.25,12.5,0" in text
+
+
+def test_page_estimate(spark):
+    obs = spark.createDataFrame([('{"id": 1, "photos": [{"id": 2}, {"id": 3}]}',), ('{"id": 2, "photos": []}',)], "value string").select(F.from_json("value", schema.OBSERVATION).alias("o")).select("o.*")
+    assert estimate.page_estimate(obs, 100).first().estimate == 90
+
+
+def test_archive_update_keeps_its_documents(spark):
+    media = lambda *r: spark.createDataFrame(list(r), "name string, size int")
+    core = spark.createDataFrame([("1", "a")], "id string, name string")
+    old = OccDataset(core, "id", media=media(("media/1", 1), ("media/2", 2)), abstract=("p",), pub_date="2001-01-01", query="q")
+    ds = merge.update_archive(old, OccDataset(core, "id", media=media(("media/2", 5)), abstract=("new",), query="updated_since=1"))
+    assert sorted(map(tuple, ds.media.collect())) == [("media/1", 1), ("media/2", 5)] and (ds.abstract, ds.query) == (("p",), "q") and ds.pub_date > "2024"
+    assert merge.update_archive(OccDataset(core, "id"), OccDataset(core, "id"), today="2030-01-01").media is None
 
 
 def test_upserts(spark):
