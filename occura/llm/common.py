@@ -5,16 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Bytes of text that a Python task works on at a time.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a Python task works on at a time, and bytes of rows that it is handed at a time.
+SLICE_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +50,16 @@ def id_type(df: DataFrame, column: str = "doc_id") -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand rows to Python in batches of BATCH_BYTES, unless the session has a value of its own: texts are long, and a task holds several copies of a batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864", "67108864b", "64MB", "64m"):  # Spark's own value
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Only the id (as ``id``), the UTF-8 bytes of the text (as ``body``), and what else is named."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("body"), *more)
 
 
@@ -58,12 +69,27 @@ def crc_mod(column: Column, n: int) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], body: str = "body", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Record batches cut so that each holds about ``limit`` bytes of text, or one longer text, with the texts as a list."""
-    for batch in batches:
+    """Record batches put together and cut so that each holds about ``limit`` bytes of text, or one longer text, with the texts as a list."""
+    for batch in gathered(batches, body, limit):
         for part in cut(batch, pc.binary_length(batch.column(body)), limit):
             yield part, part.column(body).to_pylist()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], body: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Small batches joined to larger ones, up to ``limit`` bytes of text."""
+    kept: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        n = pc.sum(pc.binary_length(batch.column(body))).as_py() or 0
+        if kept and total + n > limit:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+            kept, total = [], 0
+        kept.append(batch)
+        total += n
+    if kept:
+        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+
 def cut(batch: pa.RecordBatch, sizes: pa.Array, limit: int) -> Iterator[pa.RecordBatch]:
     start = total = 0
     for k, n in enumerate(pc.fill_null(sizes, 0).to_pylist()):
@@ -78,6 +104,7 @@ def cut(batch: pa.RecordBatch, sizes: pa.Array, limit: int) -> Iterator[pa.Recor
 def keep_rows(df: DataFrame, text_col: str, decide: Callable[[list[bytes | None]], np.ndarray], limit: int = SLICE_BYTES) -> DataFrame:
     """The rows for whose texts ``decide`` says so, with all their columns as they are; each row passes through Python once."""
     at = df.columns.index(text_col)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,6 +119,51 @@ def carried(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     return texts_of(df, id_col, text_col, F.struct(F.lit(0).alias("_"), *more).alias("more"))
 
 
+@dataclass
+class Dealt:
+    """Texts as numbers of their distinct items, which are numbered by bucket, and in a bucket in the order in which they are met."""
+
+    lengths: np.ndarray
+    tokens: np.ndarray
+    items: list[bytes]
+    buckets: list[int]
+    counts: list[int]
+
+    @classmethod
+    def of(cls, texts: Iterator[list[bytes]], buckets: int) -> Dealt:
+        number: dict[bytes, int] = {}
+        found = []
+        for items in texts:
+            for x in items:
+                if x not in number:
+                    number[x] = len(number)
+            found.append(np.fromiter(map(number.__getitem__, items), np.uint32, len(items)))
+        distinct = list(number)
+        bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        used, counts = np.unique(bucket, return_counts=True)
+        return cls(np.array([len(x) for x in found], np.int64), place[np.concatenate(found)], [distinct[k] for k in order.tolist()], used.astype(np.int64).tolist(), counts.tolist())
+
+    def groups(self) -> Iterator[tuple[int, int]]:
+        """Where each bucket's items begin and end."""
+        end = 0
+        for n in self.counts:
+            end += n
+            yield end - n, end
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    raw, width = zstandard.decompress(data), np.dtype(kind).itemsize
+    return np.frombuffer(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T).tobytes(), kind)
+
+
 def schema_of(df: DataFrame, names: list[str], more: str) -> StructType:
     """Columns of df, as they are, followed by others."""
     return StructType([df.schema[n] for n in names] + StructType.fromDDL(more).fields)

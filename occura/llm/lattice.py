@@ -5,8 +5,9 @@ pieces of an existing vocabulary, each way weighing the product of its pieces' u
 recursion in log space.  The vocabulary file has pieces but, being one of merges, ranks in place of probabilities;
 those are the smoothed frequencies of the pieces in the training texts, as the library itself segments them.
 
-The corpus is first written as segments: the distinct words of some texts and the texts as numbers of words.  A word then
-travels once per segment instead of once per occurrence, which also levels very frequent words.
+The corpus is first written as segments: the distinct words of some texts, dealt to buckets by their hash, and the texts as
+packed numbers of words.  A word travels once per segment instead of once per occurrence, which also levels very frequent
+words; all its counts meet in its bucket, where it is weighed once.
 """
 
 from __future__ import annotations
@@ -22,67 +23,78 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occura.llm.common import id_type, materialize, slices
+from occura.llm.common import Dealt, id_type, materialize, pack, schema_of, slices, texts_of, unpack
 
-SEGMENT_BYTES = 16 << 20
+#: Bytes of text in a segment; bytes of all texts for each bucket of words.
+SEGMENT_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
 MARK = "▁"
 
 
-def segments(docs: DataFrame, id_col: str, text_col: str, held_out: Column, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """One row per segment: ids, held-out flags, word counts of its texts, its distinct words with their training counts, and the texts as packed numbers."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("body"), F.coalesce(held_out, F.lit(False)).alias("held"))
+def segments(docs: DataFrame, id_col: str, text_col: str, held_out: Column, buckets: int, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Per segment one row with ids, held-out flags, word counts of its texts and the texts as numbers, and one for each bucket with words and their training counts."""
+    rows = texts_of(docs, id_col, text_col, F.coalesce(held_out, F.lit(False)).alias("held"))
     kind = id_type(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+        part, row = TaskContext.get().partitionId(), 0
         for batch, bodies in slices(batches, limit=segment_bytes):
-            number: dict[bytes, int] = {}
-            lengths, found = np.zeros(len(bodies), np.int64), []
-            for k, body in enumerate(bodies):
-                words = (body or b"").lower().split()
-                for w in words:
-                    if w not in number:
-                        number[w] = len(number)
-                lengths[k] = len(words)
-                found.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-            tokens = np.concatenate(found)
+            dealt = Dealt.of(((b or b"").lower().split() for b in bodies), buckets)
             held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            train = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(number))
-            planes = np.stack([tokens & 0xFF, tokens >> 8 & 0xFF, tokens >> 16 & 0xFF, tokens >> 24]).astype(np.uint8)
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{row}"]), one(batch.column("id")), one(pa.array(held)), one(pa.array(lengths)), one(pa.array(list(number), pa.binary())), one(pa.array(train.astype(np.int64))), pa.array([pack.compress(planes.tobytes())], pa.binary())], ["segment", "ids", "held", "lengths", "words", "train", "tokens"])
+            train = np.bincount(dealt.tokens[np.repeat(~held, dealt.lengths)], minlength=len(dealt.items)).astype("<u4")
+            words = [zstandard.compress(b" ".join(dealt.items[a:b]), 1) for a, b in dealt.groups()]
+            counts = [pack(train[a:b]) for a, b in dealt.groups()]
+            own, n, texts = part << 33 | row, len(words), len(bodies)
+            column = lambda first, others, kind: pa.array([first, *others], kind)  # noqa: E731  one row for the texts, then one for each bucket
+            yield pa.RecordBatch.from_arrays(
+                [column(own, [own] * n, pa.int64()), column(pack(dealt.tokens), [None] * n, pa.binary()), column(dealt.lengths, [None] * n, pa.list_(pa.int64())), pa.ListArray.from_arrays(column(0, [texts] * (n + 1), pa.int32()), batch.column("id")),
+                 column(held, [None] * n, pa.list_(pa.bool_())), column(None, dealt.buckets, pa.int64()), column(None, words, pa.binary()), column(None, counts, pa.binary())],
+                ["segment", "tokens", "lengths", "ids", "held", "bucket", "words", "train"],
+            )
             row += 1
 
-    return rows.mapInArrow(run, f"segment string, ids array<{kind}>, held array<boolean>, lengths array<bigint>, words array<binary>, train array<bigint>, tokens binary")
+    return rows.mapInArrow(run, f"segment bigint, tokens binary, lengths array<bigint>, ids array<{kind}>, held array<boolean>, bucket bigint, words binary, train binary")
 
 
-def piece_counts(words: DataFrame, model_path: str) -> dict[int, int]:
-    """How often the library's segmentation of the training words uses each piece; no more rows than the vocabulary."""
+def word_table(requests: DataFrame, model_path: str) -> DataFrame:
+    """One row per bucket: its distinct words with their training counts, how many tokens and words these are, and how often the library's segmentation of them uses each piece."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
+        number: dict[bytes, int] = {}
+        at, times = [], []
+        for words, train in zip(table.column("words").to_pylist(), table.column("train").to_pylist(), strict=True):
+            own = zstandard.decompress(words).split(b" ")
+            at.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own)))
+            times.append(unpack(train, "<u4"))
+        counts = np.bincount(np.concatenate(at), weights=np.concatenate(times), minlength=len(number)).astype(np.int64)
         processor = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        total = np.zeros(processor.get_piece_size(), np.int64)
-        for batch in batches:
-            ids = processor.encode([w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()], num_threads=1)
-            times = batch.column("c").to_numpy()
-            np.add.at(total, np.fromiter((k for own in ids for k in own), np.int64), np.repeat(times, [len(own) for own in ids]))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "n"])
+        pieces = np.zeros(processor.get_piece_size(), np.int64)
+        distinct, seen = list(number), np.flatnonzero(counts)
+        for start in range(0, len(seen), 20_000):
+            own = seen[start : start + 20_000]
+            ids = processor.encode([distinct[k].decode("utf-8", "replace") for k in own.tolist()], num_threads=1)
+            np.add.at(pieces, np.fromiter((k for x in ids for k in x), np.int64), np.repeat(counts[own], [len(x) for x in ids]))
+        used = np.flatnonzero(pieces)
+        return pa.table([table.column("bucket")[:1], pa.array([zstandard.compress(b" ".join(distinct), 1)], pa.binary()), pa.array([pack(counts)], pa.binary()), pa.array([int(counts.sum())]), pa.array([len(seen)]), pa.array([used.tolist()], pa.list_(pa.int32())), pa.array([pieces[used].tolist()], pa.list_(pa.int64()))], names=["bucket", "words", "counts", "tokens", "distinct", "pieces", "times"])
 
-    found = words.filter("c > 0").select("word", "c").mapInArrow(run, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
-    return {r["piece"]: r["n"] for r in found.collect()}
+    return requests.groupBy("bucket").applyInArrow(run, "bucket bigint, words binary, counts binary, tokens bigint, distinct bigint, pieces array<int>, times array<bigint>")
 
 
 class PieceLattice:
-    """Log10 probabilities of marked words over all segmentations, and of the end of a text."""
+    """Log10 probabilities of marked words over all segmentations, and of the end of a text.
+
+    A character that no piece covers alone is its bytes' pieces; where the vocabulary has no pieces for bytes, it is the
+    unknown piece, which counts as one that was never used.
+    """
 
     def __init__(self, model_path: str, counts: dict[int, int], ends: int):
         processor = sentencepiece.SentencePieceProcessor(model_file=model_path)
         size = processor.get_piece_size()
         usable = [k for k in range(size) if not (processor.is_control(k) or processor.is_unknown(k) or processor.is_unused(k))]
-        total = math.log(sum(counts.values()) + ends + len(usable) + 1)
+        known_bytes = any(processor.is_byte(k) for k in usable)
+        total = math.log(sum(counts.values()) + ends + len(usable) + 1 + (not known_bytes))
         log = {k: math.log(counts.get(k, 0) + 1) - total for k in usable}
         self.end = (math.log(ends + 1) - total) / math.log(10)
+        self.unknown = None if known_bytes else -total
         self.bytes = [0.0] * 256
         self.pieces: dict[str, float] = {}
         for k, value in log.items():
@@ -93,9 +105,9 @@ class PieceLattice:
                 self.pieces[piece] = value
         self.longest = max(map(len, self.pieces), default=1)
 
-    def word(self, word: str) -> float:
-        """Forward recursion over the marked word; a character that no piece covers alone is its bytes."""
-        text, pieces, longest = MARK + word, self.pieces, self.longest
+    def word(self, text: str) -> float:
+        """Forward recursion over a word as the file's clean-up gives it, with its marker."""
+        pieces, longest = self.pieces, self.longest
         n = len(text)
         ahead: list[float | None] = [None] * (n + 1)
         ahead[0] = 0.0
@@ -108,7 +120,7 @@ class PieceLattice:
                 if p is None:
                     if j > i + 1:
                         continue
-                    p = sum([self.bytes[b] for b in text[i].encode("utf-8", "surrogatepass")])
+                    p = self.unknown if self.unknown is not None else sum([self.bytes[b] for b in text[i].encode("utf-8", "surrogatepass")])
                 p += here
                 before = ahead[j]
                 if before is None:
@@ -127,41 +139,48 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out: Column, id_col: s
     that ``held_out`` leaves (a null flag does not hold a row out).  A null text is empty: its one token is the end.  Without
     training rows every count is 0.  Repeated rows count and score each; other columns are not read.
 
-    Words of one segment travel once; only the piece counts, bounded by the vocabulary, come to the driver.
+    A segment's memory is bounded by SEGMENT_BYTES or one longer text, a bucket's by the number of buckets, which follows the
+    bytes of all texts.  Only sums and the piece counts, bounded by the vocabulary, come to the driver.
     """
     spark = docs.sparkSession
-    store = materialize(segments(docs, id_col, text_col, held_out), "segments")
-    listed = store.select("segment", F.posexplode(F.arrays_zip("words", "train")).alias("k", "x")).select("segment", "k", F.col("x.words").alias("word"), F.col("x.train").alias("c"))
-    words = materialize(listed.groupBy("word").agg(F.sum("c").alias("c")), "words")
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
+    store = materialize(segments(docs, id_col, text_col, held_out, 1 + total // BUCKET_BYTES), "segments")
+    requests = store.filter("bucket is not null").select("segment", "bucket", "words", "train")
+    words = materialize(word_table(requests.select("bucket", "words", "train"), model_path), "words")
     ends = store.select(F.explode("held").alias("held")).filter("not held").count()
-    size = words.filter("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    train_tokens, distinct = (size["n"] or 0) + ends, size["v"] + (ends > 0)
-    lattice = PieceLattice(model_path, piece_counts(words, model_path), ends)
+    size = words.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
+    train_tokens, distinct = (size["n"] or 0) + ends, (size["v"] or 0) + (ends > 0)
+    used = words.select(F.explode(F.arrays_zip("pieces", "times")).alias("x")).groupBy("x.pieces").agg(F.sum("x.times").alias("n")).collect()  # no more rows than the vocabulary
+    lattice = PieceLattice(model_path, {r["pieces"]: r["n"] for r in used}, ends)
     shared = spark.sparkContext.broadcast(lattice)
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.word
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array([score(w.decode("utf-8", "replace")) for w in batch.column("word").to_pylist()], pa.float64())], ["word", "c", "lp"])
-
-    weighed = words.mapInArrow(weigh, "word binary, c bigint, lp double")
-    values = listed.select("segment", "k", "word").join(weighed, "word").select("segment", "k", "c", "lp")
-    kind = id_type(docs, id_col)
+    def weigh(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each word of a bucket is weighed once; the answers go to every segment that has it."""
+        distinct_words = zstandard.decompress(right.column("words")[0].as_py()).split(b" ")
+        processor, score = sentencepiece.SentencePieceProcessor(model_file=model_path), shared.value.word
+        number = {w: k for k, w in enumerate(distinct_words)}
+        logs = np.array([score(x) for x in processor.normalize([w.decode("utf-8", "replace") for w in distinct_words])])
+        counts = unpack(right.column("counts")[0].as_py(), "<i8")
+        own = [np.fromiter(map(number.__getitem__, zstandard.decompress(x).split(b" ")), np.int64) for x in left.column("words").to_pylist()]
+        return pa.table([left.column("segment"), left.column("bucket"), pa.array([pack(counts[k]) for k in own], pa.binary()), pa.array([pack(logs[k]) for k in own], pa.binary())], names=["segment", "bucket", "counts", "logs"])
+
+    known = words.select(F.col("bucket").alias("of"), "words", "counts")
+    replies = requests.select("segment", "bucket", "words").groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(weigh, "segment bigint, bucket bigint, counts binary, logs binary")
     base = lambda c: np.log10((c + 1) / (train_tokens + distinct + 1))
     end_base, end_score = float(base(np.float64(ends))), lattice.end
+    kinds = schema_of(docs, [id_col], "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
     def add_up(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        order = right.column("k").to_numpy()
-        counts, logs = np.zeros(len(order), np.int64), np.zeros(len(order))
-        counts[order], logs[order] = right.column("c").to_numpy(), right.column("lp").to_numpy()
-        column = {n: left.column(n).combine_chunks() for n in ("ids", "held", "lengths", "tokens")}
-        lengths = column["lengths"].values.to_numpy()
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(column["tokens"][0].as_py()), np.uint8).reshape(4, -1).astype(np.int32)
-        tokens = planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
-        text = np.repeat(np.arange(len(lengths)), lengths)
-        add = lambda x: np.bincount(text, weights=x, minlength=len(lengths))
+        order = np.argsort(right.column("bucket").to_numpy()).tolist()
+        read = lambda name, kind: np.concatenate([np.empty(0, kind), *(unpack(right.column(name)[k].as_py(), kind) for k in order)])
+        counts, logs = read("counts", "<i8"), read("logs", "<f8")
+        lengths = left.column("lengths").combine_chunks().values.to_numpy()
+        tokens = unpack(left.column("tokens")[0].as_py(), "<u4")
         n = len(lengths)
-        return pa.table([column["ids"].values, column["held"].values, pa.array(lengths + 1), pa.array(add((counts > 0)[tokens]).astype(np.int64) + (ends > 0)), pa.array(np.full(n, train_tokens, np.int64)), pa.array(add(base(counts)[tokens]) + end_base), pa.array(add(logs[tokens]) + end_score)], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        text = np.repeat(np.arange(n), lengths)
+        add = lambda x: np.bincount(text, weights=x, minlength=n)
+        ids, held = (left.column(c).combine_chunks().values for c in ("ids", "held"))
+        return pa.table([ids, held, pa.array(lengths + 1), pa.array(add((counts > 0)[tokens]).astype(np.int64) + (ends > 0)), pa.array(np.full(n, train_tokens, np.int64)), pa.array(add(base(counts)[tokens]) + end_base), pa.array(add(logs[tokens]) + end_score)], names=kinds.names)
 
-    texts = store.select(F.col("segment").alias("of"), "ids", "held", "lengths", "tokens")
-    return texts.groupBy("of").cogroup(values.groupBy("segment")).applyInArrow(add_up, f"{id_col} {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    texts = store.filter("tokens is not null").select(F.col("segment").alias("at"), "ids", "held", "lengths", "tokens")
+    return texts.groupBy("at").cogroup(replies.groupBy("segment")).applyInArrow(add_up, kinds)

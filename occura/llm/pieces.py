@@ -22,13 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occura.llm.common import id_type, materialize, schema_of, slices, texts_of
+from occura.llm.common import Dealt, id_type, materialize, pack, schema_of, slices, texts_of, unpack
 
 MARK = "▁"
 #: Bytes of text in a segment; bytes of all texts for each bucket of chunks.
@@ -61,32 +60,15 @@ def segments(texts: DataFrame, buckets: int, whole: bool, segment_bytes: int = S
     """(id, body) → per segment one row with its texts, as numbers of chunks, and one for each bucket with its chunks in the order of their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+        part, row = TaskContext.get().partitionId(), 0
         for batch, bodies in slices(batches, limit=segment_bytes):
-            number: dict[bytes, int] = {}
-            lengths, found = np.zeros(len(bodies), np.int64), []
-            for k, body in enumerate(bodies):
-                chunks = chunks_of(body or b"") if whole else [ALONE + (body or b"")]
-                for c in chunks:
-                    if c not in number:
-                        number[c] = len(number)
-                lengths[k] = len(chunks)
-                found.append(np.fromiter(map(number.__getitem__, chunks), np.uint32, len(chunks)))
-            distinct = list(number)
-            bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            tokens = place[np.concatenate(found)] if found else np.empty(0, np.uint32)
-            planes = np.stack([(tokens >> np.uint32(8 * k)).astype(np.uint8) for k in range(4)])
-            used, counts = np.unique(bucket[order], return_counts=True)
-            ends = np.cumsum(counts)
-            packed = [pack.compress(_END.join([distinct[k] for k in order[e - n : e].tolist()])) for e, n in zip(ends, counts, strict=True)]
-            rows = 1 + len(used)
+            dealt = Dealt.of((chunks_of(b or b"") if whole else [ALONE + (b or b"")] for b in bodies), buckets)
+            packed = [zstandard.compress(_END.join(dealt.items[a:b]), 1) for a, b in dealt.groups()]
+            own, n = part << 33 | row, len(packed)
             column = lambda first, others, kind: pa.array([first, *others], kind)  # noqa: E731  one row for the texts, then one for each bucket
             yield pa.RecordBatch.from_arrays(
-                [column(part << 33 | row, [part << 33 | row] * len(used), pa.int64()), column(pack.compress(planes.tobytes()), [None] * len(used), pa.binary()), column(lengths, [None] * len(used), pa.list_(pa.int64())),
-                 pa.ListArray.from_arrays(column(0, [len(bodies)] * rows, pa.int32()), batch.column("id")), column(None, used.tolist(), pa.int64()), column(None, counts.tolist(), pa.int64()), column(None, packed, pa.binary())],
+                [column(own, [own] * n, pa.int64()), column(pack(dealt.tokens), [None] * n, pa.binary()), column(dealt.lengths, [None] * n, pa.list_(pa.int64())),
+                 pa.ListArray.from_arrays(column(0, [len(bodies)] * (n + 1), pa.int32()), batch.column("id")), column(None, dealt.buckets, pa.int64()), column(None, dealt.counts, pa.int64()), column(None, packed, pa.binary())],
                 ["segment", "tokens", "lengths", "ids", "bucket", "n", "chunks"],
             )
             row += 1
@@ -110,14 +92,14 @@ class Library:
 
 
 def answered(requests: DataFrame, model_path: str) -> DataFrame:
-    """(segment, bucket, n, packed chunks) → (segment, bucket, n, packed ids and decoded texts), each distinct chunk of a bucket segmented once."""
+    """(segment, bucket, chunks) → (segment, bucket, sizes and ids, decoded texts), each distinct chunk of a bucket segmented once."""
 
     def run(table: pa.Table) -> pa.Table:
-        library, unpack, pack = Library(model_path), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        library = Library(model_path)
         number: dict[bytes, int] = {}
         lists = []
         for packed in table.column("chunks").to_pylist():
-            chunks = unpack.decompress(packed).split(_END)
+            chunks = zstandard.decompress(packed).split(_END)
             for c in chunks:
                 if c not in number:
                     number[c] = len(number)
@@ -130,13 +112,11 @@ def answered(requests: DataFrame, model_path: str) -> DataFrame:
         out = []
         for numbers in lists:
             own = numbers.tolist()
-            data = b"".join([ids[k] for k in own])
-            counts = np.array([len(ids[k]) // 4 for k in own], "<u4")
-            planes = np.frombuffer(data, np.uint8).reshape(-1, 4).T.tobytes() + counts.view(np.uint8).reshape(-1, 4).T.tobytes()
-            out.append([pack.compress(planes), pack.compress(_END.join([plain[k] for k in own]))])
-        return pa.table([table.column("segment"), table.column("bucket"), table.column("n"), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["segment", "bucket", "n", "ids", "plain"])
+            sizes = np.array([len(ids[k]) // 4 for k in own], "<u4")
+            out.append([pack(sizes), pack(np.frombuffer(b"".join([ids[k] for k in own]), "<u4")), zstandard.compress(_END.join([plain[k] for k in own]), 1)])
+        return pa.table([table.column("segment"), table.column("bucket"), *(pa.array(list(x), pa.binary()) for x in zip(*out, strict=True))], names=["segment", "bucket", "sizes", "ids", "plain"])
 
-    return requests.groupBy("bucket").applyInArrow(run, "segment bigint, bucket bigint, n bigint, ids binary, plain binary")
+    return requests.groupBy("bucket").applyInArrow(run, "segment bigint, bucket bigint, sizes binary, ids binary, plain binary")
 
 
 def encode_decode(docs: DataFrame, model_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -153,26 +133,22 @@ def encode_decode(docs: DataFrame, model_path: str, end_id: int = 2, id_col: str
     whole = pieces_stay_in_chunks(sentencepiece.SentencePieceProcessor(model_file=model_path))
     buckets = 1 + total // BUCKET_BYTES
     store = materialize(segments(texts, buckets, whole), "segments")
-    replies = answered(store.filter("bucket is not null").select("segment", "bucket", "n", "chunks"), model_path)
+    replies = answered(store.filter("bucket is not null").select("segment", "bucket", "chunks"), model_path)
     of_text = store.filter("tokens is not null").select(F.col("segment").alias("of"), "tokens", "lengths", "ids")
 
     def join(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor()
         listed: list[str] = []
         plain: list[bytes] = []
         sizes, flat = [], []
         for k in np.argsort(right.column("bucket").to_numpy()).tolist():
-            n = right.column("n")[k].as_py()
-            data = np.frombuffer(unpack.decompress(right.column("ids")[k].as_py()), np.uint8)
-            flat.append(np.ascontiguousarray(data[: -4 * n].reshape(4, -1).T).view("<u4").ravel())
-            sizes.append(np.ascontiguousarray(data[-4 * n :].reshape(4, -1).T).view("<u4").ravel().astype(np.int64))
-            plain += unpack.decompress(right.column("plain")[k].as_py()).split(_END)
+            flat.append(unpack(right.column("ids")[k].as_py(), "<u4"))
+            sizes.append(unpack(right.column("sizes")[k].as_py(), "<u4").astype(np.int64))
+            plain += zstandard.decompress(right.column("plain")[k].as_py()).split(_END)
             decimal, ends = list(map(str, flat[-1].tolist())), np.cumsum(sizes[-1]).tolist()
             listed += [" ".join(decimal[e - m : e]) for e, m in zip(ends, sizes[-1].tolist(), strict=True)]
         per, ids = np.concatenate(sizes), np.concatenate(flat).astype(np.int32)
         starts, some_empty = np.cumsum(per) - per, bool((per == 0).any())
-        planes = np.frombuffer(unpack.decompress(left.column("tokens")[0].as_py()), np.uint8).reshape(4, -1).astype(np.int64)
-        tokens = planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
+        tokens = unpack(left.column("tokens")[0].as_py(), "<u4").astype(np.int64)
         at, counts, digests, of_plain, streams, decoded = 0, [], [], [], [], []
         for n in left.column("lengths").combine_chunks().values.to_pylist():
             own = tokens[at : at + n]

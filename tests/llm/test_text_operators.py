@@ -208,8 +208,8 @@ def test_lattice_sums_over_all_segmentations():
     model = lattice.PieceLattice(MODEL, {}, 3)
     model.pieces = {p: math.log(q) for p, q in {"▁": 0.1, "a": 0.2, "b": 0.1, "▁a": 0.05, "ab": 0.07, "▁ab": 0.01}.items()}
     ways = 0.1 * 0.2 * 0.1 + 0.05 * 0.1 + 0.1 * 0.07 + 0.01
-    assert model.word("ab") == pytest.approx(math.log10(ways))
-    assert math.isfinite(model.word("日"))
+    assert model.word("▁ab") == pytest.approx(math.log10(ways))
+    assert math.isfinite(model.word("▁日"))
 
 
 def test_lattice_probabilities_sum_to_one():
@@ -233,6 +233,34 @@ def test_lattice_counts_and_base(spark, make, odd_texts):
     assert same[0] == same[1] == same[2]
 
 
+def test_lattice_scores_are_sums_over_all_cuts(spark, make):
+    """Every cut of every word into pieces or bytes, with probabilities counted here from the training texts."""
+    texts = ["ab ab cab", "a  bca\tAb", "caba", None, "", "é b", "日 ab", "c"]
+    rows = {r.doc_id: r for r in lattice.lattice_scores(make(texts), MODEL, F.col("doc_id") % 3 == 2).collect()}
+    processor = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    uses, ends = Counter(), 0
+    for k, t in enumerate(texts):
+        if k % 3 != 2:
+            ends += 1
+            for w in (t or "").encode().lower().split():
+                uses.update(processor.encode(w.decode()))
+    usable = [k for k in range(processor.get_piece_size()) if not (processor.is_control(k) or processor.is_unknown(k) or processor.is_unused(k))]
+    total = sum(uses.values()) + ends + len(usable) + 1
+    share = {processor.id_to_piece(k): (uses[k] + 1) / total for k in usable}
+
+    def cuts(word):
+        if not word:
+            return 1.0
+        found = sum(share[word[:n]] * cuts(word[n:]) for n in range(1, len(word) + 1) if word[:n] in share)
+        if word[0] not in share:
+            found += math.prod(share[f"<0x{b:02X}>"] for b in word[0].encode()) * cuts(word[1:])
+        return found
+
+    for k, t in enumerate(texts):
+        expected = sum(math.log10(cuts("▁" + w.decode())) for w in (t or "").encode().lower().split()) + math.log10((ends + 1) / total)
+        assert rows[k].score == pytest.approx(expected)
+
+
 def test_lattice_of_nothing_and_without_training(spark, make):
     assert lattice.lattice_scores(make([]), MODEL, F.lit(False)).count() == 0
     row = lattice.lattice_scores(make(["a b"]), MODEL, F.lit(True)).first()
