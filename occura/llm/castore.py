@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from occura.llm.common import id_type, new_path, slices, texts_of
+from occura.llm.common import id_type, new_path, slices, task, texts_of
 
 #: Ids in a chunk: fewest, most; and the bits of the rolling hash that must be 0 for a cut.
 LEAST, MOST, CUT_BITS = 64, 2048, 8
@@ -207,8 +207,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "
 
     schema = f"kind string, id {kind}, key binary, n bigint, payload binary, sizes binary"
     where = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64(F.col("id").cast("string")))
-    rows = texts_of(docs, id_col, text_col).mapInArrow(encode, schema)
-    rows.repartition(where).sortWithinPartitions("kind", "key").mapInArrow(once, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/store")
+    rows = texts_of(docs, id_col, text_col).mapInArrow(task(encode), schema)
+    rows.repartition(where).sortWithinPartitions("kind", "key").mapInArrow(task(once), schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/store")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg, row, before = TaskContext.get().partitionId(), 0, 0
@@ -220,7 +220,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "
 
     stored = spark.read.schema(f"id {kind}, {CHUNKS}").parquet(f"{path}/store")
     recipes = stored.filter("kind = 'recipe'").select("id", "key", "n", "payload", "sizes").repartitionByRange("id").sortWithinPartitions("id", "key")
-    recipes.mapInArrow(number, f"seg int, row bigint, id {kind}, keys binary, sizes binary, n_tokens bigint, before bigint, root binary").write.parquet(f"{path}/recipes")
+    recipes.mapInArrow(task(number), f"seg int, row bigint, id {kind}, keys binary, sizes binary, n_tokens bigint, before bigint, root binary").write.parquet(f"{path}/recipes")
 
     sealed = _sealed(spark.read.parquet(f"{path}/recipes"))
     sealed.coalesce(1).write.parquet(f"{path}/manifest")  # a row per file of recipes
@@ -241,7 +241,7 @@ def _sealed(recipes: DataFrame) -> DataFrame:
         for seg, (roots, n) in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([merkle_root([r for _, r in sorted(roots)])], pa.binary()), pa.array([len(roots)], pa.int64()), pa.array([n], pa.int64())], ["seg", "root", "documents", "tokens"])
 
-    return recipes.select("seg", "row", "root", "n_tokens").repartition("seg").mapInArrow(seal, "seg int, root binary, documents bigint, tokens bigint")
+    return recipes.select("seg", "row", "root", "n_tokens").repartition("seg").mapInArrow(task(seal), "seg int, root binary, documents bigint, tokens bigint")
 
 
 def _summary(manifest: DataFrame) -> DataFrame:
@@ -346,14 +346,14 @@ def read_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> Data
             yield pa.RecordBatch.from_arrays([batch.column("seg"), batch.column("row"), batch.column("n"), pa.array(moved.astype(np.int64)), batch.column("good")], ["seg", "row", "n", "crc", "good"])
 
     stored = spark.read.schema(CHUNKS).parquet(f"{path}/store").filter("kind = 'chunk'").select("key", "n", "payload")
-    chunks = stored.mapInArrow(check, "key binary, n bigint, crc bigint, good boolean")
+    chunks = stored.mapInArrow(task(check), "key binary, n bigint, crc bigint, good boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
     manifest = spark.read.parquet(f"{path}/manifest")
     whole_files = manifest.join(_sealed(recipes), manifest.columns, "left_semi").select("seg", F.lit(True).alias("sealed"))
     starts = manifest.select("seg", F.coalesce(F.sum("tokens").over(Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")).join(whole_files, "seg", "left")
-    refs = recipes.select("seg", "row", "keys", "sizes", "root", "n_tokens").mapInArrow(refer, "seg int, row bigint, key binary, size bigint, following bigint, sound boolean")
+    refs = recipes.select("seg", "row", "keys", "sizes", "root", "n_tokens").mapInArrow(task(refer), "seg int, row bigint, key binary, size bigint, following bigint, sound boolean")
     parts = refs.join(chunks, "key").select("seg", "row", "n", "crc", "following", (F.col("good") & F.col("sound") & (F.col("size") == F.col("n"))).alias("good"))
-    whole = parts.mapInArrow(move, "seg int, row bigint, n bigint, crc bigint, good boolean").groupBy("seg", "row").agg(F.sum("n").alias("found"), F.bit_xor("crc").alias("crc"), F.bool_and("good").alias("good"))
+    whole = parts.mapInArrow(task(move), "seg int, row bigint, n bigint, crc bigint, good boolean").groupBy("seg", "row").agg(F.sum("n").alias("found"), F.bit_xor("crc").alias("crc"), F.bool_and("good").alias("good"))
     numbered = recipes.select("seg", "row", "id", "before", "n_tokens").join(F.broadcast(starts), "seg")  # a row per file of recipes
     return numbered.join(whole, ["seg", "row"], "left").select(F.col("id").alias(id_col), (F.col("base") + F.col("before")).alias("start"), F.coalesce("found", F.lit(0)).alias("n_tokens"), F.col("crc").alias("ids_crc32"), (F.coalesce("sealed", F.lit(False)) & F.coalesce("good", F.lit(False)) & F.coalesce(F.col("found") == F.col("n_tokens"), F.lit(False))).alias("verified"))
 
@@ -375,4 +375,4 @@ def reconstruct(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     refs = recipes.select("seg", "row", "id", "keys", position.alias("at")).select("seg", "row", "id", "at", F.substring(F.col("keys"), F.col("at") * KEY_BYTES + 1, F.lit(KEY_BYTES)).alias("key"))
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/store").filter("kind = 'chunk'").select("key", "n", "payload")
     parts = refs.join(chunks, "key").groupBy("seg", "row", "id").agg(F.array_sort(F.collect_list(F.struct("at", "n", "payload"))).alias("parts"))
-    return parts.select("id", "parts").mapInArrow(expand, f"{id_col} {recipes.schema['id'].dataType.simpleString()}, ids array<bigint>")
+    return parts.select("id", "parts").mapInArrow(task(expand), f"{id_col} {recipes.schema['id'].dataType.simpleString()}, ids array<bigint>")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +49,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Intermediate tables of one operator in a folder of their own, which goes when its last result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, new_path(spark, name)
+
+    def materialize(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        delete(self.spark, self.path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library has written, whatever file system it lies in."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def id_type(df: DataFrame, column: str = "doc_id") -> str:
     return df.schema[column].dataType.simpleString()
 
@@ -57,6 +81,34 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, and what it keeps counts beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def task(run: Callable) -> Callable:
+    """A function over the batches of a task that gives its memory back in the end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def group(run: Callable) -> Callable:
+    """A function over one or two groups that gives back the memory of those before it."""
+
+    def one(*tables):
+        give_back()
+        return run(*tables)
+
+    one.__signature__ = inspect.signature(run)
+    return one
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Only the id (as ``id``), the UTF-8 bytes of the text (as ``body``), and what else is named."""
     small_batches(df.sparkSession)
@@ -111,7 +163,7 @@ def keep_rows(df: DataFrame, text_col: str, decide: Callable[[list[bytes | None]
             for part in cut(batch, pc.binary_length(batch.column(at)), limit):
                 yield part.filter(pa.array(decide(part.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(task(run), df.schema)
 
 
 def carried(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occura.llm.common import lookup, materialize
+from occura.llm.common import Workspace, lookup
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
     """(a, b) edges → one row (node, label) per node that has an edge, label being the smallest node it can reach.
 
     Every round takes the smallest label among the neighbours, then follows the label's own label; the state is
     written to the shared folder each time, and only the number of changed rows comes to the driver.  The edges of one node,
     and the nodes of one label, are spread over many tasks.  Repeated edges and loops change nothing.
     """
+    materialize = (work or Workspace(edges.sparkSession, "components")).materialize
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
     while True:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from occura.llm.common import broadcast_if_small, new_path, slices, texts_of
+from occura.llm.common import broadcast_if_small, delete, group, new_path, slices, task, texts_of
 
 WINDOW = 10
 #: Bytes of text in a segment of the index; bytes of windows that are searched for at a time, and candidates that are intersected at a time.
@@ -84,7 +84,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             row += 1
 
     schema = StructType([*StructType.fromDDL("kind string, segment bigint, term binary, n bigint, positions binary").fields, StructField("ids", ids), *StructType.fromDDL("lengths array<bigint>").fields])
-    texts.mapInArrow(run, schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    texts.mapInArrow(task(run), schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     found = docs.sparkSession.read.schema(StructType([*schema.fields[1:], schema.fields[0]])).parquet(path)
     return Index(found.filter("kind = 'segment'").select("segment", "ids", "lengths"), found.filter("kind = 'posting'").select("segment", "term", "n", "positions"))
 
@@ -103,7 +103,7 @@ def windows_of(benchmark: DataFrame, item_col: str, item_text: str, size: int) -
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(found, pa.binary())], ["item", "window"])
 
     items = texts_of(benchmark.withColumn(item_col, F.col(item_col).cast("string")), item_col, item_text).distinct()
-    return items.mapInArrow(run, "item string, window binary").withColumn("h", F.xxhash64("window"))
+    return items.mapInArrow(task(run), "item string, window binary").withColumn("h", F.xxhash64("window"))
 
 
 class Windows:
@@ -230,7 +230,7 @@ def _matches(index: Index, distinct: DataFrame, size: int, slop: int) -> DataFra
         return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array([spans[t] for t in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([names[t] for t in rows], pa.list_(pa.int64()))], names=["segment", "row", "spans", "windows"])
 
     sizes = index.segments.select(F.col("segment").alias("of"), "lengths")
-    return asked.groupBy("segment").cogroup(sizes.groupBy("of")).applyInArrow(run, "segment bigint, row int, spans array<struct<start: bigint, end: bigint>>, windows array<bigint>")
+    return asked.groupBy("segment").cogroup(sizes.groupBy("of")).applyInArrow(group(run), "segment bigint, row int, spans array<struct<start: bigint, end: bigint>>, windows array<bigint>")
 
 
 def covered(spans: Column) -> Column:
@@ -244,7 +244,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words are runs of characters other than ASCII non-alphanumerics, A-Z lower-cased.  Other columns are not read.
     """
-    return search(build_index(docs, id_col, text_col), benchmark, id_col, item_col, item_text, window=window, slop=slop, block_bytes=block_bytes)
+    path = new_path(docs.sparkSession, "index")
+    found = search(build_index(docs, id_col, text_col, path), benchmark, id_col, item_col, item_text, window=window, slop=slop, block_bytes=block_bytes)
+    delete(docs.sparkSession, f"{path}/kind=posting")  # all matches are written by now
+    return found
 
 
 def items_digest(items: Column) -> Column:

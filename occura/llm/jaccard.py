@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occura.llm.common import broadcast_if_small, id_type, lookup, materialize, slices, texts_of
+from occura.llm.common import Workspace, broadcast_if_small, id_type, lookup, materialize, slices, task, texts_of
 from occura.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -104,7 +104,7 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = WordHashes(), set()
-        for batch, texts in slices(batches, limit=8 << 20):
+        for batch, texts in slices(batches):
             sets = shingle_sets(texts, known, size)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             new = [s for s, k in zip(sets, keys, strict=True) if k not in met and not met.add(k)]
@@ -117,7 +117,7 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
                 ["id", "n", "key", "token", "times"],
             )
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, f"id {id_type(docs, id_col)}, n bigint, key binary, token bigint, times bigint")
+    return texts_of(docs, id_col, text_col).mapInArrow(task(run), f"id {id_type(docs, id_col)}, n bigint, key binary, token bigint, times bigint")
 
 
 def _prefix_table(docs: DataFrame, id_col: str, text_col: str, frequent: DataFrame, size: int, percent: int, orders: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _prefix_table(docs: DataFrame, id_col: str, text_col: str, frequent: DataFra
             )
 
     columns = "".join(f", p{k} array<int>" for k in range(orders))
-    return texts_of(docs, id_col, text_col).mapInArrow(run, f"id {id_type(docs, id_col)}, key binary, n bigint, own bigint{_BITS}{columns}")
+    return texts_of(docs, id_col, text_col).mapInArrow(task(run), f"id {id_type(docs, id_col)}, key binary, n bigint, own bigint{_BITS}{columns}")
 
 
 def _postings(prefix: DataFrame) -> DataFrame:
@@ -166,8 +166,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(kept, pa.int64())), pa.array([sets[k].view(np.int64) for k in kept], pa.list_(pa.int64()))], ["id", "tokens"])
 
     wanted = nodes.select(F.col("id").alias("id_of"), F.col("key").alias("key_of"))
-    chosen = texts_of(docs, id_col, text_col).join(broadcast_if_small(wanted, 10_000), F.col("id") == F.col("id_of")).select("id", "body", "key_of")
-    return chosen.mapInArrow(run, f"id {id_type(docs, id_col)}, tokens array<bigint>")
+    chosen = texts_of(docs, id_col, text_col).join(broadcast_if_small(wanted), F.col("id") == F.col("id_of")).select("id", "body", "key_of")
+    return chosen.mapInArrow(task(run), f"id {id_type(docs, id_col)}, tokens array<bigint>")
 
 
 def _can_match(x: str, y: str, percent: int) -> Column:
@@ -197,24 +197,24 @@ def _stars(postings: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     return fit.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("times", -F.col("own"), "h")).alias("best")).select(F.col("best.h").alias("a"), "b")
 
 
-def _mixed(postings: DataFrame, labels: DataFrame, table: DataFrame) -> DataFrame:
+def _mixed(postings: DataFrame, labels: DataFrame, table: DataFrame, work: Workspace) -> DataFrame:
     """The postings of tokens whose texts are still in several components, with the texts' labels and parities."""
     labels = labels.select(F.col("node").alias("id"), "label")
-    rows = materialize(postings.join(labels, "id", "left").select("token", "id", "n", "at", F.coalesce("label", "id").alias("label")), "labelled")
+    rows = work.materialize(postings.join(labels, "id", "left").select("token", "id", "n", "at", F.coalesce("label", "id").alias("label")), "labelled")
     several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     return rows.join(several, "token", "left_semi").join(table.select("id", *PARITIES), "id")
 
 
-def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, orders: int) -> DataFrame:
+def _verified(pairs: DataFrame, table: DataFrame, work: Workspace, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, orders: int) -> DataFrame:
     """Those of the (a, b) pairs that pass the filters of all orders and then the exact test."""
     own = [f"p{k}" for k in range(1, orders)]
     side = lambda s: table.select(F.col("id").alias(s), *(F.col(p).alias(f"{p}{s}") for p in own))
     filtered = pairs.join(side("a"), "a").join(side("b"), "b")
     for p in own:
         filtered = filtered.filter(F.arrays_overlap(f"{p}a", f"{p}b"))
-    left = materialize(filtered.select("a", "b"), "candidates")
-    nodes = materialize(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().join(table.select("id", "key"), "id"), "nodes")
-    sets = materialize(_sets_of(docs, nodes, id_col, text_col, size), "sets")
+    left = work.materialize(filtered.select("a", "b"), "candidates")
+    nodes = work.materialize(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().join(table.select("id", "key"), "id"), "nodes")
+    sets = work.materialize(_sets_of(docs, nodes, id_col, text_col, size), "sets")
     whole = left.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return whole.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -229,30 +229,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with a null id link with nothing and get a null component.  Repeated rows give a row each.  Other columns are not read.
 
     Tokens are 64-bit hashes and sets have 128-bit keys.  Nothing but the FREQUENT_TOKENS most frequent tokens (a
-    bounded hint for the orders) comes to the driver.  Tables of up to 10,000 rows are broadcast; beyond that joins shuffle, and
-    lookups spread the rows of one key.  Pairs of a bucket are made by a shuffled join that adaptive execution can split.
+    bounded hint for the orders) comes to the driver.  Tables of keys are broadcast up to a proven number of rows; beyond that
+    joins shuffle, and lookups spread the rows of one key.  Pairs of a bucket are made by a shuffled join that adaptive execution can split.
     """
     spark = docs.sparkSession
     survey = materialize(_survey(docs, id_col, text_col, size), "survey")
     rows = survey.filter("key is not null").select("id", "n", "key")
     frequent = survey.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT_TOKENS)
-    classes = materialize(rows.filter("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("rep")), "classes")
+    work = Workspace(spark, "jaccard")
+    classes = work.materialize(rows.filter("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("rep")), "classes")
     prefix = _prefix_table(docs, id_col, text_col, frequent, size, percent, orders)
-    prefix = materialize(prefix.join(classes.select(F.col("rep").alias("id"), "key"), ["id", "key"]), "prefixes")  # a class is its smallest id
-
-    test = lambda pairs: _verified(pairs, prefix, docs, id_col, text_col, size, percent, orders)
-    postings = materialize(_postings(prefix), "postings")
-    stars = materialize(_stars(postings, prefix, percent), "stars")
-    edges = materialize(test(stars), "links")
-    labels = components(edges)
-    placed = materialize(_mixed(postings, labels, prefix), "placed")
+    prefix = work.materialize(prefix.join(classes.select(F.col("rep").alias("id"), "key"), ["id", "key"]), "prefixes")  # a class is its smallest id
+
+    test = lambda pairs: _verified(pairs, prefix, work, docs, id_col, text_col, size, percent, orders)
+    postings = work.materialize(_postings(prefix), "postings")
+    stars = work.materialize(_stars(postings, prefix, percent), "stars")
+    edges = work.materialize(test(stars), "links")
+    labels = components(edges, work)
+    placed = work.materialize(_mixed(postings, labels, prefix, work), "placed")
     other = placed.select("token", *[F.col(c).alias(f"other_{c}") for c in placed.columns if c != "token"])
     rest = placed.join(other, "token").filter((F.col("id") < F.col("other_id")) & (F.col("label") != F.col("other_label")) & _can_match("", "other_", percent) & _can_differ("", "other_", percent)).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
-    rest = materialize(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    rest = work.materialize(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        labels = components(edges.union(test(rest)))
+        labels = components(edges.union(test(rest)), work)
 
     of_class = materialize(classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", F.coalesce("label", "rep").alias("label")), "labels_of_classes")
+    work.drop()
     found = lookup(rows, of_class, ["key"], "id", "left")
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNull(), None).otherwise(F.col("label"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

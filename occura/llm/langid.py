@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from occura.llm.common import broadcast_if_small, carried, materialize, schema_of, slices
+from occura.llm.common import broadcast_if_small, carried, materialize, schema_of, slices, task
 
 UNDETERMINED = "und"
 #: Sample of a language: labelled documents, and characters; characters taken of a longer text; languages up to which each has that much.
@@ -267,7 +267,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             best, score = classify(texts, model, table)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("more"), pa.array(names[best], pa.string()), pa.array(score)], ["id", "more", "lang_pred", "score"])
 
-    found = kept.mapInArrow(run, schema_of(kept, ["id", "more"], "lang_pred string, score double"))
+    found = kept.mapInArrow(task(run), schema_of(kept, ["id", "more"], "lang_pred string, score double"))
     return found.select(F.col("id").alias(id_col), *[F.col("more")[x].alias(x) for x in kept.schema["more"].dataType.names[1:]], "lang_pred", "score")
 
 

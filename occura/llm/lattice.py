@@ -23,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occura.llm.common import Dealt, id_type, materialize, pack, schema_of, slices, texts_of, unpack
+from occura.llm.common import Dealt, group, id_type, materialize, pack, schema_of, slices, task, texts_of, unpack
 
 #: Bytes of text in a segment; bytes of all texts for each bucket of words.
-SEGMENT_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
+SEGMENT_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
 MARK = "▁"
 
 
@@ -52,7 +52,7 @@ def segments(docs: DataFrame, id_col: str, text_col: str, held_out: Column, buck
             )
             row += 1
 
-    return rows.mapInArrow(run, f"segment bigint, tokens binary, lengths array<bigint>, ids array<{kind}>, held array<boolean>, bucket bigint, words binary, train binary")
+    return rows.mapInArrow(task(run), f"segment bigint, tokens binary, lengths array<bigint>, ids array<{kind}>, held array<boolean>, bucket bigint, words binary, train binary")
 
 
 def word_table(requests: DataFrame, model_path: str) -> DataFrame:
@@ -76,7 +76,7 @@ def word_table(requests: DataFrame, model_path: str) -> DataFrame:
         used = np.flatnonzero(pieces)
         return pa.table([table.column("bucket")[:1], pa.array([zstandard.compress(b" ".join(distinct), 1)], pa.binary()), pa.array([pack(counts)], pa.binary()), pa.array([int(counts.sum())]), pa.array([len(seen)]), pa.array([used.tolist()], pa.list_(pa.int32())), pa.array([pieces[used].tolist()], pa.list_(pa.int64()))], names=["bucket", "words", "counts", "tokens", "distinct", "pieces", "times"])
 
-    return requests.groupBy("bucket").applyInArrow(run, "bucket bigint, words binary, counts binary, tokens bigint, distinct bigint, pieces array<int>, times array<bigint>")
+    return requests.groupBy("bucket").applyInArrow(group(run), "bucket bigint, words binary, counts binary, tokens bigint, distinct bigint, pieces array<int>, times array<bigint>")
 
 
 class PieceLattice:
@@ -165,7 +165,7 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out: Column, id_col: s
         return pa.table([left.column("segment"), left.column("bucket"), pa.array([pack(counts[k]) for k in own], pa.binary()), pa.array([pack(logs[k]) for k in own], pa.binary())], names=["segment", "bucket", "counts", "logs"])
 
     known = words.select(F.col("bucket").alias("of"), "words", "counts")
-    replies = requests.select("segment", "bucket", "words").groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(weigh, "segment bigint, bucket bigint, counts binary, logs binary")
+    replies = requests.select("segment", "bucket", "words").groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(group(weigh), "segment bigint, bucket bigint, counts binary, logs binary")
     base = lambda c: np.log10((c + 1) / (train_tokens + distinct + 1))
     end_base, end_score = float(base(np.float64(ends))), lattice.end
     kinds = schema_of(docs, [id_col], "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
@@ -183,4 +183,4 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out: Column, id_col: s
         return pa.table([ids, held, pa.array(lengths + 1), pa.array(add((counts > 0)[tokens]).astype(np.int64) + (ends > 0)), pa.array(np.full(n, train_tokens, np.int64)), pa.array(add(base(counts)[tokens]) + end_base), pa.array(add(logs[tokens]) + end_score)], names=kinds.names)
 
     texts = store.filter("tokens is not null").select(F.col("segment").alias("at"), "ids", "held", "lengths", "tokens")
-    return texts.groupBy("at").cogroup(replies.groupBy("segment")).applyInArrow(add_up, kinds)
+    return texts.groupBy("at").cogroup(replies.groupBy("segment")).applyInArrow(group(add_up), kinds)

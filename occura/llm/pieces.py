@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occura.llm.common import Dealt, id_type, materialize, pack, schema_of, slices, texts_of, unpack
+from occura.llm.common import Dealt, group, id_type, materialize, pack, schema_of, slices, task, texts_of, unpack
 
 MARK = "▁"
 #: Bytes of text in a segment; bytes of all texts for each bucket of chunks.
-SEGMENT_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
+SEGMENT_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
 #: How a chunk stands in a text: behind a space or at the start, or by itself.
 INSIDE, ALONE = b"-", b"="
 _CHUNK = re.compile(" *[^ ]+")
@@ -73,7 +73,7 @@ def segments(texts: DataFrame, buckets: int, whole: bool, segment_bytes: int = S
             )
             row += 1
 
-    return texts.mapInArrow(run, f"segment bigint, tokens binary, lengths array<bigint>, ids array<{id_type(texts, 'id')}>, bucket bigint, n bigint, chunks binary")
+    return texts.mapInArrow(task(run), f"segment bigint, tokens binary, lengths array<bigint>, ids array<{id_type(texts, 'id')}>, bucket bigint, n bigint, chunks binary")
 
 
 class Library:
@@ -116,7 +116,7 @@ def answered(requests: DataFrame, model_path: str) -> DataFrame:
             out.append([pack(sizes), pack(np.frombuffer(b"".join([ids[k] for k in own]), "<u4")), zstandard.compress(_END.join([plain[k] for k in own]), 1)])
         return pa.table([table.column("segment"), table.column("bucket"), *(pa.array(list(x), pa.binary()) for x in zip(*out, strict=True))], names=["segment", "bucket", "sizes", "ids", "plain"])
 
-    return requests.groupBy("bucket").applyInArrow(run, "segment bigint, bucket bigint, sizes binary, ids binary, plain binary")
+    return requests.groupBy("bucket").applyInArrow(group(run), "segment bigint, bucket bigint, sizes binary, ids binary, plain binary")
 
 
 def encode_decode(docs: DataFrame, model_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -168,4 +168,4 @@ def encode_decode(docs: DataFrame, model_path: str, end_id: int = 2, id_col: str
         return pa.table(columns, names=kinds.names)
 
     kinds = schema_of(docs, [id_col], "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))
-    return of_text.groupBy("of").cogroup(replies.groupBy("segment")).applyInArrow(join, kinds)
+    return of_text.groupBy("of").cogroup(replies.groupBy("segment")).applyInArrow(group(join), kinds)

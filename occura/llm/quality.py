@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occura.llm.common import carried, materialize, schema_of, slices
+from occura.llm.common import carried, materialize, schema_of, slices, task
 
 BUCKET_BITS = 16
 DIMENSION = 8
@@ -131,8 +131,8 @@ def fit(labelled: DataFrame, label_col: str = "quality", text_col: str = "text",
         model = train([found[k] for k in sorted(found)])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    sample = materialize(_sampled(rows).mapInArrow(count, "h bigint, label int, buckets binary, times binary"), "quality_sample")
-    return pickle.loads(sample.coalesce(1).mapInArrow(learn, "model binary").first()["model"])
+    sample = materialize(_sampled(rows).mapInArrow(task(count), "h bigint, label int, buckets binary, times binary"), "quality_sample")
+    return pickle.loads(sample.coalesce(1).mapInArrow(task(learn), "model binary").first()["model"])
 
 
 def train(data: list[tuple[int, np.ndarray, np.ndarray]]) -> QualityModel:
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
         for batch, texts in slices(batches, limit=1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("more"), pa.array(model.probability_of_one(texts))], ["id", "more", "score"])
 
-    found = kept.mapInArrow(run, schema_of(kept, ["id", "more"], "score double"))
+    found = kept.mapInArrow(task(run), schema_of(kept, ["id", "more"], "score double"))
     return found.select(F.col("id").alias(id_col), *[F.col("more")[x].alias(x) for x in kept.schema["more"].dataType.names[1:]], "score")
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from occura.llm.common import id_type, slices, texts_of
+from occura.llm.common import id_type, slices, task, texts_of
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -154,4 +154,4 @@ def repetition_rule(
                 names.append("repeat_spans")
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, schema)
+    return texts_of(docs, id_col, text_col).mapInArrow(task(run), schema)

@@ -33,3 +33,14 @@ def benchmark_dir(spark, tmp_path):
 def test_decontamination_under_shared_and_null_ids(spark, make, benchmark_dir):
     docs = make([(1, "x " + NEAR), (1, CLEAN), (None, NEAR), (None, OTHER), (2, None)])
     assert kept(corpus_pipeline.decontamination, spark, docs, benchmark_dir) == sorted([(1, CLEAN), (None, OTHER), (2, None)], key=repr)
+
+
+def test_rows_of_files_have_one_key_each(spark, make, tmp_path):
+    docs = make([(1, COPY), (None, NEAR), (2, CLEAN), (2, OTHER)] * 5).repartition(3)
+    docs.write.parquet(f"{tmp_path}/docs")
+    read = spark.read.parquet(f"{tmp_path}/docs")
+    rows = corpus_pipeline._numbered(read, "rows")
+    keys = {(r[corpus_pipeline.ROW], r.text) for r in rows.collect()}
+    assert len({k for k, _ in keys}) == 20 and keys == {(r[corpus_pipeline.ROW], r.text) for r in rows.repartition(7).collect()}
+    assert rows.columns == [*docs.columns, corpus_pipeline.ROW]
+    assert kept(corpus_pipeline.near_copies, spark, read) == sorted([(1, COPY), (2, CLEAN), (2, OTHER)], key=repr)
