@@ -7,6 +7,7 @@ result of each is written as Parquet to the shared folder and read again as the
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from occura.llm import decontaminate, jaccard, langid, pieces, quality
 from occura.llm.common import broadcast_if_small, keep_rows, materialize, table
 from occura.llm.queries import QUALITY_THRESHOLD, labelled
 
-#: Column of the stages' own row keys.
-ROW = "_row"
+#: Column of the stages' own row keys; files whose names are held by the driver at most.
+ROW, MOST_FILES = "_row", 10_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with a key of their own, written once so that it stays the same; ids may repeat or be null."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """The rows with a key of their own that stays the same; ids may repeat or be null.
+
+    Rows of files are known by their file's number and their place in it.  What doesn't come straight from files, or from
+    more of them than MOST_FILES, is written once with numbers.
+    """
+    try:
+        placed = docs.withColumns({"_file": F.col("_metadata.file_path"), "_place": F.col("_metadata.row_index")})
+    except AnalysisException:
+        placed = None
+    files = placed.select("_file").distinct().limit(MOST_FILES + 1).collect() if placed is not None else []
+    if not 0 < len(files) <= MOST_FILES:
+        return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+    numbers = docs.sparkSession.createDataFrame([(x, k) for k, x in enumerate(sorted(r["_file"] for r in files))], "_file string, _number bigint")
+    return placed.join(F.broadcast(numbers), "_file").withColumn(ROW, F.shiftleft("_number", 40) + F.col("_place")).select(*docs.columns, ROW)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
