@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python task works on at a time, and bytes of rows that it is handed at a time.
-SLICE_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
+SLICE_BYTES, BATCH_BYTES = 2 << 20, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from occura.llm.common import broadcast_if_small, delete, group, new_path, slice
 
 WINDOW = 10
 #: Bytes of text in a segment of the index; bytes of windows that are searched for at a time, and candidates that are intersected at a time.
-SEGMENT_BYTES, BLOCK_BYTES, CANDIDATES = 8 << 20, 4 << 20, 1 << 21
+SEGMENT_BYTES, BLOCK_BYTES, CANDIDATES = 4 << 20, 4 << 20, 1 << 20
 
 #: Lower case for A-Z; space for the ASCII characters that are neither letter nor digit.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))

@@ -33,7 +33,7 @@ FREQUENT_IN_SLICE = 3
 #: Columns of a set's parities, 64 of them each: token counts by a hash of the token, modulo 2.
 PARITIES = ("s0", "s1", "s2", "s3")
 #: Words whose hash a task remembers.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 

@@ -31,7 +31,7 @@ from occura.llm.common import Dealt, group, id_type, materialize, pack, schema_o
 
 MARK = "▁"
 #: Bytes of text in a segment; bytes of all texts for each bucket of chunks.
-SEGMENT_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+SEGMENT_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: How a chunk stands in a text: behind a space or at the start, or by itself.
 INSIDE, ALONE = b"-", b"="
 _CHUNK = re.compile(" *[^ ]+")
