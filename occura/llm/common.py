@@ -173,10 +173,11 @@ def carried(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
 
 @dataclass
 class Dealt:
-    """Texts as numbers of their distinct items, which are numbered by bucket, and in a bucket in the order in which they are met."""
+    """Texts as numbers of their distinct items.  The numbers are ranks by frequency, which pack well; the items lie by bucket and rank."""
 
     lengths: np.ndarray
     tokens: np.ndarray
+    ranks: np.ndarray
     items: list[bytes]
     buckets: list[int]
     counts: list[int]
@@ -192,11 +193,23 @@ class Dealt:
             found.append(np.fromiter(map(number.__getitem__, items), np.uint32, len(items)))
         distinct = list(number)
         bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
+        tokens = np.concatenate(found)
+        rank = np.empty(len(distinct), np.uint32)
+        rank[np.argsort(-np.bincount(tokens, minlength=len(distinct)), kind="stable")] = np.arange(len(distinct), dtype=np.uint32)
+        order = np.lexsort((rank, bucket))
         used, counts = np.unique(bucket, return_counts=True)
-        return cls(np.array([len(x) for x in found], np.int64), place[np.concatenate(found)], [distinct[k] for k in order.tolist()], used.astype(np.int64).tolist(), counts.tolist())
+        return cls(np.array([len(x) for x in found], np.int64), rank[tokens], rank[order], [distinct[k] for k in order.tolist()], used.astype(np.int64).tolist(), counts.tolist())
+
+    def packed(self) -> list[bytes]:
+        return [pack(self.tokens), pack(np.diff(self.ranks, prepend=np.uint32(0)))]
+
+    @staticmethod
+    def places(tokens: bytes, ranks: bytes) -> np.ndarray:
+        """The texts as places in the list of items."""
+        order = np.cumsum(unpack(ranks, "<u4"), dtype=np.uint32)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return place[unpack(tokens, "<u4")]
 
     def groups(self) -> Iterator[tuple[int, int]]:
         """Where each bucket's items begin and end."""
@@ -208,7 +221,7 @@ class Dealt:
 
 def pack(values: np.ndarray) -> bytes:
     """Numbers byte by byte, compressed."""
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 3)
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:

@@ -40,19 +40,19 @@ def segments(docs: DataFrame, id_col: str, text_col: str, held_out: Column, buck
         for batch, bodies in slices(batches, limit=segment_bytes):
             dealt = Dealt.of(((b or b"").lower().split() for b in bodies), buckets)
             held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            train = np.bincount(dealt.tokens[np.repeat(~held, dealt.lengths)], minlength=len(dealt.items)).astype("<u4")
+            train = np.bincount(dealt.tokens[np.repeat(~held, dealt.lengths)], minlength=len(dealt.items)).astype("<u4")[dealt.ranks]
             words = [zstandard.compress(b" ".join(dealt.items[a:b]), 1) for a, b in dealt.groups()]
             counts = [pack(train[a:b]) for a, b in dealt.groups()]
             own, n, texts = part << 33 | row, len(words), len(bodies)
             column = lambda first, others, kind: pa.array([first, *others], kind)  # noqa: E731  one row for the texts, then one for each bucket
             yield pa.RecordBatch.from_arrays(
-                [column(own, [own] * n, pa.int64()), column(pack(dealt.tokens), [None] * n, pa.binary()), column(dealt.lengths, [None] * n, pa.list_(pa.int64())), pa.ListArray.from_arrays(column(0, [texts] * (n + 1), pa.int32()), batch.column("id")),
+                [column(own, [own] * n, pa.int64()), *(column(x, [None] * n, pa.binary()) for x in dealt.packed()), column(dealt.lengths, [None] * n, pa.list_(pa.int64())), pa.ListArray.from_arrays(column(0, [texts] * (n + 1), pa.int32()), batch.column("id")),
                  column(held, [None] * n, pa.list_(pa.bool_())), column(None, dealt.buckets, pa.int64()), column(None, words, pa.binary()), column(None, counts, pa.binary())],
-                ["segment", "tokens", "lengths", "ids", "held", "bucket", "words", "train"],
+                ["segment", "tokens", "ranks", "lengths", "ids", "held", "bucket", "words", "train"],
             )
             row += 1
 
-    return rows.mapInArrow(task(run), f"segment bigint, tokens binary, lengths array<bigint>, ids array<{kind}>, held array<boolean>, bucket bigint, words binary, train binary")
+    return rows.mapInArrow(task(run), f"segment bigint, tokens binary, ranks binary, lengths array<bigint>, ids array<{kind}>, held array<boolean>, bucket bigint, words binary, train binary")
 
 
 def word_table(requests: DataFrame, model_path: str) -> DataFrame:
@@ -175,12 +175,12 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out: Column, id_col: s
         read = lambda name, kind: np.concatenate([np.empty(0, kind), *(unpack(right.column(name)[k].as_py(), kind) for k in order)])
         counts, logs = read("counts", "<i8"), read("logs", "<f8")
         lengths = left.column("lengths").combine_chunks().values.to_numpy()
-        tokens = unpack(left.column("tokens")[0].as_py(), "<u4")
+        tokens = Dealt.places(left.column("tokens")[0].as_py(), left.column("ranks")[0].as_py())
         n = len(lengths)
         text = np.repeat(np.arange(n), lengths)
         add = lambda x: np.bincount(text, weights=x, minlength=n)
         ids, held = (left.column(c).combine_chunks().values for c in ("ids", "held"))
         return pa.table([ids, held, pa.array(lengths + 1), pa.array(add((counts > 0)[tokens]).astype(np.int64) + (ends > 0)), pa.array(np.full(n, train_tokens, np.int64)), pa.array(add(base(counts)[tokens]) + end_base), pa.array(add(logs[tokens]) + end_score)], names=kinds.names)
 
-    texts = store.filter("tokens is not null").select(F.col("segment").alias("at"), "ids", "held", "lengths", "tokens")
+    texts = store.filter("tokens is not null").select(F.col("segment").alias("at"), "ids", "held", "lengths", "tokens", "ranks")
     return texts.groupBy("at").cogroup(replies.groupBy("segment")).applyInArrow(group(add_up), kinds)

@@ -31,7 +31,7 @@ from occura.llm.common import Dealt, group, id_type, materialize, pack, schema_o
 
 MARK = "▁"
 #: Bytes of text in a segment; bytes of all texts for each bucket of chunks.
-SEGMENT_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+SEGMENT_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
 #: How a chunk stands in a text: behind a space or at the start, or by itself.
 INSIDE, ALONE = b"-", b"="
 _CHUNK = re.compile(" *[^ ]+")
@@ -63,17 +63,17 @@ def segments(texts: DataFrame, buckets: int, whole: bool, segment_bytes: int = S
         part, row = TaskContext.get().partitionId(), 0
         for batch, bodies in slices(batches, limit=segment_bytes):
             dealt = Dealt.of((chunks_of(b or b"") if whole else [ALONE + (b or b"")] for b in bodies), buckets)
-            packed = [zstandard.compress(_END.join(dealt.items[a:b]), 1) for a, b in dealt.groups()]
+            packed = [zstandard.compress(_END.join(dealt.items[a:b]), 6) for a, b in dealt.groups()]
             own, n = part << 33 | row, len(packed)
             column = lambda first, others, kind: pa.array([first, *others], kind)  # noqa: E731  one row for the texts, then one for each bucket
             yield pa.RecordBatch.from_arrays(
-                [column(own, [own] * n, pa.int64()), column(pack(dealt.tokens), [None] * n, pa.binary()), column(dealt.lengths, [None] * n, pa.list_(pa.int64())),
+                [column(own, [own] * n, pa.int64()), *(column(x, [None] * n, pa.binary()) for x in dealt.packed()), column(dealt.lengths, [None] * n, pa.list_(pa.int64())),
                  pa.ListArray.from_arrays(column(0, [len(bodies)] * (n + 1), pa.int32()), batch.column("id")), column(None, dealt.buckets, pa.int64()), column(None, dealt.counts, pa.int64()), column(None, packed, pa.binary())],
-                ["segment", "tokens", "lengths", "ids", "bucket", "n", "chunks"],
+                ["segment", "tokens", "ranks", "lengths", "ids", "bucket", "n", "chunks"],
             )
             row += 1
 
-    return texts.mapInArrow(task(run), f"segment bigint, tokens binary, lengths array<bigint>, ids array<{id_type(texts, 'id')}>, bucket bigint, n bigint, chunks binary")
+    return texts.mapInArrow(task(run), f"segment bigint, tokens binary, ranks binary, lengths array<bigint>, ids array<{id_type(texts, 'id')}>, bucket bigint, n bigint, chunks binary")
 
 
 class Library:
@@ -113,28 +113,28 @@ def answered(requests: DataFrame, model_path: str) -> DataFrame:
         for numbers in lists:
             own = numbers.tolist()
             sizes = np.array([len(ids[k]) // 4 for k in own], "<u4")
-            out.append([pack(sizes), pack(np.frombuffer(b"".join([ids[k] for k in own]), "<u4")), zstandard.compress(_END.join([plain[k] for k in own]), 1)])
+            out.append([pack(sizes), pack(np.frombuffer(b"".join([ids[k] for k in own]), "<u4")), zstandard.compress(_END.join([plain[k] for k in own]), 6)])
         return pa.table([table.column("segment"), table.column("bucket"), *(pa.array(list(x), pa.binary()) for x in zip(*out, strict=True))], names=["segment", "bucket", "sizes", "ids", "plain"])
 
     return requests.groupBy("bucket").applyInArrow(group(run), "segment bigint, bucket bigint, sizes binary, ids binary, plain binary")
 
 
-def encode_decode(docs: DataFrame, model_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens (with the end id), ids_sha256, decoded_sha256, and with ``with_ids`` the ids and the decoded text.
 
     A null text is taken as empty: one id, the end.  Repeated rows and null ids give a row each; other columns are not read.
     Where pieces can cross whitespace markers, every whole text is a chunk, so that equal texts are segmented once.
 
-    A segment's memory is bounded by SEGMENT_BYTES or one longer text, a bucket's by the number of buckets, which follows the
+    A segment's memory is bounded by ``segment_bytes`` or one longer text, a bucket's by the number of buckets, which follows the
     bytes of all texts.
     """
     texts = texts_of(docs, id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     whole = pieces_stay_in_chunks(sentencepiece.SentencePieceProcessor(model_file=model_path))
     buckets = 1 + total // BUCKET_BYTES
-    store = materialize(segments(texts, buckets, whole), "segments")
+    store = materialize(segments(texts, buckets, whole, segment_bytes), "segments")
     replies = answered(store.filter("bucket is not null").select("segment", "bucket", "chunks"), model_path)
-    of_text = store.filter("tokens is not null").select(F.col("segment").alias("of"), "tokens", "lengths", "ids")
+    of_text = store.filter("tokens is not null").select(F.col("segment").alias("of"), "tokens", "ranks", "lengths", "ids")
 
     def join(key, left: pa.Table, right: pa.Table) -> pa.Table:
         listed: list[str] = []
@@ -148,7 +148,7 @@ def encode_decode(docs: DataFrame, model_path: str, end_id: int = 2, id_col: str
             listed += [" ".join(decimal[e - m : e]) for e, m in zip(ends, sizes[-1].tolist(), strict=True)]
         per, ids = np.concatenate(sizes), np.concatenate(flat).astype(np.int32)
         starts, some_empty = np.cumsum(per) - per, bool((per == 0).any())
-        tokens = unpack(left.column("tokens")[0].as_py(), "<u4").astype(np.int64)
+        tokens = Dealt.places(left.column("tokens")[0].as_py(), left.column("ranks")[0].as_py())
         at, counts, digests, of_plain, streams, decoded = 0, [], [], [], [], []
         for n in left.column("lengths").combine_chunks().values.to_pylist():
             own = tokens[at : at + n]
