@@ -79,7 +79,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece: piece ids of each document with the end id, their digest and that of the decoded text."""
-    return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True).drop("decoded")
+    return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, segment_bytes=4 << 20).drop("decoded")
 
 
 STAGES = [("language", language), ("quality", quality_stage), ("near_copies", near_copies), ("decontamination", decontamination), ("encode", encode)]
