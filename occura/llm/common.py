@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -70,6 +71,15 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """A table that gives the same rows in the same tasks each time it is read: files as they are; anything else is written once."""
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return materialize(df, name)
+    return df
+
+
 def id_type(df: DataFrame, column: str = "doc_id") -> str:
     return df.schema[column].dataType.simpleString()
 

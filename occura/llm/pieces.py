@@ -3,8 +3,8 @@
 No piece of the vocabulary has a whitespace marker after another character, so no merge crosses from one marked word
 into the next: the ids of a text are those of its marked words in order.  Three steps:
 
-- The corpus is written as segments: the distinct chunks of some texts, dealt to buckets by their hash, and the texts as
-  packed numbers of chunks.
+- The corpus is cut into segments: the distinct chunks of some texts, dealt to buckets by their hash, and the texts as
+  packed numbers of chunks.  Chunks and texts go different ways, so the files are read for either; a mark tells that they agree.
 - The segments' chunks are brought together by bucket.  All occurrences of a chunk meet there, and the library segments and
   decodes each distinct chunk once.
 - The answers go back to their segments, where the texts are joined together by the positions of their chunks.
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occura.llm.common import Dealt, group, id_type, materialize, pack, schema_of, slices, task, texts_of, unpack
+from occura.llm.common import Dealt, group, id_type, pack, schema_of, slices, steady, task, texts_of, unpack
 
 MARK = "▁"
 #: Bytes of text in a segment; bytes of all texts for each bucket of chunks.
@@ -56,24 +56,28 @@ def chunks_of(text: bytes) -> list[bytes]:
     return [INSIDE + x for x in parts]
 
 
-def segments(texts: DataFrame, buckets: int, whole: bool, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """(id, body) → per segment one row with its texts, as numbers of chunks, and one for each bucket with its chunks in the order of their numbers."""
+def segments(texts: DataFrame, buckets: int, whole: bool, segment_bytes: int, chunks: bool) -> DataFrame:
+    """(id, body) → per segment one row with its texts, as numbers of chunks, or with ``chunks`` one for each bucket with its chunks in the order of their places.
+
+    ``mark`` is a digest of all the segment's chunks: texts and chunks that go together have the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
         for batch, bodies in slices(batches, limit=segment_bytes):
             dealt = Dealt.of((chunks_of(b or b"") if whole else [ALONE + (b or b"")] for b in bodies), buckets)
-            packed = [zstandard.compress(_END.join(dealt.items[a:b]), 6) for a, b in dealt.groups()]
-            own, n = part << 33 | row, len(packed)
-            column = lambda first, others, kind: pa.array([first, *others], kind)  # noqa: E731  one row for the texts, then one for each bucket
-            yield pa.RecordBatch.from_arrays(
-                [column(own, [own] * n, pa.int64()), *(column(x, [None] * n, pa.binary()) for x in dealt.packed()), column(dealt.lengths, [None] * n, pa.list_(pa.int64())),
-                 pa.ListArray.from_arrays(column(0, [len(bodies)] * (n + 1), pa.int32()), batch.column("id")), column(None, dealt.buckets, pa.int64()), column(None, dealt.counts, pa.int64()), column(None, packed, pa.binary())],
-                ["segment", "tokens", "ranks", "lengths", "ids", "bucket", "n", "chunks"],
-            )
+            joined = [_END.join(dealt.items[a:b]) for a, b in dealt.groups()]
+            mark, n = hashlib.blake2b(_END.join(joined), digest_size=16).digest(), len(joined) if chunks else 1
+            own = [pa.array([part << 33 | row] * n, pa.int64()), pa.array([mark] * n, pa.binary())]
             row += 1
+            if chunks:
+                yield pa.RecordBatch.from_arrays([*own, pa.array(dealt.buckets, pa.int64()), pa.array([zstandard.compress(x, 6) for x in joined], pa.binary())], ["segment", "mark", "bucket", "chunks"])
+            else:
+                ids = pa.ListArray.from_arrays(pa.array([0, len(bodies)], pa.int32()), batch.column("id"))
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array([x], pa.binary()) for x in dealt.packed()), pa.array([dealt.lengths], pa.list_(pa.int64())), ids], ["segment", "mark", "tokens", "ranks", "lengths", "ids"])
 
-    return texts.mapInArrow(task(run), f"segment bigint, tokens binary, ranks binary, lengths array<bigint>, ids array<{id_type(texts, 'id')}>, bucket bigint, n bigint, chunks binary")
+    columns = "bucket bigint, chunks binary" if chunks else f"tokens binary, ranks binary, lengths array<bigint>, ids array<{id_type(texts, 'id')}>"
+    return texts.mapInArrow(task(run), f"segment bigint, mark binary, {columns}")
 
 
 class Library:
@@ -92,7 +96,7 @@ class Library:
 
 
 def answered(requests: DataFrame, model_path: str) -> DataFrame:
-    """(segment, bucket, chunks) → (segment, bucket, sizes and ids, decoded texts), each distinct chunk of a bucket segmented once."""
+    """(segment, mark, bucket, chunks) → (segment, mark, bucket, sizes and ids, decoded texts), each distinct chunk of a bucket segmented once."""
 
     def run(table: pa.Table) -> pa.Table:
         library = Library(model_path)
@@ -114,9 +118,9 @@ def answered(requests: DataFrame, model_path: str) -> DataFrame:
             own = numbers.tolist()
             sizes = np.array([len(ids[k]) // 4 for k in own], "<u4")
             out.append([pack(sizes), pack(np.frombuffer(b"".join([ids[k] for k in own]), "<u4")), zstandard.compress(_END.join([plain[k] for k in own]), 6)])
-        return pa.table([table.column("segment"), table.column("bucket"), *(pa.array(list(x), pa.binary()) for x in zip(*out, strict=True))], names=["segment", "bucket", "sizes", "ids", "plain"])
+        return pa.table([table.column("segment"), table.column("mark"), table.column("bucket"), *(pa.array(list(x), pa.binary()) for x in zip(*out, strict=True))], names=["segment", "mark", "bucket", "sizes", "ids", "plain"])
 
-    return requests.groupBy("bucket").applyInArrow(group(run), "segment bigint, bucket bigint, sizes binary, ids binary, plain binary")
+    return requests.groupBy("bucket").applyInArrow(group(run), "segment bigint, mark binary, bucket bigint, sizes binary, ids binary, plain binary")
 
 
 def encode_decode(docs: DataFrame, model_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -128,15 +132,16 @@ def encode_decode(docs: DataFrame, model_path: str, end_id: int = 2, id_col: str
     A segment's memory is bounded by ``segment_bytes`` or one longer text, a bucket's by the number of buckets, which follows the
     bytes of all texts.
     """
-    texts = texts_of(docs, id_col, text_col)
+    texts = texts_of(steady(docs, "texts"), id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     whole = pieces_stay_in_chunks(sentencepiece.SentencePieceProcessor(model_file=model_path))
     buckets = 1 + total // BUCKET_BYTES
-    store = materialize(segments(texts, buckets, whole, segment_bytes), "segments")
-    replies = answered(store.filter("bucket is not null").select("segment", "bucket", "chunks"), model_path)
-    of_text = store.filter("tokens is not null").select(F.col("segment").alias("of"), "tokens", "ranks", "lengths", "ids")
+    replies = answered(segments(texts, buckets, whole, segment_bytes, True), model_path)
+    of_text = segments(texts, buckets, whole, segment_bytes, False).withColumnRenamed("segment", "of")
 
     def join(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if {left.column("mark")[0].as_py()} != set(right.column("mark").to_pylist()):
+            raise RuntimeError("the texts were not the same when they were read again")
         listed: list[str] = []
         plain: list[bytes] = []
         sizes, flat = [], []
