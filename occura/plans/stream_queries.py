@@ -23,7 +23,7 @@ def stream_upsert(spark, sf_dir):
     events = table(spark, sf_dir, "events").select((F.col("event_id") % 1000).alias("key"), F.col("event_id").alias("latest"))
     events.repartition(4).write.parquet(f"{path}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
-    ingest.upsert_stream(stream, "key", "latest", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    ingest.upsert_stream(stream, "key", "latest", f"{path}/out", f"{path}/checkpoint", buckets=16).awaitTermination()
     return ingest.latest_version(spark, f"{path}/out").groupBy("key").agg(F.max("latest").alias("latest"), F.count("*").alias("n"))
 
 
