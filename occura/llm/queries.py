@@ -15,7 +15,7 @@ QUALITY_THRESHOLD = 0.3
 
 
 def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_rule(table(spark, sf_dir, "documents")).drop("longest_repeat")
+    return repetition.repetition_rule(table(spark, sf_dir, "documents")).drop("longest_repeat", "n_maximal_repeats")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

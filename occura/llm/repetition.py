@@ -1,10 +1,10 @@
 """Quality rule by suffix-array repetition within a text.
 
 Words are turned into integers, the suffixes of every text are sorted by prefix doubling, and the
-longest common prefixes of neighbours in that order give, for each suffix, the deepest LCP interval it
-lies in, which is the longest word sequence starting there that occurs again in the same text.  The
-union of those spans is the union of all maximal repeats; a text fails where the spans cover too
-much of it or where one repeat is too long.
+longest common prefixes of neighbours in that order are put together to LCP intervals: the places of one
+repeated word sequence.  Those that different words precede are the maximal repeats.  Any other repeat lies
+within a longer one, so the union of the maximal repeats' spans is that of each suffix's deepest interval,
+which takes linear time.  A text fails where the spans cover too much of it or the longest repeat is too long.
 """
 
 from __future__ import annotations
@@ -63,27 +63,51 @@ def suffix_levels(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, list
         order[live], joint = at[by], joint[by]
 
 
-def repeats(words: np.ndarray, text: np.ndarray, least: int) -> np.ndarray:
-    """For each word, how many words from it on occur again in its text; 0 where fewer than ``least``."""
+def neighbours(words: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order, and the longest common prefix of each suffix with the one before it in that order; 0 where shorter than ``least``.
+
+    There is one more prefix than suffixes: 0 at both ends.
+    """
     n = len(words)
-    reach = np.zeros(n, np.int64)
+    lcp = np.zeros(n + 1, np.int64)
     if n < 2:
-        return reach
+        return np.arange(n), lcp
     order, levels = suffix_levels(words, text)
     deepest = max((k for k in range(len(levels)) if 1 << k <= least), default=0)
     left, right = order[:-1], order[1:]
     near = np.flatnonzero(levels[deepest][left] == levels[deepest][right])
-    a, b = left[near], right[near]
-    common, x, y = np.zeros(len(near), np.int64), a.copy(), b.copy()
+    common, x, y = np.zeros(len(near), np.int64), left[near], right[near]
     for k in range(len(levels) - 1, -1, -1):
         inside = (x < n) & (y < n)
         same = inside & (levels[k][np.minimum(x, n - 1)] == levels[k][np.minimum(y, n - 1)])
         for part in (common, x, y):
             part[same] += 1 << k
     common[common < least] = 0
-    np.maximum.at(reach, a, common)
-    np.maximum.at(reach, b, common)
-    return reach
+    lcp[near + 1] = common
+    return order, lcp
+
+
+def intervals(lcp: np.ndarray) -> np.ndarray:
+    """The LCP intervals as rows (words, first, last): the suffixes at these places of the order, and no others, begin with the same words."""
+    found: list[tuple[int, int, int]] = []
+    opened: list[tuple[int, int]] = []
+    places = np.flatnonzero((lcp[1:] > 0) | (lcp[:-1] > 0)) + 1
+    for place, words in zip(places.tolist(), lcp[places].tolist(), strict=True):
+        first = place - 1
+        while opened and opened[-1][0] > words:
+            deeper, first = opened.pop()
+            found.append((deeper, first, place - 1))
+        if words and (not opened or opened[-1][0] < words):
+            opened.append((words, first))
+    return np.array(found, np.int64).reshape(-1, 3)
+
+
+def maximal_repeats(words: np.ndarray, text: np.ndarray, order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The intervals whose words cannot be made longer in all their places: different words, or a text's start, stand before them."""
+    found = intervals(lcp)
+    before = np.where(np.r_[True, text[1:] != text[:-1]][: len(words)], -1, np.r_[-1, words[:-1]][: len(words)])[order]
+    changes = np.cumsum(np.r_[False, before[1:] != before[:-1]][: len(words)])
+    return found[changes[found[:, 2]] > changes[found[:, 1]]] if len(found) else found
 
 
 def _measure(texts: list[bytes | None], least: int) -> dict[str, np.ndarray]:
@@ -101,7 +125,10 @@ def _measure(texts: list[bytes | None], least: int) -> dict[str, np.ndarray]:
         lines = [x for x in body.split(b"\n") if x.strip()]
         dup_lines[k] = len(lines) - len(set(lines))
     words, text = np.array(ids, np.int64), np.repeat(np.arange(len(texts)), counts)
-    reach = repeats(words, text, least)
+    order, lcp = neighbours(words, text, least)
+    maximal = maximal_repeats(words, text, order, lcp)
+    reach = np.zeros(len(words), np.int64)
+    reach[order] = np.maximum(lcp[:-1], lcp[1:])
     starts = np.cumsum(counts) - counts
     at = np.flatnonzero(reach)
     edge = np.zeros(len(words) + 1, np.int64)
@@ -109,12 +136,13 @@ def _measure(texts: list[bytes | None], least: int) -> dict[str, np.ndarray]:
     np.add.at(edge, at + reach[at], -1)
     covered = np.cumsum(edge[:-1]) > 0
     longest = np.zeros(len(texts), np.int64)
-    np.maximum.at(longest, text[at], reach[at])
+    of = text[order[maximal[:, 1]]]
+    np.maximum.at(longest, of, maximal[:, 0])
     raw = np.frombuffer(b"\n".join(x or b"" for x in texts) + b"\n", np.uint8)
     sizes = np.array([len(x or b"") + 1 for x in texts], np.int64)
     heads = np.cumsum(sizes) - sizes
     in_text = lambda hit: np.add.reduceat(hit[raw].astype(np.int64), heads)
-    return {"n_words": counts, "word_chars": in_text(_IS_CHAR), "n_symbols": in_text(_IS_SYMBOL), "n_dup_lines": dup_lines, "n_repeat_words": np.bincount(text[covered], minlength=len(texts)), "longest_repeat": longest, "covered": covered, "starts": starts}
+    return {"n_words": counts, "word_chars": in_text(_IS_CHAR), "n_symbols": in_text(_IS_SYMBOL), "n_dup_lines": dup_lines, "n_repeat_words": np.bincount(text[covered], minlength=len(texts)), "longest_repeat": longest, "n_maximal_repeats": np.bincount(of, minlength=len(texts)), "covered": covered, "starts": starts}
 
 
 def _spans(covered: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> list[list[dict]]:
@@ -133,13 +161,14 @@ def repetition_rule(
 
     Words are runs of anything but space and \\x09-\\x0D.  ``n_repeat_words`` is the number of words in
     repeats of ``min_repeat`` words or more (the union of the spans, first occurrences included),
-    ``longest_repeat`` the words of the longest one.  ``with_spans`` adds the spans as word offsets.
+    ``longest_repeat`` the words of the longest one, ``n_maximal_repeats`` the number of different word
+    sequences that can't be made longer in all their places.  ``with_spans`` adds the spans as word offsets.
     A null or blank text has no words: base_failed, not kept.  Repeated rows and null ids give a row
     each.  Other columns of ``docs`` are not read, so their names can't clash.  The texts are
     handled where they are read: no shuffle, and memory bounded by one slice or one text.
     """
     spans_type = ", repeat_spans array<struct<start: bigint, end: bigint>>" if with_spans else ""
-    schema = f"{id_col} {id_type(docs, id_col)}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, longest_repeat bigint, base_failed boolean, kept boolean{spans_type}"
+    schema = f"{id_col} {id_type(docs, id_col)}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, longest_repeat bigint, n_maximal_repeats bigint, base_failed boolean, kept boolean{spans_type}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):

@@ -55,6 +55,26 @@ def test_repetition_matches_brute_force(spark, make, odd_texts):
         assert r.base_failed == failed and r.kept == (not failed and r.longest_repeat <= repetition.MAX_LONGEST)
 
 
+def brute_maximal(text):
+    """Word sequences of five words or more found twice or more that no one word, before or behind, follows in all places."""
+    w = words_of(text)
+    before, behind = {}, {}
+    for k in range(len(w)):
+        for end in range(k + 5, len(w) + 1):
+            before.setdefault(tuple(w[k:end]), []).append(w[k - 1] if k else (k,))
+            behind.setdefault(tuple(w[k:end]), []).append(w[end] if end < len(w) else (k,))
+    return sum(len(x) > 1 and len(set(x)) > 1 and len(set(behind[words])) > 1 for words, x in before.items())
+
+
+def test_maximal_repeats_match_brute_force(spark, make):
+    rng = np.random.default_rng(2)
+    texts = [None, "", "a", "word " * 30, "x " * 12 + "y " + "x " * 9, "a b c d e f g a b c d e f h a b c d e g", "a b c d e f a b c d e f a b c d e f"]
+    texts += [" ".join(rng.choice(["a", "b"], n)) for n in (5, 20, 60, 90)] + [" ".join(rng.choice(list("abc"), 70)) for _ in range(10)]
+    rows = repetition.repetition_rule(make(texts)).orderBy("doc_id").collect()
+    assert [r.n_maximal_repeats for r in rows] == [brute_maximal(x) for x in texts]
+    assert max(r.n_maximal_repeats for r in rows) > 10
+
+
 def test_repetition_longest_limit_and_lines(spark, make):
     passage = " ".join(f"p{k}" for k in range(31))
     filler = " ".join(f"f{k}" for k in range(400))
