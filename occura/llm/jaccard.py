@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ FREQUENT_IN_SLICE = 3
 PARITIES = ("s0", "s1", "s2", "s3")
 #: Words whose hash a task remembers.
 KNOWN_WORDS = 150_000
+#: Tokens of sets that a verifying task remembers.
+KNOWN_TOKENS = 2_000_000
 
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
@@ -155,19 +158,50 @@ def _postings(prefix: DataFrame) -> DataFrame:
     return rows.join(several, "token", "left_semi")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Whole token sets of the texts whose id is among ``nodes``; repeated rows give a row each."""
+def _bodies_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, body) of the texts whose id is among ``nodes``, compressed: words take less room than their shingles' hashes.  Repeated rows give a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch, texts in slices(batches):
-            sets, wanted = shingle_sets(texts, known, size), batch.column("key_of").to_pylist()
-            kept = [k for k, s in enumerate(sets) if xxhash.xxh3_128_digest(s.tobytes()) == wanted[k]]  # an id may be on other texts too
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(kept, pa.int64())), pa.array([sets[k].view(np.int64) for k in kept], pa.list_(pa.int64()))], ["id", "tokens"])
+        packed = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            bodies = [packed.compress(x) for x in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(bodies, pa.binary())], ["id", "key", "body"])
+
+    wanted = nodes.select(F.col("id").alias("id_of"), "key")
+    chosen = texts_of(docs, id_col, text_col).filter("body is not null").join(broadcast_if_small(wanted), F.col("id") == F.col("id_of")).select("id", "key", "body")
+    return chosen.mapInArrow(task(run), f"id {id_type(docs, id_col)}, key binary, body binary")
 
-    wanted = nodes.select(F.col("id").alias("id_of"), F.col("key").alias("key_of"))
-    chosen = texts_of(docs, id_col, text_col).join(broadcast_if_small(wanted), F.col("id") == F.col("id_of")).select("id", "body", "key_of")
-    return chosen.mapInArrow(task(run), f"id {id_type(docs, id_col)}, tokens array<bigint>")
+
+def _linked(pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those (a, b) of the rows (a, ka, x, b, kb, y), with keys and compressed texts, whose sets are similar; a text that hasn't its key's set only shares an id with one that has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, plain = WordHashes(), zstandard.ZstdDecompressor()
+        met: dict[bytes, np.ndarray] = {}
+        room = KNOWN_TOKENS
+
+        def tokens(body: bytes, key: bytes) -> np.ndarray:
+            nonlocal met, room
+            found = met.get(key)
+            if found is None:
+                found = shingle_sets([plain.decompress(body)], known, size)[0]
+                if xxhash.xxh3_128_digest(found.tobytes()) != key:
+                    return found[:0]
+                if room < len(found):
+                    met, room = {}, KNOWN_TOKENS
+                met[key], room = found, room - len(found)
+            return found
+
+        for batch in batches:
+            linked = []
+            for ka, x, kb, y in zip(*(batch.column(c).to_pylist() for c in ("ka", "x", "kb", "y")), strict=True):
+                one, other = tokens(x, ka), tokens(y, kb)
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                linked.append(common > 0 and 100 * common >= percent * (len(one) + len(other) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    kind = id_type(pairs, "a")
+    return pairs.mapInArrow(task(run), f"a {kind}, b {kind}")
 
 
 def _can_match(x: str, y: str, percent: int) -> Column:
@@ -214,10 +248,9 @@ def _verified(pairs: DataFrame, table: DataFrame, work: Workspace, docs: DataFra
         filtered = filtered.filter(F.arrays_overlap(f"{p}a", f"{p}b"))
     left = work.materialize(filtered.select("a", "b"), "candidates")
     nodes = work.materialize(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().join(table.select("id", "key"), "id"), "nodes")
-    sets = work.materialize(_sets_of(docs, nodes, id_col, text_col, size), "sets")
-    whole = left.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return whole.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    bodies = work.materialize(_bodies_of(docs, nodes, id_col, text_col), "bodies")
+    whole = left.join(bodies.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("body").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("body").alias("y")), "b")
+    return _linked(whole, size, percent)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE_WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
