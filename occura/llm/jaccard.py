@@ -259,7 +259,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs of anything but space and \\x09-\\x0D, A-Z lower-cased; the set is the distinct shingles of ``size``
     words, or the whole of a shorter text.  Sets link when the intersection is at least ``percent`` hundredths of the
     union.  A null text or one without words has no set and links with nothing, not even another such text.  Rows
-    with a null id link with nothing and get a null component.  Repeated rows give a row each.  Other columns are not read.
+    with a null id link with nothing and get a null component.  Repeated rows give a row each.  Different texts under one id count as
+    one document where that id is the smallest of both their groups of equal texts.  Other columns are not read.
 
     Tokens are 64-bit hashes and sets have 128-bit keys.  Nothing but the FREQUENT_TOKENS most frequent tokens (a
     bounded hint for the orders) comes to the driver.  Tables of keys are broadcast up to a proven number of rows; beyond that

@@ -118,6 +118,15 @@ def test_links_with_null_and_repeated_ids(spark, make):
     assert jaccard.jaccard_components(make([])).count() == 0
 
 
+def test_links_of_texts_that_share_an_id(spark, make, monkeypatch):
+    """Several texts under one id, some without words: they are one document where the id is the smallest of both groups of copies."""
+    monkeypatch.setattr(jaccard, "KNOWN_TOKENS", 30)  # sets are forgotten in between
+    one = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, one), (1, "nothing like it at all"), (1, None), (2, one + " more"), (2, ""), (3, "one of its own kind"), (3, one + " less"), (4, "a kind of its own")]
+    found = jaccard.jaccard_components(make(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == [(1, 0, 1), (1, 3, 1), (1, 58, 1), (2, 0, 2), (2, 59, 1), (3, 3, 1), (3, 59, 1), (4, 3, 4)]
+
+
 def test_every_prefix_filter_keeps_similar_pairs():
     rng = np.random.default_rng(4)
     for _ in range(200):
