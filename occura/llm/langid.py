@@ -27,6 +27,8 @@ from occura.llm.common import broadcast_if_small, carried, materialize, schema_o
 UNDETERMINED = "und"
 #: Sample of a language: labelled documents, and characters; characters taken of a longer text; languages up to which each has that much.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TEXT, FULL_LANGUAGES = 200, 24_000, 20_000, 32  # states are 16-bit numbers: no more than 32,000 characters
+#: Parts in which the rows of a language are ranked first; it changes the cost only.
+SAMPLE_PARTS = 16
 #: Characters that are parsed one after the other; it changes the cost only.
 BLOCK = 256
 #: Letters of a language, the most frequent ones, that have a column in its automaton's table; the others' steps are looked up.
@@ -186,14 +188,16 @@ def build(samples: dict[str, str]) -> LanguageModel:
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> LanguageModel:
     """Fit on a bounded sample: the first SAMPLE_DOCS labelled documents of each language by a hash of id and text, up to SAMPLE_CHARS characters.
 
-    Only rows with a label and a text that holds a letter count, and repeated rows count once.  Of a text over
+    A language's rows are ranked in SAMPLE_PARTS parts first, so that no task ranks more than the first rows of each.  Only rows with a label and a text that holds a letter count, and repeated rows count once.  Of a text over
     SAMPLE_TEXT characters so many are taken from its first letter on, and only after the shorter texts of its
     language.  Every language is learned; beyond FULL_LANGUAGES they share the documents and characters of that many.
     """
     texts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.least(F.length(text_col), F.lit(SAMPLE_TEXT + 1)).alias("size"))
     known = texts.filter("lang is not null and body is not null").filter(F.col("body").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.col("size") > SAMPLE_TEXT, "h")
-    ranked = known.select("lang", "size", "h").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCS)
+    parts = Window.partitionBy("lang", F.pmod("h", F.lit(SAMPLE_PARTS))).orderBy(F.col("size") > SAMPLE_TEXT, "h")
+    first = known.select("lang", "size", "h").distinct().withColumn("place", F.row_number().over(parts)).filter(F.col("place") <= SAMPLE_DOCS)
+    ranked = first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCS)
     chosen = materialize(ranked.withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "language_sample")
     share = FULL_LANGUAGES / max(FULL_LANGUAGES, chosen.filter("place = 1").count())
     most = max(BLOCK, int(SAMPLE_CHARS * share))
