@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occura.llm import castore, decontaminate, jaccard, langid, lattice, oracle, pieces, quality, repetition, sharding, warc
+from occura.llm import castore, decontaminate, jaccard, langid, lattice, oracle, pieces, prefixes, quality, repetition, setsketch, sharding, vectors, warc
 from occura.llm.common import broadcast_if_small, crc_mod, table
 
 QUALITY_THRESHOLD = 0.3
@@ -74,8 +74,20 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_warc, op3_quality, op4_lattice, op5_jaccard, op6_decontaminate, op7_language, op8_minimax, op9_castore, op10_pieces)}
+    return {f.__name__: f for f in (op1_repetition, op2_warc, op3_quality, op4_lattice, op5_jaccard, op6_decontaminate, op7_language, op8_minimax, op9_castore, op10_pieces, op11_prefixes, op12_vectors, op13_setsketch)}
 
 
 def oracle_sql() -> dict[str, str]:
