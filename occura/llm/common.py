@@ -15,7 +15,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -71,13 +70,25 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def straight_from_files(df: DataFrame, more: tuple[str, ...] = ("Project", "Filter", "SubqueryAlias")) -> bool:
+    """Whether df is a scan of files, with nothing above it but deterministic steps of these kinds, which keep each row in its task and in its place."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in more and node.deterministic():
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
 def steady(df: DataFrame, name: str) -> DataFrame:
-    """A table that gives the same rows in the same tasks each time it is read: files as they are; anything else is written once."""
-    try:
-        df.select("_metadata.file_path")
-    except AnalysisException:
-        return materialize(df, name)
-    return df
+    """A table that gives the same rows in the same tasks each time it is read: scans of files, filtered or not, as they are; anything else is written once."""
+    return df if straight_from_files(df) else materialize(df, name)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def id_type(df: DataFrame, column: str = "doc_id") -> str:

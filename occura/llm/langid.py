@@ -1,6 +1,6 @@
 """Language identification by cross-parsing.
 
-For every language a suffix automaton of a bounded sample of labelled text knows all substrings of that sample.  A text is
+For every language a suffix automaton of a bounded sample of whole labelled texts knows all substrings of that sample.  A text is
 parsed greedily into the longest phrases that the automaton contains; the fewer phrases, the closer the text is to the
 language.  Counts are normalised by the log of the sample's length, so that languages with less labelled text compare
 fairly; the lowest rate wins.
@@ -22,22 +22,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from occura.llm.common import broadcast_if_small, carried, materialize, schema_of, slices, task
+from occura.llm.common import broadcast_if_small, carried, group, materialize, schema_of, slices, task
 
 UNDETERMINED = "und"
-#: Sample of a language: labelled documents, and characters; characters taken of a longer text; languages up to which each has that much.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TEXT, FULL_LANGUAGES = 200, 24_000, 20_000, 32  # states are 16-bit numbers: no more than 32,000 characters
+#: Labelled rows that a language is learned from; the only bound on the sample.  More languages than MOST_LANGUAGES are an error.
+SAMPLE_DOCS, MOST_LANGUAGES = 10, 500
 #: Parts in which the rows of a language are ranked first; it changes the cost only.
 SAMPLE_PARTS = 16
 #: Characters that are parsed one after the other; it changes the cost only.
 BLOCK = 256
-#: Letters of a language, the most frequent ones, that have a column in its automaton's table; the others' steps are looked up.
-COLUMNS = 64
+#: Letters of a language, the most frequent ones, and states, those of the shortest substrings, that have a place in its automaton's table; all other
+#: steps are looked up by hash.  They change the cost only.
+COLUMNS, STATES = 64, 1 << 14
 #: Bytes of text parsed at a time.
 SLICE = 2 << 20
 
 GAP, OTHER, FIRST_LETTER = 0, 1, 2
-NONE = np.uint16(0xFFFF)
+NONE = np.uint32(0xFFFFFFFF)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letters_only(text: str) -> str:
@@ -46,7 +48,7 @@ def letters_only(text: str) -> str:
 
 
 def suffix_automaton(letters: str) -> list[dict[str, int]]:
-    """The steps from each state of the automaton of all substrings, built online; state 0 is the root."""
+    """The steps from each state of the automaton of all substrings, built online; state 0 is the root, and states stand in the order of their longest substrings' lengths."""
     steps: list[dict[str, int]] = [{}]
     suffix, longest, last = [-1], [0], 0
     for c in letters:
@@ -71,72 +73,111 @@ def suffix_automaton(letters: str) -> list[dict[str, int]]:
                 suffix[q] = q = twin
             suffix[new] = q
         last = new
-    return steps
+    order = sorted(range(len(steps)), key=longest.__getitem__)
+    place = [0] * len(steps)
+    for k, state in enumerate(order):
+        place[state] = k
+    return [{c: place[to] for c, to in steps[state].items()} for state in order]
 
 
-class Parser:
-    """A language's automaton as arrays: a table for its most frequent letters, sorted pairs of state and letter for the others."""
-
-    def __init__(self, sample: str, alphabet: dict[str, int]):
-        """``alphabet`` numbers the letters of all languages; a letter that this sample does not have is a phrase by itself."""
+@dataclass
+class Automaton:
+    """Steps as arrays: a table for frequent letters of short substrings' states, and a hash table of (state, letter) for all others."""
+
+    length: int
+    states: int
+    letters: list[str]
+    table: np.ndarray
+    keys: np.ndarray
+    targets: np.ndarray
+
+    @classmethod
+    def of(cls, sample: str) -> Automaton:
         steps = suffix_automaton(sample)
         times: dict[str, int] = {}
         for c in sample:
             times[c] = times.get(c, 0) + 1
-        own = {c: k for k, c in enumerate(sorted(times, key=lambda c: (-times[c], c)))}
-        self.length, self.dead = len(sample), len(steps)
-        self.common = min(len(own), COLUMNS)
-        self.width = self.common + 2  # and one for letters without a column, one for what fills blocks up
-        number = lambda c: GAP if c == " " else alphabet[c]
-        self.column = np.full(FIRST_LETTER + len(alphabet) + 1, self.common, np.uint8)
-        self.column[-1] = self.common + 1
-        self.rare = np.full(len(self.column), -1, np.int32)
-        for c, k in own.items():
-            if k < self.common:
-                self.column[number(c)] = k
-            else:
-                self.rare[number(c)] = k - self.common
-        self.rares = max(1, len(own) - self.common)
-        table = np.full((len(steps) + 1, self.width), NONE, np.uint16)
-        table[:, self.common + 1] = 0
+        letters = sorted(times, key=lambda c: (-times[c], c))
+        own = {c: k for k, c in enumerate(letters)}
+        common, rows = min(len(own), COLUMNS), min(len(steps), STATES)
+        table = np.full((rows + 1, common + 2), NONE, np.uint32)
+        table[:, common + 1] = 0
         pairs = []
         for state, ways in enumerate(steps):
             for c, to in ways.items():
-                if own[c] < self.common:
+                if state < rows and own[c] < common:
                     table[state, own[c]] = to
                 else:
-                    pairs.append((state * self.rares + own[c] - self.common, to))
-        pairs.sort()
-        self.table = table.ravel()
-        self.keys, self.targets = np.array([k for k, _ in pairs], np.int64), np.array([t for _, t in pairs], np.uint16)
+                    pairs.append((state * len(own) + own[c], to))
+        bits = max(1, (2 * len(pairs)).bit_length())
+        keys, targets = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.uint32)
+        left = np.array(pairs, np.int64).reshape(-1, 2)
+        at = slots(left[:, 0], bits)
+        while len(left):  # each free slot takes the first that comes; the others go on to the next
+            free = np.flatnonzero(keys[at] < 0)
+            slot, first = np.unique(at[free], return_index=True)
+            keys[slot], targets[slot] = left[free[first], 0], left[free[first], 1]
+            rest = np.ones(len(left), bool)
+            rest[free[first]] = False
+            left, at = left[rest], (at[rest] + 1) & ((1 << bits) - 1)
+        return cls(len(sample), len(steps), letters, table.ravel(), keys, targets)
+
 
-    def step(self, state: np.ndarray, column: np.ndarray, rare: np.ndarray | None) -> np.ndarray:
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Parser:
+    """A language's automaton over the letters of all languages."""
+
+    def __init__(self, automaton: Automaton, alphabet: dict[str, int]):
+        """``alphabet`` numbers the letters of all languages; a letter that this sample does not have is a phrase by itself."""
+        self.length, self.dead = automaton.length, automaton.states
+        self.table, self.keys, self.targets = automaton.table, automaton.keys, automaton.targets
+        self.letters, self.bits = max(1, len(automaton.letters)), len(automaton.keys).bit_length() - 1
+        self.common = min(len(automaton.letters), COLUMNS)
+        self.width = self.common + 2  # and one for letters without a column, one for what fills blocks up
+        self.last = len(self.table) // self.width - 1
+        self.column = np.full(FIRST_LETTER + len(alphabet) + 1, self.common, np.uint8)
+        self.column[-1] = self.common + 1
+        self.own = np.full(len(self.column), -1, np.int32)
+        for k, c in enumerate(automaton.letters):
+            number = GAP if c == " " else alphabet[c]
+            self.own[number] = k
+            if k < self.common:
+                self.column[number] = k
+
+    def step(self, state: np.ndarray, column: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Next states; NONE where the automaton has no way on."""
-        after = self.table[state * self.width + column]
-        if rare is not None and len(self.keys):
-            at = np.flatnonzero(rare >= 0)
-            key = state[at] * self.rares + rare[at]
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            after[at] = np.where(self.keys[k] == key, self.targets[k], NONE)
+        after = self.table[np.minimum(state, self.last) * self.width + column]
+        looked = np.flatnonzero(((state >= self.last) & (own >= 0)) | (own >= self.common))
+        if len(looked):
+            key = state[looked] * self.letters + own[looked]
+            at, mask = slots(key, self.bits), len(self.keys) - 1
+            while len(looked):
+                there = self.keys[at]
+                found = there == key
+                after[looked[found]] = self.targets[at[found]]
+                more = np.flatnonzero(~found & (there >= 0))
+                looked, key, at = looked[more], key[more], (at[more] + 1) & mask
         return after
 
-    def begin(self, after: np.ndarray, new: np.ndarray, column: np.ndarray, rare: np.ndarray | None) -> np.ndarray:
+    def begin(self, after: np.ndarray, new: np.ndarray, column: np.ndarray, own: np.ndarray) -> np.ndarray:
         """The states with a new phrase begun where ``new`` says so."""
         if not new.any():
             return after.astype(np.int64)
-        root = self.step(np.zeros(len(column), np.int64), column, rare)
+        root = self.step(np.zeros(len(column), np.int64), column, own)
         return np.where(new, np.where(root == NONE, self.dead, root), after).astype(np.int64)
 
     def phrases(self, blocks: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """Phrases that begin in each block (row); ``follows`` says which blocks go on with the text of the one before."""
         by_place = np.ascontiguousarray(blocks.T)
-        columns, rare = self.column[by_place], self.rare[by_place] if len(self.keys) else None
-        rare = rare if rare is not None and (rare >= 0).any() else None
+        columns, letters = self.column[by_place], self.own[by_place]
         n = blocks.shape[0]
         begins = np.zeros(columns.shape, bool)
         state, after = np.zeros(n, np.int64), np.full(n, NONE)
         for t, column in enumerate(columns):
-            odd = None if rare is None else rare[t]
+            odd = letters[t]
             if t:
                 after = self.step(state, column, odd)
             begins[t] = after == NONE
@@ -149,7 +190,7 @@ class Parser:
             ends_as = np.empty(len(again), np.int64)
             open_rows = np.arange(len(again))
             for t, column in enumerate(columns):
-                own, odd = column[rows], None if rare is None else rare[t][rows]
+                own, odd = column[rows], letters[t][rows]
                 after = self.step(state, own, odd)
                 new = after == NONE
                 same = new & begins[t][rows]
@@ -177,37 +218,43 @@ class LanguageModel:
     parsers: list[Parser]
 
 
-def build(samples: dict[str, str]) -> LanguageModel:
-    """A parser for each language's sample; every letter of any sample has a number."""
-    letters = sorted({c for text in samples.values() for c in text} - {" "})
+def joined(automata: dict[str, Automaton]) -> LanguageModel:
+    """A parser for each language's automaton; every letter of any of them has a number."""
+    letters = sorted({c for a in automata.values() for c in a.letters} - {" "})
     alphabet = {c: FIRST_LETTER + k for k, c in enumerate(letters)}
-    languages = sorted(samples)
-    return LanguageModel(languages, alphabet, [Parser(samples[x], alphabet) for x in languages])
+    languages = sorted(automata)
+    return LanguageModel(languages, alphabet, [Parser(automata[x], alphabet) for x in languages])
+
+
+def build(samples: dict[str, str]) -> LanguageModel:
+    return joined({x: Automaton.of(text) for x, text in samples.items()})
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> LanguageModel:
-    """Fit on a bounded sample: the first SAMPLE_DOCS labelled documents of each language by a hash of id and text, up to SAMPLE_CHARS characters.
+    """Fit on the whole texts of SAMPLE_DOCS labelled rows of each language, those with the smallest hashes of id and text.
 
-    A language's rows are ranked in SAMPLE_PARTS parts first, so that no task ranks more than the first rows of each.  Only rows with a label and a text that holds a letter count, and repeated rows count once.  Of a text over
-    SAMPLE_TEXT characters so many are taken from its first letter on, and only after the shorter texts of its
-    language.  Every language is learned; beyond FULL_LANGUAGES they share the documents and characters of that many.
+    A language's rows are ranked in SAMPLE_PARTS parts first, so that no task ranks more than the first rows of each.  Only rows with a label
+    and a text that holds a letter count, and repeated rows count once.  A task builds each language's automaton; what comes to the driver is its arrays, some tens of
+    bytes for each letter of the sample.  More than MOST_LANGUAGES languages raise ValueError.
     """
-    texts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.least(F.length(text_col), F.lit(SAMPLE_TEXT + 1)).alias("size"))
+    texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("body"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
     known = texts.filter("lang is not null and body is not null").filter(F.col("body").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.col("size") > SAMPLE_TEXT, "h")
-    parts = Window.partitionBy("lang", F.pmod("h", F.lit(SAMPLE_PARTS))).orderBy(F.col("size") > SAMPLE_TEXT, "h")
-    first = known.select("lang", "size", "h").distinct().withColumn("place", F.row_number().over(parts)).filter(F.col("place") <= SAMPLE_DOCS)
-    ranked = first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCS)
-    chosen = materialize(ranked.withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "language_sample")
-    share = FULL_LANGUAGES / max(FULL_LANGUAGES, chosen.filter("place = 1").count())
-    most = max(BLOCK, int(SAMPLE_CHARS * share))
-    chosen = chosen.filter((F.col("place") == 1) | (F.col("place") <= int(SAMPLE_DOCS * share)) & (F.col("before") < most)).select("lang", "size", "h", "place")
-    part = F.substring(F.regexp_replace("body", r"^\P{L}++", ""), 1, min(SAMPLE_TEXT, most))
-    rows = known.join(broadcast_if_small(chosen), ["lang", "size", "h"]).groupBy("lang", "place").agg(F.min(part).alias("body")).collect()
-    samples: dict[str, str] = {}
-    for lang, _, body in sorted((r["lang"], r["place"], r["body"]) for r in rows):
-        samples[lang] = f"{samples.get(lang, '')} {letters_only(body)}".strip()[:most]
-    return build(samples)
+    order = Window.partitionBy("lang").orderBy("h")
+    parts = Window.partitionBy("lang", F.pmod("h", F.lit(SAMPLE_PARTS))).orderBy("h")
+    first = known.select("lang", "h").distinct().withColumn("place", F.row_number().over(parts)).filter(F.col("place") <= SAMPLE_DOCS)
+    chosen = materialize(first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCS), "language_sample")
+    if chosen.filter("place = 1").limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+
+    def automaton(rows: pa.Table) -> pa.Table:
+        texts = sorted(zip(rows.column("place").to_pylist(), rows.column("body").to_pylist(), strict=True))
+        found = Automaton.of(" ".join(x for x in (letters_only(body) for _, body in texts) if x))
+        return pa.table({"lang": rows.column("lang")[:1], "length": [found.length], "states": [found.states], "letters": ["".join(found.letters)], "table": [found.table.tobytes()], "keys": [found.keys.tobytes()], "targets": [found.targets.tobytes()]})
+
+    sample = known.join(broadcast_if_small(chosen), ["lang", "h"]).groupBy("lang", "place").agg(F.min("body").alias("body"))
+    rows = sample.groupBy("lang").applyInArrow(group(automaton), "lang string, length bigint, states bigint, letters string, table binary, keys binary, targets binary").collect()
+    arrays = lambda r: (np.frombuffer(r["table"], np.uint32), np.frombuffer(r["keys"], np.int64), np.frombuffer(r["targets"], np.uint32))
+    return joined({r["lang"]: Automaton(r["length"], r["states"], list(r["letters"]), *arrays(r)) for r in rows})
 
 
 @functools.cache

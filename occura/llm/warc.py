@@ -13,6 +13,7 @@ import hashlib
 import io
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -38,16 +39,24 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def urn(page_id) -> str:
+    """The name of a page's record: its id percent-encoded, so that it holds no line break or bracket; another name for a null id than for an empty one."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def page_of(name: str) -> str | None:
+    return unquote(name.removeprefix("<urn:page:").removesuffix(">")) if name.startswith("<urn:page:") else None
+
+
 def record(page_id, url: str | None, payload: bytes, refers_to=None, date: str = DATE) -> bytes:
     """One WARC/1.1 record: a response, or a revisit with the response's headers alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    name = lambda k: "" if k is None else str(k)
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{name(page_id)}>"), ("WARC-Date", date), ("WARC-Target-URI", " ".join((url or "").split())), ("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}"), ("Content-Type", "application/http; msgtype=response")]
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", urn(page_id)), ("WARC-Date", date), ("WARC-Target-URI", " ".join((url or "").split())), ("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}"), ("Content-Type", "application/http; msgtype=response")]
     body = http
     if refers_to is None:
         body += payload
     else:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(refers_to))]
     head.append(("Content-Length", str(len(body))))
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + body + b"\r\n\r\n"
 
@@ -94,8 +103,16 @@ class Inflated(io.RawIOBase):
         return n
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark reads it by: one without is of the default file system, not of each machine's disk."""
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(name).toString()
+
+
 def _place(base: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(base) if "://" in base or base.startswith("file:") else (fs.LocalFileSystem(), base)
+    base = "file://" + base.removeprefix("file:") if base.startswith("file:/") and not base.startswith("file://") else base
+    return fs.FileSystem.from_uri(base)
 
 
 def _publish(files: fs.FileSystem, temporary: str, final: str) -> None:
@@ -175,10 +192,6 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
     return archives.select("archive").mapInArrow(run, "archive string, offset bigint, length bigint, record_id string")
 
 
-def _page(text: str) -> str | None:
-    return text.removeprefix("<urn:page:").removesuffix(">") or None
-
-
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Fetch each indexed record by its offset: page (as string), record_type, refers_to (as string), payload_bytes, payload_digest, intact.
 
@@ -204,7 +217,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 stated = headers["warc-payload-digest"].removeprefix("sha1:")
                 revisit = headers["warc-type"] == "revisit"
                 found = stated if revisit else payload_digest(payload)
-                rows.append((_page(headers["warc-record-id"]), headers["warc-type"], _page(headers.get("warc-refers-to", "")), said if revisit else len(payload), found, found == stated))
+                rows.append((page_of(headers["warc-record-id"]), headers["warc-type"], page_of(headers.get("warc-refers-to", "")), said if revisit else len(payload), found, found == stated))
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["page", "record_type", "refers_to", "payload_bytes", "payload_digest", "intact"])
@@ -235,10 +248,11 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", folder: str | None = None) -> DataFrame:
     """Write ``pages`` as monolithic archives, normalise them, and read every record back by the index; one row per row.
 
-    A null payload is an empty one; null urls are empty; an empty table gives no archives and no rows.
+    A null payload is an empty one; null urls are empty; an empty table gives no archives and no rows.  Ids of any text, empty, null or with
+    line breaks and brackets, come back as they are; repeated rows and ids give a record each.
     """
     spark: SparkSession = pages.sparkSession
-    folder = folder or new_path(spark, "warc")
+    folder = qualified(spark, folder or new_path(spark, "warc"))
     kept = pages.select(id_col, url_col, payload_col)
     written = materialize(write_monolithic(with_revisits(kept, least_bytes, id_col, payload_col), f"{folder}/monolithic", id_col, url_col, payload_col), "archives")
     # A file each is little for a task; as many tasks as there are cores to share them.

@@ -51,6 +51,19 @@ def test_archives_round_trip(spark, make, odd_texts):
     assert b"".join(members) == whole
 
 
+def test_archive_ids_come_back_as_they_are(spark):
+    ids = ["a", "", None, "line\r\nbreak", "b\nWARC-Type: x", "c>d", "<urn:page:e>", "50%", "é 日", "a"]
+    pages = spark.createDataFrame([(i, "u", "same" if k % 2 else f"own {k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    rows = warc.archive_round_trip(pages).collect()
+    assert sorted((r.page_id is None, r.page_id or "") for r in rows) == sorted((i is None, i or "") for i in ids)
+    largest = max(i for k, i in enumerate(ids) if k % 2 and i is not None)
+    same = [i for k, i in enumerate(ids) if k % 2]
+    assert {r.record_type for r in rows} == {"response", "revisit"}
+    assert sorted(r.page_id for r in rows if r.record_type == "revisit") == sorted(i for i in same if i != largest)
+    assert {r.refers_to for r in rows if r.record_type == "revisit"} == {largest}
+    assert all(r.intact for r in rows)
+
+
 def test_archives_least_bytes_and_many_archives(spark, make):
     pages = make(["ab", "ab", "abcdef", "abcdef"], "html", "page_id").withColumn("url", F.lit(None).cast("string"))
     rows = {r.page_id: r for r in warc.archive_round_trip(pages, least_bytes=3).collect()}
@@ -390,6 +403,7 @@ def test_every_query_has_its_columns(spark):
         "op1": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op2": "page_id payload_bytes payload_digest record_type refers_to", "op3": "doc_id held_out score predicted",
         "op4": "doc_id held_out n_tokens n_known train_tokens base_score score", "op5": "doc_id n_shingles component_id", "op6": "doc_id n_words n_hit n_items items_sha256 contaminated", "op7": "doc_id held_out lang_pred score",
         "op8": "doc_id size text_crc32 law shard slot grown_shard", "op9": "doc_id start n_tokens ids_crc32", "op10": "doc_id n_tokens ids_sha256 decoded_sha256",
+        "op11": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256", "op12": "vec_id code error label_error codebooks_sha256", "op13": "doc_id n_shingles component_id kept",
     }
     for name, run in queries.queries().items():
         df = run(spark, sf_dir)

@@ -34,9 +34,10 @@ def random_text(rng, letters, n):
     return "".join(rng.choice(list(letters), n))
 
 
-@pytest.mark.parametrize("block", [4, 7, 256])
-def test_parse_is_that_of_plain_search(block, monkeypatch):
+@pytest.mark.parametrize(("block", "states"), [(4, 1), (7, 50), (256, 1 << 14)])
+def test_parse_is_that_of_plain_search(block, states, monkeypatch):
     monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "STATES", states)
     rng = np.random.default_rng(block)
     samples = {"aa": langid.letters_only(random_text(rng, "abc ", 400)), "bb": langid.letters_only(random_text(rng, "abd  ", 300)), "cc": langid.letters_only(random_text(rng, "日本語é ", 200))}
     model = langid.build(samples)

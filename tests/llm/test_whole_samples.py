@@ -37,9 +37,20 @@ def test_languages_of_long_texts_only_are_learned(spark, make):
 
 
 def test_no_language_is_left_out(spark, make, monkeypatch):
-    monkeypatch.setattr(langid, "FULL_LANGUAGES" if hasattr(langid, "FULL_LANGUAGES") else "MAX_LANGUAGES", 2)
     docs = make(["tala mana", "strix brind", "zu"]).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id")))
     assert langid.fit(docs).languages == ["l0", "l1", "l2"]
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(docs)
+
+
+def test_whole_texts_are_learned_by_hash_alone(spark, make, monkeypatch):
+    """Long texts are neither cut nor put behind short ones; only the number of rows is bounded."""
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 3)
+    docs = make([(k, f"tala{chr(97 + k)} " * (2 if k % 2 else 9000)) for k in range(20)]).withColumn("lang", F.lit("aa"))
+    wanted = [r.text for r in docs.orderBy(F.xxhash64("doc_id", "text")).limit(3).collect()]
+    model = langid.fit(docs)
+    assert model.parsers[0].length == len(langid.letters_only(" ".join(wanted)))
 
 
 def test_language_stage_keeps_letters_without_labels(spark, make):
