@@ -7,16 +7,15 @@ result of each is written as Parquet to the shared folder and read again as the
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occura.llm import decontaminate, jaccard, langid, pieces, quality
-from occura.llm.common import broadcast_if_small, keep_rows, materialize, table
+from occura.llm.common import broadcast_if_small, free_name, keep_rows, materialize, straight_from_files, table
 from occura.llm.queries import QUALITY_THRESHOLD, labelled
 
-#: Column of the stages' own row keys; files whose names are held by the driver at most.
-ROW, MOST_FILES = "_row", 10_000
+#: Files whose names are held by the driver at most.
+MOST_FILES = 10_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,41 +39,41 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_rows(docs, "text", quality.at_least(docs, model, QUALITY_THRESHOLD), 1 << 20)
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with a key of their own that stays the same; ids may repeat or be null.
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows with a key of their own that stays the same, and the name of its column; ids may repeat or be null.
 
-    Rows of files are known by their file's number and their place in it.  What doesn't come straight from files, or from
-    more of them than MOST_FILES, is written once with numbers.
+    Rows of a bare scan of files are known by their file's number and their place in it.  Anything else (a row of a file can then be several
+    rows, or lie elsewhere), or a scan of more files than MOST_FILES, is written once with numbers.
     """
-    try:
-        placed = docs.withColumns({"_file": F.col("_metadata.file_path"), "_place": F.col("_metadata.row_index")})
-    except AnalysisException:
-        placed = None
-    files = placed.select("_file").distinct().limit(MOST_FILES + 1).collect() if placed is not None else []
-    if not 0 < len(files) <= MOST_FILES:
-        return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
-    numbers = docs.sparkSession.createDataFrame([(x, k) for k, x in enumerate(sorted(r["_file"] for r in files))], "_file string, _number bigint")
-    return placed.join(F.broadcast(numbers), "_file").withColumn(ROW, F.shiftleft("_number", 40) + F.col("_place")).select(*docs.columns, ROW)
+    row, file, number = (free_name(docs, x) for x in ("_row", "_file", "_number"))
+    if straight_from_files(docs, ("SubqueryAlias",)):
+        meta = docs.metadataColumn("_metadata")
+        placed = docs.withColumns({file: meta["file_path"], row: meta["row_index"]})
+        files = placed.select(file).distinct().limit(MOST_FILES + 1).collect()
+        if 0 < len(files) <= MOST_FILES:
+            numbers = docs.sparkSession.createDataFrame([(x, k) for k, x in enumerate(sorted(r[0] for r in files))], f"`{file}` string, `{number}` bigint")
+            return placed.join(F.broadcast(numbers), file).withColumn(row, F.shiftleft(number, 40) + F.col(row)).select(*[F.col(f"`{c}`") for c in docs.columns], row), row
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join on five words at 0.8: of each group the row with the smallest id stays, and one without an id only where the group has none; rows without a word stay."""
-    rows = _numbered(docs, "near_copies_input")
-    found = materialize(jaccard.jaccard_components(rows, ROW, size=5, percent=80), "near_copies")
-    groups = found.join(broadcast_if_small(found.filter(F.col("component_id") != F.col(ROW)).select("component_id").distinct()), "component_id", "left_semi").select(ROW, "component_id")
+    rows, key = _numbered(docs, "near_copies_input")
+    found = materialize(jaccard.jaccard_components(rows, key, size=5, percent=80).select(F.col(key).alias("row"), "component_id"), "near_copies")
+    groups = found.join(broadcast_if_small(found.filter("component_id <> row").select("component_id").distinct()), "component_id", "left_semi").select("row", "component_id")
     groups = materialize(groups, "near_copies_groups")
-    placed = rows.select(ROW, "doc_id").join(broadcast_if_small(groups), ROW).select("component_id", F.struct(F.col("doc_id").isNull(), "doc_id", ROW).alias("place"))
-    first = placed.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col(f"place.{ROW}").alias(ROW))
-    dropped = materialize(groups.select(ROW).join(broadcast_if_small(materialize(first, "near_copies_first")), ROW, "left_anti"), "near_copies_dropped")
-    return rows.join(broadcast_if_small(dropped), ROW, "left_anti").select(docs.columns)
+    placed = rows.select(F.col(key).alias("row"), "doc_id").join(broadcast_if_small(groups), "row").select("component_id", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("place"))
+    first = placed.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row"))
+    dropped = materialize(groups.select("row").join(broadcast_if_small(materialize(first, "near_copies_first")), "row", "left_anti").select(F.col("row").alias(key)), "near_copies_dropped")
+    return rows.join(broadcast_if_small(dropped), key, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: drop the rows that hold a passage of the benchmark."""
-    rows = _numbered(docs, "decontamination_input")
-    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), ROW)
-    hit = materialize(found.filter("contaminated").select(ROW), "contaminated")
-    return rows.join(broadcast_if_small(hit), ROW, "left_anti").select(docs.columns)
+    rows, key = _numbered(docs, "decontamination_input")
+    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), key)
+    hit = materialize(found.filter("contaminated").select(key), "contaminated")
+    return rows.join(broadcast_if_small(hit), key, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
