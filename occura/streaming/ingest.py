@@ -1,86 +1,60 @@
-"""Streams of observation pages: ingest, upsert and media deduplication, on the batch operators."""
+"""Streams of observation pages: ingest and media deduplication, on the batch operators."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from occura import schema
-from occura.operators import merge, observe
+from occura.operators import observe
+from occura.streaming import commits
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema.OBSERVATION).json(path)
 
 
-def _write_batch(df: DataFrame, path: str, batch: int) -> None:
-    """A folder per batch, overwritten when a batch is repeated: once each, whatever fails."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+#: Tables that an ingested batch consists of.
+TABLES = ("occurrences", "multimedia", "audiovisual", "identifications", "comments")
 
 
 def ingest_stream(pages: DataFrame, taxa: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Occurrence and extension tables from arriving pages of observations, a folder per table and batch."""
+    """Occurrence and extension tables from arriving pages of observations.
+
+    A batch writes a folder for each of the five tables and then commits a list of them, so its tables appear together or not at all
+    (``ingested``).  A repeated batch replaces its folders and its list.
+    """
 
     def each(obs: DataFrame, batch: int) -> None:
+        spark = obs.sparkSession
+        version, _ = commits.begin(spark, out, checkpoint, batch)
         obs = obs.persist()
         try:
-            write(obs, batch)
+            schemas = {}
+            for name, df in tables_of(obs, taxa).items():
+                df.write.mode("overwrite").parquet(f"{out}/{name}/version={version}")
+                schemas[name] = df.schema.json()
         finally:
             obs.unpersist()
-
-    def write(obs: DataFrame, batch: int) -> None:
-        tables = {"occurrences": observe.to_occurrences(obs, taxa), "multimedia": observe.to_multimedia(obs), "audiovisual": observe.to_audiovisual(obs), "identifications": observe.to_identifications(obs, taxa), "comments": observe.to_comments(obs)}
-        for name, df in tables.items():
-            _write_batch(df, f"{out}/{name}", batch)
+        commits.commit(spark, out, version, checkpoint, batch, {"schemas": schemas})
 
     return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_stream(updates: DataFrame, key: str, order: str, out: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
-    """The latest version of each key within and over batches; late versions lose to newer ones by ``order``.
-
-    Keys lie in buckets by their hash.  A batch reads and rewrites those buckets only that its keys fall in, in folders of its
-    own, and then commits a list of every bucket's folder.  A repeated batch starts from the list before it.
-    """
-
-    def each(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        fresh = merge.last_wins(rows, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
-        try:
-            touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())  # no more than there are buckets
-            state = _committed(spark, out, batch - 1)
-            own = rows.columns
-            old = [f"{out}/data/{state[b]}" for b in touched if b in state]
-            merged = fresh.select(*own)
-            if old:
-                merged = merge.last_wins(spark.read.schema(merged.schema).parquet(*old).select(*own).unionByName(merged), key, order)
-            placed = merged.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-            placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/data/batch={batch}")
-            state |= {b: f"batch={batch}/bucket={b}" for b in touched}
-            listed = spark.createDataFrame(sorted(state.items()), "bucket int, folder string")
-            listed.coalesce(1).write.mode("overwrite").parquet(f"{out}/state/batch={batch}")
-        finally:
-            fresh.unpersist()
-
-    return updates.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _committed(spark: SparkSession, out: str, batch: int | None = None) -> dict[int, str]:
-    """Folder of each bucket after a batch, or after the last one that was committed: a list is committed when its write has ended."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(f"{out}/state")
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if batch is None:
-        ended = [int(f.getPath().getName().removeprefix("batch=")) for f in files.listStatus(folder) if files.exists(hadoop.Path(f.getPath(), "_SUCCESS"))]
-        batch = max(ended, default=-1)
-    return {r["bucket"]: r["folder"] for r in spark.read.parquet(f"{out}/state/batch={batch}").collect()} if batch >= 0 else {}
+def tables_of(obs: DataFrame, taxa: DataFrame) -> dict[str, DataFrame]:
+    return {"occurrences": observe.to_occurrences(obs, taxa), "multimedia": observe.to_multimedia(obs), "audiovisual": observe.to_audiovisual(obs), "identifications": observe.to_identifications(obs, taxa), "comments": observe.to_comments(obs)}
 
 
-def latest_version(spark: SparkSession, out: str) -> DataFrame:
-    """The table after the last committed batch."""
-    folders = sorted(_committed(spark, out).values())
-    return spark.read.parquet(*[f"{out}/data/{f}" for f in folders])
+def ingested(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """One of the five tables with all committed batches; LookupError before the first."""
+    found = commits.versions(spark, out)
+    if not found:
+        raise LookupError(f"no batch is committed under {out}")
+    schema = T.StructType.fromJson(json.loads(commits.read(spark, out, found[-1])["schemas"][table]))
+    return spark.read.schema(schema).parquet(*[f"{out}/{table}/version={v}" for v in found])
 
 
 def dedup_media_stream(media: DataFrame, time: str = "ts", keys: tuple[str, ...] = ("kind", "id"), delay: str = "1 day") -> DataFrame:
