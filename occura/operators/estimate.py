@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from occura.functions.scalars import visible
+from occura.operators.nest import small_side
+from occura.operators.running import summed_before
 
 
 def _media() -> list[Column]:
@@ -21,7 +23,7 @@ def media_counts(obs: DataFrame) -> DataFrame:
 
 def media_estimate(batches: DataFrame, total: int, key: str = "download", order: str = "batch") -> DataFrame:
     """Running estimate of all media of each download from (media, observations) so far; it never falls."""
-    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a batch: a download has few
     rows = batches.withColumn("cum_media", F.sum("media").over(so_far)).withColumn("cum_observations", F.sum("observations").over(so_far))
     now = F.when(F.col("cum_observations") > 0, F.round(F.col("cum_media") / F.col("cum_observations") * F.lit(total))).otherwise(0).cast("bigint")
     return rows.withColumn("_now", now).withColumn("estimate", F.max("_now").over(so_far)).drop("_now")
@@ -43,17 +45,12 @@ def size_estimate(obs: DataFrame, observations: int, *, multimedia: bool = True,
     return counts.select(F.round(F.lit(observations) * (F.lit(each * margin) + per("photos") * photo * int(photos) + per("sounds") * sound * int(sounds))).cast("bigint").alias("bytes"))
 
 
-def retention_plan(files: DataFrame, limit_bytes: int, bucket: str = "bucket", slices: int = 32) -> DataFrame:
+def retention_plan(files: DataFrame, limit_bytes: int, bucket: str = "bucket") -> DataFrame:
     """Files (path, size, mtime and a bucket) with ``evict``: the oldest of each bucket until it is within the limit.
 
-    A file goes if what goes before it frees less than the excess.  Sums run within ranges of the modification time, on
-    top of the sums of the ranges before, so no bucket has to be sorted in one task unless its files have one time.
+    A file goes if what goes before it frees less than the excess; of one time, paths go in order.  Neither a bucket nor the files of one time are
+    sorted in one task.  A null bucket is one, a null size is 0, and files without a time go first.
     """
-    bounds = files.groupBy(bucket).agg(F.min("mtime").alias("_low"), F.max("mtime").alias("_high"), F.sum("size").alias("_total"))
-    place = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("mtime") - F.col("_low")) / (F.col("_high") - F.col("_low")) * slices), F.lit(slices - 1))).otherwise(0)
-    rows = files.join(bounds, bucket).withColumn("_slice", place.cast("int"))
-    earlier = Window.partitionBy(bucket).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy(bucket, "_slice").agg(F.sum("size").alias("_size")).select(bucket, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(bucket, "_slice").orderBy("mtime", "path").rowsBetween(Window.unboundedPreceding, -1)
-    freed = F.col("_base") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    return rows.join(base, [bucket, "_slice"]).withColumn("_freed", freed).select(*files.columns, (F.col("_freed") < F.col("_total") - limit_bytes).alias("evict"))
+    totals = files.groupBy(F.col(bucket).alias("_bucket")).agg(F.sum(F.coalesce("size", F.lit(0))).alias("_total"))
+    rows = summed_before(files, "size", ["mtime", "path"], [bucket], "_freed")
+    return rows.join(small_side(totals), rows[bucket].eqNullSafe(F.col("_bucket"))).select(*files.columns, (F.col("_freed") < F.col("_total") - limit_bytes).alias("evict"))

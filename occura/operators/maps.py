@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occura.functions.tiles import grid_size, tile_bbox, tile_pixel, tile_xy
@@ -46,27 +47,54 @@ def tile_points(ds: OccDataset, z: int, x: int, y: int, spec: SearchSpec | None
 def tile_features(ds: OccDataset, zooms: Iterable[int], spec: SearchSpec | None = None) -> DataFrame:
     """(z, x, y, px, py, core_id, scientificName): each point in its one tile of each zoom, thinned by the zoom's cell.
 
-    Thinning partly aggregates before the shuffle, so low zooms move few rows.
+    Points are thinned once, to the smallest cells asked for within tiles of the highest of those zooms; every zoom above is made of what is left of
+    the one below it, as tiles nest.  Cells of different sizes do not nest to the last bit, so a thinned point also keeps the larger cells it lies in.  Zooms
+    without cells have every point and move none.
     """
     points = _points(ds, spec).filter(F.abs("lat") <= LIMIT)
-    parts = []
     by_size: dict[float | None, list[int]] = {}
-    for z in sorted(set(zooms)):
+    for z in sorted(set(zooms), reverse=True):
         by_size.setdefault(grid_size(z), []).append(z)
-    for size, levels in by_size.items():
-        placed = points.withColumn("z", F.explode(F.array(*[F.lit(z) for z in levels])))
-        x, y = tile_xy(F.col("lat"), F.col("lng"), F.col("z"))
-        parts.append(thin(placed.withColumn("x", x).withColumn("y", y), size, "z", "x", "y").select("z", "x", "y", "core_id", "lat", "lng", "scientificName"))
-    rows = parts[0]
-    for other in parts[1:]:
-        rows = rows.unionByName(other)
+    levels = by_size.pop(None, [])
+    parts = [_placed(points.withColumn("z", F.explode(F.array(*[F.lit(z) for z in levels]))))] if levels else []
+    sizes = sorted(by_size)  # from the smallest cells up
+    cells = {size: (f"_r{k}", f"_c{k}") for k, size in enumerate(sizes)}
+    if sizes:
+        cell = lambda c, size: F.floor(F.col(c) / F.lit(size))
+        atoms = _placed(points.withColumn("z", F.lit(by_size[sizes[0]][0])), *[cell(c, s).alias(n) for s in sizes for c, n in zip(("lat", "lng"), cells[s], strict=True)])
+    for k, size in enumerate(sizes):
+        kept = [n for s in sizes[k:] for n in cells[s]]
+        for z in by_size[size]:
+            up = F.lit(z)
+            moved = lambda c: _up(c, F.col("z") - up).alias(c)  # noqa: B023, E731
+            above = atoms.select(moved("x"), moved("y"), up.alias("z"), *kept, "core_id", "lat", "lng", "scientificName")
+            atoms = above.groupBy("z", "x", "y", *kept).agg(F.min(F.struct("core_id", "lat", "lng", "scientificName")).alias("p")).select("z", "x", "y", *kept, "p.*")
+            own = atoms.groupBy("z", "x", "y", *cells[size]).agg(F.min(F.struct("core_id", "lat", "lng", "scientificName")).alias("p")) if len(kept) > 2 else None
+            parts.append(atoms.select("z", "x", "y", "core_id", "lat", "lng", "scientificName") if own is None else own.select("z", "x", "y", "p.*"))
+    rows = functools.reduce(DataFrame.unionByName, parts)
     px, py = tile_pixel(F.col("lat"), F.col("lng"), F.col("z"), F.col("x"), F.col("y"))
     return rows.select("z", "x", "y", px.alias("px"), py.alias("py"), "core_id", "scientificName")
 
 
-def tile_pyramid(ds: OccDataset, zooms: Iterable[int] = range(15), spec: SearchSpec | None = None) -> DataFrame:
-    """(z, x, y, features): one row per tile with its features, to be written by zoom."""
-    return tile_features(ds, zooms, spec).groupBy("z", "x", "y").agg(F.sort_array(F.collect_list(F.struct("core_id", "px", "py", "scientificName"))).alias("features"))
+def _up(c: str, zooms: Column) -> Column:
+    """The column or row of a tile's ancestor so many zooms above."""
+    return F.call_function("shiftright", F.col(c), zooms.cast("int"))
+
+
+def _placed(points: DataFrame, *more: Column) -> DataFrame:
+    x, y = tile_xy(F.col("lat"), F.col("lng"), F.col("z"))
+    return points.select("z", x.alias("x"), y.alias("y"), *more, "core_id", "lat", "lng", "scientificName")
+
+
+def tile_pyramid(ds: OccDataset, zooms: Iterable[int] = range(15), spec: SearchSpec | None = None, part_features: int = 20_000) -> DataFrame:
+    """(z, x, y, part, features): a tile's features in rows of about ``part_features``, to be written by zoom.
+
+    Most tiles are one part.  The features of a larger one are dealt over as many parts as it needs, so none of its rows, and no task, holds all of them.
+    """
+    rows = tile_features(ds, zooms, spec)
+    large = rows.groupBy("z", "x", "y").agg(F.count("*").alias("_n")).filter(F.col("_n") > part_features)
+    parts = rows.join(small_side(large), ["z", "x", "y"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("core_id"), F.ceil(F.col("_n") / part_features)), F.lit(0)).cast("int"))
+    return parts.groupBy("z", "x", "y", "part").agg(F.sort_array(F.collect_list(F.struct("core_id", "px", "py", "scientificName"))).alias("features"))
 
 
 def _ranges(boxes: DataFrame, max_zoom: int, low_zoom: int = 0) -> DataFrame:
@@ -109,25 +137,40 @@ def pyramid_size(boxes: DataFrame, max_zoom: int, average: float | None = None)
     return tile_counts(boxes, max_zoom).groupBy(*own).agg(F.sum(F.col("tiles") * each).alias("bytes"))
 
 
-def overlap_join(tiles: DataFrame, regions: DataFrame, bucket_zoom: int = 4) -> DataFrame:
-    """Tiles (z, x, y) with the regions (region, west, south, east, north, max_zoom) that overlap them.
+def overlap_join(tiles: DataFrame, regions: DataFrame, deepest: int = 14, salts: int = 16) -> DataFrame:
+    """Tiles (z, x, y) with the regions (region, west, south, east, north, max_zoom) that overlap them, touching edges included.
 
-    Bounded regions go before unbounded (null) ones, which serve only tiles without any bounded one.  Tiles and
-    regions meet by coarse tile of a fixed zoom, an equi-join, instead of every pair.
+    Bounded regions go before unbounded (null) ones, which serve only tiles without any bounded one.  A region lies in the few tiles of the zoom
+    that fits its size; a tile meets it by the tile's ancestor of that zoom, or, if the tile is the larger one, by the region's.  So large regions do
+    not gather tiles by place, and small ones do not meet tiles far from them; the tiles below one large region are dealt over ``salts`` parts.
     """
     west, south, east, north = tile_bbox(F.col("z"), F.col("x"), F.col("y"))
-    boxed = tiles.withColumns({"t_west": west, "t_south": south, "t_east": east, "t_north": north})
-
-    def coarse(rows: DataFrame, w: str, s: str, e: str, n: str) -> DataFrame:
-        keep = lambda c, low, high: F.greatest(F.lit(low), F.least(F.col(c), F.lit(high)))
-        z = F.lit(bucket_zoom)
-        x0, y0 = tile_xy(keep(n, -LIMIT, LIMIT), keep(w, -180.0, 180.0), z)
-        x1, y1 = tile_xy(keep(s, -LIMIT, LIMIT), keep(e, -180.0, 180.0), z)
-        return rows.withColumn("_x", F.explode(F.sequence(x0, x1))).withColumn("_y", F.explode(F.sequence(y0, y1)))
-
-    bounded = regions.filter("west is not null")
-    pairs = coarse(boxed, "t_west", "t_south", "t_east", "t_north").join(coarse(bounded, "west", "south", "east", "north"), ["_x", "_y"])
-    pairs = pairs.filter("t_west <= east and t_east >= west and t_south <= north and t_north >= south and z <= max_zoom").select("z", "x", "y", "region").distinct()
+    boxed = tiles.select("z", "x", "y").distinct().withColumns({"t_west": west, "t_south": south, "t_east": east, "t_north": north, "_salt": F.pmod(F.xxhash64("x", "y"), F.lit(salts))})
+    near = 1e-7  # so that what only touches a region's edge meets it
+    keep = lambda c, by, low, high: F.greatest(F.lit(low), F.least(F.col(c) + by, F.lit(high)))
+
+    def corners(z: Column) -> tuple[Column, Column, Column, Column]:
+        x0, y0 = tile_xy(keep("north", near, -LIMIT, LIMIT), keep("west", -near, -180.0, 180.0), z)
+        x1, y1 = tile_xy(keep("south", -near, -LIMIT, LIMIT), keep("east", near, -180.0, 180.0), z)
+        return x0, x1, y0, y1
+
+    def fits(z: Column) -> Column:
+        x0, x1, y0, y1 = corners(z)
+        return (x1 - x0 <= 1) & (y1 - y0 <= 1)
+
+    bounded = regions.filter("west is not null").withColumn("_level", F.array_max(F.filter(F.sequence(F.lit(0), F.lit(deepest)), fits)))
+    x0, x1, y0, y1 = corners(F.col("_level"))
+    placed = bounded.withColumn("_x", F.explode(F.sequence(x0, x1))).withColumn("_y", F.explode(F.sequence(y0, y1)))
+    levels = sorted(r[0] for r in placed.select("_level").distinct().collect())  # no more than there are zooms
+
+    ancestors = boxed.withColumn("_level", F.explode(F.filter(F.array(*[F.lit(k) for k in levels]).cast("array<int>"), lambda k: k <= F.col("z"))))
+    ancestors = ancestors.withColumns({"_x": _up("x", F.col("z") - F.col("_level")), "_y": _up("y", F.col("z") - F.col("_level"))})
+    smaller = ancestors.join(placed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))), ["_level", "_x", "_y", "_salt"])
+    raised = placed.filter("_level > 0").withColumn("z", F.explode(F.sequence(F.lit(0), F.col("_level") - 1)))
+    raised = raised.withColumns({"x": _up("_x", F.col("_level") - F.col("z")), "y": _up("_y", F.col("_level") - F.col("z"))}).drop("_x", "_y", "_level").distinct()
+    larger = boxed.join(raised, ["z", "x", "y"])
+    overlaps = "t_west <= east and t_east >= west and t_south <= north and t_north >= south and z <= max_zoom"
+    pairs = smaller.filter(overlaps).select("z", "x", "y", "region").union(larger.filter(overlaps).select("z", "x", "y", "region")).distinct()
     rest = tiles.select("z", "x", "y").distinct().join(pairs, ["z", "x", "y"], "left_anti")
     world = regions.filter("west is null").select("region", F.explode(F.sequence(F.lit(0), F.col("max_zoom"))).alias("z"))
     return pairs.union(rest.join(small_side(world), "z").select("z", "x", "y", "region"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from occura import schema
 from occura.functions import scalars as S
-from occura.operators.nest import small_side
+from occura.operators.lookups import TIMES, fetch
 
 
 def taxon_ids(obs: DataFrame) -> DataFrame:
@@ -19,17 +19,26 @@ def taxon_ids(obs: DataFrame) -> DataFrame:
 
 def lineage(df: DataFrame, taxa: DataFrame, ids: str = "lineage_ids", key: str = "key") -> DataFrame:
     """(key, rank columns, infraspecies, higher_classification): names of the lineage's taxa; of one rank the later counts; unknown ids are left out."""
-    rows = df.select(key, F.col(ids).alias("_ids"))
-    return rows.join(small_side(lineages(rows, taxa)), "_ids").drop("_ids")
+    found = with_lineage(df.select(key, F.col(ids).alias("_ids")), taxa, key)
+    return found.filter("_known").drop("_ids", "_known")
+
+
+def with_lineage(rows: DataFrame, taxa: DataFrame, by: str) -> DataFrame:
+    """``rows`` with the columns of ``lineages`` for the list in ``_ids``, and ``_known``: whether a taxon of it is known.
+
+    Lineages are computed once for each distinct list; a popular taxon's list is looked up without gathering its rows.
+    """
+    return fetch(rows, lineages(rows, taxa).withColumn("_known", F.lit(True)), "_ids", by).withColumn("_known", F.coalesce("_known", F.lit(False)))
 
 
 def lineages(rows: DataFrame, taxa: DataFrame, ids: str = "_ids") -> DataFrame:
-    """The columns of ``lineage`` for each distinct list of taxon ids; lists without a known taxon are left out."""
+    """The columns of ``lineage`` for each distinct list of taxon ids, and how many rows have it; lists without a known taxon are left out."""
     names = taxa.select(F.col("id").alias("taxon_id"), "name", "rank", "rank_level")
-    placed = rows.select(ids).distinct().select(ids, F.posexplode(ids).alias("at", "taxon_id")).join(names, "taxon_id")
+    lists = rows.filter(F.size(ids) > 0).groupBy(ids).agg(F.count("*").alias(TIMES))
+    placed = lists.select(ids, TIMES, F.posexplode(ids).alias("at", "taxon_id")).join(names, "taxon_id")
     last = lambda test: F.max(F.when(test & F.col("name").isNotNull(), F.struct("at", "name")))["name"]
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), " | ")
-    return placed.groupBy(ids).agg(*[last(F.col("rank") == r).alias(r) for r in schema.RANKS], last(F.col("rank") == "section").alias("section"), last(F.col("rank_level") == 5.0).alias("infraspecies"), F.nullif(text, F.lit("")).alias("higher_classification"))
+    return placed.groupBy(ids).agg(F.max(TIMES).alias(TIMES), *[last(F.col("rank") == r).alias(r) for r in schema.RANKS], last(F.col("rank") == "section").alias("section"), last(F.col("rank_level") == 5.0).alias("infraspecies"), F.nullif(text, F.lit("")).alias("higher_classification"))
 
 
 def media_identifier(mapped: Column, url: Column) -> Column:
@@ -57,7 +66,7 @@ def to_occurrences(obs: DataFrame, taxa: DataFrame) -> DataFrame:
     """One occurrence row per observation: the written fields, then those that are computed but not written."""
     ids = F.coalesce(F.col("taxon.ancestor_ids"), F.array().cast("array<int>"))
     rows = obs.withColumn("_ids", ids)
-    rows = rows.join(small_side(lineages(rows, taxa)), "_ids", "left")
+    rows = with_lineage(rows, taxa, "id")
     lat, lng = S.point(F.col("geojson"), F.col("private_geojson"))
     year, month, day = S.date_parts(F.col("observed_on"))
     written = _columns(
@@ -112,7 +121,7 @@ def to_identifications(obs: DataFrame, taxa: DataFrame) -> DataFrame:
     rows = obs.select("id", F.explode("identifications").alias("i"))
     ids = F.when(F.col("i.taxon").isNotNull(), F.concat(F.array("i.taxon.id"), F.coalesce(F.col("i.taxon.ancestor_ids"), F.array().cast("array<int>"))))
     rows = rows.withColumn("_ids", ids)
-    rows = rows.join(small_side(lineages(rows, taxa)), "_ids", "left")
+    rows = with_lineage(rows.withColumn("_ident", F.col("i.id")), taxa, "_ident")
     user = F.col("i.user")
     who = F.when(user.isNotNull(), S.join_nonempty(user["login"], user["name"]))
     whose = F.when(user.isNotNull(), S.join_nonempty(user["orcid"], S.uri("user", user["id"])))

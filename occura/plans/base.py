@@ -63,39 +63,17 @@ def shop(spark: SparkSession, sf_dir: str) -> OccDataset:
     core = table(spark, sf_dir, "orders").select(text("o_orderkey").alias("occurrenceID"), "o_orderpriority", "o_orderstatus", "o_totalprice")
     items = table(spark, sf_dir, "lineitem")
     url = F.concat(F.lit("m/"), text("l_partkey"))
-    media = items.filter("l_linenumber <= 3").select(text("l_orderkey").alias("occurrenceID"), text("l_linenumber").alias("title"), url.alias("identifier"))
+    media = items.select(text("l_orderkey").alias("occurrenceID"), text("l_linenumber").alias("title"), url.alias("identifier"))
     sound = items.filter("l_returnflag = 'R'").select(text("l_orderkey").alias("occurrenceID"), F.concat(F.lit("a/"), text("l_suppkey")).alias("accessURI"))
     return OccDataset(core, "occurrenceID", {"multimedia": Ext(media, "occurrenceID"), "audiovisual": Ext(sound, "occurrenceID")}, "orders")
 
 
 SHOP = """core AS (SELECT CAST(o_orderkey AS VARCHAR) AS "occurrenceID", o_orderpriority, o_orderstatus, o_totalprice FROM orders),
-media AS (SELECT CAST(l_orderkey AS VARCHAR) AS "occurrenceID", CAST(l_linenumber AS VARCHAR) AS title, 'm/' || l_partkey AS identifier FROM lineitem WHERE l_linenumber <= 3),
+media AS (SELECT CAST(l_orderkey AS VARCHAR) AS "occurrenceID", CAST(l_linenumber AS VARCHAR) AS title, 'm/' || l_partkey AS identifier FROM lineitem),
 sound AS (SELECT CAST(l_orderkey AS VARCHAR) AS "occurrenceID", 'a/' || l_suppkey AS "accessURI" FROM lineitem WHERE l_returnflag = 'R')"""
 WITH_SHOP = f"WITH {SHOP} "
 
 
-def whole_shop(spark: SparkSession, sf_dir: str) -> OccDataset:
-    """Orders as ``shop`` has them, with every lineitem as multimedia."""
-    ds = shop(spark, sf_dir)
-    media = table(spark, sf_dir, "lineitem").select(text("l_orderkey").alias("occurrenceID"), text("l_linenumber").alias("title"), F.concat(F.lit("m/"), text("l_partkey")).alias("identifier"))
-    return OccDataset(ds.core, ds.core_id, ds.extensions | {"multimedia": Ext(media, "occurrenceID")}, ds.name)
-
-
-WITH_WHOLE_SHOP = """WITH core AS (SELECT CAST(o_orderkey AS VARCHAR) AS "occurrenceID", o_orderpriority, o_orderstatus, o_totalprice FROM orders),
-media AS (SELECT CAST(l_orderkey AS VARCHAR) AS "occurrenceID", CAST(l_linenumber AS VARCHAR) AS title, 'm/' || l_partkey AS identifier FROM lineitem),
-sound AS (SELECT CAST(l_orderkey AS VARCHAR) AS "occurrenceID", 'a/' || l_suppkey AS "accessURI" FROM lineitem WHERE l_returnflag = 'R') """
-
-
-def also_whole(key: str):
-    """Register a query of ``shop`` a second time, as ``key``_whole over ``whole_shop`` and the same SQL over its tables."""
-
-    def register(f):
-        query(f"{key}_whole", WITH_WHOLE_SHOP + SQL[key].removeprefix(WITH_SHOP.rstrip()))(lambda spark, sf_dir: f(spark, sf_dir, whole_shop))
-        return f
-
-    return register
-
-
 def taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as species, regions as genera."""
     nation = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("int").alias("id"), F.concat_ws(" ", F.lit("Genus"), F.lower("n_name")).alias("name"), F.lit("species").alias("rank"), F.lit(10.0).alias("rank_level"))
@@ -141,7 +119,3 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     rows = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
     return rows.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema.OBSERVATION).fields])
-
-
-# The address that public observation records have.
-SITE = "https://www.inaturalist.org"

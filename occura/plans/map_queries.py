@@ -66,16 +66,10 @@ def grid_sample(spark, sf_dir):
 
 
 @query("tile_pyramid_counts", f"""{WITH_OCC}, p AS (SELECT "occurrenceID" AS id, "decimalLatitude" AS lat, "decimalLongitude" AS lng FROM occ WHERE abs("decimalLatitude") <= 85.0511287798066),
-t AS (SELECT z, {_col("lng", "z")} AS x, {_row("lat", "z")} AS y, CASE WHEN z <= 2 THEN floor(lat / 1e0) WHEN z <= 5 THEN floor(lat / 1e-1) ELSE floor(lat / 1e-2) END AS r, CASE WHEN z <= 2 THEN floor(lng / 1e0) WHEN z <= 5 THEN floor(lng / 1e-1) ELSE floor(lng / 1e-2) END AS c, id FROM p, (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS z))
+t AS (SELECT z, {_col("lng", "z")} AS x, {_row("lat", "z")} AS y, CASE WHEN z <= 2 THEN floor(lat / 1e0) WHEN z <= 5 THEN floor(lat / 1e-1) ELSE floor(lat / 1e-2) END AS r, CASE WHEN z <= 2 THEN floor(lng / 1e0) WHEN z <= 5 THEN floor(lng / 1e-1) ELSE floor(lng / 1e-2) END AS c, id FROM p, (SELECT CAST(unnest(range(0, 15)) AS INTEGER) AS z))
 SELECT z, x, y, count(*) AS features FROM (SELECT DISTINCT z, x, y, CASE WHEN z < 9 THEN r END AS r, CASE WHEN z < 9 THEN c END AS c, CASE WHEN z >= 9 THEN id END AS id FROM t) GROUP BY z, x, y""")
 def tile_pyramid_counts(spark, sf_dir):
-    """Features of each tile, counted without gathering them."""
-    return maps.tile_features(occ(spark, sf_dir), range(10)).groupBy("z", "x", "y").agg(F.count("*").alias("features"))
-
-
-@query("tile_pyramid_counts_whole", SQL["tile_pyramid_counts"].replace("range(0, 10)", "range(0, 15)"))
-def tile_pyramid_counts_whole(spark, sf_dir):
-    """Features of each tile of the whole pyramid, zooms 0 to 14."""
+    """Features of each tile of zooms 0 to 14, counted without gathering them."""
     return maps.tile_features(occ(spark, sf_dir), range(15)).groupBy("z", "x", "y").agg(F.count("*").alias("features"))
 
 
@@ -88,6 +82,15 @@ def tile_features(spark, sf_dir):
     return maps.tile_features(occ(spark, sf_dir), range(15))
 
 
+@query("tile_pyramid", f"""{SQL["tile_pyramid_counts"].rpartition("SELECT z, x, y, count(*)")[0]}, n AS (SELECT z, x, y, count(*) AS features FROM (SELECT DISTINCT z, x, y, CASE WHEN z < 9 THEN r END AS r, CASE WHEN z < 9 THEN c END AS c, CASE WHEN z >= 9 THEN id END AS id FROM t) GROUP BY z, x, y)
+SELECT z, count(*) AS tiles, CAST(sum(features) AS BIGINT) AS features, max(features) AS most, true AS bounded FROM n GROUP BY z""")
+def tile_pyramid(spark, sf_dir):
+    """The pyramid's tiles in parts of about 500 features, summed up by zoom."""
+    parts = maps.tile_pyramid(occ(spark, sf_dir), range(15), part_features=500).select("z", "x", "y", F.size("features").alias("n"))
+    tiles = parts.groupBy("z", "x", "y").agg(F.sum("n").alias("n"), F.max("n").alias("part"))
+    return tiles.groupBy("z").agg(F.count("*").alias("tiles"), F.sum("n").alias("features"), F.max("n").alias("most"), (F.max("part") < 1000).alias("bounded"))
+
+
 # Boxes: the quarter around the mean of each type's points, kept within the map.
 _BOXES = """boxes AS (SELECT "scientificName" AS region, floor(avg("decimalLongitude")) - 40e0 AS west, floor(avg("decimalLatitude")) - 20e0 AS south, floor(avg("decimalLongitude")) + 40e0 AS east, floor(avg("decimalLatitude")) + 20e0 AS north FROM occ GROUP BY 1)"""
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from occura import schema
 from occura.functions import scalars as S
+from occura.functions.scalars import SITE
 from occura.operators import observe
-from occura.plans.base import SITE, TAXA, observations, query, scratch, table, taxa, text
+from occura.plans.base import TAXA, observations, query, scratch, table, taxa, text
 from occura.sources.documents import read_observations, read_taxa
 
 _LINES = "lineitem JOIN orders ON l_orderkey = o_orderkey"

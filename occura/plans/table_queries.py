@@ -7,49 +7,37 @@ from pyspark.sql import functions as F
 from occura.operators import estimate, groups, merge, nest
 from occura.operators.nest import Ext, OccDataset
 from occura.operators.search import SearchSpec
-from occura.plans.base import WITH_OCC, WITH_SHOP, WITH_WHOLE_SHOP, also_whole, observations, occ, occ_rows, query, scratch, shop, table, text, whole_shop
+from occura.plans.base import WITH_OCC, WITH_SHOP, observations, occ, occ_rows, query, scratch, shop, table, text
 from occura.sinks import exports
-from occura.sources import delimited, documents
+from occura.sources import delimited, documents, store
 from occura.sources.manifest import Dialect, Manifest, Table
 
 # --- nesting and groups
 
 
-@also_whole("nested_extension_counts")
 @query("nested_extension_counts", f"""{WITH_SHOP} SELECT "occurrenceID", CAST((SELECT count(*) FROM media m WHERE m."occurrenceID" = core."occurrenceID") AS INTEGER) AS n_media, CAST((SELECT count(*) FROM sound s WHERE s."occurrenceID" = core."occurrenceID") AS INTEGER) AS n_sound FROM core""")
-def nested_extension_counts(spark, sf_dir, shop=shop):
+def nested_extension_counts(spark, sf_dir):
     ds = shop(spark, sf_dir)
     return nest.with_extensions(ds.core, ds, one_page=False).select("occurrenceID", F.size("multimedia").alias("n_media"), F.size("audiovisual").alias("n_sound"))
 
 
-@query("nested_extension_json", f"""{WITH_SHOP}, page AS (SELECT * FROM core ORDER BY "occurrenceID" LIMIT 200)
-SELECT p."occurrenceID", '[' || coalesce(string_agg('{{"occurrenceID":"' || m."occurrenceID" || '","title":"' || title || '","identifier":"' || identifier || '"}}', ',' ORDER BY title, identifier), '') || ']' AS multimedia
-FROM page p LEFT JOIN media m ON m."occurrenceID" = p."occurrenceID" GROUP BY p."occurrenceID" """)
-def nested_extension_json(spark, sf_dir):
-    ds = shop(spark, sf_dir)
-    page = ds.core.orderBy("occurrenceID").limit(200)
-    return nest.with_extensions(page, OccDataset(ds.core, ds.core_id, {"multimedia": ds.extensions["multimedia"]}), as_json=True).select("occurrenceID", "multimedia")
-
-
-@query("nested_extension_json_whole", f"""{WITH_WHOLE_SHOP}, m AS (SELECT "occurrenceID", string_agg('{{"occurrenceID":"' || "occurrenceID" || '","title":"' || title || '","identifier":"' || identifier || '"}}', ',' ORDER BY title, identifier) AS rows FROM media GROUP BY 1),
+@query("nested_extension_json", f"""{WITH_SHOP}, m AS (SELECT "occurrenceID", string_agg('{{"occurrenceID":"' || "occurrenceID" || '","title":"' || title || '","identifier":"' || identifier || '"}}', ',' ORDER BY title, identifier) AS rows FROM media GROUP BY 1),
 s AS (SELECT "occurrenceID", string_agg('{{"occurrenceID":"' || "occurrenceID" || '","accessURI":"' || "accessURI" || '"}}', ',' ORDER BY "accessURI") AS rows FROM sound GROUP BY 1)
 SELECT core."occurrenceID", '[' || coalesce(m.rows, '') || ']' AS multimedia, '[' || coalesce(s.rows, '') || ']' AS audiovisual FROM core LEFT JOIN m ON m."occurrenceID" = core."occurrenceID" LEFT JOIN s ON s."occurrenceID" = core."occurrenceID" """)
-def nested_extension_json_whole(spark, sf_dir):
-    ds = whole_shop(spark, sf_dir)
+def nested_extension_json(spark, sf_dir):
+    ds = shop(spark, sf_dir)
     return nest.with_extensions(ds.core, ds, as_json=True, one_page=False).select("occurrenceID", "multimedia", "audiovisual")
 
 
-@also_whole("point_lookup")
 @query("point_lookup", f"""{WITH_SHOP} SELECT "occurrenceID", o_orderpriority, (SELECT count(*) FROM media m WHERE m."occurrenceID" = core."occurrenceID") AS n_media FROM core WHERE "occurrenceID" = (SELECT min("occurrenceID") FROM core)""")
-def point_lookup(spark, sf_dir, shop=shop):
+def point_lookup(spark, sf_dir):
     ds = shop(spark, sf_dir)
     first = ds.core.agg(F.min("occurrenceID")).first()[0]
     return nest.get(ds, first).select("occurrenceID", "o_orderpriority", F.size("multimedia").cast("bigint").alias("n_media"))
 
 
-@also_whole("semi_filtered_extension")
 @query("semi_filtered_extension", f"""{WITH_SHOP} SELECT * FROM media WHERE "occurrenceID" IN (SELECT "occurrenceID" FROM core WHERE o_orderstatus = 'F')""")
-def semi_filtered_extension(spark, sf_dir, shop=shop):
+def semi_filtered_extension(spark, sf_dir):
     ds = shop(spark, sf_dir)
     return nest.semi(ds.extensions["multimedia"].df, ds.core.filter("o_orderstatus = 'F'"), "occurrenceID", "occurrenceID")
 
@@ -59,10 +47,9 @@ def group_counts(spark, sf_dir):
     return groups.group_counts(occ(spark, sf_dir), "coordinateUncertaintyInMeters")
 
 
-@also_whole("group_with_photo")
 @query("group_with_photo", f"""{WITH_SHOP}, g AS (SELECT o_orderpriority AS value, count(*) AS count, min("occurrenceID") AS id FROM core GROUP BY 1)
 SELECT value, count, coalesce((SELECT min(identifier) FROM media WHERE "occurrenceID" = id), (SELECT min("accessURI") FROM sound WHERE "occurrenceID" = id)) AS photo_url FROM g ORDER BY count DESC, value LIMIT 1000""")
-def group_with_photo(spark, sf_dir, shop=shop):
+def group_with_photo(spark, sf_dir):
     ds = shop(spark, sf_dir)
     return groups.aggregate_by_field(ds, "o_orderpriority", limit=1000, terms=ds.core.columns)
 
@@ -77,9 +64,8 @@ def top_groups(spark, sf_dir):
     return groups.top(groups.group_counts(occ(spark, sf_dir), "recordedBy").select("value", "count"), 20)
 
 
-@also_whole("media_paths")
 @query("media_paths", f"{WITH_SHOP} SELECT DISTINCT identifier AS path FROM media UNION SELECT DISTINCT \"accessURI\" FROM sound")
-def media_paths(spark, sf_dir, shop=shop):
+def media_paths(spark, sf_dir):
     return delimited.media_paths(shop(spark, sf_dir))
 
 
@@ -257,9 +243,8 @@ def dialect_tsv(spark, sf_dir):
     return delimited.read_files(spark, [f"{folder}/c.tsv"], Dialect.from_attributes({"fieldsTerminatedBy": "\\t"}))
 
 
-@also_whole("scan_extension")
 @query("scan_extension", f"{WITH_SHOP} SELECT * FROM media")
-def scan_extension(spark, sf_dir, shop=shop):
+def scan_extension(spark, sf_dir):
     folder = scratch(spark, "archive")
     media = shop(spark, sf_dir).extensions["multimedia"].df.withColumnRenamed("identifier", "photo_url")
     _csv(media, f"{folder}/multimedia.csv")
@@ -307,3 +292,44 @@ def catalogue_written(spark, sf_dir):
         counts.append(spark.read.option("header", True).csv(f"{root}/{status}/occurrence.csv").agg(F.lit(status).alias("archive"), F.count("*").alias("core_rows")).filter("core_rows > 0"))
     found = documents.catalogue(spark, root).select("archive", "files", "has_multimedia", "has_audiovisual", "has_comments", "has_media", "pub_date", "query")
     return found.join(counts[0].union(counts[1]).union(counts[2]), "archive")
+
+
+# --- stores by core id
+
+
+def _stored(spark, sf_dir):
+    path = scratch(spark, "store")
+    store.save(shop(spark, sf_dir), path)
+    return store.load(spark, path)
+
+
+_COUNTS = """(SELECT count(*) FROM media m WHERE m."occurrenceID" = core."occurrenceID") AS n_media, (SELECT count(*) FROM sound s WHERE s."occurrenceID" = core."occurrenceID") AS n_sound"""
+
+
+@query("store_nested", f"""{WITH_SHOP} SELECT "occurrenceID", o_orderstatus, {_COUNTS} FROM core""")
+def store_nested(spark, sf_dir):
+    """Every order of a stored archive with its extension rows, nested where they lie."""
+    return store.nested(_stored(spark, sf_dir)).select("occurrenceID", "o_orderstatus", F.size("multimedia").cast("bigint").alias("n_media"), F.size("audiovisual").cast("bigint").alias("n_sound"))
+
+
+@query("store_lookup", f"""{WITH_SHOP} SELECT "occurrenceID", o_totalprice, {_COUNTS} FROM core WHERE "occurrenceID" = (SELECT max("occurrenceID") FROM core)""")
+def store_lookup(spark, sf_dir):
+    """One order of a stored archive by its id."""
+    ds = _stored(spark, sf_dir)
+    return store.get(ds, ds.core.agg(F.max("occurrenceID")).first()[0]).select("occurrenceID", "o_totalprice", F.size("multimedia").cast("bigint").alias("n_media"), F.size("audiovisual").cast("bigint").alias("n_sound"))
+
+
+@query("store_semi", f"""{WITH_SHOP} SELECT * FROM sound WHERE "occurrenceID" IN (SELECT "occurrenceID" FROM core WHERE o_orderstatus = 'F')""")
+def store_semi(spark, sf_dir):
+    """Stored extension rows of the orders that match."""
+    ds = _stored(spark, sf_dir)
+    return nest.semi(ds.extensions["audiovisual"].df, ds.core.filter("o_orderstatus = 'F'"), "occurrenceID", "occurrenceID")
+
+
+@query("store_replaced", """SELECT CAST(l_orderkey AS VARCHAR) AS "occurrenceID", CAST(l_linenumber AS VARCHAR) AS title, CASE WHEN l_orderkey % 10 = 0 THEN 'new' ELSE 'm/' || l_partkey END AS identifier FROM lineitem WHERE l_orderkey % 10 <> 0 OR l_linenumber = 1""")
+def store_replaced(spark, sf_dir):
+    """A stored extension in which every tenth order's rows give way to new ones, or to none."""
+    media = _stored(spark, sf_dir).extensions["multimedia"]
+    tenth = F.col("occurrenceID").cast("bigint") % 10 == 0
+    updates = media.df.filter(tenth & (F.col("title") == "1")).withColumn("identifier", F.lit("new"))
+    return store.replaced(media, updates, media.df.filter(tenth).select("occurrenceID"))

@@ -27,6 +27,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files in a folder."""
+    name, files = _path(spark, path)
+    return files.getContentSummary(name).getLength()
+
+
 def _path(spark: SparkSession, path: str):
     name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return name, name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
