@@ -44,12 +44,27 @@ def uncertainty(private: Column, accuracy: Column, public_accuracy: Column) -> C
     return F.when(private.isNotNull(), accuracy).otherwise(public_accuracy).cast("double")
 
 
+# Sentences on withheld coordinates, by whose setting counts, its value, and whether the private point is included.
+WITHHELD = {
+    ("observer", "private", False): "Coordinates hidden by the observer",
+    ("observer", "private", True): "Coordinates hidden by the observer but included here with the observer's permission",
+    ("observer", "obscured", False): "Coordinates obscured by the observer",
+    ("observer", "obscured", True): "Coordinates obscured by the observer but included here with the observer's permission",
+    ("taxon", "private", False): "Coordinates hidden due to iNaturalist taxon geoprivacy",
+    ("taxon", "private", True): "Coordinates hidden due to iNaturalist taxon geoprivacy but included here with the observer's permission",
+    ("taxon", "obscured", False): "Coordinates obscured due to iNaturalist taxon geoprivacy",
+    ("taxon", "obscured", True): "Coordinates obscured due to iNaturalist taxon geoprivacy but included here with the observer's permission",
+}
+
+
 def information_withheld(geoprivacy: Column, taxon_geoprivacy: Column, has_private_point: Column) -> Column:
     """Sentence on why coordinates are withheld; only without an own setting does the taxon's count."""
-    verb = lambda c: F.when(c == "private", "hidden").when(c == "obscured", "obscured")
-    own = F.concat(F.lit("Coordinates "), verb(geoprivacy), F.lit(" by the observer"), F.when(has_private_point, " but included here with the observer's permission").otherwise(""))
-    taxon = F.concat(F.lit("Coordinates "), verb(taxon_geoprivacy), F.lit(" due to iNaturalist taxon geoprivacy"), F.when(has_private_point, " but included here with the observer's permission").otherwise(""))
-    return F.when(geoprivacy.isNotNull(), own).otherwise(taxon)
+
+    def sentence(setting: Column, whose: str) -> Column:
+        said = lambda value: F.when(has_private_point, WITHHELD[whose, value, True]).otherwise(WITHHELD[whose, value, False])
+        return F.when(setting == "private", said("private")).when(setting == "obscured", said("obscured"))
+
+    return F.when(geoprivacy.isNotNull(), sentence(geoprivacy, "observer")).otherwise(sentence(taxon_geoprivacy, "taxon"))
 
 
 def establishment(captive: Column) -> Column:

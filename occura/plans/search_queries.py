@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from occura.functions.text import number
+from occura.operators import dictionary
 from occura.operators import search as O
 from occura.operators.nest import OccDataset
 from occura.operators.search import SearchSpec
-from occura.plans.base import WITH_OCC, WITH_SHOP, occ, occ_rows, query, shop, table
+from occura.plans.base import WITH_OCC, WITH_SHOP, occ, occ_rows, query, scratch, shop, table
 from occura.sinks import exports
 
 ID_PAGE = 'SELECT "occurrenceID", "scientificName", "decimalLatitude", "decimalLongitude" FROM occ '
@@ -91,6 +93,30 @@ def autocomplete(spark, sf_dir):
     return O.suggest(occ_rows(spark, sf_dir), "recordedBy", "1")
 
 
+def _dictionary(spark, sf_dir):
+    """Comments that no two orders share, as a column of many distinct values."""
+    path = scratch(spark, "dictionary")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
+    dictionary.build(rows, "line", path)
+    return rows, dictionary.load(spark, path)
+
+
+_LINES_OF = "d AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents)"
+
+
+@query("autocomplete_dictionary", f"WITH {_LINES_OF} SELECT DISTINCT line AS value FROM d WHERE line ILIKE '%the%on%' ORDER BY 1 LIMIT 50")
+def autocomplete_dictionary(spark, sf_dir):
+    """Suggestions from a stored dictionary of first lines; a term with a wildcard."""
+    return dictionary.suggest(_dictionary(spark, sf_dir)[1], "THE%on")
+
+
+@query("substring_dictionary", f"WITH {_LINES_OF} SELECT doc_id FROM d WHERE line ILIKE '%tion%'")
+def substring_dictionary(spark, sf_dir):
+    """The documents whose first line holds a text, by the values of a stored dictionary."""
+    rows, found = _dictionary(spark, sf_dir)
+    return dictionary.containing(rows, "line", found, "Tion").select("doc_id")
+
+
 @query("count_filtered", f"{WITH_OCC} SELECT count(*) AS total FROM occ WHERE {_IN_BOX} AND captive")
 def count_filtered(spark, sf_dir):
     return O.matching(occ_rows(spark, sf_dir), SearchSpec.from_dict({**_BOX, "captive": "true"})).agg(F.count("*").alias("total"))
@@ -98,8 +124,6 @@ def count_filtered(spark, sf_dir):
 
 @query("pinned_sort", "SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY CASE WHEN event_type = 'view' THEN 0 ELSE 1 END, event_type) AS place FROM events GROUP BY event_type")
 def pinned_sort(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     groups = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     order = Window.orderBy(F.when(F.col("event_type") == "view", 0).otherwise(1), "event_type")  # one row per type
     return O.pinned_sort(groups.withColumn("place", F.row_number().over(order)), "event_type", "view")
@@ -107,11 +131,9 @@ def pinned_sort(spark, sf_dir):
 
 @query("export_csv_rows", f"""{WITH_OCC} SELECT "occurrenceID", "scientificName", "recordedBy", "eventDate", coalesce("coordinateUncertaintyInMeters", '') AS "coordinateUncertaintyInMeters", CAST(captive AS VARCHAR) AS captive FROM occ WHERE captive""")
 def export_csv_rows(spark, sf_dir):
-    """Written as CSV and read back as text."""
-    from occura.plans.base import scratch
-
+    """Written as one CSV file and read back as text."""
     ds = occ(spark, sf_dir)
-    path = scratch(spark, "csv")
+    path = f"{scratch(spark, 'csv')}/rows.csv"
     exports.export_csv(OccDataset(ds.core.drop("decimalLatitude", "decimalLongitude"), ds.core_id), SearchSpec({"captive": "true"}), path)
     back = spark.read.options(header=True, quote='"', escape='"', inferSchema=False).csv(path)
     return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns])
@@ -134,6 +156,18 @@ def kml_placemarks(spark, sf_dir):
     return exports.placemarks(OccDataset(rows, "occurrenceID"))
 
 
+@query("export_kml_document", f"""{WITH_OCC} SELECT count(*) AS placemarks, true AS in_order, 1 AS documents FROM occ WHERE captive""")
+def export_kml_document(spark, sf_dir):
+    """One KML document, read back line by line: a head, a foot, and a placemark a line in the order of the ids."""
+    path = f"{scratch(spark, 'kml')}/rows.kml"
+    exports.export_kml(occ(spark, sf_dir), SearchSpec({"captive": "true"}, sort_by="occurrenceID"), path)
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"), F.regexp_extract("value", r'name="occurrenceID"><value>([^<]*)', 1).alias("id"))
+    before = Window.partitionBy(F.shiftright("at", 33)).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # by split
+    last = F.coalesce(F.last(F.when(F.col("id") != "", F.col("id")), True).over(before), F.lit(""))
+    steps = lines.withColumn("ordered", (F.col("id") == "") | (last <= F.col("id")))
+    return steps.agg(F.count_if(F.col("id") != "").alias("placemarks"), F.min("ordered").alias("in_order"), F.count_if(F.col("value").contains("<kml ")).cast("int").alias("documents"))
+
+
 @query("write_occurrence_fields", f"""{WITH_SHOP} SELECT "occurrenceID", 'x' AS "basisOfRecord", '' AS "scientificName", o_orderstatus AS license, trim(CAST(CAST(o_totalprice * 100 AS BIGINT) AS VARCHAR)) AS cents FROM core""")
 def write_occurrence_fields(spark, sf_dir):
     """The 34 written columns, of which the given ones and an empty one are looked at."""

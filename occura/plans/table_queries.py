@@ -236,6 +236,15 @@ def union_core_files(spark, sf_dir):
     return delimited.read_files(spark, [f"{folder}/{x}.csv" for x in "abc"], Dialect(), multi_line=False)
 
 
+@query("scan_quoted_breaks", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority || chr(10) || '\"' || o_orderstatus || '\",' || chr(10) AS note, o_orderstatus AS status FROM orders")
+def scan_quoted_breaks(spark, sf_dir):
+    """A file whose values hold line breaks and quotes, read split by split."""
+    folder = scratch(spark, "breaks")
+    note = F.concat("o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit('",\n'))
+    _csv(table(spark, sf_dir, "orders").select(text("o_orderkey").alias("id"), note.alias("note"), F.col("o_orderstatus").alias("status")), f"{folder}/orders.csv")
+    return delimited.read_files(spark, [f"{folder}/orders.csv"], Dialect())
+
+
 @query("dialect_tsv", _CUSTOMER)
 def dialect_tsv(spark, sf_dir):
     folder = scratch(spark, "tsv")

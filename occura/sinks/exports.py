@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,8 @@ from occura import schema
 from occura.functions.text import xml_escape
 from occura.operators.groups import group_counts, top
 from occura.operators.nest import Ext, OccDataset, semi
-from occura.operators.search import SearchSpec, matching, quoted, render_values
+from occura.operators.search import SearchSpec, matching, quoted, render_values, sort_columns
+from occura.storage import join_parts, scratch
 
 #: CSV by RFC 4180.
 CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -25,8 +27,28 @@ def csv_rows(ds: OccDataset, spec: SearchSpec | None = None) -> DataFrame:
     return shown.select(*[F.coalesce(quoted(c).cast("string"), F.lit("")).alias(c) for c in shown.columns])
 
 
+def _header(columns: list[str]) -> str:
+    """The first line of a CSV file."""
+    return ",".join('"' + c.replace('"', '""') + '"' if re.search('[",\n\r]', c) else c for c in columns) + "\n"
+
+
+def _one_csv(rows: DataFrame, path: str) -> None:
+    """One file with one header, the rows in their order: numbered parts, joined by the file system."""
+    parts = scratch(rows.sparkSession, "csv-parts")
+    rows.write.options(**{**CSV, "header": False}).csv(parts)
+    join_parts(rows.sparkSession, parts, path, head=_header(rows.columns))
+
+
 def export_csv(ds: OccDataset, spec: SearchSpec | None, path: str) -> None:
-    csv_rows(ds, spec).write.options(**CSV).csv(path)
+    """The matching rows as one CSV file, in the order that the search asks for."""
+    spec = spec or SearchSpec()
+    _one_csv(csv_rows(OccDataset(ordered(ds, spec), ds.core_id)), path)
+
+
+def ordered(ds: OccDataset, spec: SearchSpec) -> DataFrame:
+    """The matching rows in the search's order: by range, so that the parts of an export follow each other; as they come if it names no order."""
+    found = matching(ds.core, spec)
+    return found.orderBy(*sort_columns(ds.core, spec, ds.core_id)) if spec.sort_by else found
 
 
 def group_rows(ds: OccDataset, name: str, spec: SearchSpec | None = None) -> DataFrame:
@@ -34,7 +56,7 @@ def group_rows(ds: OccDataset, name: str, spec: SearchSpec | None = None) -> Dat
 
 
 def export_groups_csv(ds: OccDataset, name: str, spec: SearchSpec | None, path: str) -> None:
-    group_rows(ds, name, spec).write.options(**CSV).csv(path)
+    _one_csv(group_rows(ds, name, spec), path)
 
 
 def placemarks(ds: OccDataset, spec: SearchSpec | None = None) -> DataFrame:
@@ -53,12 +75,14 @@ def placemarks(ds: OccDataset, spec: SearchSpec | None = None) -> DataFrame:
 
 
 def export_kml(ds: OccDataset, spec: SearchSpec | None, path: str) -> None:
-    """A directory of text parts that make one document when read in order of their names: head, placemarks, foot."""
-    spark = ds.core.sparkSession
-    line = lambda text: spark.createDataFrame([(text,)], "value string")
-    line('<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document>').write.text(f"{path}/0-head")
-    placemarks(ds, spec).select("value").write.text(f"{path}/1-placemarks")
-    line("</Document></kml>").write.text(f"{path}/2-foot")
+    """One KML document with a placemark a line, in the order that the search asks for."""
+    # The document's head and foot.
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document>\n'
+    foot = "</Document></kml>\n"
+    spec, spark = spec or SearchSpec(), ds.core.sparkSession
+    parts = scratch(spark, "kml-parts")
+    placemarks(OccDataset(ordered(ds, spec), ds.core_id)).select(F.regexp_replace("value", "[\n\r]", "&#10;").alias("value")).write.text(parts)
+    join_parts(spark, parts, path, head=head, foot=foot)
 
 
 def plain_double(c: Column) -> Column:
@@ -78,6 +102,7 @@ def written_fields(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select(*[one(f) for f in fields])
 
 
+# The frames of ``meta.xml`` and ``eml.xml``, and how their tables are delimited.
 def meta_xml(extensions: list[str], own_terms: str = schema.OWN_TERMS) -> str:
     by_name = {v: k for k, v in schema.EXTENSIONS.items()}
 

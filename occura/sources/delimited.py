@@ -16,6 +16,7 @@ from occura import schema
 from occura.functions.text import number
 from occura.operators.nest import Ext, OccDataset
 from occura.sources.manifest import Dialect, Manifest, Table
+from occura.sources.records import read_records
 
 
 def first_line(spark: SparkSession, path: str, dialect: Dialect) -> list[str]:
@@ -24,21 +25,23 @@ def first_line(spark: SparkSession, path: str, dialect: Dialect) -> list[str]:
     return [("" if v is None else v).lstrip("﻿") for v in head[0]] if head else []
 
 
-def breaks_in_quotes(spark: SparkSession, path: str, dialect: Dialect) -> bool:
-    """Whether a line of the file has an odd number of quotes, so that a value goes on in the next one; the lines are read in parallel."""
-    quote = dialect.options(multi_line=False).get("quote")
-    if not quote:
-        return False
+def line_facts(spark: SparkSession, path: str, dialect: Dialect) -> tuple[bool, bool]:
+    """Whether a line of the file has an odd number of quotes, so that a value may go on in the next one, and whether one holds a carriage return before its end; the lines are read in parallel."""
+    quote = dialect.options(multi_line=False)["quote"]
+    if not dialect.quote:
+        return False, False
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    back = F.instr("value", "\r")
+    found = spark.read.text(path, lineSep="\n").agg(F.max(quotes % 2 == 1).alias("odd"), F.max((back > 0) & (back < F.length("value"))).alias("back")).first()
+    return bool(found["odd"]), bool(found["back"])
 
 
 def read_files(spark: SparkSession, paths: list[str], dialect: Dialect, multi_line: bool | None = None) -> DataFrame:
     """All files as one table of text columns, named by the first file's header.
 
     Later files may have the header, a reordered one (then matched by name), or none (matched by position).
-    Files with line breaks inside quotes are read whole, by one task each, all others are split.  Which they are is looked up
-    by a pass over the lines, unless ``multi_line`` says so.
+    All files are split.  Which of them may have line breaks inside quotes is looked up by a pass over the lines; their records are found split by
+    split.  Files with lone carriage returns, and with ``multi_line`` all of them, are read by Spark's multi-line reader, a task each; with ``multi_line=False`` a line is a record.
     """
     names = first_line(spark, paths[0], dialect)
     if len({n.lower() for n in names}) < len(names):
@@ -48,8 +51,11 @@ def read_files(spark: SparkSession, paths: list[str], dialect: Dialect, multi_li
         head = names if k == 0 else first_line(spark, path, dialect)
         has_header = k == 0 or set(head) == set(names)
         own = head if has_header else names
-        whole = breaks_in_quotes(spark, path, dialect) if multi_line is None else multi_line
-        df = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in own])).options(**dialect.options(whole)).csv(path, header=has_header)
+        odd, back = line_facts(spark, path, dialect) if multi_line is None else (False, False)
+        if odd and not back:
+            parts.append(read_records(spark, path, dialect, own, has_header).select(*[F.col(f"`{n}`") for n in names]))
+            continue
+        df = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in own])).options(**dialect.options(odd if multi_line is None else multi_line)).csv(path, header=has_header)
         parts.append(df.select(*[F.col(f"`{n}`") for n in names]))
     return functools.reduce(DataFrame.union, parts)
 

@@ -1,13 +1,16 @@
+import csv
+import io
 from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from occura import schema
-from occura.operators import estimate, merge, observe
+from occura.operators import dictionary, estimate, merge, observe, search
 from occura.operators.nest import Ext, OccDataset
 from occura.operators.search import SearchSpec
 from occura.plans.base import scratch
+from occura.storage import get_text
 from occura.sinks import exports
 from occura.sources import delimited, documents
 from occura.sources.manifest import Dialect, ManifestError, local_name, parse_manifest
@@ -126,7 +129,7 @@ def test_catalogue_of_folders(spark, archive):
 
 def test_line_breaks_decide_how_files_are_read(spark):
     plain, broken = put(spark, ["id,note", '1,"a ""b"""', "2,c"]), put(spark, ["id,note", '1,"a', 'b"'])
-    assert not delimited.breaks_in_quotes(spark, plain, Dialect()) and delimited.breaks_in_quotes(spark, broken, Dialect())
+    assert not any(delimited.line_facts(spark, plain, Dialect())) and delimited.line_facts(spark, broken, Dialect()) == (True, False)
     assert [tuple(r) for r in delimited.read_files(spark, [broken], Dialect()).collect()] == [("1", "a\nb")]
 
 
@@ -136,8 +139,38 @@ def test_group_and_kml_files(spark, archive):
     rows = spark.read.options(**exports.CSV).csv(f"{path}/groups").collect()
     assert sorted((r.scientificName or "", r.occurrence_count) for r in rows) == [("", "1"), ("Alga \"s\", x", "1"), ("Alga <viridis>", "1")]
     exports.export_kml(archive, SearchSpec({"scientificName": "viridis"}), f"{path}/kml")
-    text = "".join(r.value for part in ("0-head", "1-placemarks", "2-foot") for r in spark.read.text(f"{path}/kml/{part}").collect())
-    assert ElementTree.fromstring(text.split("?>", 1)[1].encode()).tag.endswith("kml") and text.count("<Placemark>") == 1 and "-45.25,12.5,0" in text
+    text = get_text(spark, f"{path}/kml")
+    assert ElementTree.fromstring(text.encode()).tag.endswith("kml") and text.count("<Placemark>") == 1 and "-45.25,12.5,0" in text
+
+
+def test_exports_are_one_file_in_the_order_of_the_search(spark, archive):
+    path = scratch(spark, "exports")
+    rows = spark.range(3000).select(F.format_string("k%05d", F.pmod(F.col("id") * 7919, F.lit(3000))).alias("occurrenceID"), F.lit('a "b",\nc').alias("scientificName"), F.lit(1.5).alias("decimalLatitude"), F.lit(2.5).alias("decimalLongitude")).repartition(5)
+    ds, spec = OccDataset(rows, "occurrenceID"), SearchSpec(sort_by="occurrenceID", sort_direction="DESC")
+    exports.export_csv(ds, spec, f"{path}/rows.csv")
+    read = list(csv.reader(io.StringIO(get_text(spark, f"{path}/rows.csv"))))
+    assert read[0] == rows.columns and [r[0] for r in read[1:]] == [f"k{k:05d}" for k in range(2999, -1, -1)] and read[1][1] == 'a "b",\nc'
+    exports.export_kml(ds, spec, f"{path}/rows.kml")
+    names = [n.text for n in ElementTree.fromstring(get_text(spark, f"{path}/rows.kml").encode()).iter() if n.tag.endswith("value") and (n.text or "").startswith("k0")]
+    assert names == [f"k{k:05d}" for k in range(2999, -1, -1)]
+    empty = OccDataset(rows.limit(0), "occurrenceID")
+    exports.export_csv(empty, None, f"{path}/none.csv")
+    exports.export_kml(empty, None, f"{path}/none.kml")
+    assert get_text(spark, f"{path}/none.csv") == ",".join(rows.columns) + "\n" and ElementTree.fromstring(get_text(spark, f"{path}/none.kml").encode()) is not None
+
+
+def test_dictionary_finds_what_the_column_holds(spark):
+    path = scratch(spark, "dictionary")
+    texts = ["Quercus robur", "quercus ILEX", "Alga", "al", "", None, "100%_x", "x_y\\z", "Élan vital", "ÉLAN", "abcabc", "a_c", "ab", "İstanbul", "Quercus robur"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, name string")
+    dictionary.build(df, "name", path)
+    found = dictionary.load(spark, path)
+    for term in ["querc", "ROBUR", "que%lex", "a_c", "al", "", "%", "zzz", "quezzz", "élan", "y\\z", "%_x", "abca", "istan", "100%"]:
+        wanted = sorted(r.id for r in df.filter(search.substring_filter(F.col("name"), term)).collect())
+        assert sorted(r.id for r in dictionary.containing(df, "name", found, term).collect()) == wanted, term
+        assert [r.value for r in dictionary.suggest(found, term).collect()] == [r.value for r in search.suggest(df, "name", term, terms=["name"]).collect()]
+    read = dictionary.suggest(found, "querc").inputFiles()
+    assert read and all(f.startswith(path) and "/values/" in f for f in read)  # neither the column nor all postings
 
 
 def test_page_estimate(spark):
