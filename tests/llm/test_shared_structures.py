@@ -260,6 +260,34 @@ def test_near_duplicates_equal_plain_version(spark):
     assert near(spark, rows, size=5) == plain_links(rows, 5, 80)
 
 
+def test_large_groups_of_near_copies_meet_in_blocks(spark, monkeypatch):
+    """Copies of one text, many too far from it to link, over several blocks a bucket."""
+    monkeypatch.setattr(setsketch, "BLOCK", 20)
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        copy = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(1, 9))):
+            copy[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((k, " ".join(copy)))
+    found = near(spark, rows)
+    assert found == plain_links(rows, 4, 80)
+    assert 10 < len({r[2] for r in found}) < 150
+
+
+def test_parities_never_turn_a_similar_pair_away():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(2, 800))
+        tokens = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        a, b = tokens[: len(tokens) - len(tokens) // 10], tokens[len(tokens) // 10 :]
+        words = [np.frombuffer(setsketch.parities(t), np.uint64)[None] for t in (a, b)]
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 80 * len(tokens):
+            assert setsketch.can_be_similar(*words, np.array([len(a)]), np.array([len(b)]), 80).all()
+
+
 def test_near_duplicates_of_odd_texts(spark):
     """Nulls, texts without words, short and very long ones, null ids that come first with a set, repeated rows."""
     long = " ".join(f"x{k}" for k in range(30_000))
