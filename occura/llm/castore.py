@@ -160,7 +160,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "
     """Encode every row's whole text, append the end id, and store; returns the folder.
 
     A null text is taken as empty.  Repeated rows are a recipe each and share their chunks.  Chunks and recipes move through
-    one shuffle, by digest.  Equal chunks are dropped in each task before it, but for those that a task has forgotten since
+    one shuffle, chunks by digest and recipes by id and root, so that rows without an id are no one file.  Equal chunks are dropped in each task before it, but for those that a task has forgotten since
     (it remembers KNOWN_CHUNKS), and all others behind it, where they are neighbours in sorted order.
     """
     spark = docs.sparkSession
@@ -206,7 +206,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "
             yield batch.filter(pa.array([k is None or k != b for k, b in zip(keys, before, strict=True)], pa.bool_()))
 
     schema = f"kind string, id {kind}, key binary, n bigint, payload binary, sizes binary"
-    where = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64(F.col("id").cast("string")))
+    where = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64(F.col("id").cast("string"), "key"))
     rows = texts_of(docs, id_col, text_col).mapInArrow(task(encode), schema)
     rows.repartition(where).sortWithinPartitions("kind", "key").mapInArrow(task(once), schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/store")
 
@@ -219,7 +219,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "
             row, before = row + len(n), before + int(n.sum())
 
     stored = spark.read.schema(f"id {kind}, {CHUNKS}").parquet(f"{path}/store")
-    recipes = stored.filter("kind = 'recipe'").select("id", "key", "n", "payload", "sizes").repartitionByRange("id").sortWithinPartitions("id", "key")
+    recipes = stored.filter("kind = 'recipe'").select("id", "key", "n", "payload", "sizes").repartitionByRange("id", "key").sortWithinPartitions("id", "key")
     recipes.mapInArrow(task(number), f"seg int, row bigint, id {kind}, keys binary, sizes binary, n_tokens bigint, before bigint, root binary").write.parquet(f"{path}/recipes")
 
     sealed = _sealed(spark.read.parquet(f"{path}/recipes"))

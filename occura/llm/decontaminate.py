@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
@@ -174,21 +175,20 @@ def search(index: Index, benchmark: DataFrame, id_col: str = "doc_id", item_col:
     window matches from a start when each of its terms has a place of its own in the text, up to ``slop`` words off its place
     behind the start; the words of the text among the window's length from there are hit.  Null item ids hit but are not listed.
 
-    Distinct windows are taken in blocks of about ``block_bytes`` (BLOCK_BYTES), which are broadcast; each further block reads the
-    stored postings of its terms, not the texts.  Items stay in their table and are joined to the windows that match.
+    Distinct windows are taken in blocks of about ``block_bytes`` (BLOCK_BYTES), one after the other: a block is broadcast, its matches are written, and only
+    then the next one is read; each reads the stored postings, not the texts.  Items stay in their table and are joined to the windows that match.
     """
     spark = benchmark.sparkSession
     listed = windows_of(benchmark, item_col, item_text, window)
     distinct = listed.select("window", "h").distinct()
     total = distinct.agg(F.sum(F.octet_length("window") + 32).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // (block_bytes or BLOCK_BYTES)))
-    parts = [_matches(index, distinct.filter(F.pmod("h", F.lit(blocks)) == k) if blocks > 1 else distinct, window, slop) for k in range(blocks)]
-    found = parts[0]
-    for other in parts[1:]:
-        found = found.union(other)
     path = new_path(spark, "matches")
-    found.write.parquet(path)
-    found = spark.read.schema(found.schema).parquet(path)
+    for k in range(blocks):  # the driver holds one block at a time
+        part, shared = _matches(index, distinct.filter(F.pmod("h", F.lit(blocks)) == k) if blocks > 1 else distinct, window, slop)
+        part.write.mode("append").parquet(path)
+        shared.destroy()
+    found = spark.read.schema(part.schema).parquet(path)
     spans = found.groupBy("segment", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     hit = found.select("segment", "row", F.explode(F.array_distinct("windows")).alias("h"))
     names = hit.join(broadcast_if_small(listed.filter("item is not null").select("h", "item")), "h").groupBy("segment", "row").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -199,8 +199,8 @@ def search(index: Index, benchmark: DataFrame, id_col: str = "doc_id", item_col:
     return whole.select(F.col("id").alias(id_col), "n_words", covered(F.col("spans")).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
 
 
-def _matches(index: Index, distinct: DataFrame, size: int, slop: int) -> DataFrame:
-    """(segment, row, spans in words of the text, windows) of the texts that hold windows of one block."""
+def _matches(index: Index, distinct: DataFrame, size: int, slop: int) -> tuple[DataFrame, Broadcast]:
+    """(segment, row, spans in words of the text, windows) of the texts that hold windows of one block, and the block's broadcast."""
     block = sorted((bytes(r["window"]), r["h"]) for r in distinct.collect())
     spark = distinct.sparkSession
     windows = Windows([w for w, _ in block], [h for _, h in block], size)
@@ -230,7 +230,7 @@ def _matches(index: Index, distinct: DataFrame, size: int, slop: int) -> DataFra
         return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array([spans[t] for t in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([names[t] for t in rows], pa.list_(pa.int64()))], names=["segment", "row", "spans", "windows"])
 
     sizes = index.segments.select(F.col("segment").alias("of"), "lengths")
-    return asked.groupBy("segment").cogroup(sizes.groupBy("of")).applyInArrow(group(run), "segment bigint, row int, spans array<struct<start: bigint, end: bigint>>, windows array<bigint>")
+    return asked.groupBy("segment").cogroup(sizes.groupBy("of")).applyInArrow(group(run), "segment bigint, row int, spans array<struct<start: bigint, end: bigint>>, windows array<bigint>"), shared
 
 
 def covered(spans: Column) -> Column:

@@ -139,8 +139,8 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out: Column, id_col: s
     that ``held_out`` leaves (a null flag does not hold a row out).  A null text is empty: its one token is the end.  Without
     training rows every count is 0.  Repeated rows count and score each; other columns are not read.
 
-    A segment's memory is bounded by SEGMENT_BYTES or one longer text, a bucket's by the number of buckets, which follows the
-    bytes of all texts.  Only sums and the piece counts, bounded by the vocabulary, come to the driver.
+    A segment's memory is bounded by SEGMENT_BYTES or one longer text.  A bucket holds a list of its words from every segment; the number of buckets
+    follows the bytes of all texts, so the lists stay short, but a bucket of words that all segments have grows with their number.  Only sums and the piece counts, bounded by the vocabulary, come to the driver.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0

@@ -129,8 +129,8 @@ def encode_decode(docs: DataFrame, model_path: str, end_id: int = 2, id_col: str
     A null text is taken as empty: one id, the end.  Repeated rows and null ids give a row each; other columns are not read.
     Where pieces can cross whitespace markers, every whole text is a chunk, so that equal texts are segmented once.
 
-    A segment's memory is bounded by ``segment_bytes`` or one longer text, a bucket's by the number of buckets, which follows the
-    bytes of all texts.
+    A segment's memory is bounded by ``segment_bytes`` or one longer text.  A bucket holds a list of its chunks from every segment; the number of
+    buckets follows the bytes of all texts, so the lists stay short, but a bucket of chunks that all segments have grows with their number.
     """
     texts = texts_of(steady(docs, "texts"), id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0

@@ -145,13 +145,15 @@ def minimax_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The size is the text's UTF-8 bytes (null: none) plus ``overhead``.  Rows with equal texts share a shard; all null
     texts are one group, and differ from empty ones.  Within a shard, rows follow the groups' order, then parts of
     large groups, then the id; the order among equal ids is open.  Null ids are rows as any other.  An empty
-    table gives no rows.  A large group of equal texts is numbered in parts by a hash of the id, never in one task.
+    table gives no rows.  A large group of equal texts is numbered in parts: by a hash of the id, rows
+    with a null id by one of where they were read; only rows that share both a text and an id that isn't null are numbered together.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + overhead).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.when(F.col(text_col).isNull(), F.lit("-")).otherwise(F.md5(text.cast("binary"))).alias("group"))
     n = docs.count()
     parts = max(16, -(-n // UNIT_ROWS))
-    rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(parts))), "rows")
+    place = F.when(F.col("id").isNull(), F.monotonically_increasing_id())  # rows without an id are told apart by where they were read
+    rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64(F.col("id").cast("string"), place), F.lit(parts))), "rows")
     units = materialize(rows.groupBy("group", "part").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "units")
 
     # Prefix sums: inside ranges of the groups' digests, on top of the sums of the ranges before.

@@ -6,8 +6,9 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 import sentencepiece
-from occura.llm import common, quality, queries
+from occura.llm import common, decontaminate, quality, queries, sharding
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 WORDS = [f"word{k}" for k in range(60)]
 COPY, CLEAN, OTHER = " ".join(WORDS), " ".join(f"clean{k}" for k in range(40)), " ".join(f"other{k}" for k in range(40))
@@ -110,3 +111,37 @@ def test_encode_is_the_library(spark, make, odd_texts):
         ids = [*library.encode(text or ""), library.eos_id()]
         wanted.append((i is None, i or 0, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids))))
     assert found == sorted(wanted)
+
+
+def test_rows_without_ids_are_numbered_and_stored_in_parts(spark, make, monkeypatch):
+    monkeypatch.setattr(sharding, "UNIT_ROWS", 100)
+    docs = make([(None, "one text")] * 3000 + [(k, f"text {k}") for k in range(50)])
+    units, materialize = [], sharding.materialize
+
+    def seen(df, name):
+        found = materialize(df, name)
+        if name == "units":
+            units.extend(r.n for r in found.collect())
+        return found
+
+    monkeypatch.setattr(sharding, "materialize", seen)
+    rows = sharding.minimax_shards(docs, shards=5).collect()
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == 3050 and all(sorted(v) == list(range(len(v))) for v in by_shard.values())
+    assert len({r.shard for r in rows if r.doc_id is None}) == 1 and max(units) < 400
+
+
+def test_benchmark_blocks_are_read_one_after_the_other(spark, make, monkeypatch):
+    """The matches of a block are written before the next block is read; the result is that of one block."""
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(14))) for k in range(12)], "item_id bigint, text string")
+    docs = make([(k, f"before {' '.join(f'w{k}x{j}' for j in range(14))} after" if k < 12 else f"clean {k}") for k in range(20)])
+    rows = lambda **more: sorted((r.doc_id, r.n_hit, r.items, sorted(map(tuple, r.spans))) for r in decontaminate.contamination(docs, items, **more).collect())
+    whole = rows()
+    steps, matches = [], decontaminate._matches
+    monkeypatch.setattr(decontaminate, "_matches", lambda *a: (steps.append("read"), matches(*a))[1])
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (steps.append("write") if "matches-" in path else None, write(self, path, *a, **k))[1])
+    assert rows(block_bytes=1500) == whole
+    assert len(steps) > 4 and steps == ["read", "write"] * (len(steps) // 2)
