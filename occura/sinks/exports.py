@@ -6,7 +6,7 @@ import json
 import re
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from occura.functions.text import xml_escape
 from occura.operators.groups import group_counts, top
 from occura.operators.nest import Ext, OccDataset, semi
 from occura.operators.search import SearchSpec, matching, quoted, render_values, sort_columns
-from occura.storage import join_parts, scratch
+from occura.storage import join_parts, put_text, scratch
 
 #: CSV by RFC 4180.
 CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -120,26 +120,25 @@ def eml_xml(title: str, abstract: list[str], pub_date: str) -> str:
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<eml:eml xmlns:eml="eml://ecoinformatics.org/eml-2.1.1"><dataset><title>{escape(title)}</title><pubDate>{pub_date}</pubDate><abstract>{paras}</abstract></dataset></eml:eml>\n'
 
 
-def _document(spark: SparkSession, text: str, path: str) -> None:
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-
-
-def write_archive(ds: OccDataset, path: str, extensions: list[str] | None = None, *, title: str = "", abstract: list[str] | None = None, pub_date: str | None = None, query: str | None = None) -> None:
+def write_archive(ds: OccDataset, path: str, extensions: list[str] | None = None, *, title: str = "", abstract: list[str] | None = None, pub_date: str | None = None, query: str | None = None, one_file: bool = False) -> None:
     """An unpacked archive: a directory of parts per table, ``meta.xml``, ``eml.xml`` and the saved query; enabled extensions without rows have a header.
 
+    With ``one_file`` each table is one file with one header, as other readers of archives expect it; its parts are joined by the file system.
     Abstract, date and query are those of the dataset where they are not given.
     """
+    write = _one_csv if one_file else lambda rows, where: rows.write.options(**CSV).csv(where)
     abstract, pub_date, query = ds.abstract if abstract is None else abstract, ds.pub_date if pub_date is None else pub_date, ds.query if query is None else query
     spark, names = ds.core.sparkSession, extensions if extensions is not None else list(ds.extensions)
-    written_fields(ds.core.withColumnRenamed(ds.core_id, "occurrenceID"), schema.OCCURRENCE_FIELDS).write.options(**CSV).csv(f"{path}/occurrence.csv")
+    core = written_fields(ds.core.withColumnRenamed(ds.core_id, "occurrenceID"), schema.OCCURRENCE_FIELDS)
+    write(core, f"{path}/occurrence.csv")
     for name in names:
         fields = schema.EXTENSION_FIELDS[name]
         ext = ds.extensions.get(name) or Ext(spark.createDataFrame([], ", ".join(f"`{f}` string" for f in fields)), "occurrenceID")
         rows = written_fields(ext.df.withColumnRenamed(ext.core_id, "occurrenceID"), fields)
-        (rows if name in ds.extensions else rows.coalesce(1)).write.options(**CSV).csv(f"{path}/{name}.csv")
-    _document(spark, meta_xml(names), f"{path}/meta.xml")
-    _document(spark, eml_xml(title, list(abstract), pub_date), f"{path}/eml.xml")
-    _document(spark, json.dumps({"query": query}), f"{path}/query.json")
+        write(rows if name in ds.extensions else rows.coalesce(1), f"{path}/{name}.csv")
+    put_text(spark, f"{path}/meta.xml", meta_xml(names))
+    put_text(spark, f"{path}/eml.xml", eml_xml(title, list(abstract), pub_date))
+    put_text(spark, f"{path}/query.json", json.dumps({"query": query}))
 
 
 def filtered_archive(ds: OccDataset, spec: SearchSpec) -> OccDataset:
@@ -148,5 +147,5 @@ def filtered_archive(ds: OccDataset, spec: SearchSpec) -> OccDataset:
     return OccDataset(core, ds.core_id, {n: Ext(semi(e.df, core, e.core_id, ds.core_id), e.core_id) for n, e in ds.extensions.items()}, ds.name)
 
 
-def export_archive(ds: OccDataset, spec: SearchSpec, path: str) -> None:
-    write_archive(filtered_archive(ds, spec), path)
+def export_archive(ds: OccDataset, spec: SearchSpec, path: str, one_file: bool = False) -> None:
+    write_archive(filtered_archive(ds, spec), path, one_file=one_file)

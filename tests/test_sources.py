@@ -159,6 +159,15 @@ def test_exports_are_one_file_in_the_order_of_the_search(spark, archive):
     assert get_text(spark, f"{path}/none.csv") == ",".join(rows.columns) + "\n" and ElementTree.fromstring(get_text(spark, f"{path}/none.kml").encode()) is not None
 
 
+def test_archives_of_one_file_a_table(spark, archive):
+    path = scratch(spark, "archive")
+    exports.write_archive(archive, path, list(schema.EXTENSION_FIELDS), one_file=True)
+    for name, fields in {"occurrence": schema.OCCURRENCE_FIELDS, **schema.EXTENSION_FIELDS}.items():
+        lines = list(csv.reader(io.StringIO(get_text(spark, f"{path}/{name}.csv"))))
+        assert lines[0] == fields and all(len(r) == len(fields) for r in lines)
+        assert len(lines) - 1 == (archive.core.count() if name == "occurrence" else archive.extensions[name].df.count() if name in archive.extensions else 0)
+
+
 def test_dictionary_finds_what_the_column_holds(spark):
     path = scratch(spark, "dictionary")
     texts = ["Quercus robur", "quercus ILEX", "Alga", "al", "", None, "100%_x", "x_y\\z", "Élan vital", "ÉLAN", "abcabc", "a_c", "ab", "İstanbul", "Quercus robur"]
