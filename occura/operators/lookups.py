@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occura.storage import bytes_of, scratch
+from occura.storage import bytes_of, delete, scratch
 
 #: Rows and stored bytes of a table that may be sent to every task.
 SMALL_ROWS, SMALL_BYTES = 10_000, 8 << 20
@@ -18,7 +18,7 @@ TIMES = "_times"
 def fetch(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
     """All rows with the columns that ``table`` has for their key (null where it has none); ``table`` has one row a key, and in TIMES the rows that ask for it.
 
-    The table is computed once, into a scratch folder.  One of at most SMALL_ROWS rows and SMALL_BYTES bytes is broadcast.  Of a larger one
+    The table is computed once, into a scratch folder, which a large one is read from by those who use the result.  One of at most SMALL_ROWS rows and SMALL_BYTES bytes is broadcast.  Of a larger one
     the frequent keys' rows are broadcast, if those are as small, and only rows with other keys are dealt out by their key; rows that need no further
     lookup, null keys among them, are dealt out by the column ``by``.
     """
@@ -28,7 +28,9 @@ def fetch(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
     stored = spark.read.schema(table.schema).parquet(path)
     values = [c for c in table.columns if c not in (key, TIMES)]
     if bytes_of(spark, path) <= SMALL_BYTES and stored.count() <= SMALL_ROWS:
-        return rows.join(F.broadcast(stored.drop(TIMES)), key, "left")
+        held = spark.createDataFrame(stored.drop(TIMES).collect(), stored.drop(TIMES).schema)
+        delete(spark, path)
+        return rows.join(F.broadcast(held), key, "left")
     total = stored.agg(F.sum(TIMES)).first()[0] or 0
     frequent = stored.filter(F.col(TIMES) * FREQUENT > total)
     size = frequent.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct(*stored.columns)))), F.lit(0))).first()[0]

@@ -51,7 +51,8 @@ def _write(df: DataFrame, path: str, key: str, buckets: int, row_group_bytes: in
 def save(ds: OccDataset, path: str, buckets: int | None = None, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
     """Store an archive by core id.  It is there when its description is; a store that is there already is an error.
 
-    ``buckets`` follows from the number of core rows unless it is given.  Ids are stored as text.
+    ``buckets`` follows from the number of core rows unless it is given.  Ids are stored as text.  All rows of an id are in one bucket, null ids
+    in another as one id.
     """
     spark = ds.core.sparkSession
     if get_text(spark, f"{path}/about.json") is not None:
@@ -67,12 +68,14 @@ def save(ds: OccDataset, path: str, buckets: int | None = None, row_group_bytes:
 
 
 def _declared(spark: SparkSession, path: str, table: dict, buckets: int) -> DataFrame:
-    """The stored table as Spark's catalogue knows bucketed ones, under a name of its own."""
+    """The stored table as Spark's catalogue knows bucketed ones: declared under a name of its own, which goes when the table is resolved."""
     schema, key, name = T.StructType.fromJson(json.loads(table["schema"])), _quoted(table["key"]), _name()
     columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
     where = path.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{where}'")
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external one: its files stay
+    return found
 
 
 def load(spark: SparkSession, path: str) -> OccDataset:

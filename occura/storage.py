@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Scratch folders made inside are deleted at the end, so what is read from them has to be written by then."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the place that all executors share: spark.checkpoint.dir, or a local one where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,7 +35,11 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from occura import schema
 from occura.operators import observe
+from occura.storage import temporary
 from occura.streaming import commits
 
 
@@ -34,9 +35,10 @@ def ingest_stream(pages: DataFrame, taxa: DataFrame, out: str, checkpoint: str)
         obs = obs.persist()
         try:
             schemas = {}
-            for name, df in tables_of(obs, taxa).items():
-                df.write.mode("overwrite").parquet(f"{out}/{name}/version={version}")
-                schemas[name] = df.schema.json()
+            with temporary(spark):
+                for name, df in tables_of(obs, taxa).items():
+                    df.write.mode("overwrite").parquet(f"{out}/{name}/version={version}")
+                    schemas[name] = df.schema.json()
         finally:
             obs.unpersist()
         commits.commit(spark, out, version, checkpoint, batch, {"schemas": schemas})

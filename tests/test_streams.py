@@ -83,6 +83,7 @@ def test_an_ingested_batch_is_visible_as_a_whole(spark, monkeypatch):
     assert counts() == half and "version=1" in names_in(spark, f"{path}/out/occurrences")
     monkeypatch.setattr(ingest, "tables_of", tables_of)
     read()
+    assert not [n for n in names_in(spark, spark.conf.get("spark.checkpoint.dir")) if n.startswith("lookup-")]
     whole = {n: df.count() for n, df in tables_of(obs, taxa(spark, SF_DIR)).items()}
     assert counts() == [whole[n] for n in ingest.TABLES]
     assert schema.OCCURRENCE_FIELDS == ingest.ingested(spark, f"{path}/out", "occurrences").columns[: len(schema.OCCURRENCE_FIELDS)]
