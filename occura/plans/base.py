@@ -97,15 +97,32 @@ def _taxon(key):
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as nested observation documents, with arrays made of their lineitems."""
-    i, k, p, s, flag, status = (F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))
-    odd = k % 2 == 1
-    of = lambda test, struct: F.sort_array(F.collect_list(F.when(test, struct)))
-    photo = F.struct(p.cast("int").alias("id"), F.concat(F.lit("http://x/square/"), p.cast("string"), F.lit("/medium.jpg")).alias("url"), flag.alias("license_code"), status.alias("attribution"))
-    sound = F.struct(s.cast("int").alias("id"), F.concat(F.lit("http://s/"), s.cast("string")).alias("file_url"), F.when(flag == "A", "audio/mpeg").when(flag == "N", "audio/wav").otherwise("audio/x").alias("file_content_type"), flag.alias("license_code"), (status == "F").alias("hidden"))
-    ident = F.struct(p.cast("int").alias("id"), _user(s).alias("user"), _taxon(s).alias("taxon"), flag.alias("body"), F.lit(None).cast("string").alias("created_at"), F.element_at(F.array(*[F.lit(x) for x in ("leading", "supporting", "maverick", "improving")]), (k % 4 + 1).cast("int")).alias("category"), (status == "O").alias("current"))
-    comment = F.struct(p.cast("int").alias("id"), F.concat(F.lit("u"), s.cast("string")).alias("uuid"), _user(s).alias("user"), flag.alias("body"), F.lit(None).cast("string").alias("created_at"), (flag == "R").alias("hidden"))
-    note = F.struct(F.concat(F.lit("Life Stage="), F.when(k % 3 == 0, "Adult").when(k % 3 == 1, "Larva").otherwise("Thing")).alias("concatenated_attr_val"), (p % 5 - 1).cast("int").alias("vote_score"))
-    lines = table(spark, sf_dir, "lineitem").groupBy(i.alias("o_orderkey")).agg(of(odd, photo).alias("photos"), of(~odd, sound).alias("sounds"), of(odd, ident).alias("identifications"), of(~odd, comment).alias("comments"), of(F.lit(True), note).alias("annotations"))
+    line = ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    odd = lambda x: x["l_linenumber"] % 2 == 1
+    even = lambda x: x["l_linenumber"] % 2 == 0
+    of = lambda test, struct: F.sort_array(F.transform(F.filter("_lines", test), struct))
+
+    def photo(x):
+        p = x["l_partkey"]
+        return F.struct(p.cast("int").alias("id"), F.concat(F.lit("http://x/square/"), p.cast("string"), F.lit("/medium.jpg")).alias("url"), x["l_returnflag"].alias("license_code"), x["l_linestatus"].alias("attribution"))
+
+    def sound(x):
+        s, flag = x["l_suppkey"], x["l_returnflag"]
+        return F.struct(s.cast("int").alias("id"), F.concat(F.lit("http://s/"), s.cast("string")).alias("file_url"), F.when(flag == "A", "audio/mpeg").when(flag == "N", "audio/wav").otherwise("audio/x").alias("file_content_type"), flag.alias("license_code"), (x["l_linestatus"] == "F").alias("hidden"))
+
+    def ident(x):
+        k, p, s, flag, status = (x[c] for c in line)
+        return F.struct(p.cast("int").alias("id"), _user(s).alias("user"), _taxon(s).alias("taxon"), flag.alias("body"), F.lit(None).cast("string").alias("created_at"), F.element_at(F.array(*[F.lit(v) for v in ("leading", "supporting", "maverick", "improving")]), (k % 4 + 1).cast("int")).alias("category"), (status == "O").alias("current"))
+
+    def comment(x):
+        p, s, flag = x["l_partkey"], x["l_suppkey"], x["l_returnflag"]
+        return F.struct(p.cast("int").alias("id"), F.concat(F.lit("u"), s.cast("string")).alias("uuid"), _user(s).alias("user"), flag.alias("body"), F.lit(None).cast("string").alias("created_at"), (flag == "R").alias("hidden"))
+
+    def note(x):
+        k, p = x["l_linenumber"], x["l_partkey"]
+        return F.struct(F.concat(F.lit("Life Stage="), F.when(k % 3 == 0, "Adult").when(k % 3 == 1, "Larva").otherwise("Thing")).alias("concatenated_attr_val"), (p % 5 - 1).cast("int").alias("vote_score"))
+
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(*line)).alias("_lines"))  # only the lines' own columns are shuffled
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     lat, lng = (o * 7919 % 170000) / F.lit(1000.0) - 85.0, (o * 104729 % 360000) / F.lit(1000.0) - 180.0
     at = lambda a, b: F.struct(F.lit("Point").alias("type"), F.array(a, b).alias("coordinates"))
@@ -115,7 +132,16 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "captive": F.col("o_orderstatus") == "F", "obscured": o % 2 == 0, "geoprivacy": F.when(o % 5 == 0, "private").when(o % 5 == 1, "obscured").when(o % 5 == 2, "open"), "taxon_geoprivacy": F.when(o % 3 == 0, "private").when(o % 3 == 1, "obscured"),
         "place_guess": F.col("o_orderpriority"), "private_place_guess": F.when(o % 4 == 0, F.concat(F.lit("p"), o.cast("string"))), "positional_accuracy": (o % 100).cast("int"), "public_positional_accuracy": (o % 1000).cast("int"), "license_code": F.lit("cc-by"),
         "geojson": at(lng, lat), "private_geojson": F.when(o % 7 == 0, at(lng + 0.5, lat + 0.5)), "user": _user(c), "taxon": _taxon(c),
-        **{n: F.col(n) for n in ("photos", "sounds", "identifications", "comments", "annotations")},
+        "photos": of(odd, photo), "sounds": of(even, sound), "identifications": of(odd, ident), "comments": of(even, comment), "annotations": F.sort_array(F.transform("_lines", note)),
     }
     rows = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
     return rows.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema.OBSERVATION).fields])
+
+
+#: Observations in a file of pages: compressed files are not split.
+PAGE_ROWS = 50_000
+
+
+def write_pages(obs: DataFrame, path: str) -> None:
+    """Observations as compressed JSON pages, in files of a bounded size."""
+    obs.write.option("maxRecordsPerFile", PAGE_ROWS).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").json(path)

@@ -8,7 +8,7 @@ from occura import schema
 from occura.functions import scalars as S
 from occura.functions.scalars import SITE
 from occura.operators import observe
-from occura.plans.base import TAXA, observations, query, scratch, table, taxa, text
+from occura.plans.base import TAXA, observations, query, scratch, table, taxa, text, write_pages
 from occura.sources.documents import read_observations, read_taxa
 
 _LINES = "lineitem JOIN orders ON l_orderkey = o_orderkey"
@@ -24,7 +24,7 @@ _MOMENT = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')"
 def obs_flatten(spark, sf_dir):
     """Observations written as JSON pages and read with the document schema."""
     path = scratch(spark, "pages")
-    observations(spark, sf_dir).write.json(path)
+    write_pages(observations(spark, sf_dir), path)
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint").alias(c)
     return read_observations(spark, path).select("id", *[F.greatest(n(c), F.lit(0)).alias(c) for c in ("photos", "sounds", "annotations")], F.col("user.login").alias("login"))
 

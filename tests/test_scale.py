@@ -155,3 +155,25 @@ def test_overlaps_are_those_of_all_pairs(spark):
             mine = {(z, x, y, r[0]) for r in use if r[1] is not None and west <= r[3] and east >= r[1] and south <= r[4] and north >= r[2] and z <= r[5]}
             wanted |= mine or ({(z, x, y, "world")} if z <= 4 else set())
         assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_pages_are_compressed_in_files_of_bounded_size(spark, monkeypatch):
+    from occura.plans import base
+    from occura.sources.documents import read_observations
+    from occura.storage import bytes_of, names_in, scratch
+
+    monkeypatch.setattr(base, "PAGE_ROWS", 500)
+    plain, pages = scratch(spark, "plain"), scratch(spark, "pages")
+    obs = base.observations(spark, "/root/testdata/sf0.001")
+    obs.coalesce(1).write.json(plain)
+    base.write_pages(obs.coalesce(1), pages)
+    assert len([n for n in names_in(spark, pages) if n.endswith(".json.gz")]) == 3  # 1,500 orders
+    assert 4 * bytes_of(spark, pages) < bytes_of(spark, plain)
+    assert read_observations(spark, pages).exceptAll(read_observations(spark, plain)).isEmpty() and read_observations(spark, pages).count() == 1500
+
+
+def test_only_the_lines_own_columns_are_shuffled_for_observations(spark):
+    from occura.plans.base import observations
+
+    plan = observations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "medium.jpg" not in plan[plan.index("Aggregate") :]
