@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occura.plans.base import observations, query, scratch, table, taxa
+from occura.plans.base import observations, query, scratch, table, taxa, write_pages
 from occura.streaming import ingest, upserts
 
 
@@ -16,7 +16,7 @@ SELECT 'occurrences' AS part, count(*) AS n FROM orders UNION ALL SELECT 'multim
 UNION ALL SELECT 'identifications', count(*) FILTER (l_linenumber % 2 = 1) FROM lines UNION ALL SELECT 'comments', count(*) FILTER (l_linenumber % 2 = 0 AND l_returnflag <> 'R') FROM lines""")
 def stream_ingest(spark, sf_dir):
     path = scratch(spark, "ingest")
-    observations(spark, sf_dir).write.json(f"{path}/pages")
+    write_pages(observations(spark, sf_dir), f"{path}/pages")
     ingest.ingest_stream(ingest.read_stream(spark, f"{path}/pages"), taxa(spark, sf_dir), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     parts = [ingest.ingested(spark, f"{path}/out", n).agg(F.lit(n).alias("part"), F.count("*").alias("n")) for n in ingest.TABLES]
     return functools.reduce(DataFrame.union, parts)

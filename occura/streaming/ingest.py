@@ -14,8 +14,12 @@ from occura.storage import temporary
 from occura.streaming import commits
 
 
-def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(schema.OBSERVATION).json(path)
+#: Bytes of pages, compressed or not, that a batch begins with at most (one file at least): a batch's observations are kept while its tables are written.
+BATCH_BYTES = 512 << 20
+
+
+def read_stream(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    return spark.readStream.schema(schema.OBSERVATION).option("maxBytesPerTrigger", batch_bytes).json(path)
 
 
 #: Tables that an ingested batch consists of.

@@ -89,3 +89,14 @@ def test_an_ingested_batch_is_visible_as_a_whole(spark, monkeypatch):
     whole = {n: df.count() for n, df in tables_of(obs, taxa(spark, SF_DIR)).items()}
     assert counts() == [whole[n] for n in ingest.TABLES]
     assert schema.OCCURRENCE_FIELDS == ingest.ingested(spark, f"{path}/out", "occurrences").columns[: len(schema.OCCURRENCE_FIELDS)]
+
+
+def test_an_ingest_begins_with_a_bounded_number_of_bytes(spark):
+    path = scratch(spark, "ingest")
+    obs = observations(spark, SF_DIR).persist()
+    obs.repartition(3).write.json(f"{path}/pages")
+    ingest.ingest_stream(ingest.read_stream(spark, f"{path}/pages", batch_bytes=1), taxa(spark, SF_DIR), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    assert len(commits.versions(spark, f"{path}/out")) == 3  # a file each
+    for name, df in ingest.tables_of(obs, taxa(spark, SF_DIR)).items():
+        assert ingest.ingested(spark, f"{path}/out", name).count() == df.count()
+    obs.unpersist()
