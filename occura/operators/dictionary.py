@@ -21,8 +21,12 @@ LOOKED_UP = 3
 
 def grams(value: Column) -> Column:
     """The distinct trigrams of a lower-cased text; none of a shorter one."""
-    low = F.lower(value)
-    return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda k: F.substring(low, k, 3)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    joined = lambda chars, more: F.zip_with(F.slice(chars, 1, F.size(more)), more, lambda a, b: F.concat(a, b))
+    after = lambda chars, k: F.slice(chars, k + 1, F.size(chars) - k)
+    of = lambda chars: F.when(F.size(chars) >= 3, F.array_distinct(joined(chars, joined(after(chars, 1), after(chars, 2))))).otherwise(none)
+    # The lambda binds the characters, which would else be split off again for each of them.
+    return F.coalesce(F.transform(F.array(F.split(F.lower(value), "")), of)[0], none)
 
 
 def term_grams(term: str) -> list[str]:

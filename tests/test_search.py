@@ -116,3 +116,20 @@ def test_box_reaches_the_scan(spark, lat_prefix, tmp_path):
     found = O.matching(spark.read.parquet(path), SearchSpec.from_dict({"nelat": "4", "nelng": "1", "swlat": "3", "swlng": "-1"}))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(decimalLatitude,3.0)" in plan
+
+
+def test_trigrams_of_a_long_line_take_time_by_its_length(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from occura.operators import dictionary
+
+    line = "añ😀B" * 100_000 + "\n"
+    rows = spark.createDataFrame([(x,) for x in (line, "ab", "", None, "aB\0c", "aaaa")], "v string").coalesce(1)
+    began = time.perf_counter()
+    found = {r.v: r.g for r in rows.select("v", dictionary.grams(F.col("v")).alias("g")).collect()}
+    assert time.perf_counter() - began < 60  # each character used to lower the whole line again
+    low = line.lower()
+    assert found[line] == list(dict.fromkeys(low[k : k + 3] for k in range(len(low) - 2)))
+    assert (found["ab"], found[""], found[None], found["aB\0c"], found["aaaa"]) == ([], [], [], ["ab\0", "b\0c"], ["aaa"])
