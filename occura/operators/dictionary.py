@@ -17,6 +17,8 @@ from occura.operators.search import quoted, substring_filter
 
 #: Trigrams of a term that are looked up, the rarest ones.
 LOOKED_UP = 3
+#: Parts that one trigram's postings are dealt over.
+SALTS = 16
 
 
 def grams(value: Column) -> Column:
@@ -49,7 +51,8 @@ def build(df: DataFrame, column: str, path: str) -> None:
     distinct.repartitionByRange("value").sortWithinPartitions("value").withColumn("number", F.monotonically_increasing_id()).write.parquet(f"{path}/values")
     values = spark.read.parquet(f"{path}/values")
     rows = values.select("number", F.explode(grams(F.col("value"))).alias("gram"))
-    rows.repartitionByRange("gram", "number").sortWithinPartitions("gram", "number").write.option("parquet.bloom.filter.enabled#gram", "true").parquet(f"{path}/postings")
+    # By hash, as ranges would make all trigrams a second time for their bounds; a frequent trigram is dealt over SALTS parts.
+    rows.repartition("gram", F.pmod("number", F.lit(SALTS))).sortWithinPartitions("gram", "number").write.option("parquet.bloom.filter.enabled#gram", "true").parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("times")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
 
 

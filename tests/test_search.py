@@ -133,3 +133,23 @@ def test_trigrams_of_a_long_line_take_time_by_its_length(spark):
     low = line.lower()
     assert found[line] == list(dict.fromkeys(low[k : k + 3] for k in range(len(low) - 2)))
     assert (found["ab"], found[""], found[None], found["aB\0c"], found["aaaa"]) == ([], [], [], ["ab\0", "b\0c"], ["aaa"])
+
+
+def test_a_dictionary_makes_its_trigrams_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from occura.operators import dictionary
+
+    calls, grams = spark.sparkContext.accumulator(0), dictionary.grams
+
+    @F.udf("string")
+    def seen(value):
+        calls.add(1)
+        return value
+
+    monkeypatch.setattr(dictionary, "grams", lambda value: grams(seen(value)))
+    rows = spark.range(100).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
+    dictionary.build(rows, "line", f"file://{tmp_path}/dictionary")
+    assert calls.value == 100  # ranges made them again for their bounds
+    found = dictionary.load(spark, f"file://{tmp_path}/dictionary")
+    assert found.postings.filter("gram = 'lin'").count() == 100 and dictionary.values_with(found, "LINE 7").count() == 11
