@@ -33,27 +33,14 @@ FREQUENT_TOKENS = 100_000
 FREQUENT_IN_SLICE = 3
 #: Columns of a set's parities, 64 of them each: token counts by a hash of the token, modulo 2.
 PARITIES = ("s0", "s1", "s2", "s3")
-#: Words whose hash a task remembers.
-KNOWN_WORDS = 150_000
 #: Tokens of sets that a verifying task remembers.
 KNOWN_TOKENS = 2_000_000
 
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
 
-class WordHashes(dict):
-    """Word → 64-bit hash, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_sets(texts: list[bytes | None], known: WordHashes, size: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word shingles; one for the whole of a shorter text; none without words."""
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-    look = known.__getitem__
     out = []
     for body in texts:
         words = (body or b"").lower().split()
@@ -61,7 +48,7 @@ def shingle_sets(texts: list[bytes | None], known: WordHashes, size: int) -> lis
         if not n:
             out.append(np.empty(0, np.uint64))
             continue
-        h = np.fromiter(map(look, words), np.uint64, n)
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)  # faster than remembered hashes
         width = min(size, n)
         joint = h[: n - width + 1] * _ODD[0]
         for k in range(1, width):
@@ -106,9 +93,9 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
     """Rows (id, n, key) for every document, and rows (token, times) for tokens frequent within a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, met = WordHashes(), set()
+        met = set()
         for batch, texts in slices(batches):
-            sets = shingle_sets(texts, known, size)
+            sets = shingle_sets(texts, size)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             new = [s for s, k in zip(sets, keys, strict=True) if k not in met and not met.add(k)]
             tokens, times = np.unique(np.concatenate([*new, np.empty(0, np.uint64)]), return_counts=True)
@@ -133,10 +120,9 @@ def _prefix_table(docs: DataFrame, id_col: str, text_col: str, frequent: DataFra
     shared = docs.sparkSession.sparkContext.broadcast((tokens, times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         tokens, times = shared.value
         for batch, texts in slices(batches):
-            sets = shingle_sets(texts, known, size)
+            sets = shingle_sets(texts, size)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             kept = [k for k, s in enumerate(sets) if len(s)]
             found = [prefixes(sets[k], tokens, times, percent, orders) for k in kept]
@@ -176,7 +162,7 @@ def _linked(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those (a, b) of the rows (a, ka, x, b, kb, y), with keys and compressed texts, whose sets are similar; a text that hasn't its key's set only shares an id with one that has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, plain = WordHashes(), zstandard.ZstdDecompressor()
+        plain = zstandard.ZstdDecompressor()
         met: dict[bytes, np.ndarray] = {}
         room = KNOWN_TOKENS
 
@@ -184,7 +170,7 @@ def _linked(pairs: DataFrame, size: int, percent: int) -> DataFrame:
             nonlocal met, room
             found = met.get(key)
             if found is None:
-                found = shingle_sets([plain.decompress(body)], known, size)[0]
+                found = shingle_sets([plain.decompress(body)], size)[0]
                 if xxhash.xxh3_128_digest(found.tobytes()) != key:
                     return found[:0]
                 if room < len(found):

@@ -100,9 +100,8 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
     """(id, n, key, sketch) of every row, registers followed by parities; a sketch only once for the equal sets of a task's slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = jaccard.WordHashes()
         for batch, texts in slices(batches):
-            sets = jaccard.shingle_sets(texts, known, size)
+            sets = jaccard.shingle_sets(texts, size)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             first: dict[bytes, int] = {}
             for k, key in enumerate(keys):

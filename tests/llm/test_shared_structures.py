@@ -310,3 +310,17 @@ def test_registers_merge_and_estimate():
     assert abs(np.mean(found) - 0.8) < 0.015
     assert np.std(found) < 0.04
     assert setsketch.estimates(x[None], x[None], np.array([900.0]), np.array([900.0]))[0] > 0.999
+
+
+def test_shingle_sets_hash_each_word_by_itself():
+    import numpy as np
+    import xxhash
+
+    from occura.llm import jaccard
+
+    texts = [b"One two  three\tone", b"a", b" \n", None]
+    sets = jaccard.shingle_sets(texts, 1)  # nothing is remembered between texts
+    step = lambda h: (h ^ (h >> np.uint64(32))) * jaccard._ODD[9]
+    of = lambda *words: np.unique(step(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64) * jaccard._ODD[0]))
+    assert [s.tolist() for s in sets] == [of(b"one", b"two", b"three").tolist(), of(b"a").tolist(), [], []]
+    assert [len(s) for s in jaccard.shingle_sets(texts, 3)] == [2, 1, 0, 0]
