@@ -19,24 +19,31 @@ def tile_bbox(z: Column, x: Column, y: Column) -> tuple[Column, Column, Column,
     return lon(x), lat(y + 1), lon(x + 1), lat(y)
 
 
-def _tile_row(lat: Column, n: Column) -> Column:
-    return (1 - F.asinh(F.tan(F.radians(lat))) / math.pi) / 2 * n
+def tile_fractions(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """A point's place on the whole map, from 0 to 1, for its tiles' columns, for their rows, and for its pixel's row; times a zoom's tiles, which are a power of two, nothing is rounded."""
+    angle = F.radians(lat)
+    return (lon + 180.0) / 360.0, (1 - F.asinh(F.tan(angle)) / math.pi) / 2, (1 - F.ln(F.tan(angle) + 1 / F.cos(angle)) / math.pi) / 2
 
 
 def tile_xy(lat: Column, lon: Column, z: Column) -> tuple[Column, Column]:
     """Tile of a point, kept within the map."""
+    across, down, _ = tile_fractions(lat, lon)
     n = F.pow(F.lit(2.0), z)
     inside = lambda c: F.greatest(F.lit(0), F.least(F.floor(c), n.cast("bigint") - 1)).cast("int")
-    return inside((lon + 180.0) / 360.0 * n), inside(_tile_row(lat, n))
+    return inside(across * n), inside(down * n)
 
 
 def tile_pixel(lat: Column, lon: Column, z: Column, x: Column, y: Column) -> tuple[Column, Column]:
     """Pixel of a point in a tile, kept within it."""
-    n = F.pow(F.lit(2.0), z)
-    angle = F.radians(lat)
-    row = (1 - F.ln(F.tan(angle) + 1 / F.cos(angle)) / math.pi) / 2 * n
+    across, _, down = tile_fractions(lat, lon)
+    return pixel_at(across, down, z, x, y)
+
+
+def pixel_at(across: Column, down: Column, z: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """Pixel in a tile of a place on the whole map."""
+    n = F.call_function("shiftleft", F.lit(1), z.cast("int")).cast("double")
     inside = lambda c: F.round(F.greatest(F.lit(0.0), F.least(c * EXTENT, F.lit(EXTENT - 1.0)))).cast("int")
-    return inside((lon + 180.0) / 360.0 * n - x), inside(row - y)
+    return inside(across * n - x), inside(down * n - y)
 
 
 def grid_size(zoom: int) -> float | None:

@@ -6,12 +6,13 @@ import functools
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from occura.functions.tiles import grid_size, tile_bbox, tile_pixel, tile_xy
-from occura.operators.nest import OccDataset, small_side
+from occura.functions.tiles import grid_size, pixel_at, tile_bbox, tile_fractions, tile_xy
+from occura.operators.nest import OccDataset, once, small_side
 from occura.operators.search import SearchSpec, box_filter, matching
+from occura.storage import written
 
 #: Highest latitude of the map.
 LIMIT = 85.0511287798066
@@ -44,57 +45,108 @@ def tile_points(ds: OccDataset, z: int, x: int, y: int, spec: SearchSpec | None
     return thin(_points(OccDataset(ds.core.filter(inside), ds.core_id), spec), grid_size(z))
 
 
+#: What is known of a point; the smallest of a cell is so by these in their order.
+POINT = ("core_id", "lat", "lng", "scientificName")
+
+
 def tile_features(ds: OccDataset, zooms: Iterable[int], spec: SearchSpec | None = None) -> DataFrame:
-    """(z, x, y, px, py, core_id, scientificName): each point in its one tile of each zoom, thinned by the zoom's cell.
+    """(z, x, y, px, py, core_id, scientificName): each point in its one tile of each zoom, thinned by the zoom's cell.  Zooms without cells have every point."""
+    points, sizes, whole = _points(ds, spec).filter(F.abs("lat") <= LIMIT), *_by_size(zooms)
+    parts = [_thinned(points, sizes)] if sizes else []
+    parts += [_whole(points, whole)] if whole else []
+    return _features(functools.reduce(DataFrame.unionByName, parts))
 
-    Points are thinned once, to the smallest cells asked for within tiles of the highest of those zooms; every zoom above is made of what is left of
-    the one below it, as tiles nest.  Cells of different sizes do not nest to the last bit, so a thinned point also keeps the larger cells it lies in.  Zooms
-    without cells have every point and move none.
-    """
-    points = _points(ds, spec).filter(F.abs("lat") <= LIMIT)
+
+def _by_size(zooms: Iterable[int]) -> tuple[dict[float, list[int]], list[int]]:
+    """The zooms that are thinned by their cell's size, from the smallest cells up, and those that are not; the highest zoom first."""
     by_size: dict[float | None, list[int]] = {}
     for z in sorted(set(zooms), reverse=True):
         by_size.setdefault(grid_size(z), []).append(z)
-    levels = by_size.pop(None, [])
-    parts = [_placed(points.withColumn("z", F.explode(F.array(*[F.lit(z) for z in levels]))))] if levels else []
-    sizes = sorted(by_size)  # from the smallest cells up
+    whole = by_size.pop(None, [])
+    return dict(sorted(by_size.items())), whole
+
+
+def _whole(points: DataFrame, zooms: list[int]) -> DataFrame:
+    """(top, zooms, x, y, point): every point, in its tile of the highest zoom, as a feature of all these zooms."""
+    x, y = tile_xy(F.col("lat"), F.col("lng"), F.lit(zooms[0]))
+    return points.select(F.lit(zooms[0]).alias("top"), F.array(*[F.lit(z) for z in zooms]).alias("zooms"), x.alias("x"), y.alias("y"), *POINT)
+
+
+def _thinned(points: DataFrame, by_size: dict[float, list[int]]) -> DataFrame:
+    """(top, zooms, x, y, point): for each size of cells its thinned points, each in its tile of the size's highest zoom and with the zooms it is a feature of.
+
+    Points are thinned to the smallest cells within tiles of the highest zoom, and each size is made of what is left of the one below it, as tiles nest.
+    Cells of different sizes do not nest to the last bit, so a thinned point also keeps the larger cells it lies in.  A cell holds few thinned points, as it
+    meets few tiles; they are the features of all the size's zooms but where a smaller one of the cell is in the same tile.
+    """
+    sizes = list(by_size)
     cells = {size: (f"_r{k}", f"_c{k}") for k, size in enumerate(sizes)}
-    if sizes:
-        cell = lambda c, size: F.floor(F.col(c) / F.lit(size))
-        atoms = _placed(points.withColumn("z", F.lit(by_size[sizes[0]][0])), *[cell(c, s).alias(n) for s in sizes for c, n in zip(("lat", "lng"), cells[s], strict=True)])
+    cell = lambda c, size: F.floor(F.col(c) / F.lit(size))
+    at = by_size[sizes[0]][0]
+    x, y = tile_xy(F.col("lat"), F.col("lng"), F.lit(at))
+    left = points.select(x.alias("x"), y.alias("y"), *[cell(c, s).alias(n) for s in sizes for c, n in zip(("lat", "lng"), cells[s], strict=True)], *POINT)
+    found = []
     for k, size in enumerate(sizes):
-        kept = [n for s in sizes[k:] for n in cells[s]]
-        for z in by_size[size]:
-            up = F.lit(z)
-            moved = lambda c: _up(c, F.col("z") - up).alias(c)  # noqa: B023, E731
-            above = atoms.select(moved("x"), moved("y"), up.alias("z"), *kept, "core_id", "lat", "lng", "scientificName")
-            atoms = above.groupBy("z", "x", "y", *kept).agg(F.min(F.struct("core_id", "lat", "lng", "scientificName")).alias("p")).select("z", "x", "y", *kept, "p.*")
-            own = atoms.groupBy("z", "x", "y", *cells[size]).agg(F.min(F.struct("core_id", "lat", "lng", "scientificName")).alias("p")) if len(kept) > 2 else None
-            parts.append(atoms.select("z", "x", "y", "core_id", "lat", "lng", "scientificName") if own is None else own.select("z", "x", "y", "p.*"))
-    rows = functools.reduce(DataFrame.unionByName, parts)
-    px, py = tile_pixel(F.col("lat"), F.col("lng"), F.col("z"), F.col("x"), F.col("y"))
-    return rows.select("z", "x", "y", px.alias("px"), py.alias("py"), "core_id", "scientificName")
-
-
-def _up(c: str, zooms: Column) -> Column:
+        top, kept = by_size[size][0], [n for s in sizes[k:] for n in cells[s]]
+        moved = left.select(*[_up(c, F.lit(at - top)).alias(c) for c in ("x", "y")], *kept, *POINT)
+        left, at = moved.groupBy("x", "y", *kept).agg(F.min(F.struct(*POINT)).alias("p")).select("x", "y", *kept, "p.*"), top
+        before = F.collect_list(F.struct("x", "y")).over(Window.partitionBy(*cells[size]).orderBy(*POINT).rowsBetween(Window.unboundedPreceding, -1))
+        every = F.array(*[F.lit(z) for z in by_size[size]])
+        same = lambda t, z: (_up(t["x"], top - z) == _up("x", top - z)) & (_up(t["y"], top - z) == _up("y", top - z))  # noqa: B023, E731
+        first = F.filter(every, lambda z: ~F.exists("_before", lambda t: same(t, z)))  # noqa: B023
+        rows = left.withColumn("_before", before).withColumn("zooms", F.when(F.size("_before") == 0, every).otherwise(first))
+        found.append(rows.filter(F.size("zooms") > 0).select(F.lit(top).alias("top"), "zooms", "x", "y", *POINT))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _features(rows: DataFrame, *more: str) -> DataFrame:
+    """Features of points with their zooms; what is the same at every zoom is worked out before there is a row for each."""
+    across, _, down = tile_fractions(F.col("lat"), F.col("lng"))
+    rows = rows.select("top", F.explode("zooms").alias("z"), "x", "y", across.alias("_across"), down.alias("_down"), "core_id", "scientificName", *more)
+    rows = rows.select("z", *[_up(c, F.col("top") - F.col("z")).alias(c) for c in ("x", "y")], "_across", "_down", "core_id", "scientificName", *more)
+    px, py = pixel_at(F.col("_across"), F.col("_down"), F.col("z"), F.col("x"), F.col("y"))
+    return rows.select("z", "x", "y", px.alias("px"), py.alias("py"), "core_id", "scientificName", *more)
+
+
+def _up(c: str | Column, zooms: Column) -> Column:
     """The column or row of a tile's ancestor so many zooms above."""
-    return F.call_function("shiftright", F.col(c), zooms.cast("int"))
-
-
-def _placed(points: DataFrame, *more: Column) -> DataFrame:
-    x, y = tile_xy(F.col("lat"), F.col("lng"), F.col("z"))
-    return points.select("z", x.alias("x"), y.alias("y"), *more, "core_id", "lat", "lng", "scientificName")
+    return F.call_function("shiftright", F.col(c) if isinstance(c, str) else c, zooms.cast("int"))
 
 
 def tile_pyramid(ds: OccDataset, zooms: Iterable[int] = range(15), spec: SearchSpec | None = None, part_features: int = 20_000) -> DataFrame:
     """(z, x, y, part, features): a tile's features in rows of about ``part_features``, to be written by zoom.
 
     Most tiles are one part.  The features of a larger one are dealt over as many parts as it needs, so none of its rows, and no task, holds all of them.
+
+    Thinned points are written once, to be counted and gathered.  Zooms that are not thinned are counted at the lowest of them only: where a tile of it is no
+    larger than a part, neither are the tiles it holds, so its points are sent to one task, once, and gathered there for all these zooms.
     """
-    rows = tile_features(ds, zooms, spec)
+    points, sizes, whole = _points(ds, spec).filter(F.abs("lat") <= LIMIT), *_by_size(zooms)
+    found = [_parted(_features(written(_thinned(points, sizes), "thinned")), part_features)] if sizes else []
+    if whole:
+        spark = ds.core.sparkSession
+        low = [_up(c, F.lit(whole[0] - whole[-1])).alias(f"_{c}") for c in ("x", "y")]
+        rows = _whole(points, whole).select("*", *low)
+        crowded, held = once(rows.groupBy("_x", "_y").agg(F.count("*").alias("_n")).filter(F.col("_n") > part_features).select("_x", "_y"))
+        none = held and crowded.isEmpty()
+        crowded = F.broadcast(crowded) if held else crowded
+        few = rows if none else rows.join(crowded, ["_x", "_y"], "left_anti")
+        few = _features(few.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_x", "_y"), "_x", "_y")
+        found.append(few.groupBy("_x", "_y", "z", "x", "y").agg(_gathered()).select("z", "x", "y", F.lit(0).alias("part"), "features"))
+        if not none:
+            found.append(_parted(_features(rows.join(crowded, ["_x", "_y"], "left_semi")), part_features))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _gathered() -> Column:
+    return F.sort_array(F.collect_list(F.struct("core_id", "px", "py", "scientificName"))).alias("features")
+
+
+def _parted(rows: DataFrame, part_features: int) -> DataFrame:
+    """Features gathered by tile, those of a large tile dealt over parts."""
     large = rows.groupBy("z", "x", "y").agg(F.count("*").alias("_n")).filter(F.col("_n") > part_features)
     parts = rows.join(small_side(large), ["z", "x", "y"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("core_id"), F.ceil(F.col("_n") / part_features)), F.lit(0)).cast("int"))
-    return parts.groupBy("z", "x", "y", "part").agg(F.sort_array(F.collect_list(F.struct("core_id", "px", "py", "scientificName"))).alias("features"))
+    return parts.groupBy("z", "x", "y", "part").agg(_gathered())
 
 
 def _ranges(boxes: DataFrame, max_zoom: int, low_zoom: int = 0) -> DataFrame:

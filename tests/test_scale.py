@@ -134,6 +134,28 @@ def test_large_tiles_have_parts(points):
     assert whole == {k: sorted(v) for k, v in flat.items()} and any(r.part for r in found)
 
 
+@pytest.mark.parametrize("part_features", [1, 7, 60, 5000])
+def test_tiles_are_gathered_whole_beside_crowded_ones(points, part_features):
+    rows, ds = points
+    flat = defaultdict(list)
+    for r in maps.tile_features(ds, range(7, 13)).collect():
+        flat[r.z, r.x, r.y].append((r.core_id, r.px, r.py, r.scientificName))
+    found = defaultdict(list)
+    for r in maps.tile_pyramid(ds, range(7, 13), part_features=part_features).collect():
+        assert list(r.features) == sorted(r.features) and (r.part == 0 or len(flat[r.z, r.x, r.y]) > part_features)
+        found[r.z, r.x, r.y] += map(tuple, r.features)
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in flat.items()}
+
+
+def test_points_are_moved_once_for_a_size_of_cells_and_once_to_be_gathered(points):
+    """15 zooms of 3 sizes are thinned in two exchanges a size (a size's first is reused by the larger ones, but printed there again); the other zooms' points are copied only behind the one exchange."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(maps.tile_features(points[1], range(15))).count("Exchange hashpartitioning") == 1 + 2 + 3 + 3
+    lines = plan(maps.tile_pyramid(points[1], range(9, 15))).splitlines()
+    moved, copied = ([k for k, line in enumerate(lines) if word in line] for word in ("Exchange", "Generate explode"))
+    assert len(moved) == len(copied) == 1 and copied[0] < moved[0]  # a plan's first lines are its last steps
+
+
 def test_overlaps_are_those_of_all_pairs(spark):
     rng = np.random.default_rng(3)
     regions = []
