@@ -294,11 +294,9 @@ def catalogue_inventory(spark, sf_dir):
  'status=' || o_orderstatus AS query, count(*) AS core_rows FROM orders GROUP BY o_orderstatus""")
 def catalogue_written(spark, sf_dir):
     """One archive written for each order status, then listed by the catalogue, with the rows of its core as read back."""
-    root, ds, counts = scratch(spark, "archives"), shop(spark, sf_dir), []
-    for k, status in enumerate("FOP", 1):
-        core = ds.core.filter(F.col("o_orderstatus") == status)
-        exports.write_archive(exports.filtered_archive(OccDataset(core, ds.core_id, ds.extensions, status), SearchSpec()), f"{root}/{status}", pub_date=f"2024-05-0{k}", query=f"status={status}")
-        counts.append(spark.read.option("header", True).csv(f"{root}/{status}/occurrence.csv").agg(F.lit(status).alias("archive"), F.count("*").alias("core_rows")).filter("core_rows > 0"))
+    root = scratch(spark, "archives")
+    exports.write_archives(shop(spark, sf_dir), "o_orderstatus", {status: {"pub_date": f"2024-05-0{k}", "query": f"status={status}"} for k, status in enumerate("FOP", 1)}, root)
+    counts = [spark.read.option("header", True).csv(f"{root}/{status}/occurrence.csv").agg(F.lit(status).alias("archive"), F.count("*").alias("core_rows")).filter("core_rows > 0") for status in "FOP"]
     found = documents.catalogue(spark, root).select("archive", "files", "has_multimedia", "has_audiovisual", "has_comments", "has_media", "pub_date", "query")
     return found.join(counts[0].union(counts[1]).union(counts[2]), "archive")
 

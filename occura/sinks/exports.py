@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import uuid
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +17,7 @@ from occura.functions.text import xml_escape
 from occura.operators.groups import group_counts, top
 from occura.operators.nest import Ext, OccDataset, semi
 from occura.operators.search import SearchSpec, matching, quoted, render_values, sort_columns
-from occura.storage import join_parts, put_text, scratch
+from occura.storage import delete, join_parts, move, names_in, put_text, scratch
 
 #: CSV by RFC 4180.
 CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -90,8 +92,8 @@ def plain_double(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c.cast("decimal(38,15)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
 
-def written_fields(df: DataFrame, fields: list[str]) -> DataFrame:
-    """The fields in order as text, '' for null and for columns that the table lacks."""
+def written_fields(df: DataFrame, fields: list[str], *more: str) -> DataFrame:
+    """The fields in order as text, '' for null and for columns that the table lacks; more columns behind them as they are."""
 
     def one(name: str) -> Column:
         if name not in df.columns:
@@ -99,7 +101,7 @@ def written_fields(df: DataFrame, fields: list[str]) -> DataFrame:
         text = plain_double(quoted(name)) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else quoted(name).cast("string")
         return F.coalesce(text, F.lit("")).alias(name)
 
-    return df.select(*[one(f) for f in fields])
+    return df.select(*[one(f) for f in fields], *more)
 
 
 # The frames of ``meta.xml`` and ``eml.xml``, and how their tables are delimited.
@@ -136,11 +138,56 @@ def write_archive(ds: OccDataset, path: str, extensions: list[str] | None = None
         ext = ds.extensions.get(name) or Ext(spark.createDataFrame([], ", ".join(f"`{f}` string" for f in fields)), "occurrenceID")
         rows = written_fields(ext.df.withColumnRenamed(ext.core_id, "occurrenceID"), fields)
         write(rows if name in ds.extensions else rows.coalesce(1), f"{path}/{name}.csv")
+    _put_documents(spark, path, names, title, list(abstract), pub_date, query)
+
+
+def _put_documents(spark: SparkSession, path: str, names: list[str], title: str, abstract: list[str], pub_date: str, query: str) -> None:
     put_text(spark, f"{path}/meta.xml", meta_xml(names))
-    put_text(spark, f"{path}/eml.xml", eml_xml(title, list(abstract), pub_date))
+    put_text(spark, f"{path}/eml.xml", eml_xml(title, abstract, pub_date))
     put_text(spark, f"{path}/query.json", json.dumps({"query": query}))
 
 
+#: Files that a task writes at once; rows of more archives are sorted by archive first.
+WRITERS = 64
+
+
+def write_archives(ds: OccDataset, by: str, archives: dict[str, dict], root: str) -> None:
+    """For each of these values of a core column an archive ``{root}/{value}``, as ``write_archive`` writes one: the value's core rows, and of every extension the rows that refer to one of them.
+
+    Every table is read, joined and written once for all archives.  ``archives`` has each value's title, abstract, pub_date and query; those not given are the dataset's.
+    """
+    spark, paths = ds.core.sparkSession, [f"{root}/{v}" for v in archives]
+    if any(not v or "/" in v or v[0] in "._" for v in archives):
+        raise ValueError("an archive's value must do as the name of a folder")
+    if set(archives) & set(names_in(spark, root)):
+        raise FileExistsError(f"an archive lies in {root} already")
+    number = functools.reduce(lambda c, v: c.when(quoted(by) == F.lit(v[1]), v[0]), enumerate(archives), F)
+    core = ds.core.withColumn("_archive", number).filter("_archive is not null")
+    _split_csv(written_fields(core.withColumnRenamed(ds.core_id, "occurrenceID"), schema.OCCURRENCE_FIELDS, "_archive"), [f"{p}/occurrence.csv" for p in paths], root)
+    wanted = core.select(quoted(ds.core_id).alias("_wanted"), "_archive").filter("trim(_wanted) <> ''").repartition("_wanted").distinct()  # dealt by id alone, as the join needs it
+    for name, ext in ds.extensions.items():
+        rows = ext.df.join(wanted, ext.df[ext.core_id] == wanted["_wanted"]).withColumnRenamed(ext.core_id, "occurrenceID")
+        _split_csv(written_fields(rows, schema.EXTENSION_FIELDS[name], "_archive"), [f"{p}/{name}.csv" for p in paths], root)
+    for path, about in zip(paths, archives.values(), strict=True):
+        told = {"title": "", "abstract": ds.abstract, "pub_date": ds.pub_date, "query": ds.query} | about
+        _put_documents(spark, path, list(ds.extensions), told["title"], list(told["abstract"]), told["pub_date"], told["query"])
+
+
+def _split_csv(rows: DataFrame, paths: list[str], root: str) -> None:
+    """Rows to the path of their number, each a directory of parts with headers; one without rows has a header."""
+    spark, parts, key = rows.sparkSession, f"{root}/_parts-{uuid.uuid4().hex}", "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(WRITERS))  # else all rows are sorted by archive, and spilled
+    try:
+        rows.write.options(**CSV).partitionBy("_archive").csv(parts)
+    finally:
+        spark.conf.set(key, before)
+    for k, path in enumerate(paths):
+        if not move(spark, f"{parts}/_archive={k}", path):
+            rows.drop("_archive").limit(0).coalesce(1).write.options(**CSV).csv(path)
+    delete(spark, parts)
+
+
 def filtered_archive(ds: OccDataset, spec: SearchSpec) -> OccDataset:
     """The matching core rows, and of every extension the rows that refer to one of them."""
     core = matching(ds.core, spec)

@@ -97,6 +97,18 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(name, True)
 
 
+def move(spark: SparkSession, path: str, target: str) -> bool:
+    """A folder under another name of the same file system; False if it is not there."""
+    source, files = _path(spark, path)
+    final, _ = _path(spark, target)
+    if not files.exists(source):
+        return False
+    files.mkdirs(final.getParent())
+    if files.exists(final) or not files.rename(source, final):
+        raise OSError(f"{path} could not become {target}")
+    return True
+
+
 def join_parts(spark: SparkSession, folder: str, target: str, head: str = "", foot: str = "") -> None:
     """One file from the part files of a folder, in the order of their numbers, between a head and a foot.
 

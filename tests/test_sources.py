@@ -10,7 +10,7 @@ from occura.operators import dictionary, estimate, merge, observe, search
 from occura.operators.nest import Ext, OccDataset
 from occura.operators.search import SearchSpec
 from occura.plans.base import scratch
-from occura.storage import get_text
+from occura.storage import get_text, names_in
 from occura.sinks import exports
 from occura.sources import delimited, documents
 from occura.sources.manifest import Dialect, ManifestError, local_name, parse_manifest
@@ -127,6 +127,45 @@ def test_catalogue_of_folders(spark, archive):
     assert rows["two"].query == "a=1" and rows["two"].pub_date is None
 
 
+def test_archives_by_value_are_those_of_each_value(spark):
+    """One pass for all values writes what a filtered archive of each has; ids of two values, blank ids, nulls and a value without rows."""
+    core = spark.createDataFrame([("1", "a", 1.5), ("2", "b", None), ("3", "a", 0.25), ("1", "b", 2.0), ("", "a", 3.0), (None, "a", 4.0), ("5", None, 5.0), ("6", "c", 6.0)], "id string, kind string, decimalLatitude double")
+    media = spark.createDataFrame([("1", "x,\n\"q\""), ("1", "x,\n\"q\""), ("2", None), ("", "blank"), (None, "null"), ("5", "five"), ("6", "six"), ("9", "none")], "ref string, identifier string")
+    comments = spark.createDataFrame([("2", "t")], "ref string, text string")
+    ds = OccDataset(core, "id", {"multimedia": Ext(media, "ref"), "comments": Ext(comments, "ref")}, query="all")
+    root, plain = scratch(spark, "split"), scratch(spark, "plain")
+    exports.write_archives(ds, "kind", {"a": {"pub_date": "2024-01-01"}, "b": {"query": "kind=b"}, "none": {}}, root)
+    for value, about in {"a": {"pub_date": "2024-01-01"}, "b": {"query": "kind=b"}, "none": {"query": "all"}}.items():
+        one = exports.filtered_archive(OccDataset(core.filter(F.col("kind") == value), "id", ds.extensions), SearchSpec())
+        exports.write_archive(one, f"{plain}/{value}", **({"query": "all"} | about))
+        read = lambda base, table: spark.read.options(**exports.CSV, multiLine=True).csv(f"{base}/{value}/{table}.csv")  # noqa: B023, E731
+        for table in ("occurrence", "multimedia", "comments"):
+            assert read(root, table).columns == read(plain, table).columns
+            assert sorted(map(str, read(root, table).collect())) == sorted(map(str, read(plain, table).collect()))
+        assert all(get_text(spark, f"{root}/{value}/{name}") == get_text(spark, f"{plain}/{value}/{name}") for name in ("meta.xml", "eml.xml", "query.json"))
+    assert names_in(spark, root) == ["a", "b", "none"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    with pytest.raises(FileExistsError):
+        exports.write_archives(ds, "kind", {"a": {}}, root)
+    with pytest.raises(ValueError):
+        exports.write_archives(ds, "kind", {"../a": {}}, root)
+
+
+def test_archives_of_a_catalogue_shuffle_an_extension_once(spark):
+    """Rows shuffled for all archives together: those of the extension and of the core once, whatever number of archives there is."""
+    core = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("k"), (F.col("id") % 3).cast("string")).alias("kind"))
+    media = spark.range(9000).select((F.col("id") % 3000).cast("string").alias("ref"), F.lit("x").alias("identifier"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup("archives", "archives")
+    try:
+        exports.write_archives(OccDataset(core, "id", {"multimedia": Ext(media, "ref")}), "kind", {f"k{k}": {} for k in range(3)}, scratch(spark, "once"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("archives") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) == 12000
+
+
 def test_line_breaks_decide_how_files_are_read(spark):
     plain, broken = put(spark, ["id,note", '1,"a ""b"""', "2,c"]), put(spark, ["id,note", '1,"a', 'b"'])
     assert not any(delimited.line_facts(spark, plain, Dialect())) and delimited.line_facts(spark, broken, Dialect()) == (True, False)
