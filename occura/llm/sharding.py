@@ -11,8 +11,9 @@ those ranges are summarised more finely, until the capacity and the cuts are exa
 from __future__ import annotations
 
 import bisect
+import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -106,21 +107,28 @@ def _even(summary: Summary, capacity: int, total: int, shards: int) -> tuple[lis
     return [*cuts, total], open_ranges - {None}
 
 
+def _table(spark: SparkSession, ranges: list[tuple[int, int]], width: int) -> DataFrame:
+    """Open ranges as a table: low, high, how wide to cut them (``step``), and the first summary's range they lie in (``first``)."""
+    rows = json.dumps([{"low": a, "high": b, "step": (b - a) // FINER + 1, "first": a // width} for a, b in ranges])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(rows), "array<struct<low: bigint, high: bigint, step: bigint, first: bigint>>")))
+
+
 def minimax_cuts(sums: DataFrame, total: int, shards: int) -> tuple[int, list[int]]:
     """Smallest feasible capacity and the shards' last prefix sums, for the ascending column ``p`` of group ends.
 
-    Each pass brings one row per non-empty range to the driver: RANGES at first, then FINER for each open range,
-    of which a pass has at most some hundreds.
+    Each pass brings one row per non-empty range to the driver: RANGES at first, then FINER at most for each open range.
+    Of these a pass has some hundreds for 40 shards, more for more shards.  They are joined as a table: as one condition
+    they would be nested too deeply for the planner.
     """
     if total == 0:
         return 0, []
     width = max(1, -(-total // RANGES))
+    first = F.expr(f"p div {width}").alias("first")
 
-    def summarised(df: DataFrame, w: int) -> list[tuple[int, int]]:
-        bucket = (F.col("p") / F.lit(w)).cast("bigint") if w > 1 else F.col("p")
-        return [(r["a"], r["b"]) for r in df.groupBy(bucket.alias("k")).agg(F.min("p").alias("a"), F.max("p").alias("b")).collect()]
+    def summarised(df: DataFrame, *keys: Column) -> list[tuple[int, int]]:
+        return [(r["a"], r["b"]) for r in df.groupBy(*keys).agg(F.min("p").alias("a"), F.max("p").alias("b")).collect()]
 
-    summary = Summary(summarised(sums, width))
+    summary = Summary(summarised(sums, first))
     while True:
         sure, maybe = _least(summary, total, shards, 0), _least(summary, total, shards, 1)
         open_ranges = _fill(summary, sure, total, shards, 0)[2]
@@ -132,11 +140,8 @@ def minimax_cuts(sums: DataFrame, total: int, shards: int) -> tuple[int, list[in
             if not met:
                 return sure, cuts
             open_ranges |= met
-        width = max(1, -(-min(width, max(b - a for a, b in open_ranges)) // FINER))
-        inside = F.lit(False)
-        for low, high in sorted(open_ranges):
-            inside = inside | F.col("p").between(low, high)
-        summary = Summary([r for r in summary.ranges if r not in open_ranges] + summarised(sums.filter(inside), width))
+        inside = sums.select("p", first).join(F.broadcast(_table(sums.sparkSession, sorted(open_ranges), width)), "first").filter("p BETWEEN low AND high")
+        summary = Summary([r for r in summary.ranges if r not in open_ranges] + summarised(inside, F.col("low"), F.expr("(p - low) div step")))
 
 
 def minimax_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = SHARDS, overhead: int = OVERHEAD) -> DataFrame:

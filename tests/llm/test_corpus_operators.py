@@ -296,6 +296,17 @@ def test_shards_are_minimax(spark, make, odd_texts, shards, seed, monkeypatch):
     assert set(total) == set(range(shards))  # more groups than shards: none is empty
 
 
+def test_many_ranges_are_open_at_once(spark):
+    """So many groups that over a thousand ranges are open in one pass; a condition naming each was too deep for the planner."""
+    n, shards = 200_000, 120
+    sums = spark.range(n).select((F.col("id") * 1000 + F.pmod(F.xxhash64("id"), F.lit(1000))).alias("p"))
+    p = np.sort(np.array([r.p for r in sums.collect()]))
+    capacity, cuts = sharding.minimax_cuts(sums, int(p[-1]), shards)
+    assert capacity == brute_capacity(np.diff(p, prepend=0).tolist(), shards)
+    assert len(cuts) == shards and cuts[-1] == p[-1] and np.isin(cuts, p).all()
+    assert 0 < np.diff(cuts, prepend=0).min() and np.diff(cuts, prepend=0).max() <= capacity
+
+
 def test_shards_of_nothing(spark, make):
     assert sharding.minimax_shards(make([])).count() == 0
 
